@@ -5,9 +5,16 @@ from __future__ import annotations
 from importlib import import_module
 
 _WHERE = {
+    "op2_secret_scan": "secrets",
+    "op3_decontamination": "decontam",
     "op6_simhash": "simhash",
+    "op7_warc": "warc",
     "op8_quality_rules": "quality",
+    "op10_token_rollup": "token_rollup",
 }
 
 QUERIES = {name: getattr(import_module(f"matchloom.llm.{module}"), name) for name, module in _WHERE.items()}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_decontamination": import_module("matchloom.llm.decontam").ORACLE_OP3,
+    "op10_token_rollup": import_module("matchloom.llm.token_rollup").ORACLE_OP10,
+}
