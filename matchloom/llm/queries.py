@@ -7,9 +7,11 @@ from importlib import import_module
 _WHERE = {
     "op2_secret_scan": "secrets",
     "op3_decontamination": "decontam",
+    "op5_pii": "pii",
     "op6_simhash": "simhash",
     "op7_warc": "warc",
     "op8_quality_rules": "quality",
+    "op9_language_id": "langid",
     "op10_token_rollup": "token_rollup",
 }
 
