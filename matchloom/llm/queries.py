@@ -7,6 +7,7 @@ from importlib import import_module
 _WHERE = {
     "op2_secret_scan": "secrets",
     "op3_decontamination": "decontam",
+    "op4_toxicity": "toxicity",
     "op5_pii": "pii",
     "op6_simhash": "simhash",
     "op7_warc": "warc",
