@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _WHERE = {
+    "op1_byte_bpe": "bpe",
     "op2_secret_scan": "secrets",
     "op3_decontamination": "decontam",
     "op4_toxicity": "toxicity",
