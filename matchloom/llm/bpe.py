@@ -18,7 +18,6 @@ doc_id passes through; extra columns are ignored. Ids outside the table fail the
 from __future__ import annotations
 
 import base64
-import heapq
 import pickle
 import re
 import uuid
@@ -27,6 +26,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.common import cut, map_batches, read_table
 
-HOT_WORDS, HOT_BYTES = 1_000_000, 32
+HOT_WORDS, HOT_BYTES = 400_000, 32
 BLOCK_CHARS = 4_000_000
 #: The rank of an open position.
 OPEN = 0xFFFFFF
@@ -42,7 +42,7 @@ OPEN = 0xFFFFFF
 # White space as the tokenizer's library has it; letters and numbers below U+0250 spelled out, as the faster splitter
 # needs them. Texts with characters above go through the general pattern, which gives the same pieces.
 _SPACE = r"\t-\r \x85\xa0"
-_WIDE_SPACE = _SPACE + r"  -     　"
+_WIDE_SPACE = _SPACE + r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _NUMBER = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 
@@ -66,48 +66,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: adjacent parts are joined, lowest rank first and leftmost of equals, until none can be."""
-    if piece in ranks:
-        return [ranks[piece]]
-    if len(piece) > 64:
-        return _merge_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-        if rank == 1 << 30:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
-
-
-def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same with a heap over linked parts, for n log n steps on very long pre-tokens."""
-    n = len(piece)
-    end, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
-
-    def offer(i):
-        if i >= 0 and end[i] < n:
-            stop = end[end[i]]
-            if (rank := ranks.get(piece[i:stop])) is not None:
-                heapq.heappush(heap, (rank, i, end[i], stop))
-
-    for i in range(n):
-        offer(i)
-    while heap:
-        _, i, middle, stop = heapq.heappop(heap)
-        if end[i] != middle or end[middle] != stop:
-            continue  # one of the parts has grown since, or is gone
-        end[i], end[middle] = stop, -1
-        if stop < n:
-            before[stop] = i
-        offer(i)
-        offer(before[i])
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return out
+def encoding(ranks: dict[bytes, int]) -> tiktoken.Encoding:
+    """Merges of single pre-tokens; the pattern is never used, as pieces come one by one."""
+    return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
 def _pack(ids) -> bytes:
@@ -132,13 +93,14 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                     found.clear()
         yield out()
 
-    words = map_batches(docs.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # partitions have summed their own words already; without a second map-side sum they arrive, and compress, in order
+    words = map_batches(docs.select("text"), count, "word string, n long").repartition("word").groupBy("word").agg(F.sum("n").alias("n"))
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def encode_words(batches):
-        known = shared.value
+        merge = encoding(shared.value)._encode_single_piece
         for b in batches:
-            ids = [_pack(merge(w.encode(), known)) for w in b.column(0).to_pylist()]
+            ids = [_pack(merge(w)) for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
     return map_batches(words, encode_words, "word string, n long, ids binary")

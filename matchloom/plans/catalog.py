@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from matchloom.plans import audits, conforming, history, insight, modelling
+
+_MODULES = (history, conforming, insight, audits, modelling)
+QUERIES: dict = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
