@@ -48,7 +48,7 @@ def o17_o21_o22_ratios(spark, sf):
     return participants(spark, sf).select("match_key", "line", "part", "player", "price", k.alias("kd"), n.per_round(F.col("qty"), (F.col("line") - 1).cast("double")).alias("per_round"))
 
 
-@query("SELECT p_partkey, list_aggregate(list_transform(list_filter(string_split(replace(p_name, ' ', '|'), '|'), x -> trim(x) <> ''), x -> trim(x)), 'string_agg', '/') AS items, array_to_string(list_sort(string_split(replace(p_name, ' ', '|'), '|')), '|') AS comp FROM part")
+@query("SELECT p_partkey, list_aggregate([trim(x) for x in string_split(replace(p_name, ' ', '|'), '|') if trim(x) <> ''], 'string_agg', '/') AS items, array_to_string(list_sort(string_split(replace(p_name, ' ', '|'), '|')), '|') AS comp FROM part")
 def o23_o25_lists(spark, sf):
     c = F.regexp_replace("p_name", " ", "|")
     return table(spark, sf, "part").select("p_partkey", F.array_join(n.pipe_list(c), "/").alias("items"), n.composition_key(F.split(c, r"\|")).alias("comp"))
@@ -270,11 +270,11 @@ def o42_default_fill(spark, sf):
     return features.project(_wide(spark, sf), ["a_q", "a_missing", "b_n"], ["match_key"])
 
 
-@query(f"WITH {P}, d AS (SELECT agent, role, avg(qty) AS f FROM p WHERE qty > 10 GROUP BY ALL) SELECT match_key, round(sum(coalesce(f, 0.5)), 5) AS fit FROM p LEFT JOIN d USING (agent, role) GROUP BY match_key")
+@query(f"WITH {P}, d AS (SELECT agent, role, avg(qty) AS f FROM p WHERE qty > 10 GROUP BY ALL) SELECT match_key, CAST(sum(coalesce(floor(1000 * f), 500)) AS BIGINT) AS fit_thousandths FROM p LEFT JOIN d USING (agent, role) GROUP BY match_key")
 def o61_dimension_default(spark, sf):
     p = participants(spark, sf)
     d = p.where("qty > 10").groupBy("agent", "role").agg(F.avg("qty").alias("f"))
-    return p.join(d, ["agent", "role"], "left").groupBy("match_key").agg(F.round(F.sum(F.coalesce("f", F.lit(0.5))), 5).alias("fit"))
+    return p.join(d, ["agent", "role"], "left").groupBy("match_key").agg(F.sum(F.coalesce(F.floor(1000 * F.col("f")), F.lit(500))).alias("fit_thousandths"))
 
 
 @query("SELECT doc_id, CASE WHEN text IS NULL THEN 'missing_text' WHEN n_chars < 200 THEN 'short' WHEN lang <> 'en' THEN 'language' END AS reject_reason FROM documents WHERE text IS NULL OR n_chars < 200 OR lang <> 'en'")

@@ -152,7 +152,7 @@ def o74_latest_events(spark, sf):
     return insights.top_per_group(e, ["user_id"], [F.desc("ts"), F.desc("event_id")], 3).select("user_id", "event_id")
 
 
-@query("SELECT c_custkey, list_aggregate(list_filter([CASE WHEN c_nationkey % 2 = 0 THEN 'no_controller' END, CASE WHEN c_nationkey % 3 = 0 THEN 'no_initiator' END, CASE WHEN c_nationkey % 5 = 0 THEN 'no_sentinel' END, CASE WHEN c_nationkey % 4 = 0 THEN 'no_duelist' END, CASE WHEN c_nationkey % 4 >= 3 THEN 'many_duelists' END], x -> x IS NOT NULL), 'string_agg', ',') AS warnings FROM customer")
+@query("SELECT c_custkey, list_aggregate([x for x in [CASE WHEN c_nationkey % 2 = 0 THEN 'no_controller' END, CASE WHEN c_nationkey % 3 = 0 THEN 'no_initiator' END, CASE WHEN c_nationkey % 5 = 0 THEN 'no_sentinel' END, CASE WHEN c_nationkey % 4 = 0 THEN 'no_duelist' END, CASE WHEN c_nationkey % 4 >= 3 THEN 'many_duelists' END] if x IS NOT NULL], 'string_agg', ',') AS warnings FROM customer")
 def o132_balance_warnings(spark, sf):
     from matchloom.operators.audit import balance_warnings
 
