@@ -25,6 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import xxhash
@@ -243,18 +244,32 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], hot_words: int = HOT_WORDS)
     return met.applyInArrow(assemble, f"doc_id {kind}, token_ids array<int>")
 
 
+def join_tokens(lists: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The concatenated bytes of each list of ids; a null list gives null, ids without an entry fail."""
+    ids, sizes = lists.flatten(), pc.list_value_length(lists)
+    picked = tokens.take(ids)  # the bytes of all lists, one after the other
+    if picked.null_count:
+        raise ValueError("an id has no token")
+    _, ends, data = picked.buffers()
+    at = np.frombuffer(ends, np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    bounds = at[np.concatenate([[0], np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)]
+    if bounds[-1] > 0x7FFFFFFF:
+        raise ValueError("a batch decodes to more than 2 GB")
+    whole = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(bounds.astype(np.int32)), data or pa.py_buffer(b"")])
+    return pc.if_else(sizes.is_valid(), whole, pa.scalar(None, pa.binary())) if lists.null_count else whole
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``encoded`` (doc_id, token_ids) with ``decoded``, the bytes that the token-byte table has for the ids."""
-    table = [b""] * (max(ranks.values()) + 1)
+    table = [None] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         table[i] = token
     shared = encoded.sparkSession.sparkContext.broadcast(table)  # one entry for each token
 
     def run(batches):
-        get = shared.value.__getitem__
+        tokens = pa.array(shared.value, pa.large_binary())
         for b in batches:
-            texts = [None if ids is None else b"".join(map(get, ids)) for ids in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], names=["doc_id", "token_ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, join_tokens(b.column(1), tokens)], names=["doc_id", "token_ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return map_batches(encoded.select("doc_id", "token_ids"), run, f"doc_id {kind}, token_ids array<int>, decoded binary")

@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -43,6 +44,20 @@ def test_whole_round_trip(spark, odd_docs, hot, monkeypatch):
     assert sorted(key(r.doc_id, r.token_ids, r.decoded) for r in got) == sorted(key(r.doc_id, ORACLE.encode_ordinary(r.text or ""), (r.text or "").encode()) for r in want)
 
 
+def test_joined_tokens():
+    tokens = pa.array([b"a", b"bc", None, b""], pa.large_binary())
+    lists = pa.array([[0], [1, 0, 3], None, [], [1]], pa.list_(pa.int32()))
+    assert bpe.join_tokens(lists, tokens).to_pylist() == [b"a", b"bca", None, b"", b"bc"]
+    assert bpe.join_tokens(lists[1:4], tokens).to_pylist() == [b"bca", None, b""]
+    assert bpe.join_tokens(lists[:0], tokens).to_pylist() == []
+    for bad in ([2], [None]):
+        with pytest.raises(ValueError):
+            bpe.join_tokens(pa.array([bad], lists.type), tokens)
+    for bad in ([4], [-1]):
+        with pytest.raises(pa.ArrowIndexError):
+            bpe.join_tokens(pa.array([bad], lists.type), tokens)
+
+
 def test_empty_table(spark, no_docs):
     assert bpe.decode(bpe.encode(no_docs, RANKS), RANKS).collect() == []
 
