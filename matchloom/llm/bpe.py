@@ -76,6 +76,17 @@ def _pack(ids) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
+def _runs(texts, most: int = 1_000_000):
+    """The pre-tokens of ``texts`` in lists of ``most`` or little more."""
+    pieces: list[str] = []
+    for t in texts:
+        pieces += pretokens(t) if t else ()
+        if len(pieces) >= most:
+            yield pieces
+            pieces = []
+    yield pieces
+
+
 def dictionary(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """word, n (occurrences) and packed ids of every distinct pre-token of ``docs``' texts."""
 
@@ -86,12 +97,13 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             words = sorted(found)  # neighbours compress well
             return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([found[w] for w in words], pa.int64())], names=["word", "n"])
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                found.update(pretokens(t) if t else ())
-                if len(found) > 600_000:
-                    yield out()
-                    found.clear()
+        for pieces in _runs(t for b in batches for t in b.column(0).to_pylist()):
+            summed = pa.array(pieces, pa.string()).value_counts()
+            for word, n in zip(summed.field("values").to_pylist(), summed.field("counts").to_pylist()):
+                found[word] += n
+            if len(found) > 600_000:
+                yield out()
+                found.clear()
         yield out()
 
     # partitions have summed their own words already; without a second map-side sum they arrive, and compress, in order
@@ -110,7 +122,7 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 class Hot:
     """The broadcast part of the dictionary; a Python worker unpacks it once, whatever the number of its tasks."""
 
-    _open: dict[str, tuple[dict[str, int], np.ndarray, np.ndarray]] = {}
+    _open: dict[str, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
 
     def __init__(self, table: DataFrame, most: int):
         short = table.where(F.octet_length("word") <= HOT_BYTES)
@@ -136,8 +148,8 @@ class Hot:
     def __getstate__(self):
         return {"key": self.key, "shared": self.shared}
 
-    def open(self) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-        """Rank of each word, most frequent first, and the ids of the words in rank order with their ends."""
+    def open(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The words in rank order, most frequent first, and their ids in that order with their ends."""
         if self.key not in self._open:
             self._open.clear()
             words, counts, ids = [], [], []
@@ -149,35 +161,36 @@ class Hot:
             order = np.argsort(-np.array(counts, np.int64), kind="stable")
             flat = np.frombuffer(b"".join(ids[i] for i in order), "<u4")
             ends = np.cumsum([0, *(len(ids[i]) >> 2 for i in order)])
-            self._open[self.key] = {words[i]: rank for rank, i in enumerate(order.tolist())}, flat, ends
+            self._open[self.key] = pa.array([words[i] for i in order], pa.string()), flat, ends
         return self._open[self.key]
 
 
-def _blocks(batches, known: dict[str, int]):
-    """(name, doc_ids, ends, ranks, open pre-tokens with their positions) of each block of texts."""
-    names, ends, ranks, open_, chars = [], [], [], {}, 0
+def _blocks(batches, known: pa.Array):
+    """(name, doc_ids, ends, ranks, open pre-tokens, their numbers of positions, their positions) of each block of texts."""
+    names, ends, pieces, chars = [], [], [], 0
 
     def close():
-        nonlocal names, ends, ranks, open_, chars
-        codes = np.array(ranks, "<u4")
+        nonlocal names, ends, pieces, chars
+        parts = pa.array(pieces, pa.string())
+        found = pc.index_in(parts, value_set=known)
+        missing = found.is_null()
+        codes = found.fill_null(OPEN).to_numpy().astype("<u4")
+        rest = parts.filter(missing).dictionary_encode()
+        by_word = np.argsort(which := rest.indices.to_numpy(), kind="stable")
+        at = np.flatnonzero(missing.to_numpy(zero_copy_only=False)).astype("<u4")[by_word]
         seal = xxhash.xxh64(codes.tobytes())
-        seal.update(repr((names, ends, list(open_))).encode())
-        out = int(np.array([seal.intdigest()], np.uint64).view(np.int64)[0]), names, ends, codes, open_
-        names, ends, ranks, open_, chars = [], [], [], {}, 0
+        seal.update(repr((names, ends)).encode())
+        seal.update(rest.dictionary.buffers()[2] or b"")
+        name = int(np.array([seal.intdigest()], np.uint64).view(np.int64)[0])
+        out = name, names, ends, codes, rest.dictionary, np.bincount(which, minlength=len(rest.dictionary)), at
+        names, ends, pieces, chars = [], [], [], 0
         return out
 
     for b in batches:
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            pieces = pretokens(text) if text else []
-            found = list(map(known.get, pieces))
-            if None in found:
-                for i, rank in enumerate(found):
-                    if rank is None:
-                        open_.setdefault(pieces[i], []).append(len(ranks) + i)
-                        found[i] = OPEN
-            ranks += found
+            pieces += pretokens(text) if text else ()
             names.append(doc_id)
-            ends.append(len(ranks))
+            ends.append(len(pieces))
             chars += len(text or "")
             if chars >= BLOCK_CHARS:
                 yield close()
@@ -198,14 +211,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], hot_words: int = HOT_WORDS)
 
     def write_ranks(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
-        for name, ids, ends, codes, _ in _blocks(batches, hot.open()[0]):
+        for name, ids, ends, codes, *_ in _blocks(batches, hot.open()[0]):
             planes = codes.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids], pa.list_(arrow_kind)), pa.array([_pack(ends)], pa.binary()), pa.array([squeeze.compress(planes)], pa.binary())], names=["block", "doc_ids", "ends", "ranks"])
 
     def write_open(batches):
-        for name, _, _, _, open_ in _blocks(batches, hot.open()[0]):
-            words = sorted(open_)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.int64()), pa.array(words, pa.string()), pa.array([_pack(open_[w]) for w in words], pa.binary())], names=["block", "word", "at"])
+        for name, _, _, _, words, sizes, at in _blocks(batches, hot.open()[0]):
+            bounds = pa.py_buffer(np.concatenate([[0], 4 * np.cumsum(sizes)]).astype(np.int32))
+            places = pa.Array.from_buffers(pa.binary(), len(words), [None, bounds, pa.py_buffer(at.tobytes())])
+            order = pc.sort_indices(words)  # neighbours compress well
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.int64()), len(words)), words.take(order), places.take(order)], names=["block", "word", "at"])
 
     blocks = map_batches(rows, write_ranks, f"block long, doc_ids array<{kind}>, ends binary, ranks binary")
     asked = map_batches(rows, write_open, "block long, word string, at binary")
