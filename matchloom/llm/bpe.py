@@ -76,17 +76,6 @@ def _pack(ids) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-def _runs(texts, most: int = 1_000_000):
-    """The pre-tokens of ``texts`` in lists of ``most`` or little more."""
-    pieces: list[str] = []
-    for t in texts:
-        pieces += pretokens(t) if t else ()
-        if len(pieces) >= most:
-            yield pieces
-            pieces = []
-    yield pieces
-
-
 def dictionary(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """word, n (occurrences) and packed ids of every distinct pre-token of ``docs``' texts."""
 
@@ -97,13 +86,12 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             words = sorted(found)  # neighbours compress well
             return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([found[w] for w in words], pa.int64())], names=["word", "n"])
 
-        for pieces in _runs(t for b in batches for t in b.column(0).to_pylist()):
-            summed = pa.array(pieces, pa.string()).value_counts()
-            for word, n in zip(summed.field("values").to_pylist(), summed.field("counts").to_pylist()):
-                found[word] += n
-            if len(found) > 600_000:
-                yield out()
-                found.clear()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                found.update(pretokens(t) if t else ())
+                if len(found) > 600_000:
+                    yield out()
+                    found.clear()
         yield out()
 
     # partitions have summed their own words already; without a second map-side sum they arrive, and compress, in order
