@@ -194,3 +194,16 @@ def o57_date_quality(spark, sf):
 
     date = F.when(F.col("n_chars") < 300, "").when(F.col("n_chars") < 1000, "May 2021").otherwise("2021-05-06")
     return table(spark, sf, "documents").groupBy("source", date_quality(date).alias("quality")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {P} SELECT match_key, count(*) FILTER (side = 'a') = 2 AND count(*) FILTER (side = 'b') = 2 AND count(DISTINCT player) = 4 AND count(DISTINCT agent) FILTER (side = 'a') = 2 AND count(DISTINCT agent) FILTER (side = 'b') = 2 AS valid FROM p GROUP BY match_key")
+def o131_valid_lineups(spark, sf):
+    slot = F.struct(F.col("player").cast("string").alias("player"), "agent")
+    sides = [F.collect_list(F.when(F.col("side") == s, slot)).alias(f"lineup_{s}") for s in "ab"]  # a match's own participants
+    return participants(spark, sf).groupBy("match_key").agg(*sides).select("match_key", audit.valid_lineups(size=2).alias("valid"))
+
+
+@query(f"WITH {M}, {P}, s AS (SELECT match_key, sum(qty) AS qty FROM p GROUP BY match_key) SELECT match_key, year, map, qty FROM m JOIN s USING (match_key)")
+def o56_inner_merge(spark, sf):
+    sums = participants(spark, sf).groupBy("match_key").agg(F.sum("qty").alias("qty"))
+    return matches(spark, sf).select("match_key", "year", "map").join(sums, "match_key")
