@@ -75,14 +75,14 @@ def deltas(metrics: DataFrame, model: str, ensemble: str, baseline: str, value:
 
 
 def weight_search(df: DataFrame, members: Sequence[str], label: str, grid: Sequence[float]) -> DataFrame:
-    """AUC of every weighted soft vote over a small grid, best first; earlier weights win ties.
+    """AUC of every weighted soft vote over a grid, best first; earlier weights win ties.
 
-    The weights are a constant array, so each row is expanded in place, and scores are combined map-side.
+    The weights are a small broadcast table, so each row is expanded in place, and scores are combined map-side.
     """
     from itertools import product
 
-    combos = [w for w in product(grid, repeat=len(members)) if sum(w) > 0]
-    votes = [F.struct(F.lit(i).alias("i"), (sum((F.col(m) * float(a) for m, a in zip(members, w)), F.lit(0.0)) / float(sum(w))).alias("p")) for i, w in enumerate(combos)]
-    long = df.select(F.col(label).alias("y"), F.explode(F.array(*votes)).alias("v")).select("y", "v.i", F.round("v.p", 9).alias("p"))
-    names = F.element_at(F.array(*(F.array(*map(F.lit, map(float, w))) for w in combos)), F.col("i") + 1)
-    return auc(long, "p", "y", ["i"]).select("i", names.alias("weights"), "auc").orderBy(F.desc("auc"), "i")
+    combos = [tuple(map(float, w)) for w in product(grid, repeat=len(members)) if sum(w) > 0]
+    table = F.broadcast(df.sparkSession.createDataFrame([(i, list(w), float(sum(w))) for i, w in enumerate(combos)], "i int, weights array<double>, total double"))
+    vote = sum((F.col(m) * F.col("weights")[k] for k, m in enumerate(members)), F.lit(0.0)) / F.col("total")
+    long = df.select(F.col(label).alias("y"), *members).crossJoin(table).select("y", "i", F.round(vote, 9).alias("p"))
+    return auc(long, "p", "y", ["i"]).join(table, "i").select("i", "weights", "auc").orderBy(F.desc("auc"), "i")

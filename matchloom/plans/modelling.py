@@ -10,6 +10,7 @@ from matchloom.plans.registry import collector
 
 QUERIES, ORACLES, query = collector()
 FEATURES = ["prior_n", "success", "form5", "map_success"]
+WEIGHT_GRID = [0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0]
 
 
 def feature_rows(spark, sf):
@@ -32,10 +33,26 @@ def o114_o126_soft_vote(spark, sf):
     return ml.soft_vote(ml.member_probabilities(models, test), dict.fromkeys(models, 1.0)).select("match_key", "p", "predicted", "confidence")
 
 
+def _advanced(spark, sf):
+    """The three advanced members fitted on the years before the last training year, and that year's rows."""
+    rows = splits.chrono_split(feature_rows(spark, sf), "year").where("split = 'train'").cache()
+    last = rows.agg(F.max("year")).first()[0]
+    fitting, validation = splits.fit_and_validation(rows, "year", last)
+    return ml.fit(ml.advanced_members(FEATURES), fitting), validation
+
+
+@query()
+def o116_advanced_members(spark, sf):
+    models, validation = _advanced(spark, sf)
+    return ml.member_probabilities(models, validation).select("match_key", *(f"p_{m}" for m in models))
+
+
 @query()
 def o117_weight_search(spark, sf):
-    models, test = _models(spark, sf)
-    return metrics.weight_search(ml.member_probabilities(models, test), [f"p_{m}" for m in models], "label", [0.1, 1.0, 2.0]).select("weights", "auc")
+    """All weights of the full grid for the three advanced members, on the validation year."""
+    models, validation = _advanced(spark, sf)
+    scored = ml.member_probabilities(models, validation).select("label", *(f"p_{m}" for m in models))
+    return metrics.weight_search(scored, [f"p_{m}" for m in models], "label", WEIGHT_GRID).select("weights", "auc")
 
 
 @query()
