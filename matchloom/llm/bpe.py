@@ -1,27 +1,30 @@
-"""Byte-level BPE encoding and decoding over a global dictionary of distinct pre-tokens.
-
-1. Every partition splits its texts into pre-tokens and counts the different ones; a shuffle on the pre-token sums the
-   counts, and each distinct pre-token is encoded once, into a dictionary table.
-2. The most frequent part of the dictionary, bounded by ``HOT_WORDS`` entries of at most ``HOT_BYTES`` bytes, is broadcast.
-   A second pass writes those as their ranks and explodes the other pre-tokens with their positions; these are joined
-   with the rest of the dictionary by a shuffle on the pre-token.
-3. Blocks of texts and the ids found for their open positions meet by block, and each text is reassembled by position.
-
-A block closes at ``BLOCK_CHARS`` characters, so no task gathers more than one block and its last text. A pre-token of a
-block is one row with all its positions. Blocks are made twice, once for their ranks and once for their open
-pre-tokens, rather than stored; each is named by a hash of what it holds, and a mismatch fails the job.
-
-Defined results: a null or empty text has no ids and decodes to no bytes. Repeated rows are encoded row by row; a null
-doc_id passes through; extra columns are ignored. Ids outside the table fail the decoding.
+"""Byte-level BPE encoding and decoding with one global shuffle of distinct words.
+
+Encoding. Every partition splits its texts into pre-tokens, block by block. A pre-token that the rank table holds whole
+is its own id. Every other pre-token of a block is named once, with its number in the block; a shuffle brings the rows
+of equal pre-tokens together, each distinct pre-token is encoded once, and its ids go back to all blocks that asked. A
+block's pre-tokens, written as ids and numbers by position, meet these answers in a second shuffle, where the texts are
+reassembled. A pre-token asks once a block however often it stands there, so no key has more rows than there are blocks.
+
+A block closes at ``BLOCK_CHARS`` characters, so a task gathers at most that and its last text. Its key is its partition
+and its place in it, so no two blocks share one. Blocks are made twice, once for their questions and once for their
+positions, as storing them would write the positions twice; both times they are sealed by a hash of the whole block, and
+a mismatch (an input that reads differently the second time) fails the job.
+
+Decoding. Ids are exploded with their positions and joined with the token-byte table, which is broadcast, as its size is
+the vocabulary's. Nothing is shuffled: a text's positions stay next to each other and are folded back, and a text whose
+positions don't count up to its length fails the job.
+
+Defined results: a null or empty text has no ids and decodes to no bytes; null ids decode to null. Repeated rows are
+encoded row by row; nulls in any kept column pass through; other columns are ignored. Ids outside the table fail the
+decoding.
 """
 
 from __future__ import annotations
 
 import base64
-import pickle
 import re
-import uuid
-from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +33,13 @@ import regex
 import tiktoken
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import cut, map_batches, read_table
+from matchloom.llm.common import fresh_name, map_batches, read_table
 
-HOT_WORDS, HOT_BYTES = 400_000, 32
 BLOCK_CHARS = 4_000_000
-#: The rank of an open position.
-OPEN = 0xFFFFFF
 
 # White space as the tokenizer's library has it; letters and numbers below U+0250 spelled out, as the faster splitter
 # needs them. Texts with characters above go through the general pattern, which gives the same pieces.
@@ -61,6 +62,16 @@ def pretokens(text: str) -> list[str]:
     return (_WIDE if _BEYOND.search(text) else _NARROW).findall(text)
 
 
+def _pieces(text: str, most: int = 1_000_000):
+    """The pre-tokens of a text in Arrow arrays of at most ``most`` of them."""
+    if len(text) <= most:
+        yield pa.array(pretokens(text), pa.string())
+        return
+    found = (_WIDE if _BEYOND.search(text) else _NARROW).finditer(text)
+    while part := [m[0] for m in islice(found, most)]:
+        yield pa.array(part, pa.string())
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and ids of a rank file."""
     with open(path, "rb") as lines:
@@ -68,214 +79,228 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def encoding(ranks: dict[bytes, int]) -> tiktoken.Encoding:
-    """Merges of single pre-tokens; the pattern is never used, as pieces come one by one."""
+    """The tokenizer's library with the pattern that takes a pre-token whole."""
     return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
-def _pack(ids) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
-
-
-def dictionary(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """word, n (occurrences) and packed ids of every distinct pre-token of ``docs``' texts."""
-
-    def count(batches):
-        found: Counter = Counter()
-
-        def out():
-            words = sorted(found)  # neighbours compress well
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([found[w] for w in words], pa.int64())], names=["word", "n"])
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                found.update(pretokens(t) if t else ())
-                if len(found) > 600_000:
-                    yield out()
-                    found.clear()
-        yield out()
-
-    # partitions have summed their own words already; without a second map-side sum they arrive, and compress, in order
-    words = map_batches(docs.select("text"), count, "word string, n long").repartition("word").groupBy("word").agg(F.sum("n").alias("n"))
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
-
-    def encode_words(batches):
-        merge = encoding(shared.value)._encode_single_piece
-        for b in batches:
-            ids = [_pack(merge(w)) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
-
-    return map_batches(words, encode_words, "word string, n long, ids binary")
-
-
-class Hot:
-    """The broadcast part of the dictionary; a Python worker unpacks it once, whatever the number of its tasks."""
+class Table:
+    """What tasks share of the rank table: the tokens that are valid text, and all merges."""
 
-    _open: dict[str, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, table: DataFrame, most: int):
-        short = table.where(F.octet_length("word") <= HOT_BYTES)
-        bins = short.groupBy(F.least("n", F.lit(4096)).alias("k")).agg(F.count("*").alias("words")).collect()  # at most 4096 rows
-        self.least, room = 4097, most
-        for r in sorted(bins, reverse=True):
-            if r.words > room:
-                break
-            self.least, room = r.k, room - r.words
-
-        def squeeze(batches):
-            for b in batches:
-                packed = pickle.dumps((b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
-                yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(packed)], pa.binary())], names=["x"])
-
-        # all words above a count, so that their number has a bound; they pass the driver compressed
-        chosen = map_batches(short.where(self.is_hot()), squeeze, "x binary", rows=50_000).collect()
-        self.key, self.shared = uuid.uuid4().hex, table.sparkSession.sparkContext.broadcast([bytes(r.x) for r in chosen])
-
-    def is_hot(self):
-        return (F.octet_length("word") <= HOT_BYTES) & (F.col("n") >= self.least)
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.size = ranks, max(ranks.values(), default=-1) + 1
+        self._open = None
 
     def __getstate__(self):
-        return {"key": self.key, "shared": self.shared}
-
-    def open(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """The words in rank order, most frequent first, and their ids in that order with their ends."""
-        if self.key not in self._open:
-            self._open.clear()
-            words, counts, ids = [], [], []
-            for x in self.shared.value:
-                w, n, i = pickle.loads(zstandard.decompress(x))
-                words += w
-                counts += n
-                ids += i
-            order = np.argsort(-np.array(counts, np.int64), kind="stable")
-            flat = np.frombuffer(b"".join(ids[i] for i in order), "<u4")
-            ends = np.cumsum([0, *(len(ids[i]) >> 2 for i in order)])
-            self._open[self.key] = pa.array([words[i] for i in order], pa.string()), flat, ends
-        return self._open[self.key]
-
-
-def _blocks(batches, known: pa.Array):
-    """(name, doc_ids, ends, ranks, open pre-tokens, their numbers of positions, their positions) of each block of texts."""
-    names, ends, pieces, chars = [], [], [], 0
+        return {"ranks": self.ranks, "size": self.size, "_open": None}
+
+    def whole(self) -> tuple[pa.Array, np.ndarray]:
+        """Tokens that are valid UTF-8, and their ids."""
+        if self._open is None:
+            words, ids = [], []
+            for token, i in self.ranks.items():
+                try:
+                    words.append(token.decode())
+                    ids.append(i)
+                except UnicodeDecodeError:
+                    continue
+            self._open = pa.array(words, pa.string()), np.array(ids, "<u4")
+        return self._open
+
+    @property
+    def packed(self) -> np.dtype:
+        return np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+
+
+def _blocks(batches, text: str, table: Table):
+    """(key, seal, kept rows, ends, codes, asked words) of each block of texts.
+
+    A code below ``table.size`` is an id; one above it is, less the size, the number of an asked word.
+    """
+    part, serial = TaskContext.get().partitionId(), 0
+    rows, ends, pieces, chars, n = [], [], [], 0, 0
+    known, ids = table.whole()
 
     def close():
-        nonlocal names, ends, pieces, chars
-        parts = pa.array(pieces, pa.string())
+        nonlocal rows, ends, pieces, chars, n, serial
+        parts = pa.chunked_array(pieces, pa.string()).combine_chunks()
         found = pc.index_in(parts, value_set=known)
-        missing = found.is_null()
-        codes = found.fill_null(OPEN).to_numpy().astype("<u4")
-        rest = parts.filter(missing).dictionary_encode()
-        by_word = np.argsort(which := rest.indices.to_numpy(), kind="stable")
-        at = np.flatnonzero(missing.to_numpy(zero_copy_only=False)).astype("<u4")[by_word]
+        missing = found.is_null().to_numpy(zero_copy_only=False)
+        codes = ids[found.fill_null(0).to_numpy()] if len(ids) else np.zeros(len(parts), "<u4")
+        rest = parts.filter(pa.array(missing)).dictionary_encode()
+        which, words = rest.indices.to_numpy(), rest.dictionary
+        order = np.argsort(-np.bincount(which, minlength=len(words)), kind="stable")  # frequent words get small numbers
+        number = np.empty(len(words), np.int64)
+        number[order] = np.arange(len(words))
+        codes[missing] = table.size + number[which]
+        words = words.take(pa.array(order))
         seal = xxhash.xxh64(codes.tobytes())
-        seal.update(repr((names, ends)).encode())
-        seal.update(rest.dictionary.buffers()[2] or b"")
-        name = int(np.array([seal.intdigest()], np.uint64).view(np.int64)[0])
-        out = name, names, ends, codes, rest.dictionary, np.bincount(which, minlength=len(rest.dictionary)), at
-        names, ends, pieces, chars = [], [], [], 0
+        seal.update(np.asarray(ends, "<u8").tobytes())
+        for buffer in words.buffers()[1:]:
+            seal.update(buffer or b"")
+        kept = pa.concat_arrays(rows)
+        out = part << 32 | serial, int(np.array([seal.intdigest()], np.uint64).view(np.int64)[0]), kept, np.asarray(ends, "<u4"), codes.astype("<u4"), words
+        serial += 1
+        rows, ends, pieces, chars, n = [], [], [], 0, 0
         return out
 
     for b in batches:
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            pieces += pretokens(text) if text else ()
-            names.append(doc_id)
-            ends.append(len(pieces))
-            chars += len(text or "")
+        at, texts = 0, b.column(text).to_pylist()
+        keep = pa.StructArray.from_arrays([b.column(c) for c in b.schema.names if c != text] or [pa.nulls(b.num_rows, pa.int8())], names=[c for c in b.schema.names if c != text] or ["_"])
+        for i, t in enumerate(texts):
+            for piece in _pieces(t) if t else ():
+                pieces.append(piece)
+                n += len(piece)
+            ends.append(n)
+            chars += len(t or "")
             if chars >= BLOCK_CHARS:
+                rows.append(keep.slice(at, i + 1 - at))
+                at = i + 1
                 yield close()
-    if names:
+        if at < len(texts):
+            rows.append(keep.slice(at))
+    if ends:
         yield close()
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], hot_words: int = HOT_WORDS) -> DataFrame:
-    """doc_id and token_ids (array of int) of every row of ``docs`` (doc_id, text).
-
-    Rows with equal doc_id and text in equal blocks are kept apart by the block's place in its partition.
-    """
-    rows = docs.select("doc_id", "text")
-    table = cut(dictionary(rows, ranks))
-    hot = Hot(table, hot_words)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+def _met(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...], assemble, out: str) -> DataFrame:
+    """Blocks of ``docs`` and the ids of the words they ask for, handed to ``assemble`` block by block."""
+    rows = docs.select(*keep, "text")
+    shared = docs.sparkSession.sparkContext.broadcast(Table(ranks))  # the vocabulary
 
-    def write_ranks(batches):
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for name, ids, ends, codes, *_ in _blocks(batches, hot.open()[0]):
-            planes = codes.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids], pa.list_(arrow_kind)), pa.array([_pack(ends)], pa.binary()), pa.array([squeeze.compress(planes)], pa.binary())], names=["block", "doc_ids", "ends", "ranks"])
-
-    def write_open(batches):
-        for name, _, _, _, words, sizes, at in _blocks(batches, hot.open()[0]):
-            bounds = pa.py_buffer(np.concatenate([[0], 4 * np.cumsum(sizes)]).astype(np.int32))
-            places = pa.Array.from_buffers(pa.binary(), len(words), [None, bounds, pa.py_buffer(at.tobytes())])
+    def ask(batches):
+        for key, seal, *_, words in _blocks(batches, "text", shared.value):
             order = pc.sort_indices(words)  # neighbours compress well
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.int64()), len(words)), words.take(order), places.take(order)], names=["block", "word", "at"])
-
-    blocks = map_batches(rows, write_ranks, f"block long, doc_ids array<{kind}>, ends binary, ranks binary")
-    asked = map_batches(rows, write_open, "block long, word string, at binary")
-    rest = table.where(~hot.is_hot()).select("word", "ids")
-    answers = asked.join(rest, "word").select("block", "at", "ids")
+            # the empty word, which no text has, carries the seal
+            at = pa.concat_arrays([pa.array([seal], pa.int64()), order.cast(pa.int64())])
+            asked = pa.concat_arrays([pa.array([""], pa.string()), words.take(order)])
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key, pa.int64()), len(at)), at, asked], names=["block", "at", "word"])
+
+    def answer(batches):
+        table = shared.value
+        merge = encoding(table.ranks).encode_ordinary
+        for b in batches:
+            coded = b.column(2).dictionary_encode()  # rows of one word come together
+            ids = pa.array([np.asarray(merge(w), table.packed).tobytes() for w in coded.dictionary.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids.take(coded.indices)], names=["block", "at", "ids"])
 
-    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, flat, bounds = hot.open()
-        if left.num_rows == 0:
+    def places(batches):
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for key, seal, kept, ends, codes, words in _blocks(batches, "text", shared.value):
+            planes = codes.view(np.uint8).reshape(-1, 4).T.tobytes()
+            cols = [pa.array([key], pa.int64()), pa.array([seal], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), pa.array([ends.tobytes()], pa.binary()), pa.array([squeeze.compress(planes)], pa.binary()), pa.array([len(words)], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["block", "seal", "rows", "ends", "codes", "words"])
+
+    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
+        table = shared.value
+        ids, at = right.column("ids").combine_chunks(), right.column("at").combine_chunks().to_numpy()
+        size = pc.binary_length(ids).to_numpy(zero_copy_only=False)
+        sealed, words = size == 0, size > 0
+        if left.num_rows != 1 or left.column("seal")[0].as_py() not in at[sealed] or not np.array_equal(np.sort(at[words]), np.arange(left.column("words")[0].as_py())):
             raise ValueError("a block was made differently the second time; checkpoint the input first")
-        found = right.column("ids").to_pylist()
-        flat = np.concatenate([flat, np.frombuffer(b"".join(found), "<u4")])
-        starts = np.concatenate([bounds[:-1], bounds[-1] + np.cumsum([0, *(len(x) >> 2 for x in found)])[:-1]]).astype(np.int64)
-        sizes = np.concatenate([np.diff(bounds), [len(x) >> 2 for x in found]]).astype(np.int64)
-        ids, ends, values = [], [0], []
-        opened = [np.frombuffer(x, "<u4") for x in right.column("at").to_pylist()]
-        where = np.concatenate([np.zeros(0, np.int64), *opened])
-        which = np.repeat(np.arange(len(found)), [len(x) for x in opened]) + len(bounds) - 1
-        packed = left.column("ranks").to_pylist()
-        for names, stops, squeezed in zip(left.column("doc_ids").to_pylist(), left.column("ends").to_pylist(), packed):
-            stops = np.frombuffer(stops, "<u4").astype(np.int64)
-            planes = np.frombuffer(zstandard.decompress(squeezed), np.uint8).reshape(3, -1).astype(np.int64)
-            codes = planes[0] | planes[1] << 8 | planes[2] << 16
-            codes[where.astype(np.int64)] = which
-            if (codes == OPEN).any():
-                raise ValueError("a pre-token was not found; checkpoint the input first")
-            n = sizes[codes]
-            total = np.concatenate([[0], np.cumsum(n)])
-            values.append(flat[np.repeat(starts[codes] - total[:-1], n) + np.arange(total[-1])])
-            ids += names
-            ends += (ends[-1] + total[stops]).tolist()
-        tokens = pa.array(np.concatenate(values).astype(np.int32))
-        return pa.table([pa.array(ids, arrow_kind), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens)], names=["doc_id", "token_ids"])
-
-    met = blocks.groupBy("block").cogroup(answers.groupBy("block"))
-    return met.applyInArrow(assemble, f"doc_id {kind}, token_ids array<int>")
-
-
-def join_tokens(lists: pa.Array, tokens: pa.Array) -> pa.Array:
-    """The concatenated bytes of each list of ids; a null list gives null, ids without an entry fail."""
-    ids, sizes = lists.flatten(), pc.list_value_length(lists)
-    picked = tokens.take(ids)  # the bytes of all lists, one after the other
-    if picked.null_count:
-        raise ValueError("an id has no token")
-    _, ends, data = picked.buffers()
-    at = np.frombuffer(ends, np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
-    bounds = at[np.concatenate([[0], np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)]
-    if bounds[-1] > 0x7FFFFFFF:
-        raise ValueError("a batch decodes to more than 2 GB")
-    whole = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(bounds.astype(np.int32)), data or pa.py_buffer(b"")])
-    return pc.if_else(sizes.is_valid(), whole, pa.scalar(None, pa.binary())) if lists.null_count else whole
+        flat = np.frombuffer(b"".join(ids.to_pylist()), table.packed)
+        counts, starts = np.zeros(words.sum(), np.int64), np.zeros(words.sum(), np.int64)
+        counts[at[words]] = size[words] // table.packed.itemsize
+        starts[at[words]] = (np.cumsum(size) - size)[words] // table.packed.itemsize
+        planes = np.frombuffer(zstandard.decompress(left.column("codes")[0].as_py()), np.uint8).reshape(4, -1)
+        codes = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+        ends = np.frombuffer(left.column("ends")[0].as_py(), "<u4").astype(np.int64)
+        kept = left.column("rows").combine_chunks().flatten()
+        done = assemble(table.size, codes, ends, starts, counts, flat)
+        return pa.table([*(kept.field(c) for c in keep), done], names=[*keep, out.split(" ")[0]])
+
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    inner = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in keep) or "_: tinyint"
+    asked = map_batches(rows, ask, "block long, at long, word string").repartition("word").sortWithinPartitions("word")
+    answers = map_batches(asked, answer, "block long, at long, ids binary", rows=10_000)
+    blocks = map_batches(rows, places, f"block long, seal long, rows array<struct<{inner}>>, ends binary, codes binary, words int")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(gather, f"{fields}{', ' if keep else ''}{out}")
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns and token_ids (array of int) of every row of ``docs``."""
+
+    def ids(size, codes, ends, starts, counts, flat):
+        n = np.where(codes < size, 1, counts[np.maximum(codes - size, 0)] if len(counts) else 1)
+        total = np.concatenate([[0], np.cumsum(n)])
+        asked = codes >= size
+        from_ = np.where(asked, starts[np.maximum(codes - size, 0)] if len(starts) else 0, 0) - total[:-1]
+        out = np.repeat(np.where(asked, 0, codes), n)
+        at = np.repeat(asked, n)
+        out[at] = flat[(np.repeat(from_, n) + np.arange(total[-1]))[at]]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], total[ends]]), pa.int32()), pa.array(out.astype(np.int32)))
+
+    return _met(docs, ranks, keep, ids, "token_ids array<int>")
+
+
+def count_tokens(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...] = ("doc_id",), name: str = "n_tokens") -> DataFrame:
+    """The ``keep`` columns and the number of token ids of every row of ``docs``."""
+
+    def number(size, codes, ends, starts, counts, flat):
+        n = np.where(codes < size, 1, counts[np.maximum(codes - size, 0)] if len(counts) else 1)
+        total = np.concatenate([[0], np.cumsum(n)])
+        return pa.array(np.diff(np.concatenate([[0], total[ends]])), pa.int64())
+
+    return _met(docs, ranks, keep, number, f"{name} long")
+
+
+def token_bytes(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """The token-byte table: token (its id) and bytes."""
+    return spark.createDataFrame(pa.table({"token": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())}))
+
+
+def _fold(batches):
+    """One row for each run of positions: the kept struct, the ids and their joined bytes."""
+
+    def out(held):
+        t = pa.Table.from_batches(held).combine_chunks()
+        place, n = t.column("pos").combine_chunks(), t.column("n").combine_chunks()
+        starts = np.flatnonzero((place.fill_null(0).to_numpy() == 0))
+        bounds = np.append(starts, t.num_rows)
+        tokens, data = t.column("token").combine_chunks(), t.column("bytes").combine_chunks()
+        sizes = n.take(pa.array(starts)).to_numpy()
+        if not np.array_equal(np.diff(bounds), np.maximum(sizes, 1)) or not np.array_equal(place.fill_null(0).to_numpy(), np.arange(t.num_rows) - np.repeat(starts, np.diff(bounds))):
+            raise ValueError("the positions of a text came apart")
+        if data.null_count != int((sizes <= 0).sum()):
+            raise ValueError("an id has no token")
+        null = pa.array(sizes < 0)
+        real = tokens.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(real)])[bounds]
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens.filter(pa.array(real)), mask=null)
+        data = data.fill_null(b"")
+        _, offsets, content = data.buffers()
+        at = np.frombuffer(offsets, np.int32)[data.offset : data.offset + len(data) + 1]
+        lengths, joined = at[bounds] - at[0], content.slice(at[0], at[-1] - at[0]) if content else b""
+        decoded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(lengths.astype(np.int32)), pa.py_buffer(joined)])
+        decoded = pc.if_else(null, pa.scalar(None, pa.binary()), decoded)
+        return pa.RecordBatch.from_arrays([t.column("kept").combine_chunks().take(pa.array(starts)), ids, decoded], names=["kept", "token_ids", "decoded"])
+
+    held = []
+    for b in batches:
+        first = np.flatnonzero(b.column("pos").fill_null(0).to_numpy() == 0)
+        if len(first):
+            if first[-1]:
+                held.append(b.slice(0, first[-1]))
+            if held:
+                yield out(held)
+            held = [b.slice(first[-1])]
+        else:
+            held.append(b)
+    if held:
+        yield out(held)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``encoded`` (doc_id, token_ids) with ``decoded``, the bytes that the token-byte table has for the ids."""
-    table = [None] * (max(ranks.values()) + 1)
-    for token, i in ranks.items():
-        table[i] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(table)  # one entry for each token
-
-    def run(batches):
-        tokens = pa.array(shared.value, pa.large_binary())
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, join_tokens(b.column(1), tokens)], names=["doc_id", "token_ids", "decoded"])
-
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return map_batches(encoded.select("doc_id", "token_ids"), run, f"doc_id {kind}, token_ids array<int>, decoded binary")
+    """``encoded`` with ``decoded``, the bytes that the token-byte table has for ``token_ids``."""
+    keep = [c for c in encoded.columns if c != "token_ids"]
+    kept = F.struct(*keep) if keep else F.struct(F.lit(0).alias("_"))
+    kind = encoded.select(kept.alias("k")).schema["k"].dataType.simpleString()
+    n = F.when(F.col("token_ids").isNull(), -1).otherwise(F.size("token_ids"))
+    name = fresh_name(encoded, "_all_kept")
+    each = encoded.select(kept.alias(name), n.alias("n"), F.posexplode_outer("token_ids").alias("pos", "token"))
+    each = each.select(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col(name)).alias("kept"), "n", "pos", "token")
+    joined = each.join(F.broadcast(token_bytes(encoded.sparkSession, ranks)), "token", "left").select("kept", "n", "pos", "token", "bytes")
+    folded = map_batches(joined, _fold, f"kept {kind}, token_ids array<int>, decoded binary", rows=10_000)
+    return folded.select(*(F.col(f"kept.`{c}`").alias(c) for c in keep), "token_ids", "decoded")
 
 
 def public_ranks() -> dict[bytes, int]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch. Texts may be megabytes long, so batches are kept small.
+#: Rows that an operator's Python code has in hand at once. Spark itself closes a batch at ``maxBytesPerBatch`` (64 MB).
 BATCH_ROWS = 512
 
 
@@ -21,9 +21,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a local one is set only where none is configured."""
+    """A fresh folder under ``spark.checkpoint.dir``. Where none is configured, a local session gets one of its own; a
+    cluster is refused, as its executors would each write to their own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="matchloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -37,9 +40,14 @@ def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, rows: int = BATCH_ROWS) -> DataFrame:
-    """``mapInArrow`` with batches of ``rows`` rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow``, handing Spark's batches on in slices of at most ``rows`` rows. No session setting is touched."""
+
+    def sliced(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+
+    return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)
 
 
 def crc_fold(doc_id: str | Column, folds: int) -> Column:

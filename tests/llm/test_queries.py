@@ -42,7 +42,7 @@ def test_stages_decide(spark):
     before, after = (decontam.scan(d, bench).where("n_hit > 0").count() for d in (kept[2], kept[3]))
     assert after == 0 or after < before
     ranks = bpe.public_ranks()
-    merge = bpe.encoding(ranks)._encode_single_piece
+    merge = bpe.encoding(ranks).encode_ordinary
     clean = {r.doc_id: r.text for r in kept[4].collect()}
     assert {r.doc_id: r.token_ids for r in kept[5].collect()} == {i: [x for p in bpe.pretokens(t) for x in merge(p)] for i, t in clean.items()}
 
