@@ -1,11 +1,13 @@
 """Secret scans over an incremental blob ledger, with DataFrame functions only.
 
-Every version of every path is addressed by the SHA-256 of its text. A blob is scanned once for each version of a
-rule, however many paths hold it; pairs already in the ledger are skipped, and findings are joined back to all paths.
+Every version of every path is addressed by the SHA-256 of its text, its blob. The ledger is a store of batches whose
+rows hold a blob, the rule versions it was scanned with and what they found, so ledger and findings are published
+together. An increment scans only the pairs of blob and rule version that no published batch has, one text for each
+blob however many paths hold it. Findings are then read back from the store for all paths, scanned now or before.
 
 Defined results: a null text is the empty blob. Repeated rows are paths of one blob and all get its findings; a null
-doc_id is a path like any other. Spans are in code points, end exclusive. Extra columns are ignored by ``scan``
-and kept by ``redact``.
+doc_id is a path like any other. Spans are in code points, end exclusive. A rule's new version replaces the spans of the
+old one. Extra columns are ignored by ``scan`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import read_table, text_or_empty
+from matchloom.llm.common import Store, fresh_name, read_table, replicated, shared_dir, spread, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -40,12 +42,13 @@ RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, base=True),
     Rule("access", r"AKIA[A-Z0-9]{12,}", base=True),
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{32,}", base=True),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]{1,20000}-----END [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("vendor", r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{24})"),
     Rule("bearer", r"\b[Bb]earer\x20+[A-Za-z0-9+/_.=-]{24,}"),
 )
-_SPANS = "array<struct<start:int,stop:int,rank:int,kind:string>>"
+_SPANS = "array<struct<start:int,stop:int,rank:int,kind:string,rule:string>>"
+LEDGER = f"blob binary, rules array<string>, spans {_SPANS}"
 
 
 def blob_of(text: Column) -> Column:
@@ -62,39 +65,59 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
 
     def step(a, x):
         start = a["at"] + x["gap"]
-        span = F.struct(start.alias("start"), (start + x["hit"]).alias("stop"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"))
+        span = F.struct(start.alias("start"), (start + x["hit"]).alias("stop"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule"))
         return F.struct((start + x["hit"]).alias("at"), F.when(x["val"] >= rule.least, F.array_append(a["out"], span)).otherwise(a["out"]).cast(_SPANS).alias("out"))
 
     walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
     return F.when(text.rlike(rule.pattern), walked).otherwise(empty)
 
 
-@dataclass(frozen=True)
-class Scan:
-    """paths: doc_id and blob of every row; findings: each scanned blob and its spans, often none; ledger: pairs of blob and rule scanned now."""
-
-    paths: DataFrame
-    findings: DataFrame
-    ledger: DataFrame
+def paths_of(docs: DataFrame) -> DataFrame:
+    """doc_id and blob of every row of ``docs``."""
+    return docs.select("doc_id", blob_of(text_or_empty()).alias("blob"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> Scan:
-    """Scan the blob and rule-version pairs of ``docs`` (doc_id, text) that ``ledger`` (blob, rule) doesn't have."""
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("blob", blob_of(F.col("text")))
-    paths = rows.select("doc_id", "blob")
+def unseen(docs: DataFrame, rules: tuple[Rule, ...], store: Store) -> DataFrame:
+    """blob, one path that holds it, and the keys of the rules it was never scanned with; blobs without any are left out."""
     # one path stands for a blob; the struct keeps null ids comparable
-    todo = paths.groupBy("blob").agg(F.min(F.struct("doc_id"))["doc_id"].alias("path"))
-    if ledger is None:
-        todo = todo.withColumn("rules", F.array(*(F.lit(r.key) for r in rules)))
-    else:
-        seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))  # bounded by the number of rule versions
-        todo = todo.join(seen, "blob", "left").withColumn("rules", F.array_except(F.array(*(F.lit(r.key) for r in rules)), F.coalesce("seen", F.array().cast("array<string>"))))
-        todo = todo.where(F.size("rules") > 0).select("blob", "path", "rules")
-    texts = rows.join(todo.withColumnRenamed("blob", "b"), (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("path")))
+    blobs = paths_of(docs).groupBy("blob").agg(F.min(F.struct("doc_id"))["doc_id"].alias("path"))
+    every = F.array(*(F.lit(r.key) for r in rules))
+    if not store.batches():
+        return blobs.withColumn("rules", every)
+    # a blob has one row a batch that scanned it, at most as many as there are rule versions
+    seen = store.read(LEDGER).select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    todo = blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))))
+    return todo.where(F.size("rules") > 0).select("blob", "path", "rules")
+
+
+def scan(docs: DataFrame, store: Store, batch: str, rules: tuple[Rule, ...] = RULES) -> bool:
+    """Scan the unseen pairs of ``docs`` (doc_id, text) and publish them as ``batch``; False if that id is published."""
+    if batch in store.batches():
+        return False
+    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("blob", blob_of(F.col("text")))
+    todo = unseen(docs, rules, store).withColumnRenamed("blob", "b")
+    texts = rows.join(todo, (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("path")))
     found = [F.when(F.array_contains("rules", r.key), spans_of(F.col("text"), r, i)).otherwise(F.array().cast(_SPANS)) for i, r in enumerate(rules)]
     # no filter on empty results here: Spark would push it down and scan every text twice
-    findings = texts.select("blob", F.array_sort(F.concat(*found)).alias("spans")).dropDuplicates(["blob"])
-    return Scan(paths, findings, todo.select("blob", F.explode("rules").alias("rule")))
+    return store.commit(batch, texts.select("blob", "rules", F.array_sort(F.concat(*found)).alias("spans")).dropDuplicates(["blob"]))
+
+
+def findings(store: Store, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob and spans of every scanned blob that has any under the present versions of ``rules``."""
+    rank = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))))
+    now = F.filter("spans", lambda s: s["rule"].isin(*(r.key for r in rules)))
+    # the order of kinds is that of these rules, whatever it was when a blob was scanned
+    now = F.transform(now, lambda s: s.withField("rank", rank[s["rule"]]))
+    some = store.read(LEDGER).select("blob", now.alias("spans")).where(F.size("spans") > 0)
+    return some.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+
+
+def located(rows: DataFrame, found: DataFrame, blob: Column, name: str) -> DataFrame:
+    """``rows`` with the spans of their blob as ``name``, null without any. A blob that very many rows hold is dealt to several tasks."""
+    salt, key, part = fresh_name(rows, "_salt"), fresh_name(rows, "_blob"), fresh_name(rows, "_part")
+    right = replicated(found.select(F.col("blob").alias(key), F.col("spans").alias(name)), part)
+    left = rows.withColumn(salt, spread())
+    return left.join(right, (blob == F.col(key)) & (F.col(salt) == F.col(part)), "left").drop(salt, key, part)
 
 
 def render(spans: Column) -> Column:
@@ -102,27 +125,36 @@ def render(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, store: Store | None = None, batch: str = "redaction") -> DataFrame:
     """``docs`` with every found span replaced by ``[kind]``; of overlapping spans the first names the hole."""
-    findings = scan(docs, rules).findings.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = docs.join(findings, blob_of(text_or_empty()) == F.col("_blob"), "left")
+    store = store or Store(docs.sparkSession, shared_dir(docs.sparkSession))
+    scan(docs, store, batch, rules)
+    spans = fresh_name(docs, "_spans")
+    joined = located(docs, findings(store, rules), blob_of(text_or_empty()), spans)
 
     def step(a, s):
         before = F.substring("text", a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
         hole = F.when(s["start"] >= a["at"], F.concat(before, F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
         return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), F.concat(a["out"], hole).alias("out"))
 
-    walked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    walked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
     clean = F.concat(walked["out"], F.substring("text", walked["at"] + 1, F.length("text")))
-    changed = {"text": F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)}
+    changed = {"text": F.when(F.col(spans).isNull(), F.col("text")).otherwise(clean)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(clean).cast(docs.schema["n_chars"].dataType))
+        changed["n_chars"] = F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length(clean).cast(docs.schema["n_chars"].dataType))
     return joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = scan(read_table(spark, sf_dir, "documents"))
-    rows = got.paths.join(got.findings, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+    """Two increments over one ledger: the documents of every source but the first in order arrive and are scanned with
+    the base rules; then the whole table is scanned with all rules, which leaves only the pairs not seen before."""
+    docs = read_table(spark, sf_dir, "documents")
+    store = Store(spark, shared_dir(spark))
+    first = docs.agg(F.min("source").alias("first_source"))  # one row
+    earlier = docs.join(F.broadcast(first), F.coalesce(F.col("source") != F.col("first_source"), F.lit(True))).drop("first_source")
+    scan(earlier, store, "increment-1", tuple(r for r in RULES if r.base))
+    scan(docs, store, "increment-2")
+    rows = located(paths_of(docs), findings(store), F.col("blob"), "spans").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
     kinds = [r.kind for r in RULES if r.base]
 
     def of_kind(k: str):

@@ -4,6 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from matchloom.llm import secrets
+from matchloom.llm.common import Store, shared_dir
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 KEY = "AKIA" + "ABCDEFGH12345678"
@@ -26,27 +27,48 @@ def base(spans):
     return [(s.kind, s.start, s.stop) for s in spans if s.kind in ("assign", "access", "hex")]
 
 
+def scanned(spark, docs, rules=secrets.RULES):
+    """Spans of every row of ``docs`` after one increment."""
+    store = Store(spark, shared_dir(spark))
+    assert secrets.scan(docs, store, "one", rules)
+    return secrets.located(secrets.paths_of(docs), secrets.findings(store, rules), F.col("blob"), "spans")
+
+
 def test_base_spans_equal_brute_force(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    got = secrets.scan(docs)
-    rows = {r.doc_id: r.spans for r in got.paths.join(got.findings, "blob", "left").collect()}
+    rows = {r.doc_id: r.spans or [] for r in scanned(spark, docs).collect()}
     assert {i: base(s) for i, s in rows.items()} == {i: brute(t) for i, t in enumerate(TEXTS)}
     assert [s.kind for s in rows[9]] == ["vendor"] and [s.kind for s in rows[10]] == ["pem"]
 
 
+def test_long_key_bodies_and_headers(spark):
+    body = "Proc-Type: 4,ENCRYPTED\n" + "A" * 30_000
+    text = f"x -----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY----- y"
+    got = scanned(spark, spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s.kind, s.start, s.stop) for s in got.spans if s.kind == "pem"] == [("pem", 2, len(text) - 2)]
+
+
 def test_ledger_scans_only_unseen_pairs(spark):
+    store = Store(spark, shared_dir(spark))
+
+    def pairs(batch):
+        path = store.batches()[batch]
+        return {(bytes(r.blob), k) for r in spark.read.parquet(f"{store.root}/{path}").collect() for k in r.rules}
+
+    def kinds(docs, rules=secrets.RULES):
+        rows = secrets.located(secrets.paths_of(docs), secrets.findings(store, rules), F.col("blob"), "spans").collect()
+        return {r.doc_id: {s.rule for s in r.spans or ()} for r in rows}
+
     first = spark.createDataFrame([(1, TEXTS[0]), (2, TEXTS[0])], "doc_id long, text string")
-    a = secrets.scan(first)
-    assert a.ledger.count() == len(secrets.RULES) and a.findings.count() == 1
+    assert secrets.scan(first, store, "a") and len(pairs("a")) == len(secrets.RULES)
     both = first.union(spark.createDataFrame([(3, TEXTS[1]), (4, TEXTS[0])], first.schema))
-    b = secrets.scan(both, ledger=a.ledger)
-    assert b.ledger.count() == len(secrets.RULES) and b.findings.count() == 1
-    assert secrets.scan(both, ledger=a.ledger.union(b.ledger)).findings.count() == 0
-    newer = secrets.Rule("assign", secrets.RULES[0].pattern, 2, 8, version=2, base=True)
-    again = secrets.scan(both, (newer,), ledger=a.ledger.union(b.ledger))
-    assert again.ledger.select("rule").distinct().first().rule == "assign@2" and again.ledger.count() == 2
-    joined = both.withColumn("blob", secrets.blob_of(F.col("text"))).join(a.findings, "blob").count()
-    assert joined == 3
+    assert secrets.scan(both, store, "b") and len(pairs("b")) == len(secrets.RULES) and not pairs("a") & pairs("b")
+    # the known blob keeps its findings for its old paths and its new one
+    assert kinds(both) == {1: {"assign@1", "hex@1"}, 2: {"assign@1", "hex@1"}, 4: {"assign@1", "hex@1"}, 3: {"assign@1", "access@1"}}
+    assert not secrets.scan(both, store, "b") and secrets.scan(both, store, "c") and not pairs("c")
+    newer = (secrets.Rule("assign", r"end()", version=2, base=True), *secrets.RULES[1:])
+    assert secrets.scan(both, store, "d", newer) and {k for _, k in pairs("d")} == {"assign@2"} and len(pairs("d")) == 2
+    assert kinds(both, newer) == {1: {"assign@2", "hex@1"}, 2: {"assign@2", "hex@1"}, 4: {"assign@2", "hex@1"}, 3: {"access@1"}}
 
 
 def test_redaction(spark):
@@ -58,10 +80,9 @@ def test_redaction(spark):
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
-    got = secrets.scan(odd_docs)
-    assert got.paths.join(got.findings, "blob").count() == odd_docs.count()
+    assert scanned(spark, odd_docs).count() == odd_docs.count()
     assert secrets.redact(odd_docs).columns == odd_docs.columns and secrets.redact(odd_docs).count() == odd_docs.count()
-    assert secrets.scan(no_docs).findings.count() == 0
+    assert scanned(spark, no_docs).count() == 0 and secrets.redact(no_docs).count() == 0
 
 
 def test_query(spark):
