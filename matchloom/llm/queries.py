@@ -18,7 +18,4 @@ _WHERE = {
 }
 
 QUERIES = {name: getattr(import_module(f"matchloom.llm.{module}"), name) for name, module in _WHERE.items()}
-ORACLES = {
-    "op3_decontamination": import_module("matchloom.llm.decontam").ORACLE_OP3,
-    "op10_token_rollup": import_module("matchloom.llm.token_rollup").ORACLE_OP10,
-}
+ORACLES = {"op3_decontamination": import_module("matchloom.llm.decontam").ORACLE_OP3}

@@ -1,12 +1,15 @@
 """Delta-maintained token totals by source, language and tokenizer version.
 
-A batch of changes (inserts, deletes, revised counts) becomes signed sums of documents and tokens, written to a
-folder named by the batch's id. Writing a batch again replaces the same folder, so a replay changes nothing, and a
-batch that fails leaves nothing that is read. Totals are the sum of all batches; ``compact`` folds batches into one.
+A batch of changes (inserts, deletes, revised counts) becomes signed sums of documents and tokens and is committed to a
+store under its id: written to a fresh path, then published by one manifest row. A replayed id changes nothing, a batch
+that fails leaves nothing that is read, and a published batch is never written over. Totals are the sum of the published
+batches; ``compact`` publishes one batch in place of others.
 
-Defined results: null source, lang or tokenizer are groups of their own; null counts are 0 tokens; repeated rows
-count as often as they come; a group that sums to no documents and no tokens is not listed; an empty batch is a
-valid commit. Extra columns are ignored.
+Tokens are counted by real tokenizers: the byte-level BPE of 50,256 ranks, and words between ASCII white spaces.
+
+Defined results: null source, lang or tokenizer are groups of their own; null counts are 0 tokens; a null or empty text
+has 0 tokens; repeated rows count as often as they come; a group that sums to no documents and no tokens is not listed;
+an empty batch is a valid commit. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,11 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import cut, read_table, shared_dir, text_or_empty
+from matchloom.llm import bpe
+from matchloom.llm.common import Store, cut, read_table, replicated, shared_dir, spread, text_or_empty
 
 KEYS = ("source", "lang", "tokenizer")
-#: Tokenizer versions: an estimate of four characters a token, and words between ASCII white spaces.
-WORDS = r"[^\x20\x09-\x0D]+"
+#: Versions of the two tokenizers.
+BPE, WORDS = "byte_bpe_50k", "ascii_words_v1"
+_WORD = r"[^\x20\x09-\x0D]+"
+_DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
 def signed(changes: DataFrame) -> DataFrame:
@@ -32,58 +38,52 @@ def signed(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*KEYS).agg(F.sum(docs).cast("long").alias("n_docs"), F.sum(tokens).cast("long").alias("n_tokens"))
 
 
-def commit(state: str, batch_id: str, changes: DataFrame) -> None:
-    """Commit one batch; the same id again replaces it. Ids are letters, digits, - and _."""
-    if not batch_id.replace("-", "").replace("_", "").isalnum():
-        raise ValueError(f"not a batch id: {batch_id!r}")
-    signed(changes).coalesce(1).write.mode("overwrite").parquet(f"{state}/{batch_id}")
+def commit(store: Store, batch_id: str, changes: DataFrame) -> bool:
+    """Commit one batch; False, with nothing done, if its id was committed before. Ids are letters, digits, - and _."""
+    return store.commit(batch_id, signed(changes))
 
 
-def totals(spark: SparkSession, state: str, batches: list[str]) -> DataFrame:
-    """Totals over the committed ``batches``."""
-    deltas = spark.read.parquet(*(f"{state}/{b}" for b in batches))
-    summed = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+def totals(store: Store) -> DataFrame:
+    """Totals over all committed batches."""
+    summed = store.read(_DELTA).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     return summed.where("n_docs <> 0 or n_tokens <> 0")
 
 
-def compact(spark: SparkSession, state: str, batches: list[str], into: str) -> list[str]:
-    """Fold ``batches`` into one; returns the list of batches to read from now on."""
-    totals(spark, state, batches).coalesce(1).write.mode("overwrite").parquet(f"{state}/{into}")
-    return [into]
+def compact(store: Store, into: str) -> bool:
+    """Put one batch with today's totals in place of all that are published."""
+    return store.commit(into, totals(store), replaces=tuple(store.batches()))
 
 
 def count_words(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(WORDS), 0)).cast("long")
+    return F.size(F.regexp_extract_all(text, F.lit(_WORD), 0)).cast("long")
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id, source, lang, blob, and the tokens of both tokenizers beside a guess by bytes of every row of ``docs``."""
+    rows = docs.select("doc_id", "source", "lang", text_or_empty().alias("text"))
+    guess = F.ceil(F.octet_length("text") / 4).cast("long")
+    rows = rows.withColumns({"blob": F.unhex(F.sha2("text", 256)), "words": count_words(F.col("text")), "guess": guess})
+    return bpe.count_tokens(rows, bpe.public_ranks(), keep=("doc_id", "source", "lang", "blob", "words", "guess"), name="bpe")
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is inserted under two tokenizers; the estimates are revised from bytes to characters; later copies of
-    a text are deleted; the revision is replayed, which changes nothing."""
-    docs = read_table(spark, sf_dir, "documents").withColumn("text", text_or_empty())
-    size = lambda c: F.ceil(c / 4).cast("long")
-    facts = cut(docs.select("doc_id", "source", "lang", size(F.octet_length("text")).alias("by_bytes"), size(F.length("text")).alias("by_chars"), count_words(F.col("text")).alias("words"), F.unhex(F.sha2("text", 256)).alias("blob")))
+    """Every document is inserted under both tokenizers, BPE with a guess of a token every four bytes; a revision puts the
+    counted tokens in the guess's place; later copies of a text are deleted; the revision is replayed, which changes
+    nothing; the batches are compacted."""
+    facts = cut(counted(read_table(spark, sf_dir, "documents")))
     firsts = facts.groupBy("blob").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = facts.join(firsts, "blob").where(F.col("doc_id") > F.col("first")).drop("first", "n")
+    # one text may fill a large part of the table, so its rows are dealt to several tasks
+    later = facts.withColumn("part", spread()).join(replicated(firsts, "part"), ["blob", "part"]).where(F.col("doc_id") > F.col("first"))
 
     def changes(rows: DataFrame, op: str, **counts: tuple[str, str | None]) -> DataFrame:
         each = [F.struct(F.lit(t).alias("tokenizer"), F.col(n).alias("n_tokens"), (F.col(old) if old else F.lit(None).cast("long")).alias("old_tokens")) for t, (n, old) in counts.items()]
         return rows.select("source", "lang", F.lit(op).alias("op"), F.inline(F.array(*each)))
 
-    state = shared_dir(spark)
-    revision = changes(facts, "revise", quarter_v1=("by_chars", "by_bytes"))
-    commit(state, "b0-insert", changes(facts, "insert", quarter_v1=("by_bytes", None), words_v1=("words", None)))
-    commit(state, "b1-revise", revision)
-    commit(state, "b2-delete", changes(later, "delete", quarter_v1=("by_chars", None), words_v1=("words", None)))
-    commit(state, "b1-revise", revision)
-    return totals(spark, state, ["b0-insert", "b1-revise", "b2-delete"])
-
-
-ORACLE_OP10 = """
-WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
-k AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
-u AS (
-  SELECT source, lang, 'quarter_v1' AS tokenizer, CAST(ceil(length(text) / 4.0) AS BIGINT) AS n FROM k WHERE doc_id = first
-  UNION ALL
-  SELECT source, lang, 'words_v1', CAST(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) FROM k WHERE doc_id = first)
-SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM u GROUP BY ALL
-"""
+    store = Store(spark, shared_dir(spark))
+    revision = changes(facts, "revise", **{BPE: ("bpe", "guess")})
+    commit(store, "b0-insert", changes(facts, "insert", **{BPE: ("guess", None), WORDS: ("words", None)}))
+    commit(store, "b1-revise", revision)
+    commit(store, "b2-delete", changes(later, "delete", **{BPE: ("bpe", None), WORDS: ("words", None)}))
+    commit(store, "b1-revise", revision)
+    compact(store, "b3-compact")
+    return totals(store)
