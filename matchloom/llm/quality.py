@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from matchloom.llm.common import fresh_name, map_batches, read_table
 
-#: Bounds of the labelled sample the field is fitted on: documents, and lines of each.
-TRAIN_DOCS, TRAIN_LINES = 3000, 120
+#: The bound of the labelled sample the field is fitted on. All lines of its documents count; a line is two bytes there.
+TRAIN_DOCS = 3000
 #: A document is kept from this content share on.
 KEEP_SHARE = 0.5
 FEATURES = (
@@ -102,9 +102,9 @@ def base_counts(text: str) -> tuple[int, int, int, int]:
     return len(words), chars, symbols, hit
 
 
-def viterbi(field: Field, rows: list[list[float]]) -> list[int]:
+def viterbi(field: Field, rows) -> list[int]:
     """The likeliest labels of a document's lines; ties go to content."""
-    if not rows:
+    if not len(rows):
         return []
     score = np.asarray(rows) @ field.emit
     (a, b), ((cc, cb), (bc, bb)) = score[0] + field.start, field.move
@@ -121,67 +121,132 @@ def viterbi(field: Field, rows: list[list[float]]) -> list[int]:
     return labels[::-1]
 
 
-def fit_field(docs: list[tuple[np.ndarray, int]], rounds: int = 2, steps: int = 120, rate: float = 0.15, l2: float = 1e-3) -> Field:
+class _Sample:
+    """Labelled documents as runs of line patterns, padded in groups of like length (at most twice the shortest)."""
+
+    def __init__(self, docs: list[tuple[np.ndarray, int]]):
+        every = np.concatenate([x for x, _ in docs])
+        self.X, flat = np.unique(every, axis=0, return_inverse=True)  # the different lines, fewer than there are lines
+        ends = np.cumsum([len(x) for x, _ in docs])
+        self.codes = np.split(flat.ravel(), ends[:-1])
+        self.bad = np.array([q == 0 for _, q in docs])
+        self.Y = [np.full(len(c), int(b)) for c, b in zip(self.codes, self.bad)]
+        size = np.array([len(c) for c in self.codes])
+        self.total, self.groups = size.sum(), []
+        for k in np.unique(np.log2(size).astype(int)):
+            ids = np.flatnonzero(np.log2(size).astype(int) == k)
+            live = np.arange(size[ids].max())[:, None] < size[ids]  # time first: a step reads one row
+            code = np.zeros(live.shape, np.int64)
+            for j, i in enumerate(ids):
+                code[: size[i], j] = self.codes[i]
+            self.groups.append((ids, live, code))
+
+    def observed(self) -> np.ndarray:
+        """Counts of pattern and label, of label pairs and of first labels."""
+        emit, move, start = np.zeros((len(self.X), 2)), np.zeros((2, 2)), np.zeros(2)
+        for c, y in zip(self.codes, self.Y):
+            np.add.at(emit, (c, y), 1)
+            np.add.at(move, (y[:-1], y[1:]), 1)
+            start[y[0]] += 1
+        return np.concatenate([(self.X.T @ emit).ravel(), move.ravel(), start])
+
+    def expected(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """The sum of log partition functions and its gradient, by scaled forward and backward passes."""
+        k = len(FEATURES)
+        emit, move, start = theta[: 2 * k].reshape(k, 2), np.exp(theta[2 * k : 2 * k + 4].reshape(2, 2)), np.exp(theta[2 * k + 4 :])
+        S = self.X @ emit
+        top = S.max(1, keepdims=True)
+        E, logz = np.exp(S - top), 0.0
+        of_pattern, of_move, of_start = np.zeros((len(self.X), 2)), np.zeros((2, 2)), np.zeros(2)
+        for _, live, code in self.groups:
+            e = E[code]
+            T, n = live.shape
+            A, B, C = np.empty((T, n, 2)), np.ones((T, n, 2)), np.ones((T, n))
+            a = e[0] * start
+            C[0] = a.sum(1)
+            A[0] = a / C[0][:, None]
+            for t in range(1, T):
+                a = (A[t - 1] @ move) * e[t]
+                c = a.sum(1)
+                on = live[t]
+                C[t] = np.where(on, c, 1.0)
+                A[t] = np.where(on[:, None], a / c[:, None], A[t - 1])
+            for t in range(T - 2, -1, -1):
+                b = (e[t + 1] * B[t + 1]) @ move.T / C[t + 1][:, None]
+                B[t] = np.where(live[t + 1][:, None], b, 1.0)
+            logz += np.log(C).sum() + top[code][..., 0][live].sum()
+            P = (A * B)[live]
+            np.add.at(of_pattern, code[live], P / P.sum(1, keepdims=True))
+            both = live[1:]
+            right = (e[1:] * B[1:] / C[1:][..., None])[both]
+            of_move += move * (A[:-1][both].T @ right)
+            first = A[0] * B[0]
+            of_start += (first / first.sum(1, keepdims=True)).sum(0)
+        return float(logz), np.concatenate([(self.X.T @ of_pattern).ravel(), of_move.ravel(), of_start])
+
+
+def fit_field(docs: list[tuple[np.ndarray, int]], rounds: int = 2, l2: float = 1e-3) -> Field:
     """Fit on (line features, quality) of labelled documents.
 
     Lines of good documents are content. Those of bad ones start as boilerplate; after each round the lines that
     the field itself takes for content are relabelled, so that ordinary lines of bad documents stop counting.
     """
-    docs = [(x, q) for x, q in docs if len(x)]
+    docs = [(np.asarray(x, float), q) for x, q in docs if len(x)]
     if not any(q == 0 for _, q in docs) or not any(q == 1 for _, q in docs):
         return NO_FIELD
-    longest, k = max(len(x) for x, _ in docs), len(FEATURES)
-    X, live = np.zeros((len(docs), longest, k)), np.zeros((len(docs), longest), bool)
-    for i, (x, _) in enumerate(docs):
-        X[i, : len(x)], live[i, : len(x)] = x, True
-    bad = np.array([q == 0 for _, q in docs])
-    Y = np.where(bad[:, None], 1, 0) * live
-    field = NO_FIELD
+    sample, k = _Sample(docs), len(FEATURES)
+    theta = np.zeros(2 * k + 6)
     for _ in range(rounds):
-        field = _ascend(X, live, Y, steps, rate, l2)
-        for i in np.flatnonzero(bad):
-            n = live[i].sum()
-            Y[i, :n] = viterbi(field, X[i, :n].tolist())
+        theta = _descend(sample, theta, l2)
+        field = Field(theta[: 2 * k].reshape(k, 2), theta[2 * k : 2 * k + 4].reshape(2, 2), theta[2 * k + 4 :])
+        for i in np.flatnonzero(sample.bad):
+            sample.Y[i] = np.array(viterbi(field, sample.X[sample.codes[i]]))
     return field
 
 
-def _ascend(X, live, Y, steps, rate, l2) -> Field:
-    """Adam on the penalised conditional log-likelihood; expectations by forward-backward over all documents at once."""
-    n, t, k = X.shape
-    onehot = np.eye(2)[Y] * live[..., None]
-    pairs = live[:, 1:] & live[:, :-1]
-    seen = [np.einsum("ntk,nty->ky", X, onehot), np.einsum("nta,ntb->ab", onehot[:, :-1] * pairs[..., None], onehot[:, 1:]), onehot[:, 0].sum(0)]
-    theta = [np.zeros((k, 2)), np.zeros((2, 2)), np.zeros(2)]
-    m, v = [np.zeros_like(a) for a in theta], [np.zeros_like(a) for a in theta]
-    total = live.sum()
-    lse = lambda a, axis: np.logaddexp(np.take(a, 0, axis), np.take(a, 1, axis))
-    for step in range(1, steps + 1):
-        emit, move, start = theta
-        S = X @ emit
-        A, Bk = np.empty((n, t, 2)), np.zeros((n, t, 2))
-        A[:, 0] = S[:, 0] + start
-        for i in range(1, t):
-            nxt = lse(A[:, i - 1, :, None] + move, 1) + S[:, i]
-            A[:, i] = np.where(live[:, i, None], nxt, A[:, i - 1])
-        for i in range(t - 2, -1, -1):
-            prev = lse(move + (S[:, i + 1] + Bk[:, i + 1])[:, None, :], 2)
-            Bk[:, i] = np.where(live[:, i + 1, None], prev, 0.0)
-        logz = lse(A[:, -1], 1)[:, None, None]
-        P = np.exp(np.where(live[..., None], A + Bk - logz, -np.inf))
-        joint = A[:, :-1, :, None] + move + (S[:, 1:] + Bk[:, 1:])[:, :, None, :] - logz[..., None]
-        J = np.exp(np.where(pairs[..., None, None], joint, -np.inf))
-        have = [np.einsum("ntk,nty->ky", X, P), J.sum((0, 1)), P[:, 0].sum(0)]
-        for j in range(3):
-            g = (seen[j] - have[j]) / total - l2 * theta[j]
-            m[j], v[j] = 0.9 * m[j] + 0.1 * g, 0.99 * v[j] + 0.01 * g * g
-            theta[j] = theta[j] + rate * (m[j] / (1 - 0.9**step)) / (np.sqrt(v[j] / (1 - 0.99**step)) + 1e-8)
-    return Field(*theta)
+def _descend(sample: _Sample, theta: np.ndarray, l2: float, most: int = 100, memory: int = 8) -> np.ndarray:
+    """The least penalised negative log-likelihood a line, by L-BFGS steps until the gradient is small."""
+    seen = sample.observed()
+
+    def loss(x):
+        logz, have = sample.expected(x)
+        return (logz - seen @ x) / sample.total + l2 * (x @ x) / 2, (have - seen) / sample.total + l2 * x
+
+    f, g = loss(theta)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(most):
+        if np.abs(g).max() < 1e-5:
+            break
+        q, back = g.copy(), []
+        for s, y in reversed(steps):
+            a = (s @ q) / (s @ y)
+            back.append(a)
+            q -= a * y
+        if steps:
+            s, y = steps[-1]
+            q *= (s @ y) / (y @ y)
+        for (s, y), a in zip(steps, reversed(back)):
+            q += s * (a - (y @ q) / (s @ y))
+        rate = 1.0 if steps else min(1.0, 1 / np.abs(g).sum())
+        while True:
+            new = theta - rate * q
+            f2, g2 = loss(new)
+            if f2 <= f - 1e-4 * rate * (g @ q) or rate < 1e-8:
+                break
+            rate /= 2
+        s, y = new - theta, g2 - g
+        if s @ y > 1e-12:
+            steps = [*steps, (s, y)][-memory:]
+        theta, f, g = new, f2, g2
+        if rate < 1e-8:
+            break
+    return theta
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Field:
     """Fit the field on at most about ``max_docs`` labelled documents, picked evenly by a hash of their ids.
 
-    Only line features of that bounded sample reach the driver, never texts.
+    Only line features of that bounded sample reach the driver, as one bit each, never texts.
     """
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     labels = labels.withColumn("u", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), F.lit(1_000_000)))
@@ -191,13 +256,15 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_docs: int
     chosen = labels.where(F.col("u") < int(1_000_000 * min(1.0, max_docs / n)) + 1).select(F.col("doc_id").alias("i"), "quality")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("i")).select("text", "quality")
 
+    bits = 2.0 ** np.arange(len(FEATURES))
+
     def featurise(batches):
         for b in batches:
-            xs = [np.asarray(text_lines(t or "")[0][:TRAIN_LINES], np.uint8).tobytes() for t in b.column(0).to_pylist()]
+            xs = [(np.asarray(text_lines(t or "")[0]).reshape(-1, len(FEATURES)) @ bits).astype("<u2").tobytes() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), b.column(1).cast(pa.int32())], names=["x", "q"])
 
     rows = sorted((bytes(r.x), r.q) for r in map_batches(sample, featurise, "x binary, q int").collect())
-    return fit_field([(np.frombuffer(x, np.uint8).reshape(-1, len(FEATURES)).astype(float), q) for x, q in rows])
+    return fit_field([(np.frombuffer(x, "<u2")[:, None] >> np.arange(len(FEATURES)) & 1, q) for x, q in rows])
 
 
 def judge(docs: DataFrame, field: Field, keep_share: float = KEEP_SHARE) -> DataFrame:

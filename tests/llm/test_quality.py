@@ -48,6 +48,44 @@ def test_viterbi_is_the_best_of_all_paths():
         assert tuple(quality.viterbi(field, rows)) == max(product((0, 1), repeat=5), key=score)
 
 
+def test_expectations_equal_sums_over_all_labellings():
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    k = len(quality.FEATURES)
+    docs = [(rng.integers(0, 2, (n, k)).astype(float), i % 2) for i, n in enumerate([1, 2, 3, 5, 4, 1])]
+    sample, theta = quality._Sample(docs), rng.normal(size=2 * k + 6)
+    emit, move, start = theta[: 2 * k].reshape(k, 2), theta[2 * k : -2].reshape(2, 2), theta[-2:]
+
+    def counts(x, y):
+        c = [np.zeros((k, 2)), np.zeros((2, 2)), np.zeros(2)]
+        for row, label in zip(x, y):
+            c[0][:, label] += row
+        for a, b in zip(y, y[1:]):
+            c[1][a, b] += 1
+        c[2][y[0]] += 1
+        return np.concatenate([v.ravel() for v in c])
+
+    logz, want, seen = 0.0, 0, 0
+    for x, q in docs:
+        every = [counts(x, y) for y in product((0, 1), repeat=len(x))]
+        weights = np.exp([c @ theta for c in every])
+        logz += np.log(weights.sum())
+        want = want + sum(w * c for w, c in zip(weights, every)) / weights.sum()
+        seen = seen + counts(x, [int(q == 0)] * len(x))
+    got, have = sample.expected(theta)
+    assert np.isclose(got, logz) and np.allclose(have, want) and np.allclose(sample.observed(), seen)
+
+
+def test_lines_late_in_a_document_count():
+    """Boilerplate that only ever comes after hundreds of plain lines is still learned."""
+    plain = "A plain line of ordinary prose ends here."
+    good = [(np.array(quality.text_lines("\n".join(f"{plain[:-1]} {i}." for i in range(300)))[0]), 1)] * 10
+    bad = [(np.array(quality.text_lines("\n".join([f"{plain[:-1]} {i}." for i in range(300)] + ["BUY!! NOW!! %%% $$$ ### ***"] * 300))[0]), 0)] * 10
+    field = quality.fit_field(good + bad)
+    assert quality.viterbi(field, bad[0][0].tolist())[310:] == [1] * 290
+
+
 def test_field_separates_junk_lines():
     good = [(np.array(quality.text_lines("A plain line of ordinary prose ends here.\n" * 1 + "Another line of prose follows it today.")[0]), 1)] * 20
     junk = [(np.array(quality.text_lines("A plain line of ordinary prose ends here.\n" + "BUY!! NOW!! %%% $$$ ### ***\n" * 4)[0]), 0)] * 20
