@@ -12,11 +12,12 @@ row by row; equal scores go to the alphabetically first language. Extra columns
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +25,10 @@ from matchloom.llm.common import crc_fold, map_batches, read_table
 
 BITS = 15
 DIM = 1 << BITS
-#: Bounds of the training sample: documents of one language, and of all languages together.
+#: Bounds of the training sample: documents of one language, and of all languages together. A document is at most DIM
+#: pairs of a feature and its count, compressed.
 PER_CLASS, SAMPLE = 800, 8000
-FOLDS, HELD_OUT = 4, 2
-_LETTER = re.compile(r"[^\W\d_]")
+FOLDS, HELD_OUT, EPOCHS = 4, 2, 3
 _MIX = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917)]
 
 
@@ -40,6 +41,11 @@ class Model:
     temperature: float
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode category L is among the text's."""
+    return any(map(str.isalpha, text))
+
+
 def ngram_counts(text: str) -> np.ndarray:
     """Counts of hashed 1- to 3-grams of the whole lower-cased text, in pieces so that long texts need little memory."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
@@ -61,26 +67,25 @@ def tfidf(index: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / norm if norm else x
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ftrl(rows: Iterable[tuple[np.ndarray, np.ndarray, int]], n_classes: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias by FTRL-proximal over rows of (feature indices, values, class)."""
     z, n = np.zeros((DIM + 1, n_classes)), np.zeros((DIM + 1, n_classes))
 
     def weights(zi, ni):
         return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
 
-    for _ in range(epochs):
-        for index, value, y in rows:
-            i, x = np.append(index, DIM), np.append(value, 1.0)
-            zi, ni = z[i], n[i]
-            w = weights(zi, ni)
-            s = x @ w
-            p = np.exp(s - s.max())
-            p /= p.sum()
-            p[y] -= 1.0
-            g = x[:, None] * p
-            sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha
-            z[i] = zi + g - sigma * w
-            n[i] = ni + g * g
+    for index, value, y in rows:
+        i, x = np.append(index, DIM), np.append(value, 1.0)
+        zi, ni = z[i], n[i]
+        w = weights(zi, ni)
+        s = x @ w
+        p = np.exp(s - s.max())
+        p /= p.sum()
+        p[y] -= 1.0
+        g = x[:, None] * p
+        sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha
+        z[i] = zi + g - sigma * w
+        n[i] = ni + g * g
     w = weights(z, n)
     return w[:DIM], w[DIM]
 
@@ -131,23 +136,34 @@ def train(docs: DataFrame, per_class: int = PER_CLASS, sample: int = SAMPLE) ->
     picked = rows.select(u.alias("u"), "lang", "text", limit.alias("most")).where("u < most").select("u", "lang", "text")
 
     def featurise(batches):
+        squeeze = zstandard.ZstdCompressor(level=3)
         for b in batches:
             xs = []
             for t in b.column(2).to_pylist():
                 c = ngram_counts(t)
                 i = np.flatnonzero(c)
-                xs.append(np.stack([i, np.minimum(c[i], 65535)]).astype("<u2").tobytes())
+                xs.append(squeeze.compress(np.stack([i, c[i]]).astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(xs, pa.binary())], names=["u", "lang", "x"])
 
     got = sorted((r.u, r.lang, bytes(r.x)) for r in map_batches(picked, featurise, "u long, lang string, x binary").collect())
-    ready = []
-    for _, lang, x in got:
-        i, c = np.frombuffer(x, "<u2").reshape(2, -1).astype(np.int64)
-        ready.append((i, tfidf(i, c, idf), names.index(lang)))
+    ready = [_Row(x, names.index(lang)) for _, lang, x in got]
     keep, fit = ready[::5], [r for k, r in enumerate(ready) if k % 5] or ready
-    w, b = fit_ftrl(fit, len(names))
-    logits = np.array([v @ w[i] + b for i, v, _ in keep])
-    return Model(names, idf.astype(np.float32), w.astype(np.float32), b, fit_temperature(logits, np.array([y for *_, y in keep])))
+    w, b = fit_ftrl((r.open(idf) for _ in range(EPOCHS) for r in fit), len(names))
+    kept = [r.open(idf) for r in keep]
+    logits = np.array([v @ w[i] + b for i, v, _ in kept])
+    return Model(names, idf.astype(np.float32), w.astype(np.float32), b, fit_temperature(logits, np.array([y for *_, y in kept])))
+
+
+@dataclass(frozen=True)
+class _Row:
+    """A document of the sample, unpacked only while it is learned from."""
+
+    packed: bytes
+    label: int
+
+    def open(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        i, c = np.frombuffer(zstandard.decompress(self.packed), "<u4").reshape(2, -1).astype(np.int64)
+        return i, tfidf(i, c, idf), self.label
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -159,7 +175,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         for b in batches:
             langs, scores = [], []
             for t in b.column(1).to_pylist():
-                if m is None or t is None or not _LETTER.search(t):
+                if m is None or t is None or not has_letter(t):
                     langs.append("und")
                     scores.append(0.0)
                     continue
