@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.common import crc_fold, cut, map_batches, read_table
 
-#: Bounds of the fit: labelled documents used, and terms of the lexicon.
-TRAIN_DOCS, LEXICON = 20_000, 2_000
+#: The bound of the fit: labelled documents used.
+TRAIN_DOCS = 20_000
 FOLDS, HELD_OUT = 5, 0
 WINDOW = 8
 PREFIXES = (4, 5, 6, 7)
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters and digits, with the signs that disguises put between them or in front, so that id1ot and $cum stay whole.
+_WORD = re.compile(r"[$@]?[^\W_]+(?:[$@!|*]+[^\W_]+)*")
 _QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 N_FEATURES = 6
 
@@ -147,7 +148,10 @@ def _quoted(text: str, start: int, stop: int, reach: int = 80) -> bool:
 
 
 def features(text: str | None, automaton: Automaton, known: dict[str, tuple[str, int] | None]) -> list[float]:
-    """Sums over the hits of a whole text: exact and misspelled ones, their weight, quoted ones, crowded windows, different terms."""
+    """Sums over the hits of a whole text: exact and misspelled ones, their weight, quoted ones, crowded windows, different terms.
+
+    A quoted hit counts only as quoted.
+    """
     if not text:
         return [0.0] * N_FEATURES
     text = text.lower()
@@ -165,6 +169,7 @@ def features(text: str | None, automaton: Automaton, known: dict[str, tuple[str,
     if not hits:
         return [0.0] * N_FEATURES
     exact = fuzzy = weight = quoted = crowded = 0.0
+    meant: set[str] = set()
     last = -WINDOW - 1
     for i, m in enumerate(_WORD.finditer(text)):
         if m[0] not in hits:
@@ -173,12 +178,14 @@ def features(text: str | None, automaton: Automaton, known: dict[str, tuple[str,
         if _quoted(text, *m.span()):
             quoted += 1
             continue
+        if not errors:
+            meant.add(term)
         exact += errors == 0
         fuzzy += errors > 0
         weight = max(weight, automaton.weights[term] * 0.5**errors)
         crowded += i - last <= WINDOW
         last = i
-    return [float(np.log1p(exact)), float(np.log1p(fuzzy)), weight, float(np.log1p(quoted)), float(np.log1p(crowded)), float(np.log1p(len({t for t, e in hits.values() if not e})))]
+    return [float(np.log1p(exact)), float(np.log1p(fuzzy)), weight, float(np.log1p(quoted)), float(np.log1p(crowded)), float(np.log1p(len(meant)))]
 
 
 def terms(text: str) -> set[str]:
@@ -192,9 +199,9 @@ def sketch(text: str) -> int:
     return min((xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0) >> 1
 
 
-def choose_terms(counts: list[tuple[str, int, int]], toxic: int, other: int, tried: int, most: int = LEXICON) -> dict[str, float]:
+def choose_terms(counts: list[tuple[str, int, int]], toxic: int, other: int, tried: int) -> dict[str, float]:
     """Terms far more frequent in toxic documents than chance allows over all terms tried (a likelihood-ratio test), with log odds."""
-    floor, out = 2 * np.log(max(tried, 2)) + 2, []
+    floor, out = 2 * np.log(max(tried, 2)) + 2, {}
     for term, t, o in counts:
         p1, p2, p = t / toxic, o / other if other else 0.0, (t + o) / (toxic + other)
         if p1 <= 5 * p2:
@@ -205,8 +212,8 @@ def choose_terms(counts: list[tuple[str, int, int]], toxic: int, other: int, tri
 
         g = 2 * (ll(t, toxic, p1) + ll(o, other, p2) - ll(t, toxic, p) - ll(o, other, p))
         if g >= floor:
-            out.append((g, term, float(np.log((t + 0.5) / (toxic + 1)) - np.log((o + 0.5) / (other + 1)))))
-    return {term: w for _, term, w in sorted(out, key=lambda x: (-x[0], x[1]))[:most]}
+            out[term] = float(np.log((t + 0.5) / (toxic + 1)) - np.log((o + 0.5) / (other + 1)))
+    return dict(sorted(out.items()))
 
 
 def fit_logistic(X: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:

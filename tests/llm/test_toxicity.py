@@ -1,3 +1,8 @@
+import math
+import random
+import re
+import zlib
+
 import numpy as np
 
 from matchloom.llm import toxicity
@@ -41,6 +46,98 @@ def test_quotation_is_told_apart():
     assert quoted[0] == 0 and quoted[3] > 0
 
 
+def test_quoted_terms_are_no_abuse():
+    auto = toxicity.Automaton({"idiot": 2.0, "moron": 2.0})
+    got = toxicity.features('she said "idiot" to them, and «moron»', auto, {})
+    assert got[3] > 0 and [x for i, x in enumerate(got) if i != 3] == [0.0] * 5
+
+
+def test_disguised_words_reach_the_automaton():
+    auto = toxicity.Automaton({"idiot": 2.0, "worthless": 2.0, "disgusting": 2.0})
+    for word in ("id1ot", "idi0t", "id!ot", "i*diot", "w0rthless", "worth|ess", "d1sgust1ng", "di$gu$ting"):
+        assert toxicity.features(f"you {word}.", auto, {})[1] > 0, word
+    assert not any(toxicity.features("a@b.c 12 345 $ !! **", auto, {}))
+
+
+def brute(rows, labels):
+    """The whole method by plain loops: what the query must say of each (doc_id, text)."""
+    word, held = re.compile(r"[$@]?[^\W_]+(?:[$@!|*]+[^\W_]+)*"), lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    fit = [(t or "", labels[i]) for i, t in sorted(rows) if i in labels and not held(i)]
+    families = [({w for w in word.findall(t.lower())}, y) for t, y in fit]
+    families = [(s | {w[:n] + "*" for w in s for n in (4, 5, 6, 7) if len(w) > n}, y) for s, y in families]
+    toxic, other = sum(y for _, y in fit), sum(1 - y for _, y in fit)
+    every = set().union(*(s for s, _ in families))
+    lexicon = {}
+    for term in every:
+        k, o = sum(term in s for s, y in families if y), sum(term in s for s, y in families if not y)
+        if k < 4 or k / toxic <= 5 * o / other:
+            continue
+        ll = lambda k, n, q: (k * math.log(q) if k else 0) + ((n - k) * math.log(1 - q) if n > k else 0)
+        p = (k + o) / (toxic + other)
+        if 2 * (ll(k, toxic, k / toxic) + ll(o, other, o / other) - ll(k, toxic, p) - ll(o, other, p)) >= 2 * math.log(len(every)) + 2:
+            lexicon[term] = math.log((k + 0.5) / (toxic + 1)) - math.log((o + 0.5) / (other + 1))
+    stems = sorted((x for x in lexicon if x.endswith("*")), key=len)
+
+    def match(w):
+        for s in stems:
+            if w.startswith(s[:-1]):
+                return s, 0
+        near = []
+        for term in lexicon:
+            if not term.endswith("*") and not any(term.startswith(s[:-1]) for s in stems):
+                d = distance(w, term)
+                if d <= (2 if len(term) >= 10 else int(len(term) >= 5)):
+                    near.append((d, term))
+        return min(near)[::-1] if near else None
+
+    def features(text):
+        text = text.lower()
+        found = [(i, m, match(m[0])) for i, m in enumerate(word.finditer(text))]
+        plain, quoted = [], 0
+        for i, m, hit in found:
+            if hit:
+                line = text[: m.start()].rsplit("\n", 1)[-1][-80:]
+                if line.count('"') % 2 and '"' in text[m.end() :].split("\n", 1)[0][:80]:
+                    quoted += 1
+                else:
+                    plain.append((i, *hit))
+        exact = [t for _, t, e in plain if not e]
+        crowded = sum(b - a <= 8 for (a, *_), (b, *_) in zip(plain, plain[1:]))
+        weight = max((lexicon[t] * 0.5**e for _, t, e in plain), default=0.0)
+        return [math.log1p(len(exact)), math.log1p(len(plain) - len(exact)), weight, math.log1p(quoted), math.log1p(crowded), math.log1p(len(set(exact)))]
+
+    X, y = np.array([[*features(t), 1.0] for t, _ in fit]), np.array([v for _, v in fit], float)
+    theta = np.zeros(7)
+    for _ in range(20_000):  # plain gradient steps on the same convex loss
+        theta -= 0.08 * (X.T @ (1 / (1 + np.exp(-X @ theta)) - y) / len(y) + 1e-3 * theta)
+    return lexicon, {i: 1 / (1 + math.exp(-(np.array([*features(t or ""), 1.0]) @ theta))) for i, t in rows}
+
+
+def test_query_equals_brute_force(spark):
+    rng = random.Random(8)
+    plain, bad = [f"{a}{b}" for a in "bdfglm" for b in ("ar", "onet", "uvil", "ysh")], ["idiot", "worthless", "disgusting", "scum"]
+    rows, labels = [], {}
+    for i in range(160):
+        words = [rng.choice(plain) + str(rng.randrange(9)) for _ in range(rng.randint(20, 60))]
+        if i % 4 == 0:
+            for _ in range(rng.randint(2, 6)):
+                w = rng.choice(bad)
+                words.insert(rng.randrange(len(words)), w if rng.random() < 0.7 else w.replace("i", "1"))
+        elif i % 4 == 1 and i % 3:
+            words.insert(9, f'"{rng.choice(bad)}"')
+        rows.append((i, " ".join(words)))
+        labels[i] = int(i % 4 == 0)
+    rows += [(900, None), (901, ""), (902, "worthles scum"), (903, "nothing")]
+    lexicon, want = brute(rows, labels)
+    assert lexicon and len(set(map(toxicity.sketch, dict(rows[:160]).values()))) == 160
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = spark.createDataFrame([(i, None, y) for i, y in labels.items()], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, marked)
+    assert model.lexicon.keys() == lexicon.keys() and all(abs(model.lexicon[t] - w) < 1e-9 for t, w in lexicon.items())
+    for r in toxicity.score(docs, model).collect():
+        assert abs(r.score - want[r.doc_id]) < 2e-3, (r, want[r.doc_id])
+
+
 def test_rare_terms_of_one_document_are_not_learned():
     got = toxicity.choose_terms([("bad", 60, 0), ("the", 90, 900), ("once", 3, 0)], 100, 900, 100_000)
     assert set(got) == {"bad"}
