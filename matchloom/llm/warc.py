@@ -1,13 +1,22 @@
-"""WARC archives in seekable Zstandard bundles.
-
-Records are grouped into independent Zstandard frames; a bundle is a run of frames closed by a seek table in a
-skippable frame, so any standard decoder reads it through and a seeking reader opens one frame. Bundles are stored as
-binary rows of a Parquet table beside an index of record identifiers, so that every file system Spark writes to can
-hold them; ``bundle`` bytes are complete .warc.zst files.
-
-Defined results: a null html is an empty payload; a null url has no target header; line ends in a url are percent-encoded.
-Of equal payloads, every row with the largest page_id is a response and the others revisit it; a null page_id counts
-as smaller than any other and, alone, is a response. Repeated rows give repeated records. Extra columns are ignored.
+"""WARC/1.1 archives in seekable Zstandard bundles.
+
+Records are grouped into independent Zstandard frames; a bundle is a run of frames closed by a seek table in a skippable
+frame, so any standard decoder reads it through and a seeking reader opens one frame. Bundles are stored frame by frame
+as rows of a Parquet table, so every file system Spark writes to can hold them and a reader fetches the frames it asks
+for; the ``data`` of a bundle's rows, in order, is a complete .warc.zst file. Each row lists its frame's records: their
+identifiers, the page and the record they stand for, and where they lie in the frame. This is the identifier map; reads
+go through it.
+
+A response holds the page as an HTTP message. A row whose payload a response holds becomes a revisit: the HTTP head
+without the payload, the payload's digest, and the response's record identifier, target and date. Responses are written
+first, so that revisits can name them. Digests of payloads that occur twice or more are broadcast while their measured
+size is within ``BROADCAST_BYTES``; beyond that, pages are joined with them by a shuffle that deals a hot payload to
+several tasks.
+
+Defined results: a null html is an empty payload; a null url gives the target ``urn:page:`` and the page_id; white space
+and control characters in a url are percent-encoded. Of equal payloads, every row with the largest page_id is a response
+and the others revisit it; a null page_id counts as smaller than any other, and payloads of null page_ids alone are all
+responses. Repeated rows give repeated records with identifiers of their own. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +25,8 @@ import base64
 import hashlib
 import re
 import struct
+import uuid
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import zstandard
@@ -23,33 +34,56 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import map_batches, read_table, shared_dir
+from matchloom.llm.common import cut, map_batches, read_table, replicated, shared_dir, spread
 
 #: A frame closes at this many bytes of records, a bundle at this many compressed bytes.
-FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 2 << 20
+FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
+#: The measured bytes of shared digests up to which they are broadcast; one takes about DIGEST_BYTES.
+BROADCAST_BYTES, DIGEST_BYTES = 64 << 20, 100
 #: Fixed values of the Zstandard seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
-INDEX = "array<struct<record_id:string,frame:int,offset:long,length:long>>"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_ENTRY = "record_id:string,page_id:long,target:string,sha1:binary,payload_bytes:long,refers_id:string,refers_to:long,offset:long,length:long"
+TABLE = f"bundle_id string, frame int, data binary, index array<struct<{_ENTRY}>>"
+_ARROW_ENTRY = pa.struct([("record_id", pa.string()), ("page_id", pa.int64()), ("target", pa.string()), ("sha1", pa.binary()), ("payload_bytes", pa.int64()), ("refers_id", pa.string()), ("refers_to", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
+_ARROW = pa.schema([("bundle_id", pa.string()), ("frame", pa.int32()), ("data", pa.binary()), ("index", pa.list_(_ARROW_ENTRY))])
+
+
+def base32(sha1: bytes) -> str:
+    return base64.b32encode(sha1).decode()
 
 
 def digest(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return base32(hashlib.sha1(payload).digest())
+
 
+def target_uri(page_id: int | None, url: str | None) -> str:
+    if not url:
+        return f"urn:page:{'' if page_id is None else page_id}"
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
 
+def http_head(n: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {n}\r\n\r\n".encode()
 
-def record(page_id: int | None, url: str | None, payload: bytes, revisit: bool, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has no body but keeps the digest and length of the payload it stands for."""
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}"]
-    if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
-    head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Payload-Length: {len(payload)}"]
-    if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
-    body = b"" if revisit else payload
-    return "\r\n".join([*head, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
+
+def record(record_id: str, date: str, target: str, told: str, n: int, payload: bytes | None, refers: tuple[str, str, str] | None = None) -> bytes:
+    """One record: a response with its ``payload``, or a revisit of ``refers`` (record id, target, date)."""
+    block = http_head(n) + (payload or b"")
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers else 'response'}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{told}"]
+    if refers:
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {refers[0]}", f"WARC-Refers-To-Target-URI: {refers[1]}", f"WARC-Refers-To-Date: {refers[2]}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
+def parse(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
+    """WARC headers, HTTP head and payload of one record."""
+    end = raw.index(b"\r\n\r\n")
+    head = dict(x.split(": ", 1) for x in raw[:end].decode().split("\r\n")[1:])
+    block = raw[end + 4 : end + 4 + int(head["Content-Length"])]
+    http, _, payload = block.partition(b"\r\n\r\n")
+    return head, http, payload
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -70,119 +104,134 @@ def read_seek_table(bundle: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def read_frame(bundle: bytes, frame: int) -> bytes:
-    at, c, d = read_seek_table(bundle)[frame]
-    return zstandard.ZstdDecompressor().decompress(bundle[at : at + c], max_output_size=d)
+def _pack(rows: DataFrame, made: str, prefix: str) -> DataFrame:
+    """Frames of ``rows`` (page_id, url, d, n, payload, refers_id, refers_target, refers_to), each bundle closed by its seek table."""
+    namespace = uuid.uuid4()
 
+    def pack(batches):
+        squeeze, part, serial, count = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0, 0
+        raw, size, index, sizes = [], 0, [], []
+
+        def row(data, entries):
+            return pa.RecordBatch.from_pydict({"bundle_id": [f"{prefix}-{part:06d}-{serial:06d}"], "frame": [len(sizes)], "data": [data], "index": [entries]}, schema=_ARROW)
+
+        def frame():
+            nonlocal raw, size, index
+            block = squeeze.compress(b"".join(raw))
+            out = row(block, index)
+            sizes.append((len(block), size))
+            raw, size, index = [], 0, []
+            return out
 
-def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Headers, body and the offset after the record that starts at ``at``."""
-    end = raw.index(b"\r\n\r\n", at)
-    head = dict(x.split(": ", 1) for x in raw[at:end].decode().split("\r\n")[1:])
-    start, n = end + 4, int(head["Content-Length"])
-    return head, raw[start : start + n], start + n + 4
+        for b in batches:
+            for page_id, url, sha1, n, payload, refers_id, refers_target, refers_to in zip(*(c.to_pylist() for c in b.columns)):
+                # a retried task gives its records the same identifiers
+                name = f"<urn:uuid:{uuid.uuid5(namespace, f'{part}/{count}')}>"
+                count += 1
+                target = target_uri(page_id, url)
+                refers = None if refers_id is None else (refers_id, refers_target, made)
+                r = record(name, made, target, base32(sha1), n, None if payload is None else payload.encode(), refers)
+                index.append({"record_id": name, "page_id": page_id, "target": target, "sha1": sha1, "payload_bytes": n, "refers_id": refers_id, "refers_to": refers_to, "offset": size, "length": len(r)})
+                raw.append(r)
+                size += len(r)
+                if size >= FRAME_BYTES:
+                    yield frame()
+                    if sum(c for c, _ in sizes) >= BUNDLE_BYTES:
+                        yield row(seek_table(sizes), [])
+                        serial, sizes = serial + 1, []
+        if raw:
+            yield frame()
+        if sizes:
+            yield row(seek_table(sizes), [])
 
+    return map_batches(rows, pack, TABLE)
 
-def _page(urn: str | None) -> int | None:
-    return int(m[1]) if urn and (m := re.fullmatch(r"<urn:page:(-?\d+)>", urn)) else None
 
+def _digests(pages: DataFrame) -> DataFrame:
+    html = F.coalesce("html", F.lit(""))
+    return pages.select("page_id", "url", html.alias("html"), F.unhex(F.sha1(html)).alias("d"), F.octet_length(html).cast("long").alias("n"))
 
-def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and, for rows that revisit another, ``response_id``.
 
-    Only payloads that occur twice or more are joined back, by digest and length; the group's maximum is summed map-side.
-    """
-    keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns({"d": F.unhex(F.sha1("html")), "n": F.octet_length("html")})
-    shared = keyed.groupBy("d", "n").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    joined = keyed.join(shared, ["d", "n"], "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("response_id"))
+def write_bundles(pages: DataFrame, path: str, made: datetime | None = None) -> DataFrame:
+    """Write a record dated ``made`` (now) for every row of ``pages`` under ``path``; returns the table of frames."""
+    spark, date = pages.sparkSession, (made or datetime.now(timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    keyed = _digests(pages)
+    shared = cut(keyed.groupBy("d", "n").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1 and last is not null").drop("copies"))
+    if shared.count() * DIGEST_BYTES <= BROADCAST_BYTES:
+        marked = keyed.join(F.broadcast(shared), ["d", "n"], "left")
+    else:
+        marked = keyed.withColumn("part", spread("page_id")).join(replicated(shared, "part"), ["d", "n", "part"], "left")
+    revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
 
+    none = F.lit(None).cast("string")
+    columns = ["page_id", "url", "d", "n"]
+    responses = marked.where(~revisit).select(*columns, F.col("html").alias("payload"), none.alias("refers_id"), none.alias("refers_target"), F.lit(None).cast("long").alias("refers_to"))
+    _pack(responses, date, "a").write.option("compression", "none").parquet(f"{path}/responses")
+    written = spark.read.schema(TABLE).parquet(f"{path}/responses")
+    # one response stands for each shared payload, and is named by all its revisits
+    held = identifiers(written).select(F.col("sha1").alias("d"), F.col("payload_bytes").alias("n"), "record_id", F.col("target").alias("refers_target"), F.col("page_id").alias("refers_to"))
+    held = held.join(shared.select("d", "n"), ["d", "n"]).groupBy("d", "n").agg(F.min(F.struct("record_id", "refers_target", "refers_to")).alias("r"))
+    held = replicated(held.select("d", "n", F.col("r.record_id").alias("refers_id"), "r.refers_target", "r.refers_to"), "part")
+    again = marked.where(revisit).select(*columns).withColumn("part", spread("page_id")).join(held, ["d", "n", "part"])
+    revisits = again.select(*columns, none.alias("payload"), "refers_id", "refers_target", "refers_to")
+    _pack(revisits, date, "b").write.option("compression", "none").parquet(f"{path}/revisits")
+    return spark.read.schema(TABLE).parquet(f"{path}/responses", f"{path}/revisits")
 
-def write_bundles(pages: DataFrame, path: str) -> DataFrame:
-    """Write a record for every row of ``pages`` to bundles under ``path``; returns bundle_id, bundle and index."""
 
-    def pack(batches):
-        squeeze, part, serial = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
-        raw, size, frames, data, index = [], 0, [], [], []
-
-        def close_frame():
-            nonlocal raw, size
-            if raw:
-                block = squeeze.compress(b"".join(raw))
-                frames.append((len(block), size))
-                data.append(block)
-                raw, size = [], 0
-
-        def close_bundle():
-            nonlocal serial, frames, data, index
-            out = pa.RecordBatch.from_pydict({"bundle_id": [f"{part:06d}-{serial:06d}"], "bundle": [b"".join(data) + seek_table(frames)], "index": [index]}, schema=arrow)
-            serial, frames, data, index = serial + 1, [], [], []
-            return out
+def identifiers(table: DataFrame) -> DataFrame:
+    """The identifier map: where each record lies."""
+    return table.select("bundle_id", "frame", F.inline("index"))
 
-        for b in batches:
-            for page_id, url, html, other in zip(*(c.to_pylist() for c in b.columns)):
-                r = record(page_id, url, html.encode(), other is not None, other)
-                index.append({"record_id": record_id(page_id), "frame": len(frames), "offset": size, "length": len(r)})
-                raw.append(r)
-                size += len(r)
-                if size >= FRAME_BYTES:
-                    close_frame()
-                    if sum(map(len, data)) >= BUNDLE_BYTES:
-                        yield close_bundle()
-        close_frame()
-        if frames:
-            yield close_bundle()
-
-    entry = pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])
-    arrow = pa.schema([("bundle_id", pa.string()), ("bundle", pa.binary()), ("index", pa.list_(entry))])
-    packed = map_batches(with_revisits(pages), pack, f"bundle_id string, bundle binary, index {INDEX}")
-    packed.write.option("compression", "none").parquet(path)
-    return pages.sparkSession.read.schema(packed.schema).parquet(path)
-
-
-def read_records(bundles: DataFrame) -> DataFrame:
-    """Every record of the bundles, one frame in memory at a time; the digest of a response is computed from its body."""
-
-    def unpack(batches):
-        names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
-        arrow = pa.schema(list(zip(names, [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()])))
-        for b in batches:
-            for bundle in b.column(0):
-                whole = bundle.as_py()
-                open_ = zstandard.ZstdDecompressor()
-                for at, c, d in read_seek_table(whole):
-                    raw, rows, i = open_.decompress(whole[at : at + c], max_output_size=d), [], 0
-                    while i < len(raw):
-                        head, body, i = parse(raw, i)
-                        revisit, told = head["WARC-Type"] == "revisit", head["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if not revisit and digest(body) != told:
-                            raise ValueError(f"damaged record {head['WARC-Record-ID']}")
-                        rows.append((_page(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), head["WARC-Type"], int(head["WARC-Payload-Length"]) if revisit else len(body), told, _page(head.get("WARC-Refers-To")), None if revisit else body))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
-
-    return map_batches(bundles.select("bundle"), unpack, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary", rows=4)
-
-
-def fetch(bundles: DataFrame, record_ids: DataFrame) -> DataFrame:
-    """record_id and record bytes of the asked ids: the index names the bundle, and only the frames asked for are opened."""
-    asked = record_ids.select("record_id").distinct()
-    where = bundles.select("bundle_id", F.inline("index")).join(asked, "record_id").groupBy("bundle_id").agg(F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("want"))  # a bundle's own records
-
-    def cut_out(batches):
-        arrow = pa.schema([("record_id", pa.string()), ("record", pa.binary())])
-        for b in batches:
-            for bundle, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got, frames = {"record_id": [], "record": []}, {}
-                for w in want:
-                    raw = frames.setdefault(w["frame"], None) or read_frame(bundle, w["frame"])
-                    frames[w["frame"]] = raw
-                    got["record_id"].append(w["record_id"])
-                    got["record"].append(raw[w["offset"] : w["offset"] + w["length"]])
-                yield pa.RecordBatch.from_pydict(got, schema=arrow)
 
-    return map_batches(bundles.join(where, "bundle_id").select("bundle", "want"), cut_out, "record_id string, record binary", rows=4)
+def _wanted(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """Frames that hold asked records (rows of the identifier map), each with the list of those."""
+    want = asked.groupBy("bundle_id", "frame").agg(F.collect_list(F.struct("record_id", "page_id", "refers_id", "refers_to", "offset", "length")).alias("want"))  # a frame's own records
+    return table.select("bundle_id", "frame", "data").join(want, ["bundle_id", "frame"]).select("data", "want")
+
+
+def _cut_out(batches):
+    """(identifier entry, record bytes) of each asked record, one frame in memory at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            raw = zstandard.ZstdDecompressor().decompressobj().decompress(b.column(0)[i].as_py())
+            yield [(w, raw[w["offset"] : w["offset"] + w["length"]]) for w in b.column(1)[i].as_py()]
+
+
+def fetch(table: DataFrame, record_ids: DataFrame) -> DataFrame:
+    """record_id and record bytes of the asked ids: the map names bundle and frame, and only those frames are read."""
+    asked = identifiers(table).join(record_ids.select("record_id").distinct(), "record_id")
+
+    def run(batches):
+        for got in _cut_out(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([w["record_id"] for w, _ in got], pa.string()), pa.array([r for _, r in got], pa.binary())], names=["record_id", "record"])
+
+    return map_batches(_wanted(table, asked), run, "record_id string, record binary")
+
+
+def read_records(table: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Every record that the identifier map ``asked`` (by default, the whole one) names; digests are computed from payloads.
+
+    A revisit has no payload; ``refers_to`` is the page_id of the record it names. Records that the map tells otherwise of fail.
+    """
+    names = ["record_id", "page_id", "target", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
+    arrow = pa.schema(list(zip(names, [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()])))
+
+    def run(batches):
+        for got in _cut_out(batches):
+            rows = []
+            for w, raw in got:
+                head, http, payload = parse(raw)
+                told, n = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(re.search(rb"Content-Length: (\d+)", http)[1])
+                response = head["WARC-Type"] == "response"
+                if (head["WARC-Record-ID"], head.get("WARC-Refers-To")) != (w["record_id"], w["refers_id"]) or response and (digest(payload) != told or len(payload) != n):
+                    raise ValueError(f"damaged record {w['record_id']}")
+                rows.append((w["record_id"], w["page_id"], head["WARC-Target-URI"], head["WARC-Type"], n, told, w["refers_to"], payload if response else None))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    ddl = "record_id string, page_id long, target string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+    return map_batches(_wanted(table, identifiers(table) if asked is None else asked), run, ddl)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundles = write_bundles(read_table(spark, sf_dir, "pages"), shared_dir(spark))
-    return read_records(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    table = write_bundles(read_table(spark, sf_dir, "pages"), shared_dir(spark))
+    return read_records(table).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
