@@ -11,9 +11,9 @@ and its place in it, so no two blocks share one. Blocks are made twice, once for
 positions, as storing them would write the positions twice; both times they are sealed by a hash of the whole block, and
 a mismatch (an input that reads differently the second time) fails the job.
 
-Decoding. Ids are exploded with their positions and joined with the token-byte table, which is broadcast, as its size is
-the vocabulary's. Nothing is shuffled: a text's positions stay next to each other and are folded back, and a text whose
-positions don't count up to its length fails the job.
+Decoding. The ids of about ``CHUNK_IDS`` positions are followed by their distinct ids, one a row; these are joined with
+the token-byte table, which is broadcast, as its size is the vocabulary's, and the bytes found are put back by position.
+Nothing is shuffled, so a chunk's rows stay together; a chunk that lacks one fails the job.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; null ids decode to null. Repeated rows are
 encoded row by row; nulls in any kept column pass through; other columns are ignored. Ids outside the table fail the
@@ -37,9 +37,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import fresh_name, map_batches, read_table
+from matchloom.llm.common import map_batches, read_table
 
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS, CHUNK_IDS, ANSWERS = 16_000_000, 1_000_000, 200_000
 
 # White space as the tokenizer's library has it; letters and numbers below U+0250 spelled out, as the faster splitter
 # needs them. Texts with characters above go through the general pattern, which gives the same pieces.
@@ -106,12 +106,21 @@ class Table:
             self._open = pa.array(words, pa.string()), np.array(ids, "<u4")
         return self._open
 
-    @property
-    def packed(self) -> np.dtype:
-        return np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
 
+def _squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of 32-bit numbers, byte plane by byte plane, compressed."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(c, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns), 3)
 
-def _blocks(batches, text: str, table: Table):
+
+def _unsqueeze(packed: bytes, *sizes: int) -> list[np.ndarray]:
+    raw, out, at = np.frombuffer(zstandard.decompress(packed), np.uint8), [], 0
+    for n in sizes:
+        out.append(np.ascontiguousarray(raw[at : at + 4 * n].reshape(4, n).T).view("<u4").ravel())
+        at += 4 * n
+    return out
+
+
+def _blocks(batches, text: str, table: Table, most: int):
     """(key, seal, kept rows, ends, codes, asked words) of each block of texts.
 
     A code below ``table.size`` is an id; one above it is, less the size, the number of an asked word.
@@ -152,7 +161,7 @@ def _blocks(batches, text: str, table: Table):
                 n += len(piece)
             ends.append(n)
             chars += len(t or "")
-            if chars >= BLOCK_CHARS:
+            if chars >= most:
                 rows.append(keep.slice(at, i + 1 - at))
                 at = i + 1
                 yield close()
@@ -165,10 +174,10 @@ def _blocks(batches, text: str, table: Table):
 def _met(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...], assemble, out: str) -> DataFrame:
     """Blocks of ``docs`` and the ids of the words they ask for, handed to ``assemble`` block by block."""
     rows = docs.select(*keep, "text")
-    shared = docs.sparkSession.sparkContext.broadcast(Table(ranks))  # the vocabulary
+    shared, most = docs.sparkSession.sparkContext.broadcast(Table(ranks)), BLOCK_CHARS  # the vocabulary
 
     def ask(batches):
-        for key, seal, *_, words in _blocks(batches, "text", shared.value):
+        for key, seal, *_, words in _blocks(batches, "text", shared.value, most):
             order = pc.sort_indices(words)  # neighbours compress well
             # the empty word, which no text has, carries the seal
             at = pa.concat_arrays([pa.array([seal], pa.int64()), order.cast(pa.int64())])
@@ -176,43 +185,67 @@ def _met(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...], assemb
             yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key, pa.int64()), len(at)), at, asked], names=["block", "at", "word"])
 
     def answer(batches):
-        table = shared.value
-        merge = encoding(table.ranks).encode_ordinary
+        merge = encoding(shared.value.ranks).encode_ordinary
+
+        def out(held):
+            rows = pa.Table.from_batches(held)
+            coded = rows.column("word").combine_chunks().dictionary_encode()  # rows of one word come together
+            ids = [merge(w) for w in coded.dictionary.to_pylist()]
+            which, size = coded.indices.to_numpy(), np.array([len(x) for x in ids])
+            flat, ends = np.array([i for x in ids for i in x], "<u4"), np.cumsum(size)
+            block, at = rows.column("block").to_numpy(), rows.column("at").to_numpy()
+            real = size[which] > 0
+            seals = pa.RecordBatch.from_arrays([pa.array(block[~real]), pa.array(at[~real]), *(pa.nulls((~real).sum(), t) for t in (pa.int32(), pa.int32(), pa.binary()))], names=names)
+            order = np.lexsort((at, block))
+            order = order[real[order]]
+            block, at, which = block[order], at[order], which[order]
+            cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+            packed = []
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                w = which[i:j]
+                n = size[w]
+                mine = flat[np.repeat(ends[w] - np.cumsum(n), n) + np.arange(n.sum())]
+                packed.append((block[i], None, j - i, n.sum(), _squeeze(np.diff(at[i:j], prepend=0), n, mine)))
+            cols = [pa.array(list(c), t) for c, t in zip(zip(*packed), types)] if packed else [pa.array([], t) for t in types]
+            return seals, pa.RecordBatch.from_arrays(cols, names=names)
+
+        names, types = ["block", "seal", "words", "size", "ids"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        held, n = [], 0
         for b in batches:
-            coded = b.column(2).dictionary_encode()  # rows of one word come together
-            ids = pa.array([np.asarray(merge(w), table.packed).tobytes() for w in coded.dictionary.to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids.take(coded.indices)], names=["block", "at", "ids"])
+            held.append(b)
+            n += b.num_rows
+            if n >= ANSWERS:
+                yield from out(held)
+                held, n = [], 0
+        if held:
+            yield from out(held)
 
     def places(batches):
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for key, seal, kept, ends, codes, words in _blocks(batches, "text", shared.value):
-            planes = codes.view(np.uint8).reshape(-1, 4).T.tobytes()
-            cols = [pa.array([key], pa.int64()), pa.array([seal], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), pa.array([ends.tobytes()], pa.binary()), pa.array([squeeze.compress(planes)], pa.binary()), pa.array([len(words)], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "seal", "rows", "ends", "codes", "words"])
+        for key, seal, kept, ends, codes, words in _blocks(batches, "text", shared.value, most):
+            cols = [pa.array([key], pa.int64()), pa.array([seal], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), pa.array([_squeeze(np.diff(ends, prepend=0))], pa.binary()), pa.array([len(codes)], pa.int64()), pa.array([_squeeze(codes)], pa.binary()), pa.array([len(words)], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["block", "seal", "rows", "sizes", "n", "codes", "words"])
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = shared.value
-        ids, at = right.column("ids").combine_chunks(), right.column("at").combine_chunks().to_numpy()
-        size = pc.binary_length(ids).to_numpy(zero_copy_only=False)
-        sealed, words = size == 0, size > 0
-        if left.num_rows != 1 or left.column("seal")[0].as_py() not in at[sealed] or not np.array_equal(np.sort(at[words]), np.arange(left.column("words")[0].as_py())):
+        seals = right.column("seal").drop_null().to_pylist()
+        parts = [_unsqueeze(x, w, w, n) for x, w, n in zip(right.column("ids").to_pylist(), right.column("words").to_pylist(), right.column("size").to_pylist()) if x is not None]
+        at = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(p[0]) for p in parts)]).astype(np.int64)
+        if left.num_rows != 1 or seals != left.column("seal").to_pylist() or not np.array_equal(np.sort(at), np.arange(left.column("words")[0].as_py())):
             raise ValueError("a block was made differently the second time; checkpoint the input first")
-        flat = np.frombuffer(b"".join(ids.to_pylist()), table.packed)
-        counts, starts = np.zeros(words.sum(), np.int64), np.zeros(words.sum(), np.int64)
-        counts[at[words]] = size[words] // table.packed.itemsize
-        starts[at[words]] = (np.cumsum(size) - size)[words] // table.packed.itemsize
-        planes = np.frombuffer(zstandard.decompress(left.column("codes")[0].as_py()), np.uint8).reshape(4, -1)
-        codes = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-        ends = np.frombuffer(left.column("ends")[0].as_py(), "<u4").astype(np.int64)
+        size = np.concatenate([np.zeros(0, "<u4"), *(p[1] for p in parts)]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, "<u4"), *(p[2] for p in parts)])
+        counts, starts = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        counts[at], starts[at] = size, np.cumsum(size) - size
         kept = left.column("rows").combine_chunks().flatten()
-        done = assemble(table.size, codes, ends, starts, counts, flat)
+        (codes,) = _unsqueeze(left.column("codes")[0].as_py(), left.column("n")[0].as_py())
+        (sizes,) = _unsqueeze(left.column("sizes")[0].as_py(), len(kept))
+        done = assemble(shared.value.size, codes.astype(np.int64), np.cumsum(sizes, dtype=np.int64), starts, counts, flat)
         return pa.table([*(kept.field(c) for c in keep), done], names=[*keep, out.split(" ")[0]])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     inner = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in keep) or "_: tinyint"
     asked = map_batches(rows, ask, "block long, at long, word string").repartition("word").sortWithinPartitions("word")
-    answers = map_batches(asked, answer, "block long, at long, ids binary", rows=10_000)
-    blocks = map_batches(rows, places, f"block long, seal long, rows array<struct<{inner}>>, ends binary, codes binary, words int")
+    answers = map_batches(asked, answer, "block long, seal long, words int, size int, ids binary", rows=10_000)
+    blocks = map_batches(rows, places, f"block long, seal long, rows array<struct<{inner}>>, sizes binary, n long, codes binary, words int")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(gather, f"{fields}{', ' if keep else ''}{out}")
 
 
@@ -248,58 +281,83 @@ def token_bytes(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
     return spark.createDataFrame(pa.table({"token": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())}))
 
 
-def _fold(batches):
-    """One row for each run of positions: the kept struct, the ids and their joined bytes."""
-
-    def out(held):
-        t = pa.Table.from_batches(held).combine_chunks()
-        place, n = t.column("pos").combine_chunks(), t.column("n").combine_chunks()
-        starts = np.flatnonzero((place.fill_null(0).to_numpy() == 0))
-        bounds = np.append(starts, t.num_rows)
-        tokens, data = t.column("token").combine_chunks(), t.column("bytes").combine_chunks()
-        sizes = n.take(pa.array(starts)).to_numpy()
-        if not np.array_equal(np.diff(bounds), np.maximum(sizes, 1)) or not np.array_equal(place.fill_null(0).to_numpy(), np.arange(t.num_rows) - np.repeat(starts, np.diff(bounds))):
-            raise ValueError("the positions of a text came apart")
-        if data.null_count != int((sizes <= 0).sum()):
-            raise ValueError("an id has no token")
-        null = pa.array(sizes < 0)
-        real = tokens.is_valid().to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(real)])[bounds]
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens.filter(pa.array(real)), mask=null)
-        data = data.fill_null(b"")
-        _, offsets, content = data.buffers()
-        at = np.frombuffer(offsets, np.int32)[data.offset : data.offset + len(data) + 1]
-        lengths, joined = at[bounds] - at[0], content.slice(at[0], at[-1] - at[0]) if content else b""
-        decoded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(lengths.astype(np.int32)), pa.py_buffer(joined)])
-        decoded = pc.if_else(null, pa.scalar(None, pa.binary()), decoded)
-        return pa.RecordBatch.from_arrays([t.column("kept").combine_chunks().take(pa.array(starts)), ids, decoded], names=["kept", "token_ids", "decoded"])
-
-    held = []
-    for b in batches:
-        first = np.flatnonzero(b.column("pos").fill_null(0).to_numpy() == 0)
-        if len(first):
-            if first[-1]:
-                held.append(b.slice(0, first[-1]))
-            if held:
-                yield out(held)
-            held = [b.slice(first[-1])]
-        else:
-            held.append(b)
-    if held:
-        yield out(held)
+def join_tokens(lists: pa.Array, tokens: pa.Array, data: pa.Array) -> pa.Array:
+    """The concatenated bytes of each list of ids, as the table of ``tokens`` and their bytes ``data`` has them."""
+    picked = data.take(pc.index_in(lists.flatten(), value_set=tokens))
+    if picked.null_count:
+        raise ValueError("an id has no token")
+    _, offsets, content = picked.buffers()
+    at = np.frombuffer(offsets, np.int64)[: len(picked) + 1] if len(picked) else np.zeros(1, np.int64)
+    bounds = at[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)]
+    if bounds[-1] > 0x7FFFFFFF:
+        raise ValueError("a chunk decodes to more than 2 GB")
+    whole = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(bounds.astype(np.int32)), content or pa.py_buffer(b"")])
+    return pc.if_else(lists.is_valid(), whole, pa.scalar(None, pa.binary())) if lists.null_count else whole
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes that the token-byte table has for ``token_ids``."""
     keep = [c for c in encoded.columns if c != "token_ids"]
     kept = F.struct(*keep) if keep else F.struct(F.lit(0).alias("_"))
-    kind = encoded.select(kept.alias("k")).schema["k"].dataType.simpleString()
-    n = F.when(F.col("token_ids").isNull(), -1).otherwise(F.size("token_ids"))
-    name = fresh_name(encoded, "_all_kept")
-    each = encoded.select(kept.alias(name), n.alias("n"), F.posexplode_outer("token_ids").alias("pos", "token"))
-    each = each.select(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col(name)).alias("kept"), "n", "pos", "token")
-    joined = each.join(F.broadcast(token_bytes(encoded.sparkSession, ranks)), "token", "left").select("kept", "n", "pos", "token", "bytes")
-    folded = map_batches(joined, _fold, f"kept {kind}, token_ids array<int>, decoded binary", rows=10_000)
+    rows = encoded.select(kept.alias("kept"), F.col("token_ids").cast("array<int>").alias("token_ids"))
+    kind = rows.schema["kept"].dataType.simpleString()
+
+    def ask(batches):
+        """Each chunk as one row, followed by a row for each of its distinct ids."""
+        held, n = [], 0
+
+        def out():
+            t = pa.Table.from_batches(held).combine_chunks()
+            lists = t.column("token_ids").combine_chunks()
+            size = pc.list_value_length(lists).fill_null(-1).to_numpy(zero_copy_only=False)
+            ids = lists.flatten().fill_null(-1).to_numpy()
+            seen = np.unique(ids)
+            structs = t.column("kept").combine_chunks()
+            first = [pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs), pa.array([size.astype("<i8").tobytes()], pa.binary()), pa.array([ids.astype("<i4").tobytes()], pa.binary()), pa.array([len(seen)], pa.int32()), pa.nulls(1, pa.int32())]
+            yield pa.RecordBatch.from_arrays(first, names=names)
+            if len(seen):
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(seen), a.type) for a in first[:4]), pa.array(seen, pa.int32())], names=names)
+
+        names = ["kept", "sizes", "ids", "distinct", "token"]
+        for b in batches:
+            held.append(b)
+            n += len(b.column(1).flatten())
+            if n >= CHUNK_IDS:
+                yield from out()
+                held, n = [], 0
+        if held:
+            yield from out()
+
+    def fold(batches):
+        chunk, tokens, data = None, [], []
+
+        def out():
+            if sum(map(len, tokens)) != chunk["distinct"][0].as_py():
+                raise ValueError("the rows of a chunk came apart")
+            size, ids = np.frombuffer(chunk["sizes"][0].as_py(), "<i8"), np.frombuffer(chunk["ids"][0].as_py(), "<i4")
+            ends = np.concatenate([[0], np.cumsum(np.maximum(size, 0))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids), mask=pa.array(size < 0))
+            table = pa.concat_arrays(tokens) if tokens else pa.array([], pa.int32()), pa.concat_arrays(data).cast(pa.large_binary()) if data else pa.array([], pa.large_binary())
+            return pa.RecordBatch.from_arrays([chunk["kept"].combine_chunks().flatten(), lists, join_tokens(lists, *table)], names=["kept", "token_ids", "decoded"])
+
+        for b in batches:
+            heads = np.flatnonzero(b.column("sizes").is_valid())
+            for i, j in zip([0, *heads], [*heads, b.num_rows]):
+                part = b.slice(i, j - i)
+                if i in heads and j > i:
+                    if chunk is not None:
+                        yield out()
+                    chunk, tokens, data = pa.Table.from_batches([part.slice(0, 1)]), [], []
+                    part = part.slice(1)
+                if part.num_rows:
+                    tokens.append(part.column("token"))
+                    data.append(part.column("bytes"))
+        if chunk is not None:
+            yield out()
+
+    chunks = map_batches(rows, ask, f"kept array<{kind}>, sizes binary, ids binary, distinct int, token int")
+    joined = chunks.join(F.broadcast(token_bytes(encoded.sparkSession, ranks)), "token", "left").select("kept", "sizes", "ids", "distinct", "token", "bytes")
+    folded = map_batches(joined, fold, f"kept {kind}, token_ids array<int>, decoded binary", rows=10_000)
     return folded.select(*(F.col(f"kept.`{c}`").alias(c) for c in keep), "token_ids", "decoded")
 
 

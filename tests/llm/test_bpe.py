@@ -39,9 +39,11 @@ def same_rows(got, want):
     assert sorted(key(r.doc_id, r.token_ids, r.decoded) for r in got) == sorted(key(r.doc_id, ORACLE.encode_ordinary(r.text or ""), (r.text or "").encode()) for r in want)
 
 
-@pytest.mark.parametrize("chars", [500, 4_000_000])
-def test_whole_round_trip(spark, odd_docs, chars, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK_CHARS", chars)
+@pytest.mark.parametrize("small", [True, False])
+def test_whole_round_trip(spark, odd_docs, small, monkeypatch):
+    if small:
+        for name, most in (("BLOCK_CHARS", 500), ("CHUNK_IDS", 100), ("ANSWERS", 30)):
+            monkeypatch.setattr(bpe, name, most)
     same_rows(bpe.decode(bpe.encode(odd_docs, RANKS), RANKS).collect(), odd_docs.select("doc_id", "text").collect())
 
 
