@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with one global shuffle of distinct words.
 
 Encoding. Every partition splits its texts into pre-tokens, block by block. A pre-token that the rank table holds whole
-is its own id. Every other pre-token of a block is named once, with its number in the block; a shuffle brings the rows
-of equal pre-tokens together, each distinct pre-token is encoded once, and its ids go back to all blocks that asked. A
-block's pre-tokens, written as ids and numbers by position, meet these answers in a second shuffle, where the texts are
-reassembled. A pre-token asks once a block however often it stands there, so no key has more rows than there are blocks.
+is its own id. Every other pre-token of a block is named once, with its number in the block. A shuffle by the hash of
+the pre-token, which moves those of one block and bucket as one packed row, and a sort bring equal ones together; each
+distinct pre-token is encoded once, and its ids go back to all blocks that asked. A block's pre-tokens, written as ids
+and numbers by position, meet these answers in a second shuffle, where the texts are reassembled. A pre-token asks once
+a block however often it stands there, so no key has more rows than there are blocks.
 
 A block closes at ``BLOCK_CHARS`` characters, so a task gathers at most that and its last text. Its key is its partition
 and its place in it, so no two blocks share one. Blocks are made twice, once for their questions and once for their
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.common import map_batches, read_table
 
-BLOCK_CHARS, CHUNK_IDS, ANSWERS = 16_000_000, 1_000_000, 200_000
+BLOCK_CHARS, CHUNK_IDS, ANSWERS = 4_000_000, 1_000_000, 200_000
 
 # White space as the tokenizer's library has it; letters and numbers below U+0250 spelled out, as the faster splitter
 # needs them. Texts with characters above go through the general pattern, which gives the same pieces.
@@ -176,13 +177,36 @@ def _met(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...], assemb
     rows = docs.select(*keep, "text")
     shared, most = docs.sparkSession.sparkContext.broadcast(Table(ranks)), BLOCK_CHARS  # the vocabulary
 
+    # several buckets a partition even out their sizes; a block has at most one row in each
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
     def ask(batches):
         for key, seal, *_, words in _blocks(batches, "text", shared.value, most):
             order = pc.sort_indices(words)  # neighbours compress well
+            asked, at = words.take(order), order.to_numpy()
+            bucket = np.array([xxhash.xxh64_intdigest(w) % buckets for w in asked.to_pylist()], np.int64)
+            by = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1)) if len(by) else np.zeros(1, int)
             # the empty word, which no text has, carries the seal
-            at = pa.concat_arrays([pa.array([seal], pa.int64()), order.cast(pa.int64())])
-            asked = pa.concat_arrays([pa.array([""], pa.string()), words.take(order)])
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key, pa.int64()), len(at)), at, asked], names=["block", "at", "word"])
+            rows = [(key, seal, key % buckets, 0, b"", b"")]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                mine = asked.take(pa.array(by[i:j]))
+                sizes = pc.binary_length(mine).to_numpy()
+                rows.append((key, None, int(bucket[by[i]]), j - i, _squeeze(at[by[i:j]], sizes), zstandard.compress("".join(mine.to_pylist()).encode(), 3)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), packed)], names=["block", "seal", "bucket", "n", "at", "words"])
+
+    def unpack(batches):
+        for b in batches:
+            for key, seal, _, n, at, words in zip(*(c.to_pylist() for c in b.columns)):
+                if not n:
+                    places, named = pa.array([seal], pa.int64()), pa.array([""], pa.string())
+                else:
+                    places, sizes = _unsqueeze(at, n, n)
+                    places = pa.array(places.astype(np.int64))
+                    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
+                    named = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(ends), pa.py_buffer(zstandard.decompress(words))])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key, pa.int64()), len(places)), places, named], names=["block", "at", "word"])
 
     def answer(batches):
         merge = encoding(shared.value.ranks).encode_ordinary
@@ -243,7 +267,8 @@ def _met(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...], assemb
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     inner = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in keep) or "_: tinyint"
-    asked = map_batches(rows, ask, "block long, at long, word string").repartition("word").sortWithinPartitions("word")
+    chunks = map_batches(rows, ask, "block long, seal long, bucket long, n int, at binary, words binary").repartition("bucket")
+    asked = map_batches(chunks, unpack, "block long, at long, word string").sortWithinPartitions("word")
     answers = map_batches(asked, answer, "block long, seal long, words int, size int, ids binary", rows=10_000)
     blocks = map_batches(rows, places, f"block long, seal long, rows array<struct<{inner}>>, sizes binary, n long, codes binary, words int")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(gather, f"{fields}{', ' if keep else ''}{out}")
