@@ -108,13 +108,16 @@ class Table:
         return self._open
 
 
+_COMPRESS, _EXPAND = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+
+
 def _squeeze(*columns: np.ndarray) -> bytes:
     """Columns of 32-bit numbers, byte plane by byte plane, compressed."""
-    return zstandard.compress(b"".join(np.ascontiguousarray(c, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns), 3)
+    return _COMPRESS(b"".join(np.ascontiguousarray(c, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns))
 
 
 def _unsqueeze(packed: bytes, *sizes: int) -> list[np.ndarray]:
-    raw, out, at = np.frombuffer(zstandard.decompress(packed), np.uint8), [], 0
+    raw, out, at = np.frombuffer(_EXPAND(packed), np.uint8), [], 0
     for n in sizes:
         out.append(np.ascontiguousarray(raw[at : at + 4 * n].reshape(4, n).T).view("<u4").ravel())
         at += 4 * n
@@ -172,13 +175,24 @@ def _blocks(batches, text: str, table: Table, most: int):
         yield close()
 
 
+#: A chunk of encoded texts: one row that packs them, followed by a row for each distinct id among them.
+_CHUNK = ("kept", "sizes", "ids", "distinct", "token")
+
+
+def _chunk(kept: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> pa.Table:
+    """The rows of one chunk: ``sizes`` is the number of ids of each text, -1 for a null list."""
+    seen = np.unique(ids)
+    first = [pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), pa.array([sizes.astype("<i8").tobytes()], pa.binary()), pa.array([ids.astype("<i4").tobytes()], pa.binary()), pa.array([len(seen)], pa.int32())]
+    columns = [*(pa.chunked_array([a, pa.nulls(len(seen), a.type)]) for a in first), pa.chunked_array([pa.nulls(1, pa.int32()), pa.array(seen, pa.int32())])]
+    return pa.table(columns, names=list(_CHUNK))
+
+
 def _met(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...], assemble, out: str) -> DataFrame:
     """Blocks of ``docs`` and the ids of the words they ask for, handed to ``assemble`` block by block."""
     rows = docs.select(*keep, "text")
     shared, most = docs.sparkSession.sparkContext.broadcast(Table(ranks)), BLOCK_CHARS  # the vocabulary
-
     # several buckets a partition even out their sizes; a block has at most one row in each
-    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def ask(batches):
@@ -193,7 +207,7 @@ def _met(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...], assemb
             for i, j in zip(cuts[:-1], cuts[1:]):
                 mine = asked.take(pa.array(by[i:j]))
                 sizes = pc.binary_length(mine).to_numpy()
-                rows.append((key, None, int(bucket[by[i]]), j - i, _squeeze(at[by[i:j]], sizes), zstandard.compress("".join(mine.to_pylist()).encode(), 3)))
+                rows.append((key, None, int(bucket[by[i]]), j - i, _squeeze(at[by[i:j]], sizes), _COMPRESS("".join(mine.to_pylist()).encode())))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), packed)], names=["block", "seal", "bucket", "n", "at", "words"])
 
     def unpack(batches):
@@ -205,7 +219,7 @@ def _met(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...], assemb
                     places, sizes = _unsqueeze(at, n, n)
                     places = pa.array(places.astype(np.int64))
                     ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
-                    named = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(ends), pa.py_buffer(zstandard.decompress(words))])
+                    named = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(ends), pa.py_buffer(_EXPAND(words))])
                 yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key, pa.int64()), len(places)), places, named], names=["block", "at", "word"])
 
     def answer(batches):
@@ -262,43 +276,72 @@ def _met(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...], assemb
         kept = left.column("rows").combine_chunks().flatten()
         (codes,) = _unsqueeze(left.column("codes")[0].as_py(), left.column("n")[0].as_py())
         (sizes,) = _unsqueeze(left.column("sizes")[0].as_py(), len(kept))
-        done = assemble(shared.value.size, codes.astype(np.int64), np.cumsum(sizes, dtype=np.int64), starts, counts, flat)
-        return pa.table([*(kept.field(c) for c in keep), done], names=[*keep, out.split(" ")[0]])
+        return assemble(shared.value.size, kept, codes, sizes, starts, counts, flat)
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    inner = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in keep) or "_: tinyint"
     chunks = map_batches(rows, ask, "block long, seal long, bucket long, n int, at binary, words binary").repartition("bucket")
     asked = map_batches(chunks, unpack, "block long, at long, word string").sortWithinPartitions("word")
     answers = map_batches(asked, answer, "block long, seal long, words int, size int, ids binary", rows=10_000)
-    blocks = map_batches(rows, places, f"block long, seal long, rows array<struct<{inner}>>, sizes binary, n long, codes binary, words int")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(gather, f"{fields}{', ' if keep else ''}{out}")
+    blocks = map_batches(rows, places, f"block long, seal long, rows array<{_kept_kind(docs, keep)}>, sizes binary, n long, codes binary, words int")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(gather, out)
+
+
+def _numbers(size: int, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The number of ids of each code."""
+    return np.concatenate([np.ones(size, np.int64), counts])[codes]
+
+
+def encode_chunks(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The encoded rows of ``docs`` in chunks, as ``decode_chunks`` takes them."""
+
+    def ids(size, kept, codes, sizes, starts, counts, flat):
+        bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        parts = [np.zeros(0, np.int32)]
+        step = np.zeros(len(codes) + 1, np.int64)
+        step[1:] = np.cumsum(_numbers(size, codes, counts))
+        ends = step[bounds[1:]] - step[bounds[:-1]]
+        for i in range(0, len(codes), 200_000):  # little at a time, as ids take several times a code's room
+            code = codes[i : i + 200_000].astype(np.int64)
+            n = np.diff(step[i : i + len(code) + 1])
+            asked = code >= size
+            out = np.repeat(np.where(asked, 0, code), n)
+            if asked.any():
+                from_ = starts[code[asked] - size]
+                m = n[asked]
+                out[np.repeat(asked, n)] = flat[np.repeat(from_ - np.cumsum(m) + m, m) + np.arange(m.sum())]
+            parts.append(out.astype(np.int32))
+        return _chunk(kept, ends, np.concatenate(parts))
+
+    return _met(docs, ranks, keep, ids, f"kept array<{_kept_kind(docs, keep)}>, sizes binary, ids binary, distinct int, token int")
+
+
+def _kept_kind(docs: DataFrame, keep: tuple[str, ...]) -> str:
+    return "struct<" + (", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in keep) or "_: tinyint") + ">"
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns and token_ids (array of int) of every row of ``docs``."""
 
-    def ids(size, codes, ends, starts, counts, flat):
-        n = np.where(codes < size, 1, counts[np.maximum(codes - size, 0)] if len(counts) else 1)
-        total = np.concatenate([[0], np.cumsum(n)])
-        asked = codes >= size
-        from_ = np.where(asked, starts[np.maximum(codes - size, 0)] if len(starts) else 0, 0) - total[:-1]
-        out = np.repeat(np.where(asked, 0, codes), n)
-        at = np.repeat(asked, n)
-        out[at] = flat[(np.repeat(from_, n) + np.arange(total[-1]))[at]]
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], total[ends]]), pa.int32()), pa.array(out.astype(np.int32)))
+    def unpack(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                size, ids = np.frombuffer(b.column(1)[i].as_py(), "<i8"), np.frombuffer(b.column(2)[i].as_py(), "<i4")
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1).flatten(), lists], names=["kept", "token_ids"])
 
-    return _met(docs, ranks, keep, ids, "token_ids array<int>")
+    chunks = encode_chunks(docs, ranks, keep).where("sizes is not null").select("kept", "sizes", "ids")
+    return map_batches(chunks, unpack, f"kept {_kept_kind(docs, keep)}, token_ids array<int>").select(*(F.col(f"kept.`{c}`").alias(c) for c in keep), "token_ids")
 
 
 def count_tokens(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...] = ("doc_id",), name: str = "n_tokens") -> DataFrame:
     """The ``keep`` columns and the number of token ids of every row of ``docs``."""
 
-    def number(size, codes, ends, starts, counts, flat):
-        n = np.where(codes < size, 1, counts[np.maximum(codes - size, 0)] if len(counts) else 1)
-        total = np.concatenate([[0], np.cumsum(n)])
-        return pa.array(np.diff(np.concatenate([[0], total[ends]])), pa.int64())
+    def number(size, kept, codes, sizes, starts, counts, flat):
+        total = np.concatenate([[0], np.cumsum(_numbers(size, codes, counts))])
+        done = np.diff(total[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])])
+        return pa.table([*(kept.field(c) for c in keep), pa.array(done, pa.int64())], names=[*keep, name])
 
-    return _met(docs, ranks, keep, number, f"{name} long")
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return _met(docs, ranks, keep, number, f"{fields}`{name}` long")
 
 
 def token_bytes(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
@@ -323,36 +366,37 @@ def join_tokens(lists: pa.Array, tokens: pa.Array, data: pa.Array) -> pa.Array:
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes that the token-byte table has for ``token_ids``."""
     keep = [c for c in encoded.columns if c != "token_ids"]
-    kept = F.struct(*keep) if keep else F.struct(F.lit(0).alias("_"))
+    kept = F.struct(*keep) if keep else F.struct(F.lit(0).cast("tinyint").alias("_"))
     rows = encoded.select(kept.alias("kept"), F.col("token_ids").cast("array<int>").alias("token_ids"))
-    kind = rows.schema["kept"].dataType.simpleString()
+    most = CHUNK_IDS
 
-    def ask(batches):
-        """Each chunk as one row, followed by a row for each of its distinct ids."""
+    def pack(batches):
         held, n = [], 0
 
         def out():
             t = pa.Table.from_batches(held).combine_chunks()
             lists = t.column("token_ids").combine_chunks()
             size = pc.list_value_length(lists).fill_null(-1).to_numpy(zero_copy_only=False)
-            ids = lists.flatten().fill_null(-1).to_numpy()
-            seen = np.unique(ids)
-            structs = t.column("kept").combine_chunks()
-            first = [pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs), pa.array([size.astype("<i8").tobytes()], pa.binary()), pa.array([ids.astype("<i4").tobytes()], pa.binary()), pa.array([len(seen)], pa.int32()), pa.nulls(1, pa.int32())]
-            yield pa.RecordBatch.from_arrays(first, names=names)
-            if len(seen):
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(seen), a.type) for a in first[:4]), pa.array(seen, pa.int32())], names=names)
-
-        names = ["kept", "sizes", "ids", "distinct", "token"]
+            yield from _chunk(t.column("kept").combine_chunks(), size, lists.flatten().fill_null(-1).to_numpy()).to_batches()
+
         for b in batches:
             held.append(b)
             n += len(b.column(1).flatten())
-            if n >= CHUNK_IDS:
+            if n >= most:
                 yield from out()
                 held, n = [], 0
         if held:
             yield from out()
 
+    chunks = map_batches(rows, pack, f"kept array<{rows.schema['kept'].dataType.simpleString()}>, sizes binary, ids binary, distinct int, token int")
+    return decode_chunks(chunks, ranks)
+
+
+def decode_chunks(chunks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """The kept columns, token_ids and ``decoded`` of every text in ``chunks``."""
+    kept = chunks.schema["kept"].dataType.elementType
+    kind, keep = kept.simpleString(), [c for c in kept.names if c != "_"]
+
     def fold(batches):
         chunk, tokens, data = None, [], []
 
@@ -380,8 +424,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         if chunk is not None:
             yield out()
 
-    chunks = map_batches(rows, ask, f"kept array<{kind}>, sizes binary, ids binary, distinct int, token int")
-    joined = chunks.join(F.broadcast(token_bytes(encoded.sparkSession, ranks)), "token", "left").select("kept", "sizes", "ids", "distinct", "token", "bytes")
+    joined = chunks.join(F.broadcast(token_bytes(chunks.sparkSession, ranks)), "token", "left").select("kept", "sizes", "ids", "distinct", "token", "bytes")
     folded = map_batches(joined, fold, f"kept {kind}, token_ids array<int>, decoded binary", rows=10_000)
     return folded.select(*(F.col(f"kept.`{c}`").alias(c) for c in keep), "token_ids", "decoded")
 
@@ -394,6 +437,6 @@ def public_ranks() -> dict[bytes, int]:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_ranks()
-    both = decode(encode(read_table(spark, sf_dir, "documents"), ranks), ranks)
+    both = decode_chunks(encode_chunks(read_table(spark, sf_dir, "documents"), ranks), ranks)
     ids = F.concat_ws(" ", F.col("token_ids").cast("array<string>"))
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -44,7 +44,9 @@ def test_whole_round_trip(spark, odd_docs, small, monkeypatch):
     if small:
         for name, most in (("BLOCK_CHARS", 500), ("CHUNK_IDS", 100), ("ANSWERS", 30)):
             monkeypatch.setattr(bpe, name, most)
-    same_rows(bpe.decode(bpe.encode(odd_docs, RANKS), RANKS).collect(), odd_docs.select("doc_id", "text").collect())
+    want = odd_docs.select("doc_id", "text").collect()
+    same_rows(bpe.decode(bpe.encode(odd_docs, RANKS), RANKS).collect(), want)
+    same_rows(bpe.decode_chunks(bpe.encode_chunks(odd_docs, RANKS), RANKS).collect(), want)
 
 
 @pytest.mark.parametrize("doc_id", [1, None])
