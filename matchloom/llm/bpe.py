@@ -108,16 +108,24 @@ class Table:
         return self._open
 
 
-_COMPRESS, _EXPAND = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+_ZSTD = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
+def _compress(raw: bytes) -> bytes:
+    return _ZSTD[0].compress(raw)
+
+
+def _expand(raw: bytes) -> bytes:
+    return _ZSTD[1].decompress(raw)
 
 
 def _squeeze(*columns: np.ndarray) -> bytes:
     """Columns of 32-bit numbers, byte plane by byte plane, compressed."""
-    return _COMPRESS(b"".join(np.ascontiguousarray(c, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns))
+    return _compress(b"".join(np.ascontiguousarray(c, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns))
 
 
 def _unsqueeze(packed: bytes, *sizes: int) -> list[np.ndarray]:
-    raw, out, at = np.frombuffer(_EXPAND(packed), np.uint8), [], 0
+    raw, out, at = np.frombuffer(_expand(packed), np.uint8), [], 0
     for n in sizes:
         out.append(np.ascontiguousarray(raw[at : at + 4 * n].reshape(4, n).T).view("<u4").ravel())
         at += 4 * n
@@ -207,7 +215,7 @@ def _met(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...], assemb
             for i, j in zip(cuts[:-1], cuts[1:]):
                 mine = asked.take(pa.array(by[i:j]))
                 sizes = pc.binary_length(mine).to_numpy()
-                rows.append((key, None, int(bucket[by[i]]), j - i, _squeeze(at[by[i:j]], sizes), _COMPRESS("".join(mine.to_pylist()).encode())))
+                rows.append((key, None, int(bucket[by[i]]), j - i, _squeeze(at[by[i:j]], sizes), _compress("".join(mine.to_pylist()).encode())))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), packed)], names=["block", "seal", "bucket", "n", "at", "words"])
 
     def unpack(batches):
@@ -219,7 +227,7 @@ def _met(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...], assemb
                     places, sizes = _unsqueeze(at, n, n)
                     places = pa.array(places.astype(np.int64))
                     ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
-                    named = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(ends), pa.py_buffer(_EXPAND(words))])
+                    named = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(ends), pa.py_buffer(_expand(words))])
                 yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key, pa.int64()), len(places)), places, named], names=["block", "at", "word"])
 
     def answer(batches):
