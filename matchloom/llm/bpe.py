@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import map_batches, read_table
+from matchloom.llm.common import give_back, map_batches, read_table
 
 BLOCK_CHARS, CHUNK_IDS, ANSWERS = 4_000_000, 1_000_000, 200_000
 
@@ -284,7 +284,9 @@ def _met(docs: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...], assemb
         kept = left.column("rows").combine_chunks().flatten()
         (codes,) = _unsqueeze(left.column("codes")[0].as_py(), left.column("n")[0].as_py())
         (sizes,) = _unsqueeze(left.column("sizes")[0].as_py(), len(kept))
-        return assemble(shared.value.size, kept, codes, sizes, starts, counts, flat)
+        done = assemble(shared.value.size, kept, codes, sizes, starts, counts, flat)
+        give_back()
+        return done
 
     chunks = map_batches(rows, ask, "block long, seal long, bucket long, n int, at binary, words binary").repartition("bucket")
     asked = map_batches(chunks, unpack, "block long, at long, word string").sortWithinPartitions("word")
