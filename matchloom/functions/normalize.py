@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,11 @@ def percent(c: Column) -> Column:
 
 
 def kill_ratio(kills: Column, deaths: Column, cap: float | None = None) -> Column:
-    """kills / max(deaths, 1), at most ``cap``; malformed parts count as zero kills and one death."""
-    r = F.coalesce(to_double(kills), F.lit(0.0)) / F.greatest(F.coalesce(to_double(deaths), F.lit(0.0)), F.lit(1.0))
+    """kills / max(deaths, 1), at most ``cap``. Missing and empty parts count as none; a malformed one makes the ratio 0."""
+    raw = [c.cast("string") for c in (kills, deaths)]
+    k, d = (F.when(c.isNull() | (c == ""), F.lit(0.0)).otherwise(to_double(c)) for c in raw)
+    r = F.coalesce(k / F.greatest(d + F.lit(0.0), F.lit(1.0)), F.lit(0.0))
+    r = F.when(k.isNull() | d.isNull(), F.lit(0.0)).otherwise(r)
     return F.least(r, F.lit(float(cap))) if cap is not None else r
 
 
@@ -47,10 +52,10 @@ def finite(c: Column) -> Column:
 
 
 def year_and_source(event: Column, date: Column, patch_years: dict[int, int]) -> tuple[Column, Column]:
-    """The year of a match and where it comes from: a year 2010-2029 in the event or date, else the patch's year."""
+    """The year of a match and where it comes from: a year 2010-2029 in the event or date, else that of the date's patch."""
     found = F.regexp_extract(F.coalesce(event, F.lit("")), r"(20[12]\d)", 1).try_cast("int")
     dated = F.regexp_extract(F.coalesce(date, F.lit("")), r"(20[12]\d)", 1).try_cast("int")
-    major = F.regexp_extract(F.coalesce(event, F.lit("")), r"Patch (\d+)\.\d+", 1).try_cast("int")
+    major = F.regexp_extract(F.coalesce(date, F.lit("")), r"Patch (\d+)\.\d+", 1).try_cast("int")
     patch = F.lit(None).cast("int")
     for number, year in patch_years.items():
         patch = F.when(major == number, year).otherwise(patch)
@@ -145,3 +150,36 @@ def side_won(side: Column, label: Column) -> Column:
 
 def match_label(date: Column, map_name: Column, team_a: Column, team_b: Column, key: Column) -> Column:
     return F.concat_ws(" | ", null_clean(date), map_name, F.concat_ws(" vs ", team_a, team_b), key)
+
+
+#: How a feature's name reads: the first rule that fits gives the label, {0} and {1} being its groups.
+LABEL_RULES = (
+    (r"(map|player)_agent_history_missing", "No {0}-agent history"),
+    (r"map_atk_adv", "Map attack advantage"),
+    (r"map_(?!agent_)(.+)", "Map: {0}"),
+    (r"role_(.+)_count", "{0} picks"),
+    (r"agent_other_count", "Other agents' picks"),
+    (r"agent_(.+)_count", "{0} picks"),
+    (r"prior_games_mean", "Players' mean games of earlier years"),
+    (r"prior_(.+)_mean", "Players' mean {0} of earlier years"),
+    (r"synergy_mean", "Mean games played together"),
+    (r"(map|player)_agent_(.+)_mean", "Mean {1} of earlier years by {0} and agent"),
+    (r"agent_map_fit(?:_sum)?", "Fit of agents to the map"),
+    (r"role_balance", "Balance of roles"),
+    (r"has_(.+)", "Has a {0}"),
+    (r"double_(.+)", "Two or more {0}s"),
+)
+
+
+def feature_label(name: str, words: dict[str, str] | None = None) -> str:
+    """A feature's name for people: the side or difference it is about, and its rule's text.
+
+    ``words`` names maps, roles, agents and statistics; what it lacks is shown as it stands. A name without a rule is
+    returned as it is.
+    """
+    words = words or {}
+    side, rest = next(((t, name[len(p) :]) for p, t in (("a_", "Team A: "), ("b_", "Team B: "), ("diff_", "A over B: ")) if name.startswith(p)), ("", name))
+    for pattern, text in LABEL_RULES:
+        if m := re.fullmatch(pattern, rest):
+            return side + text.format(*(words.get(g, g.replace("_", " ")) for g in m.groups()))
+    return side + words[rest] if rest in words else name

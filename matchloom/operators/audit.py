@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.operators.conform import allowed_source
-from matchloom.operators.features import forbidden_names
+from matchloom.operators.features import forbidden_names, key
 
 
 def quality_report(matches: DataFrame, players: DataFrame, key: str, dedup_key: str, side: str, size: int, score_a: str, score_b: str, kd: str, cap: float = 10.0) -> DataFrame:
@@ -44,19 +45,51 @@ def earliest_period_leak(df: DataFrame, period: str, history: Sequence[str]) ->
 
 
 def trust_report(df: DataFrame, split: str, key: str, year: str, features: Sequence[str], expected: int, prefixes: Sequence[str], source: str = "source") -> dict:
-    """Feature count, forbidden names, sources, key overlap and year order of a split frame, and the list of failures."""
-    n = df.groupBy(split).agg(F.count("*").alias("n"), F.min(year).alias("lo"), F.max(year).alias("hi")).collect()  # one row a split
-    by = {r[split]: r for r in n}
-    both = df.groupBy(key).agg(F.count_distinct(split).alias("k")).agg(F.count_if(F.col("k") > 1).alias("n")).first().n
-    bad = df.agg(F.count_if(~allowed_source(F.col(source), prefixes)).alias("n")).first().n
+    """Feature count, forbidden names, sources, key overlap and year order of a split frame, and the list of failures. One scan."""
+    sides = ("train", "test")
+    bad = ~allowed_source(F.col(source), prefixes)
+    each = [F.count_if(F.col(split) == s).alias(f"n_{s}") for s in sides] + [f(F.when(F.col(split) == s, F.col(year))).alias(f"{n}_{s}") for s in sides for n, f in (("lo", F.min), ("hi", F.max))]
+    keys = df.groupBy(key).agg(*each, F.count_if(bad).alias("bad"), F.array_sort(F.collect_set(F.when(bad, F.col(source)))).alias("sources"))
+    one = keys.agg(
+        *(F.sum(f"n_{s}").alias(f"n_{s}") for s in sides), *(f(f"{n}_{s}").alias(f"{n}_{s}") for s in sides for n, f in (("lo", F.min), ("hi", F.max))),
+        F.sum("bad").alias("bad"), F.count_if((F.col("n_train") > 0) & (F.col("n_test") > 0)).alias("overlap"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
+    ).first()
     checks = {
         "feature_count": len(features) == expected,
         "no_forbidden_names": not forbidden_names(features),
-        "sources_allowed": bad == 0,
-        "no_overlap": both == 0,
-        "train_before_test": {"train", "test"} <= by.keys() and by["train"].hi < by["test"].lo,
+        "sources_allowed": not one.bad,
+        "no_overlap": not one.overlap,
+        "train_before_test": bool(one.n_train and one.n_test and one.hi_train < one.lo_test),
     }
-    return {"rows": {k: r.n for k, r in by.items()}, "checks": checks, "failures": [k for k, ok in checks.items() if not ok]}
+    return {
+        "rows": {s: one[f"n_{s}"] or 0 for s in sides}, "years": {s: (one[f"lo_{s}"], one[f"hi_{s}"]) for s in sides}, "overlap": one.overlap, "bad_sources": list(one.sources or ()),
+        "forbidden": forbidden_names(features), "checks": checks, "failures": [k for k, ok in checks.items() if not ok],
+    }
+
+
+def advanced_gate(trust: dict, model_features: dict[str, int], meta: dict, flips: int | None, collisions: int | None, auc: float | None, expected: int = 179, gate: float = 0.6182) -> dict:
+    """The ten checks before a model is used, each passed, warned of, skipped or failed, and the verdict.
+
+    ``trust`` is a ``trust_report``; ``model_features`` the input width of each member; ``meta`` has feature_contract,
+    n_features and weights. ``flips`` and ``collisions`` are counts, None where there is no table to count in; collisions
+    never fail. Trust failures and a low AUC both fail the gate, and are told apart.
+    """
+    weights = meta.get("weights")
+    state = lambda ok: "passed" if ok else "failed"
+    checks = {
+        "feature_count": state(trust["checks"]["feature_count"]),
+        "forbidden_names": state(trust["checks"]["no_forbidden_names"]),
+        "split_overlap": state(trust["checks"]["no_overlap"]),
+        "sources": state(trust["checks"]["sources_allowed"]),
+        "model_width": state(all(n == expected for n in model_features.values())),
+        "meta_contract": state(meta.get("feature_contract") == "advanced" and meta.get("n_features") == expected),
+        "weights": state(isinstance(weights, (list, tuple)) and len(weights) == 3 and all(w > 0 for w in weights)),
+        "perspective_flips": "skipped" if flips is None else state(flips == 0),
+        "case_collisions": "skipped" if collisions is None else "passed" if collisions == 0 else "warned",
+        "auc": state(auc is not None and auc >= gate),
+    }
+    trust_failures = [k for k, v in checks.items() if v == "failed" and k != "auc"]
+    return {"checks": checks} | final_verdict(trust_failures, auc, gate)
 
 
 def final_verdict(trust_failures: Sequence[str], auc: float | None, gate: float = 0.6182) -> dict:
@@ -67,40 +100,81 @@ def final_verdict(trust_failures: Sequence[str], auc: float | None, gate: float
     return {"verdict": verdict, "failures": failures, "exit_code": int(bool(failures))}
 
 
-def valid_lineups(lineup_a: str = "lineup_a", lineup_b: str = "lineup_b", size: int = 5) -> Column:
-    """Both lineups have ``size`` entries with player and agent, no player twice among all, no agent twice on one side."""
-    players = F.concat(F.transform(lineup_a, lambda s: F.lower(F.trim(s["player"]))), F.transform(lineup_b, lambda s: F.lower(F.trim(s["player"]))))
-    ok = (F.size(lineup_a) == size) & (F.size(lineup_b) == size) & (F.size(F.array_distinct(players)) == 2 * size) & ~F.array_contains(players, "")
+def valid_lineups(lineup_a: str = "lineup_a", lineup_b: str = "lineup_b", size: int = 5, agents: Sequence[str] | None = None) -> Column:
+    """Both lineups have ``size`` entries, no player is there twice among all, and no agent twice on one side.
+
+    Players are compared trimmed and in lower case. Agents are compared by letters and digits only, so that their
+    spellings agree; with ``agents``, the known ones, others don't count.
+    """
+    name = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    players = F.concat(*(F.transform(side, lambda s: name(s["player"])) for side in (lineup_a, lineup_b)))
+    ok = (F.size(lineup_a) == size) & (F.size(lineup_b) == size) & (F.size(F.array_distinct(players)) == F.size(players))
     for side in (lineup_a, lineup_b):
-        agents = F.transform(side, lambda s: F.lower(F.trim(s["agent"])))
-        ok = ok & (F.size(F.array_distinct(agents)) == size) & ~F.array_contains(agents, "")
+        keys = F.transform(side, lambda s: F.regexp_replace(name(s["agent"]), "[^a-z0-9]", ""))
+        keys = F.filter(keys, lambda k: (k != "") if agents is None else k.isin(*(key(a) for a in agents)))
+        ok = ok & (F.size(F.array_distinct(keys)) == F.size(keys))
+    return F.coalesce(ok, F.lit(False))
+
+
+def valid_requests(map_name: str = "map", year: str = "cutoff_year", lineup_a: str = "team_a", lineup_b: str = "team_b", size: int = 5) -> Column:
+    """A map, a year of 2000 to 2099, and two lineups of ``size`` entries whose player and agent are not empty."""
+    ok = F.col(map_name).isNotNull() & F.col(year).between(2000, 2099)
+    for side in (lineup_a, lineup_b):
+        ok = ok & (F.size(side) == size) & F.forall(side, lambda s: (F.length(s["player"]) > 0) & (F.length(s["agent"]) > 0))
     return F.coalesce(ok, F.lit(False))
 
 
 def balance_warnings(duelists: Column, initiators: Column, controllers: Column, sentinels: Column) -> Column:
-    """The warnings that hold for a side's role counts, in a fixed order."""
+    """code and severity of the warnings that hold for a side's role counts, in a fixed order."""
     rules = [
-        (controllers == 0, "no_controller"), (initiators == 0, "no_initiator"), (sentinels == 0, "no_sentinel"),
-        (duelists == 0, "no_duelist"), (duelists >= 3, "many_duelists"),
+        (controllers == 0, "no_controller", "high"), (sentinels >= 3, "too_many_sentinel", "high"), (duelists == 0, "no_duelist", "medium"),
+        (initiators == 0, "no_initiator", "medium"), (duelists >= 4, "too_many_duelist", "low"),
     ]
-    return F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in rules)))
-
-
-def explanations(deltas: dict[str, float], labels: dict[str, str], limit: int = 4) -> list[str]:
-    """Up to ``limit`` sentences on the largest differences, one for each base of a feature name."""
-    out, seen = [], set()
-    for name, d in sorted(deltas.items(), key=lambda x: (-abs(x[1]), x[0])):
-        base = name.removeprefix("diff_").removeprefix("a_").removeprefix("b_")
-        if base in seen or not d:
+    return F.array_compact(F.array(*(F.when(c, F.struct(F.lit(n).alias("code"), F.lit(v).alias("severity"))) for c, n, v in rules)))
+
+
+#: What a family of features is called in a sentence, and how its difference reads.
+SENTENCES = (
+    ("prior_games", "games of earlier years", "{:.0f} games"),
+    ("prior_kd", "mean K/D", "{:.2f}"),
+    ("prior_adr", "damage a round", "{:.1f}"),
+    ("prior_kast", "KAST", "{:.0%}"),
+    ("synergy", "games played together", ""),
+    ("map_agent", "experience with their agents on this map", ""),
+    ("player_agent", "experience with their agents", ""),
+)
+
+
+def explanations(values: dict[str, float], ranked: Sequence[str], limit: int = 4) -> list[dict]:
+    """Up to ``limit`` sentences (feature, text, magnitude) on what sets the sides apart.
+
+    A difference of a game or more in earlier games leads. Then come the features of ``ranked``, most important first,
+    one for each base, as far as a family of ``SENTENCES`` covers them and the sides differ.
+    """
+    base_of = lambda f: re.sub(r"^[ab]_|_mean$", "", f)
+    gap = lambda base: values.get(f"a_{base}_mean", 0.0) - values.get(f"b_{base}_mean", 0.0)
+    told = lambda f, text, d: {"feature": f, "text": f"Team {'A' if d > 0 else 'B'} {text}", "magnitude": abs(d)}
+    out, seen = [], []
+    lead = gap("prior_games")
+    if abs(lead) >= 1:
+        out.append(told("prior_games", f"leads by {abs(lead):.0f} games of earlier years", lead))
+        seen.append("prior_games")
+    for feature in ranked:
+        base = base_of(feature)
+        family = next((x for x in SENTENCES if x[0] in base), None)
+        d = gap(base)
+        if len(out) >= limit or any(base.startswith(b) for b in seen) or not family or abs(d) < 1e-9:
             continue
-        seen.add(base)
-        out.append(f"Team {'A' if d > 0 else 'B'} is ahead in {labels.get(base, base.replace('_', ' '))}.")
-        if len(out) == limit:
-            break
+        by = f" by {family[2].format(abs(d))}" if family[2] else ""
+        out.append(told(feature, f"leads in {family[1]}{by}", d))
+        seen.append(base)
     return out
 
 
 def vector_message(names: Sequence[str], mine: Sequence[Column], theirs: Sequence[Column], win_rate: Column) -> Column:
-    """What sets a composition's role counts apart, and its win rate."""
-    parts = [F.when(a != b, F.concat(F.lit(n), F.lit(" "), F.format_string("%+d", (a - b).cast("int")))) for n, a, b in zip(names, mine, theirs, strict=True)]
-    return F.concat_ws("; ", F.concat_ws(", ", *parts), F.concat(F.format_number(win_rate * 100, 1), F.lit("% wins")))
+    """What sets a composition's role counts apart from the nearest one, and how often that one wins."""
+    d = [(a - b).cast("int") for a, b in zip(mine, theirs, strict=True)]
+    parts = [F.when(x > 0, F.format_string(f"%d more {n}", x)).when(x < 0, F.format_string(f"%d fewer {n}", -x)) for n, x in zip(names, d)]
+    told = F.concat_ws(", ", *parts)
+    head = F.when(told == "", F.lit("as the composition that wins most")).otherwise(told)
+    return F.concat(head, F.format_string(" (nearest composition wins %.0f%%)", win_rate * 100))

@@ -148,3 +148,22 @@ def contains_all(c: Column, query: str) -> Column:
     """Whether a text holds every word of a query, in any case."""
     words = query.lower().split()
     return reduce(lambda a, b: a & b, (F.lower(c).contains(w) for w in words), F.lit(True))
+
+
+def with_player_groups(scores: DataFrame, players: DataFrame, on: Sequence[str], team_a: str, team_b: str, team: str, fields: Sequence[str], size: int = 5) -> DataFrame:
+    """Score rows with the players of both teams as arrays players_a and players_b, where both teams have at least ``size``.
+
+    Players are grouped once by ``on`` and team and joined twice; a group is one team's players of one game.
+    """
+    groups = players.groupBy(*on, team).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct(*fields))).alias("_players")).where(F.col("_n") >= size)
+    out = scores
+    for side, name in (("a", team_a), ("b", team_b)):
+        mine = groups.select(*(F.col(k).alias(f"_{k}") for k in on), F.col(team).alias("_team"), F.col("_players").alias(f"players_{side}"))
+        same = reduce(lambda x, y: x & y, (F.col(k) == F.col(f"_{k}") for k in on), F.col(name) == F.col("_team"))
+        out = out.join(mine, same).drop(*(f"_{k}" for k in on), "_team")
+    return out
+
+
+def inner_merge(facts: DataFrame, other: DataFrame, on: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Facts with the sums of ``measures`` over the rows of ``other`` that share their key; facts without any go."""
+    return facts.join(other.groupBy(*on).agg(*(F.sum(m).alias(m) for m in measures)), list(on))

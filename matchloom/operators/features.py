@@ -14,10 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIDES = ("a", "b")
+# The names that make up the contracts.
 STATS = ("kd", "kast", "adr", "apr", "fkpr", "fdpr", "clutch")
-FORM_SIZES = (5, 10)
-PAIR_STATS = ("pair_games", "pair_known", "previous_overlap")
-OUTCOMES = ("games", "success", "margin")
+RELIABILITY = (
+    "known_player_ratio", "low_sample_player_ratio", "map_agent_games_mean", "map_agent_known_ratio", "player_agent_games_mean",
+    "player_agent_known_ratio", "history_coverage_mean",
+)
+TEAM = ("team_games", "team_success", "team_margin_mean", "team_map_games", "team_map_success", "team_map_margin_mean", "team_event_games", "team_event_success")
+FORM = ("team_form5_success", "team_form5_margin_mean", "team_form10_success", "team_form10_margin_mean")
+ROSTER = ("roster_pair_games_mean", "roster_pair_known_ratio", "roster_prev_overlap_ratio")
+COMP = ("comp_games", "comp_success", "comp_low_sample_ratio")
+#: name -> the two bases whose product it is
+PRODUCTS = {
+    "prior_kd_x_history_coverage": ("prior_kd_mean", "history_coverage_mean"),
+    "player_agent_kd_x_known_ratio": ("player_agent_kd_mean", "player_agent_known_ratio"),
+    "agent_map_fit_x_known_ratio": ("agent_map_fit_sum", "map_agent_known_ratio"),
+}
 
 
 def key(name: str) -> str:
@@ -32,8 +44,8 @@ def one_hot_names(prefix: str, values: Sequence[str]) -> list[str]:
     return [f"{prefix}_{key(v)}" for v in values]
 
 
-def count_names(values: Sequence[str]) -> list[str]:
-    return sided([f"{key(v)}_count" for v in values])
+def count_names(kind: str, values: Sequence[str]) -> list[str]:
+    return sided([f"{kind}_{key(v)}_count" for v in values])
 
 
 def history_bases(scope: str, stats: Sequence[str]) -> list[str]:
@@ -43,24 +55,29 @@ def history_bases(scope: str, stats: Sequence[str]) -> list[str]:
 def baseline_contract(maps: Sequence[str], roles: Sequence[str], agents: Sequence[str]) -> list[str]:
     """Map one-hots, role and agent counts, prior means with games, synergy, and map-agent and player-agent means."""
     prior = ["prior_games_mean", *history_bases("prior", STATS)]
-    return [*one_hot_names("map", maps), *count_names(roles), *count_names(agents), *sided(prior), *sided(["synergy_mean"]), *sided(history_bases("map_agent", STATS)), *sided(history_bases("player_agent", STATS))]
+    return [
+        *one_hot_names("map", maps), *count_names("role", roles), *count_names("agent", sorted(map(key, agents))), *sided(prior), *sided(["synergy_mean"]),
+        *sided(history_bases("map_agent", STATS)), *sided(history_bases("player_agent", STATS)),
+    ]
 
 
 def advanced_contract(maps: Sequence[str]) -> list[str]:
-    """The chronological contract; it has no composition counts and no clutch, and adds reliability, team, form, roster and composition context."""
+    """The chronological contract: no composition counts and no clutch; reliability, team, form, roster and composition context."""
     stats = [s for s in STATS if s != "clutch"]
-    reliability = ["history_coverage", "low_history_ratio", "map_agent_coverage", "map_agent_games_mean", "player_agent_coverage", "player_agent_games_mean", "reliability_mean"]
-    context = [f"{t}_{o}" for t in ("team", "team_map") for o in OUTCOMES] + ["team_event_games", "team_event_success"]
-    form = [f"form{n}_{o}" for n in FORM_SIZES for o in ("success", "margin")]
     return [
         *one_hot_names("map", maps), *sided(["prior_games_mean", *history_bases("prior", stats)]), *sided(["synergy_mean"]),
         *sided(history_bases("map_agent", stats)), *sided(history_bases("player_agent", stats)), "map_agent_history_missing", "player_agent_history_missing",
-        "map_attack_advantage", *sided(["agent_map_fit"]), *sided(["role_balance"], diff=False), *sided(["has_controller", "has_initiator", "double_duelist"], diff=False),
-        *sided(["comp_win_rate"]), *sided(["max_kd", "std_kd"]), *sided(reliability), *sided(context), *sided(form), *sided(PAIR_STATS),
-        *sided(["comp_games", "comp_success", "comp_low_sample"]), *sided(["kd_x_coverage", "player_agent_kd_x_known", "fit_x_known"]),
+        "map_atk_adv", "a_agent_map_fit_sum", "b_agent_map_fit_sum", "diff_agent_map_fit", *sided(["role_balance"], diff=False),
+        *sided(["has_controller", "has_initiator", "double_duelist"], diff=False), *sided(["comp_meta_wr"]), *sided(["max_prior_kd", "std_prior_kd"]),
+        *sided(RELIABILITY), *sided(TEAM), *sided(FORM), *sided(ROSTER), *sided(COMP), *sided(tuple(PRODUCTS)),
     ]
 
 
+def family_names(values: Sequence[str]) -> list[str]:
+    """a_, b_ and diff_ of each agent or role."""
+    return sided([key(v) for v in values])
+
+
 def check_contract(columns: Sequence[str], size: int) -> list[str]:
     """``columns`` if they are ``size`` different names; an error otherwise."""
     if len(columns) != size or len(set(columns)) != size:
@@ -130,9 +147,20 @@ def coverage(df: DataFrame, match: str, side: str, games: str, low: int = 5) ->
     return df.groupBy(match, side).agg(F.avg((F.col(games) > 0).cast("double")).alias("history_coverage"), F.avg((F.col(games) < low).cast("double")).alias("low_history_ratio"))
 
 
-FORBIDDEN = (r"(^|_)score($|_)", r"(^|_)label($|_)", r"(^|_)winner($|_)", r"(^|_)result($|_)", r"(^|_)rounds_won($|_)", r"(^|_)post_match", r"(^|_)target($|_)", r"(^|_)acs($|_)")
+# What names of columns that the match itself decides look like.
+FORBIDDEN = (
+    r"(^|_)score(_|$)",
+    r"winner|result|round",
+    r"(^|_)(acs|kills|deaths|assists|hs)($|_)",
+    r"(^|_)team_[ab]($|_)",
+    r"h2h|prior_wr|map_wr|recent5_wr",
+    r"map_prior|agent_prior|recent5",
+    r"atk_side|is_attacker",
+    r"^[ab]_p[1-5]_",
+)
 
 
 def forbidden_names(columns: Sequence[str], patterns: Sequence[str] = FORBIDDEN) -> list[str]:
     """Columns whose names say that they come from the match itself."""
-    return [c for c in columns if any(re.search(p, c.lower()) for p in patterns)]
+    found = re.compile("|".join(f"(?:{p})" for p in patterns))
+    return [c for c in columns if found.search(c.lower())]

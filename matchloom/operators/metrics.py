@@ -24,30 +24,51 @@ def score_table(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -
     return df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum((1 - F.col(label)).cast("long")).alias("neg"))
 
 
+def running(t: DataFrame, by: Sequence[str], order: str, values: Sequence[str], descending: bool = False, parts: int = 64) -> DataFrame:
+    """``t`` with before_<v>, the sum of each value over the rows that come earlier in ``order``, which is unique in a group.
+
+    Each group is cut at ``parts`` - 1 approximate quantiles; a part sums its own rows in order and starts from the sums of
+    the parts before it. The sums are exact whatever the quantiles are; only one row a part meets in one place.
+    """
+    cuts = t.groupBy(*by).agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("_cuts"))
+    if by:
+        placed = t.join(cuts.select(*(F.col(c).alias(f"_by_{c}") for c in by), "_cuts"), [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]).drop(*(f"_by_{c}" for c in by))
+    else:
+        placed = t.crossJoin(F.broadcast(cuts))  # one row
+    part = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+    placed = placed.withColumn("_part", -part if descending else part).drop("_cuts")
+    sums = placed.groupBy(*by, "_part").agg(*(F.sum(v).alias(f"_{v}") for v in values))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_part").alias("_p"), *(F.coalesce(F.sum(f"_{v}").over(earlier), F.lit(0)).alias(f"_start_{v}") for v in values))
+    rows = Window.partitionBy(*by, "_part").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.select("*", *(F.coalesce(F.sum(v).over(rows), F.lit(0)).alias(f"_in_{v}") for v in values))
+    joined = inside.join(starts, [F.col("_part") == F.col("_p"), *(F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by)])
+    return joined.select(*t.columns, *((F.col(f"_start_{v}") + F.col(f"_in_{v}")).alias(f"before_{v}") for v in values))
+
+
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """The area under the ROC curve with ties counted half; null where a class is missing."""
-    t = score_table(df, score, label, by)
-    w = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = t.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    g = below.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
+    below = running(score_table(df, score, label, by), by, "s", ["neg"])
+    g = below.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return g.select(*by, F.try_divide(F.col("u"), F.col("np") * F.col("nn")).alias("auc"))
 
 
 def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """threshold, fpr, tpr and Youden's J at each distinct score, highest first."""
+    """threshold, fpr, tpr, Youden's J and ``place`` from 0 at each distinct score, highest first."""
     t = score_table(df, score, label)
-    w, whole = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    r = t.select(F.col("s").alias("threshold"), (F.sum("neg").over(w) / F.sum("neg").over(whole)).alias("fpr"), (F.sum("pos").over(w) / F.sum("pos").over(whole)).alias("tpr"))
+    total = F.broadcast(t.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn")))  # one row
+    r = running(t.withColumn("one", F.lit(1)), (), "s", ["pos", "neg", "one"], descending=True).crossJoin(total)
+    share = lambda c, n: F.try_divide(F.col(f"before_{c}") + F.col(c), F.col(n))
+    r = r.select(F.col("s").alias("threshold"), share("neg", "nn").alias("fpr"), share("pos", "np").alias("tpr"), F.col("before_one").cast("long").alias("place"))
     return r.withColumn("j", F.col("tpr") - F.col("fpr"))
 
 
-def thinned(curve: DataFrame, order: str, points: int = 260, descending: bool = True) -> DataFrame:
-    """At most ``points`` evenly spaced rows, the first and last included."""
-    by = F.desc(order) if descending else F.asc(order)
-    n = curve.withColumns({"_i": F.row_number().over(Window.orderBy(by)) - 1, "_n": F.count("*").over(Window.partitionBy())})
-    here = F.floor(F.col("_i") * (points - 1) / (F.col("_n") - 1))
-    before = F.floor((F.col("_i") - 1) * (points - 1) / (F.col("_n") - 1))
-    return n.where((F.col("_n") <= points) | (F.col("_i") == 0) | (here != before)).drop("_i", "_n")
+def thinned(curve: DataFrame, points: int = 260, place: str = "place") -> DataFrame:
+    """The rows at ``points`` evenly spaced places, rounded down, the first and last included; all rows of a shorter curve."""
+    n = curve.count()
+    if n <= points:
+        return curve
+    return curve.where(F.col(place).isin(*{int(k * (n - 1) / (points - 1)) for k in range(points)}))
 
 
 def single_feature_auc(df: DataFrame, features: Sequence[str], label: str, problem: float = 0.95, warn: float = 0.85) -> DataFrame:
@@ -74,15 +95,23 @@ def deltas(metrics: DataFrame, model: str, ensemble: str, baseline: str, value:
     return one.select("best_single", (F.col("e") - F.col("best")).alias("gain_over_single"), (F.col("e") - F.col("b")).alias("gain_over_baseline"))
 
 
-def weight_search(df: DataFrame, members: Sequence[str], label: str, grid: Sequence[float]) -> DataFrame:
+def weight_search(df: DataFrame, members: Sequence[str], label: str, grid: Sequence[float], digits: int = 4) -> DataFrame:
     """AUC of every weighted soft vote over a grid, best first; earlier weights win ties.
 
-    The weights are a small broadcast table, so each row is expanded in place, and scores are combined map-side.
+    Members' scores are rounded to ``digits`` and rows of equal scores and label are counted before the weights, a small
+    broadcast table, expand them; votes are rounded alike and combined map-side. So what a weighting shuffles is bounded by
+    the different votes, not by the rows.
     """
     from itertools import product
 
     combos = [tuple(map(float, w)) for w in product(grid, repeat=len(members)) if sum(w) > 0]
     table = F.broadcast(df.sparkSession.createDataFrame([(i, list(w), float(sum(w))) for i, w in enumerate(combos)], "i int, weights array<double>, total double"))
+    known = df.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("y"), *(F.round(m, digits).alias(m) for m in members))
+    counted = known.groupBy("y", *members).agg(F.count("*").alias("n"))
     vote = sum((F.col(m) * F.col("weights")[k] for k, m in enumerate(members)), F.lit(0.0)) / F.col("total")
-    long = df.select(F.col(label).alias("y"), *members).crossJoin(table).select("y", "i", F.round(vote, 9).alias("p"))
-    return auc(long, "p", "y", ["i"]).join(table, "i").select("i", "weights", "auc").orderBy(F.desc("auc"), "i")
+    votes = counted.crossJoin(table).where(vote.isNotNull()).select("i", F.round(vote, digits).alias("s"), "y", "n")
+    t = votes.groupBy("i", "s").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg"))
+    below = running(t, ["i"], "s", ["neg"], parts=2)
+    g = below.groupBy("i").agg(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
+    scored = g.select("i", F.try_divide(F.col("u"), F.col("np") * F.col("nn")).alias("auc"))
+    return scored.join(table, "i").select("i", "weights", "auc").orderBy(F.desc("auc"), "i")

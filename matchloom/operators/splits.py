@@ -8,9 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def stable_hash(key: Column, seed: int = 42) -> Column:
+    """A number in [0, 2^60) from the SHA-1 of key and seed; null for a null key."""
+    digest = F.sha1(F.concat(key.cast("string"), F.lit(f"|{seed}")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def hash_unit(key: Column, seed: int = 42) -> Column:
     """A number in [0, 1) that depends on the key and seed only."""
-    return F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return F.pmod(stable_hash(key, seed), F.lit(1 << 30)) / float(1 << 30)
 
 
 def hashed_split(df: DataFrame, key: str, train: float = 0.8, seed: int = 42, membership: DataFrame | None = None) -> DataFrame:
@@ -22,22 +28,27 @@ def hashed_split(df: DataFrame, key: str, train: float = 0.8, seed: int = 42, me
     return df.join(old, key, "left").withColumn("split", F.coalesce("_old", fresh)).drop("_old")
 
 
-def boundary_year(df: DataFrame, year: str, ratio: float = 0.2) -> DataFrame:
-    """The first year of the test block: of all but the earliest year, that whose rows from there on are nearest to
-    ``ratio`` of all; the latest such year at ties. One row a year reaches the windows."""
-    n = df.where(F.col(year).isNotNull()).groupBy(year).agg(F.count("*").alias("n"))
+def boundary_year(df: DataFrame, year: str, key: str, ratio: float = 0.2) -> DataFrame:
+    """The first year of the test block: of all but the earliest year, that whose keys from there on are nearest to
+    ``ratio`` of all; the latest such year at ties. A key counts once, in its first year. One row a year reaches the windows."""
+    firsts = df.where(F.col(year).isNotNull()).groupBy(key).agg(F.min(year).alias(year))
+    n = firsts.groupBy(year).agg(F.count("*").alias("n"))
     w = Window.orderBy(F.desc(year)).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy()
     marked = n.select(F.col(year).alias("y"), F.sum("n").over(w).alias("cum"), F.sum("n").over(whole).alias("total"), F.min(year).over(whole).alias("first"))
     return marked.where("y > first").agg(F.min_by("y", F.struct(F.abs(F.col("cum") - ratio * F.col("total")), -F.col("y"))).alias("test_from_year"))
 
 
-def chrono_split(df: DataFrame, year: str, test_from: int | None = None, ratio: float = 0.2) -> DataFrame:
-    """Rows with ``split``: train before the boundary year, test from it on; rows without a year go. A single year is an error."""
+def chrono_split(df: DataFrame, year: str, key: str = "match_key", test_from: int | None = None, ratio: float = 0.2) -> DataFrame:
+    """Rows with ``split``: train before the boundary year, test from it on; rows without a year go. A split without rows is an error."""
     if test_from is None:
-        test_from = boundary_year(df, year, ratio).first()[0]
-    if test_from is None:
-        raise ValueError("the rows have fewer than two years")
+        test_from = boundary_year(df, year, key, ratio).first()[0]
+        if test_from is None:
+            raise ValueError("the rows have fewer than two years")
+    else:
+        years = df.agg(F.min(year).alias("lo"), F.max(year).alias("hi")).first()
+        if years.lo is None or not years.lo < test_from <= years.hi:
+            raise ValueError(f"years {years.lo} to {years.hi} leave a split empty at {test_from}")
     return df.where(F.col(year).isNotNull()).withColumn("split", F.when(F.col(year) >= test_from, "test").otherwise("train"))
 
 
@@ -47,24 +58,36 @@ def fit_and_validation(df: DataFrame, year: str, validation_year: int) -> tuple[
 
 def folds(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:
     """``fold`` 0..k-1, the same for all rows of a group."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(group).cast("string"), F.lit(seed)), F.lit(k)).cast("int"))
+    return df.withColumn("fold", F.pmod(stable_hash(F.col(group), seed), F.lit(k)).cast("int"))
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows by the hash of their key: the same rows on any partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(n)
+    return df.orderBy(stable_hash(F.col(key), seed), key).limit(n)
+
+
+def numbered(df: DataFrame, order: Column, name: str, bits: int = 10) -> DataFrame:
+    """``df`` with a gapless number from 0 in the order of ``order``, a ``stable_hash``, and then of the whole row.
+
+    Hashes are even, so their leading ``bits`` deal the rows to groups of like size; a group sorts itself and starts where
+    the ones before it end. Only one count a group meets in one place, whatever the number of rows.
+    """
+    ranked = df.withColumns({"_h": order, "_g": F.shiftright(order, 60 - bits)})
+    sizes = ranked.groupBy("_g").agg(F.count("*").alias("_c"))
+    starts = sizes.select(F.col("_g").alias("_k"), F.coalesce(F.sum("_c").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    inside = ranked.withColumn("_i", F.row_number().over(Window.partitionBy("_g").orderBy("_h", *df.columns)) - 1)
+    return inside.join(F.broadcast(starts), F.col("_g") == F.col("_k")).withColumn(name, F.col("_s") + F.col("_i")).drop("_h", "_g", "_k", "_s", "_i")
 
 
 def shuffled_labels(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
-    """Each row with the label of another: labels keep their counts but lose their rows.
+    """Each row with the label of the row that stands at its place in another random order, over all rows at once.
 
-    Rows are numbered within hash buckets, so no single task sorts them all.
+    The order is of key and label, so rows of one key are dealt apart; null keys have places of their own.
     """
-    bucket = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed + 1)), F.lit(1024))
-    rows = df.withColumn("_b", bucket)
-    a = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
-    b = rows.select("_b", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key)).alias("_n"), F.col(label).alias("_l"))
-    return a.join(b, ["_b", "_n"]).withColumn(label, F.col("_l")).drop("_b", "_n", "_l")
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    places = numbered(df, stable_hash(text, seed), "_n")
+    dealt = numbered(df.select(key, label), stable_hash(text, seed + 1), "_n").select("_n", F.col(label).alias("_l"))
+    return places.join(dealt, "_n").withColumn(label, F.col("_l")).drop("_n", "_l")
 
 
 def overlap(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

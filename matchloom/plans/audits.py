@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchloom.operators import audit, metrics, splits
+from matchloom.functions.normalize import feature_label
+from matchloom.operators import audit, conform, features, metrics, reports, splits
 from matchloom.plans.bindings import A, M, P, appearances, matches, participants, table
 from matchloom.plans.insight import _PROB, probabilities
 from matchloom.plans.registry import collector
 from matchloom.sources import tables
 
 QUERIES, ORACLES, query = collector()
-_B = "n AS (SELECT year, count(*) AS n FROM m GROUP BY ALL), c AS (SELECT year, sum(n) OVER (ORDER BY year DESC) AS cum, sum(n) OVER () AS total, min(year) OVER () AS first FROM n), b AS (SELECT year AS test_from_year FROM c WHERE year > first ORDER BY abs(cum - 0.2E0 * total), year DESC LIMIT 1)"
+_B = "n AS (SELECT year, count(*) AS n FROM (SELECT match_key, min(year) AS year FROM m WHERE year IS NOT NULL GROUP BY match_key) GROUP BY year), c AS (SELECT year, sum(n) OVER (ORDER BY year DESC) AS cum, sum(n) OVER () AS total, min(year) OVER () AS first FROM n), b AS (SELECT year AS test_from_year FROM c WHERE year > first ORDER BY abs(cum - 0.2E0 * total), year DESC LIMIT 1)"
 
 
 @query(f"WITH {M}, {_B} SELECT test_from_year FROM b")
 def o109_boundary_year(spark, sf):
-    return splits.boundary_year(matches(spark, sf), "year")
+    return splits.boundary_year(matches(spark, sf), "year", "match_key")
 
 
 @query(f"WITH {M}, {_B} SELECT match_key, CASE WHEN year >= test_from_year THEN 'test' ELSE 'train' END AS split FROM m, b")
@@ -43,34 +44,42 @@ def o88_split_summary(spark, sf):
     return s.withColumns({"label_mean": F.round("label_mean", 6), "rows_by_year": F.array_join(entries, ",")})
 
 
-@query()
+def _hash(key: str, seed: int = 42) -> str:
+    return f"CAST(('0x' || substr(sha1(concat(CAST({key} AS VARCHAR), '|{seed}')), 1, 15)) AS BIGINT)"
+
+
+_UNIT = f"{_hash('match_key')} % {1 << 30} / {float(1 << 30)}E0"
+
+
+@query(f"WITH {M} SELECT match_key, CASE WHEN {_UNIT} < 0.8 THEN 'train' ELSE 'test' END AS split FROM m")
 def o108_hashed_split(spark, sf):
     return splits.hashed_split(matches(spark, sf).select("match_key"), "match_key")
 
 
-@query(f"WITH {M}, old AS (SELECT match_key FROM m WHERE year = 1996) SELECT match_key, 'test' AS split FROM old")
+@query(f"WITH {M} SELECT match_key, CASE WHEN year = 1996 THEN 'test' WHEN {_UNIT} < 0.8 THEN 'train' ELSE 'test' END AS split FROM m")
 def o108_membership_split(spark, sf):
-    """Keys of an earlier membership keep their split; only those are shown, as the rest is hashed."""
+    """Keys of an earlier membership, here the matches of 1996, keep their split; the others are hashed."""
     m = matches(spark, sf).select("match_key", "year")
     old = m.where("year = 1996").select("match_key", F.lit("test").alias("split"))
-    return splits.hashed_split(m, "match_key", membership=old).where("year = 1996").select("match_key", "split")
+    return splits.hashed_split(m, "match_key", membership=old).select("match_key", "split")
 
 
-@query()
+@query(f"WITH {M} SELECT match_key, team, CAST({_hash('team')} % 5 AS INTEGER) AS fold FROM m")
 def o111_folds(spark, sf):
     return splits.folds(matches(spark, sf).select("match_key", "team"), "team")
 
 
-@query()
+@query(f"WITH {M} SELECT match_key, label FROM m ORDER BY {_hash('match_key')}, match_key LIMIT 500")
 def o112_sample(spark, sf):
     return splits.sample_rows(matches(spark, sf).select("match_key", "label"), "match_key", 500)
 
 
-@query(f"WITH {M} SELECT label, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY label")
+_DEAL = "row_number() OVER (ORDER BY {}, match_key, label) AS n"
+
+
+@query(f"WITH {M}, a AS (SELECT match_key, {_DEAL.format(_hash('match_key'))} FROM m), b AS (SELECT label, {_DEAL.format(_hash('match_key', 43))} FROM m) SELECT match_key, label FROM a JOIN b USING (n)")
 def o113_shuffled_labels(spark, sf):
-    """A shuffle of labels keeps their counts."""
-    s = splits.shuffled_labels(matches(spark, sf).select("match_key", "label"), "match_key", "label")
-    return s.groupBy("label").agg(F.count("*").alias("n"))
+    return splits.shuffled_labels(matches(spark, sf).select("match_key", "label"), "match_key", "label")
 
 
 _CONF = "CAST(count(*) FILTER (prob < 0.5 AND y = 0) AS BIGINT) AS tn, CAST(count(*) FILTER (prob >= 0.5 AND y = 0) AS BIGINT) AS fp, CAST(count(*) FILTER (prob < 0.5 AND y = 1) AS BIGINT) AS fn, CAST(count(*) FILTER (prob >= 0.5 AND y = 1) AS BIGINT) AS tp"
@@ -87,15 +96,18 @@ def o120_auc(spark, sf):
     return metrics.auc(probabilities(spark, sf), "prob", "y").withColumn("auc", F.round("auc", 8))
 
 
-@query(f"{_PROB}, t AS (SELECT prob, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY ALL), r AS (SELECT prob AS threshold, CAST(sum(neg) OVER (ORDER BY prob DESC) AS DOUBLE) / sum(neg) OVER () AS fpr, CAST(sum(pos) OVER (ORDER BY prob DESC) AS DOUBLE) / sum(pos) OVER () AS tpr FROM t) SELECT threshold, round(fpr, 8) AS fpr, round(tpr, 8) AS tpr, round(tpr - fpr, 8) AS j FROM r")
+@query(f"{_PROB}, t AS (SELECT prob, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY ALL), r AS (SELECT prob AS threshold, CAST(sum(neg) OVER (ORDER BY prob DESC) AS DOUBLE) / sum(neg) OVER () AS fpr, CAST(sum(pos) OVER (ORDER BY prob DESC) AS DOUBLE) / sum(pos) OVER () AS tpr FROM t) SELECT threshold, round(fpr, 8) AS fpr, round(tpr, 8) AS tpr, round(tpr - fpr, 8) AS j, row_number() OVER (ORDER BY threshold DESC) - 1 AS place FROM r")
 def o120_roc_curve(spark, sf):
     return metrics.roc_curve(probabilities(spark, sf), "prob", "y").withColumns({c: F.round(c, 8) for c in ("fpr", "tpr", "j")})
 
 
-@query(f"{_PROB} SELECT CAST(count(DISTINCT prob) <= 260 OR count(DISTINCT prob) > 260 AS BOOLEAN) AS bounded FROM s")
+_POINTS = "i AS (SELECT DISTINCT CAST(floor(k * (n - 1) / 259.0E0) AS BIGINT) AS place FROM range(260) t(k), (SELECT count(*) AS n FROM r))"
+
+
+@query(f"{_PROB}, t AS (SELECT prob, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY ALL), r AS (SELECT prob AS threshold, CAST(sum(neg) OVER (ORDER BY prob DESC) AS DOUBLE) / sum(neg) OVER () AS fpr, CAST(sum(pos) OVER (ORDER BY prob DESC) AS DOUBLE) / sum(pos) OVER () AS tpr, row_number() OVER (ORDER BY prob DESC) - 1 AS place FROM t), {_POINTS} SELECT threshold, round(fpr, 8) AS fpr, round(tpr, 8) AS tpr, place FROM r WHERE place IN (SELECT place FROM i) OR (SELECT count(*) FROM r) <= 260")
 def o101_thinned_curve(spark, sf):
-    t = metrics.thinned(metrics.roc_curve(probabilities(spark, sf), "prob", "y"), "threshold", 260)
-    return t.agg((F.count("*") <= 260).alias("bounded"))
+    t = metrics.thinned(metrics.roc_curve(probabilities(spark, sf), "prob", "y"), 260)
+    return t.select("threshold", F.round("fpr", 8).alias("fpr"), F.round("tpr", 8).alias("tpr"), "place")
 
 
 _AUC = "SELECT '{0}' AS feature, y, CAST({0} AS DOUBLE) AS x FROM d"
@@ -124,9 +136,11 @@ def o142_deltas(spark, sf):
     return d.withColumns({c: F.round(c, 6) for c in ("gain_over_single", "gain_over_baseline")})
 
 
-@query(f"WITH {P}, s AS (SELECT match_key, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b FROM p GROUP BY ALL) SELECT (SELECT CAST(count(*) AS BIGINT) FROM orders) AS n_matches, CAST(0 AS BIGINT) AS duplicate_keys, (SELECT CAST(count(*) - count(DISTINCT o_custkey) AS BIGINT) FROM orders) AS duplicate_dedup_keys, CAST(0 AS BIGINT) AS zero_scores, (SELECT CAST(count(*) AS BIGINT) FROM p) AS n_players, (SELECT CAST(count(*) AS BIGINT) FROM p WHERE qty > 40) AS clipped, CAST(count(*) FILTER (a = 2 AND b = 2) AS BIGINT) AS \"full\", CAST(count(*) FILTER (a <> 2 OR b <> 2) AS BIGINT) AS incomplete FROM s")
+@query(f"WITH {M}, {P}, d AS (SELECT *, match_key % 4 AS sa, match_key % 7 AS sb FROM m UNION ALL SELECT *, match_key % 4, match_key % 7 FROM m WHERE map LIKE '1%'), s AS (SELECT match_key, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b FROM p GROUP BY ALL) SELECT (SELECT CAST(count(*) AS BIGINT) FROM d) AS n_matches, (SELECT CAST(count(*) - count(DISTINCT match_key) AS BIGINT) FROM d) AS duplicate_keys, (SELECT CAST(count(*) - count(DISTINCT team) AS BIGINT) FROM d) AS duplicate_dedup_keys, (SELECT CAST(count(*) FILTER (sa = 0 OR sb = 0) AS BIGINT) FROM d) AS zero_scores, (SELECT CAST(count(*) AS BIGINT) FROM p) AS n_players, (SELECT CAST(count(*) AS BIGINT) FROM p WHERE qty > 40) AS clipped, CAST(count(*) FILTER (a = 2 AND b = 2) AS BIGINT) AS \"full\", CAST(count(*) FILTER (a <> 2 OR b <> 2) AS BIGINT) AS incomplete FROM s")
 def o127_quality_report(spark, sf):
-    m = matches(spark, sf).withColumns({"sa": F.lit(1), "sb": F.lit(2)})
+    """Urgent matches come twice; scores are residues of the key, so some are zero."""
+    m = matches(spark, sf)
+    m = m.unionByName(m.where("map like '1%'")).withColumns({"sa": F.col("match_key") % 4, "sb": F.col("match_key") % 7})
     return audit.quality_report(m, participants(spark, sf), "match_key", "team", "side", 2, "sa", "sb", "qty", 40.0)
 
 
@@ -165,15 +179,19 @@ def o94_point_lookup(spark, sf):
     return tables.history_get(table(spark, sf, "orders"), 77, "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def o144_json_projection(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+@query(f"WITH {P}, l AS (SELECT match_key, side, string_agg(CAST(player AS VARCHAR), ',' ORDER BY part, line, player) AS players, string_agg(agent, ',' ORDER BY part, line, player) AS agents FROM p GROUP BY ALL) SELECT match_key, coalesce(max(players) FILTER (side = 'a'), '') AS players_a, coalesce(max(agents) FILTER (side = 'a'), '') AS agents_a, coalesce(max(players) FILTER (side = 'b'), '') AS players_b, coalesce(max(agents) FILTER (side = 'b'), '') AS agents_b FROM l GROUP BY match_key")
+def o144_request_lists(spark, sf):
+    """Each match's participants as a stored request, and the lists read back from its JSON."""
+    slot = F.struct("part", "line", F.col("player").cast("string").alias("player"), "agent")
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, slot))), lambda x: F.struct(x["player"], x["agent"])).alias(f"team_{s}") for s in "ab"]  # a match's own participants
+    stored = participants(spark, sf).groupBy("match_key").agg(*lists).select("match_key", F.to_json(F.struct("team_a", "team_b")).alias("request_json"))
+    r = tables.request_lists(stored)
+    return r.select("match_key", *(F.array_join(c, ",").alias(c) for c in ("players_a", "agents_a", "players_b", "agents_b")))
 
 
-@query("SELECT n_nationkey, concat('{\"n_name\":\"', n_name, '\",\"n_regionkey\":', CAST(n_regionkey AS VARCHAR), '}') AS json FROM nation")
+@query("SELECT concat('{\"n_nationkey\":', CAST(n_nationkey AS VARCHAR), ',\"n_name\":\"', n_name, '\",\"n_regionkey\":', CAST(n_regionkey AS VARCHAR), '}') AS json FROM nation")
 def o08_json_rows(spark, sf):
-    n = table(spark, sf, "nation")
-    return n.select("n_nationkey", F.to_json(F.struct("n_name", "n_regionkey")).alias("json"))
+    return tables.as_json(table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"))
 
 
 @query("SELECT event_id, value FROM events WHERE isfinite(value)")
@@ -205,5 +223,80 @@ def o131_valid_lineups(spark, sf):
 
 @query(f"WITH {M}, {P}, s AS (SELECT match_key, sum(qty) AS qty FROM p GROUP BY match_key) SELECT match_key, year, map, qty FROM m JOIN s USING (match_key)")
 def o56_inner_merge(spark, sf):
-    sums = participants(spark, sf).groupBy("match_key").agg(F.sum("qty").alias("qty"))
-    return matches(spark, sf).select("match_key", "year", "map").join(sums, "match_key")
+    return conform.inner_merge(matches(spark, sf).select("match_key", "year", "map"), participants(spark, sf).select("match_key", "qty"), ["match_key"], ["qty"])
+
+
+@query(f"WITH {M}, {P}, g AS (SELECT match_key, side, string_agg(CAST(player AS VARCHAR), ',' ORDER BY player, agent) AS players FROM p GROUP BY ALL HAVING count(*) >= 2) SELECT m.match_key, map, x.players AS players_a, y.players AS players_b FROM m JOIN g x ON m.match_key = x.match_key AND x.side = 'a' JOIN g y ON m.match_key = y.match_key AND y.side = 'b'")
+def o47_player_groups(spark, sf):
+    """Matches with the players of both sides, where both have at least two."""
+    scores = matches(spark, sf).select("match_key", "map", F.lit("a").alias("team_a"), F.lit("b").alias("team_b"))
+    g = conform.with_player_groups(scores, participants(spark, sf), ["match_key"], "team_a", "team_b", "side", ["player", "agent"], 2)
+    names = lambda c: F.array_join(F.transform(c, lambda x: x["player"].cast("string")), ",")
+    return g.select("match_key", "map", names("players_a").alias("players_a"), names("players_b").alias("players_b"))
+
+
+_NAMES = ["a_kills", "h2h_wr", "map_prior_wr", "a_p1_kd", "round_diff", "team_a_id", "recent5_wr", "a_score", "winner", "hs", "acs_mean", "b_is_attacker", "prior_kd", "score", "a_prior_kd_mean", "map_one", "synergy_mean", "team_games", "a_team_b"]
+_LEAKS = "regexp_matches(name, '(^|_)score(_|$)|winner|result|round|(^|_)(acs|kills|deaths|assists|hs)($|_)|(^|_)team_[ab]($|_)|h2h|prior_wr|map_wr|recent5_wr|map_prior|agent_prior|recent5|atk_side|is_attacker|^[ab]_p[1-5]_')"
+
+
+@query(f"SELECT name FROM (SELECT unnest({_NAMES}) AS name UNION ALL SELECT column_name FROM (DESCRIBE orders)) WHERE {_LEAKS}")
+def o39_forbidden_names(spark, sf):
+    found = features.forbidden_names([*_NAMES, *table(spark, sf, "orders").columns])
+    return spark.createDataFrame([(n,) for n in found], "name string")
+
+
+@query("SELECT user_id, event_id, event_type IS NOT NULL AND user_id % 120 + 1990 BETWEEN 2000 AND 2099 AND user_id % 3 <> 0 AND user_id % 7 <> 0 AS valid FROM events")
+def o150_valid_requests(spark, sf):
+    """Requests made of events: every third has a short lineup, every seventh an empty player."""
+    u = F.col("user_id")
+    slot = F.struct(F.when(u % 7 == 0, "").otherwise("p").alias("player"), F.lit("x").alias("agent"))
+    e = table(spark, sf, "events").select("user_id", "event_id", F.col("event_type").alias("map"), (u % 120 + 1990).alias("cutoff_year"), F.array_repeat(slot, 5).alias("team_a"), F.array_repeat(slot, F.when(u % 3 == 0, 4).otherwise(5)).alias("team_b"))
+    return e.select("user_id", "event_id", audit.valid_requests().alias("valid"))
+
+
+_TRUST = f"WITH {M}, {_B}, s AS (SELECT *, CASE WHEN year >= test_from_year THEN 'test' ELSE 'train' END AS split, CASE WHEN team % 10 = 0 THEN 'other_x' ELSE 'kaggle_x' END AS source FROM m, b)"
+
+
+@query(f"{_TRUST} SELECT CAST(count(*) FILTER (split = 'train') AS BIGINT) AS n_train, CAST(count(*) FILTER (split = 'test') AS BIGINT) AS n_test, (SELECT CAST(count(*) AS BIGINT) FROM (SELECT team FROM s GROUP BY team HAVING count(DISTINCT split) > 1)) AS overlap, 'feature_count,sources_allowed,no_overlap' AS failures, 'feature_count,split_overlap,sources,weights,auc' AS gate_failures, 'untrusted' AS verdict FROM s")
+def o128_o130_o152_trust(spark, sf):
+    """The trust report over teams, with a foreign source, and the gate that it fails."""
+    s = splits.chrono_split(matches(spark, sf), "year")
+    s = s.withColumn("source", F.when(F.col("team") % 10 == 0, "other_x").otherwise("kaggle_x"))
+    r = audit.trust_report(s, "split", "team", "year", ["prior_kd_mean", "a_role_balance"], 179, ["kaggle_", "vlrgg_"])
+    g = audit.advanced_gate(r, {"rf": 179, "gbt": 179}, {"feature_contract": "advanced", "n_features": 179, "weights": [2.0, 0.0, 1.0]}, 0, None, 0.6)
+    failed = ",".join(k for k, v in g["checks"].items() if v == "failed")
+    row = (r["rows"]["train"], r["rows"]["test"], r["overlap"], ",".join(r["failures"]), failed, g["verdict"])
+    return spark.createDataFrame([row], "n_train long, n_test long, overlap long, failures string, gate_failures string, verdict string")
+
+
+_METRICS = '{"models":{"rf":{"train":{"auc":0.91,"acc":0.8,"f1":0.79},"test":{"auc":0.6965,"acc":0.64,"f1":0.65,"confusion_matrix":[[5,2],[3,6]]}},"gbt":{"test":{"auc":0.7007}},"none":{}},"train_auc":0.9,"test_auc":0.701,"test_acc":0.6454,"test_f1":0.6478}'
+
+
+def _metrics(spark):
+    return spark.sql("select 1").select(F.from_json(F.lit(_METRICS), reports.METRICS).alias("m")).select("m.*")
+
+
+@query("SELECT * FROM (VALUES ('rf', 0.91E0, 0.6965E0, 0.64E0, 0.65E0, '5,2,3,6'), ('gbt', NULL, 0.7007E0, NULL, NULL, NULL)) t(name, train_auc, test_auc, acc, f1, cells)")
+def o146_member_rows(spark, sf):
+    r = reports.member_rows(_metrics(spark))
+    return r.select("name", "train_auc", "test_auc", "acc", "f1", F.when(F.col("confusion_matrix").isNotNull(), F.array_join(F.flatten("confusion_matrix").cast("array<string>"), ",")).alias("cells"))
+
+
+@query("SELECT 421 AS baseline_feature_count, 0.5943E0 AS baseline_test_auc, 0.5667E0 AS baseline_test_acc, 0.6072E0 AS baseline_test_f1, 0.701E0 AS advanced_test_auc, 0.6454E0 AS advanced_test_acc, 0.6478E0 AS advanced_test_f1, round(0.701E0 - 0.5943E0, 6) AS delta_test_auc, 0.701E0 AS primary_auc, 0.9E0 AS secondary_auc, 'Train AUC' AS secondary_label")
+def o146_o153_against_baseline(spark, sf):
+    m = _metrics(spark)
+    b = reports.against_baseline(m).withColumn("delta_test_auc", F.round("delta_test_auc", 6))
+    return b.crossJoin(reports.headline(m).select("primary_auc", "secondary_auc", "secondary_label"))  # two rows of one
+
+
+_LABELS = {
+    "map_atk_adv": "Map attack advantage", "map_bind": "Map: Bind", "a_role_duelist_count": "Team A: duelist picks", "b_agent_kayo_count": "Team B: KAY/O picks",
+    "diff_prior_kd_mean": "A over B: Players' mean K/D of earlier years", "a_synergy_mean": "Team A: Mean games played together", "b_map_agent_adr_mean": "Team B: Mean adr of earlier years by map and agent",
+    "player_agent_history_missing": "No player-agent history", "diff_agent_map_fit": "A over B: Fit of agents to the map", "a_has_controller": "Team A: Has a controller", "unknown": "unknown",
+}
+
+
+@query("SELECT unnest(" + repr(list(_LABELS)) + ") AS name, unnest([" + ", ".join("'" + v.replace("'", "''") + "'" for v in _LABELS.values()) + "]) AS label")
+def o27_feature_labels(spark, sf):
+    words = {"bind": "Bind", "kayo": "KAY/O", "kd": "K/D"}
+    return spark.createDataFrame([(n, feature_label(n, words)) for n in _LABELS], "name string, label string")

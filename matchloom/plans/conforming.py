@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -35,16 +37,25 @@ def o16_o18_o31_lenient_numbers(spark, sf):
     return table(spark, sf, "events").select("event_id", n.percent(raw).alias("pct"), n.to_double(raw, -1.0).alias("num"))
 
 
-@query("SELECT o_orderkey, coalesce(try_cast(nullif(regexp_extract(concat(o_orderpriority, ' ', CAST(o_orderdate AS VARCHAR)), '(20[12][0-9])', 1), '') AS INTEGER), CASE WHEN o_custkey % 3 = 0 THEN 2023 END) AS year, CASE WHEN regexp_matches(CAST(o_orderdate AS VARCHAR), '20[12][0-9]') THEN 'event' WHEN o_custkey % 3 = 0 THEN 'patch' ELSE 'unknown' END AS year_source FROM orders")
+_EVENT = "CASE o_custkey % 4 WHEN 0 THEN 'Masters ' || CAST(o_orderdate AS VARCHAR) WHEN 1 THEN 'Patch 8.05' ELSE o_orderpriority END"
+_DATE = "CASE o_custkey % 3 WHEN 0 THEN 'Patch 7.01' WHEN 1 THEN CAST(o_orderdate AS VARCHAR) WHEN 2 THEN 'Patch 99.1' END"
+_FOUND = "coalesce(nullif(regexp_extract(event, '(20[12][0-9])', 1), ''), nullif(regexp_extract(date, '(20[12][0-9])', 1), ''))"
+
+
+@query(f"WITH e AS (SELECT o_orderkey, {_EVENT} AS event, {_DATE} AS date FROM orders), y AS (SELECT o_orderkey, CAST({_FOUND} AS INTEGER) AS named, CASE regexp_extract(date, 'Patch (\\d+)\\.\\d+', 1) WHEN '7' THEN 2023 WHEN '8' THEN 2024 END AS patch FROM e) SELECT o_orderkey, coalesce(named, patch) AS year, CASE WHEN named IS NOT NULL THEN 'event' WHEN patch IS NOT NULL THEN 'patch' ELSE 'unknown' END AS year_source FROM y")
 def o15_year_cascade(spark, sf):
-    event = F.concat(F.col("o_orderpriority"), F.when(F.col("o_custkey") % 3 == 0, " Patch 7.01").otherwise(""))
-    y, s = n.year_and_source(event, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), {7: 2023, 8: 2024})
+    """A patch counts where the date names it, not where the event does."""
+    day, k = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.col("o_custkey")
+    event = F.when(k % 4 == 0, F.concat(F.lit("Masters "), day)).when(k % 4 == 1, "Patch 8.05").otherwise(F.col("o_orderpriority"))
+    date = F.when(k % 3 == 0, "Patch 7.01").when(k % 3 == 1, day).otherwise("Patch 99.1")
+    y, s = n.year_and_source(event, date, {7: 2023, 8: 2024})
     return table(spark, sf, "orders").select("o_orderkey", y.alias("year"), s.alias("year_source"))
 
 
-@query(f"WITH {P} SELECT match_key, line, part, player, price, least(qty / greatest(line - 1, 1), 10.0) AS kd, coalesce(qty / nullif(line - 1, 0), 0.0) AS per_round FROM p")
+@query(f"WITH {P} SELECT match_key, line, part, player, price, CASE WHEN line = 5 THEN 0E0 ELSE least(qty / greatest(line - 1, 1), 10.0) END AS kd, coalesce(qty / nullif(line - 1, 0), 0.0) AS per_round FROM p")
 def o17_o21_o22_ratios(spark, sf):
-    k = n.kill_ratio(F.col("qty"), F.col("line") - 1, cap=10)
+    deaths = F.when(F.col("line") == 5, "x").when(F.col("line") == 1, "").otherwise((F.col("line") - 1).cast("string"))
+    k = n.kill_ratio(F.col("qty"), deaths, cap=10)
     return participants(spark, sf).select("match_key", "line", "part", "player", "price", k.alias("kd"), n.per_round(F.col("qty"), (F.col("line") - 1).cast("double")).alias("per_round"))
 
 
@@ -62,19 +73,17 @@ def o24_score_pairs(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", s["a"].alias("sa"), s["b"].alias("sb"))
 
 
-_RC = """rc AS (SELECT match_key, side, count(*) FILTER (role = r1) AS c1, count(*) FILTER (role = r2) AS c2, count(*) FILTER (role = r3) AS c3 FROM p,
-  (SELECT min(p_type) AS r1, max(p_type) AS r3 FROM part), (SELECT min(p_type) AS r2 FROM part WHERE p_type > (SELECT min(p_type) FROM part)) GROUP BY ALL)"""
+_ROLES = ("ECONOMY", "MEDIUM", "PROMO", "SMALL", "STANDARD", "LARGE")
 _E = "CASE WHEN {0} > 0 THEN -({0} / t) * log2({0} / t) ELSE 0 END"
+_C = [f"c{i}" for i in range(1, 7)]
 
 
-@query(f"WITH {P}, {_RC}, t AS (SELECT *, CAST(c1 + c2 + c3 AS DOUBLE) AS t FROM rc) SELECT match_key, side, CAST(c1 AS BIGINT) AS c1, CAST(c2 AS BIGINT) AS c2, CAST(c3 AS BIGINT) AS c3, round(CASE WHEN t > 0 THEN ({' + '.join(_E.format(c) for c in ('c1', 'c2', 'c3'))}) / 2 ELSE 0 END, 6) AS balance, round(1 - (abs(c1 - 2) + abs(c2 - 1) + abs(c3 - 1)) / 10E0, 6) AS similarity FROM t")
+@query(f"WITH {P}, rc AS (SELECT match_key, side, {', '.join(f"count(*) FILTER (role LIKE '{r}%') AS {c}" for r, c in zip(_ROLES, _C))} FROM p GROUP BY ALL), t AS (SELECT *, CAST({' + '.join(_C)} AS DOUBLE) AS t FROM rc) SELECT match_key, side, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _C)}, round(CASE WHEN t > 0 THEN ({' + '.join(_E.format(c) for c in _C)}) / 2 ELSE 0 END, 6) AS balance, round(1 - ({' + '.join(f'abs({c} - 1)' for c in _C)}) / 10E0, 6) AS similarity FROM t")
 def o26_o29_o135_role_vectors(spark, sf):
-    types = table(spark, sf, "part").select("p_type").distinct()
-    r = types.agg(F.array_sort(F.collect_set("p_type")).alias("t"))  # part types
-    rows = participants(spark, sf).crossJoin(F.broadcast(r))
-    v = rows.groupBy("match_key", "side").agg(*(F.count_if(F.col("role") == F.element_at("t", i)).alias(c) for c, i in (("c1", 1), ("c2", 2), ("c3", -1))))
-    cs = [F.col(c) for c in ("c1", "c2", "c3")]
-    return v.select("match_key", "side", *cs, F.round(n.entropy(cs), 6).alias("balance"), F.round(n.vector_similarity(cs, [F.lit(2), F.lit(1), F.lit(1)]), 6).alias("similarity"))
+    """Each side's counts of all six roles, their entropy, and how near they are to one of each."""
+    v = participants(spark, sf).groupBy("match_key", "side").agg(*(F.count_if(F.col("role").startswith(r)).alias(c) for r, c in zip(_ROLES, _C)))
+    cs = [F.col(c) for c in _C]
+    return v.select("match_key", "side", *cs, F.round(n.entropy(cs), 6).alias("balance"), F.round(n.vector_similarity(cs, [F.lit(1)] * 6), 6).alias("similarity"))
 
 
 @query("SELECT o_orderkey, concat_ws(' | ', strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority, concat('c', CAST(o_custkey AS VARCHAR), ' vs ', o_orderstatus), CAST(o_orderkey AS VARCHAR)) AS label FROM orders")
@@ -225,22 +234,26 @@ def o106_o107_union_distinct(spark, sf):
     return t[0].union(t[1]).union(t[2]).distinct()
 
 
-_MAPS = "CASE WHEN map LIKE '{0}%' THEN 1E0 ELSE 0E0 END AS map_{1}"
+_MAPS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def _key(name: str) -> str:
+    return re.sub("[^a-z0-9]", "", name.lower())
 
 
-@query(f"WITH {M} SELECT match_key, {', '.join(_MAPS.format(d, x) for d, x in ((1, '1urgent'), (2, '2high'), (3, '3medium')))} FROM m")
+@query(f"WITH {M} SELECT match_key, {', '.join(f"CASE WHEN map = '{x}' THEN 1E0 ELSE 0E0 END AS map_{_key(x)}" for x in _MAPS)} FROM m")
 def o43_one_hot(spark, sf):
-    return matches(spark, sf).select("match_key", *features.one_hot(F.col("map"), "map", ["1-URGENT", "2-HIGH", "3-MEDIUM"]))
+    return matches(spark, sf).select("match_key", *features.one_hot(F.col("map"), "map", _MAPS))
 
 
-_BRANDS = ("Brand#11", "Brand#12", "Brand#13")
+_BRANDS = tuple(f"Brand#{i}" for i in range(1, 26))
 
 
 def _cnt(side: str, brand: str) -> str:
     return f"CAST(count(*) FILTER (side = '{side}' AND agent = '{brand}') AS DOUBLE)"
 
 
-@query(f"WITH {P} SELECT match_key, " + ", ".join(f"{_cnt('a', b)} AS a_{k}_count, {_cnt('b', b)} AS b_{k}_count, {_cnt('a', b)} - {_cnt('b', b)} AS diff_{k}_count" for b in _BRANDS for k in [b.lower().replace("#", "")]) + " FROM p GROUP BY match_key")
+@query(f"WITH {P} SELECT match_key, " + ", ".join(f"{_cnt('a', b)} AS a_{k}_count, {_cnt('b', b)} AS b_{k}_count, {_cnt('a', b)} - {_cnt('b', b)} AS diff_{k}_count" for b in _BRANDS for k in [_key(b)]) + " FROM p GROUP BY match_key")
 def o43_o44_side_counts(spark, sf):
     return features.side_counts(participants(spark, sf), "match_key", "side", "agent", list(_BRANDS))
 
@@ -258,10 +271,12 @@ def o44_o45_o46_interactions(spark, sf):
     return features.cold_start(features.interactions(_wide(spark, sf), {"qn": ("q", "n")}), ["q"], "cold")
 
 
-@query(f"WITH {P}, {_W}, mn AS (SELECT coalesce(avg(a_q) FILTER (a_q <> 0), 0) AS ma, coalesce(avg(b_q) FILTER (b_q <> 0), 0) AS mb FROM w) SELECT match_key, round(CASE WHEN a_q = 0 THEN ma ELSE a_q END, 6) AS a_q, round(CASE WHEN b_q = 0 THEN mb ELSE b_q END, 6) AS b_q FROM w, mn")
+@query(f"WITH {M}, {P}, {_W}, y AS (SELECT w.*, year FROM w JOIN m USING (match_key)), mn AS (SELECT coalesce(avg(a_q) FILTER (a_q <> 0), 0) AS ma, coalesce(avg(b_q) FILTER (b_q <> 0), 0) AS mb FROM y WHERE year < 1996) SELECT match_key, round(CASE WHEN a_q = 0 THEN ma ELSE a_q END, 6) AS a_q, round(CASE WHEN b_q = 0 THEN mb ELSE b_q END, 6) AS b_q FROM y, mn WHERE year >= 1996")
 def o89_o90_o141_impute(spark, sf):
-    w = _wide(spark, sf).select("match_key", "a_q", "b_q")
-    i = features.impute_zeros(w, features.nonzero_means(w, ["a_q", "b_q"]), ["a_q", "b_q"])
+    """The later years' zeros take the means of the years before 1996, never their own."""
+    w = _wide(spark, sf).select("match_key", "a_q", "b_q").join(matches(spark, sf).select("match_key", "year"), "match_key")
+    means = features.nonzero_means(w.where("year < 1996"), ["a_q", "b_q"])
+    i = features.impute_zeros(w.where("year >= 1996").drop("year"), means, ["a_q", "b_q"])
     return i.select("match_key", F.round("a_q", 6).alias("a_q"), F.round("b_q", 6).alias("b_q"))
 
 
@@ -278,7 +293,7 @@ def o61_dimension_default(spark, sf):
 
 
 @query("SELECT doc_id, CASE WHEN text IS NULL THEN 'missing_text' WHEN n_chars < 200 THEN 'short' WHEN lang <> 'en' THEN 'language' END AS reject_reason FROM documents WHERE text IS NULL OR n_chars < 200 OR lang <> 'en'")
-def o9_rejects(spark, sf):
+def o06_rejects(spark, sf):
     checks = [("missing_text", F.col("text").isNull()), ("short", F.col("n_chars") < 200), ("language", F.col("lang") != "en")]
     return conform.rejects(table(spark, sf, "documents").select("doc_id", "text", "n_chars", "lang"), checks)[1].select("doc_id", "reject_reason")
 

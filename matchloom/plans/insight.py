@@ -37,10 +37,11 @@ def o75_pick_rates(spark, sf):
 _WIDE = "w AS (SELECT match_key, year, label, CAST(count(*) FILTER (agent = 'Brand#11') AS DOUBLE) AS b11, CAST(count(*) FILTER (agent = 'Brand#12') AS DOUBLE) AS b12 FROM a GROUP BY ALL)"
 
 
-@query(f"WITH {A}, {_WIDE}, u AS (SELECT year, label, 'b11' AS agent, b11 AS n FROM w UNION ALL SELECT year, label, 'b12', b12 FROM w), b AS (SELECT year, count(*) AS m FROM w GROUP BY ALL) SELECT year, agent, sum(n) AS picks, round(sum(n) / (any_value(m) * 10), 8) AS pick_rate, round(CASE WHEN sum(n) <> 0 THEN sum(n * label) / sum(n) END, 6) AS win_rate FROM u JOIN b USING (year) GROUP BY year, agent")
+@query(f"WITH {A}, u AS (SELECT match_key, year, label, agent, count(*) AS n FROM a GROUP BY ALL), b AS (SELECT year, count(DISTINCT match_key) AS m FROM a GROUP BY year), g AS (SELECT DISTINCT p_brand AS agent FROM part) SELECT b.year, replace(lower(g.agent), '#', '') AS agent, CAST(coalesce(sum(n), 0) AS DOUBLE) AS picks, round(coalesce(sum(n), 0) / (any_value(m) * 10), 8) AS pick_rate, round(CASE WHEN sum(n) <> 0 THEN sum(n * label) / CAST(sum(n) AS DOUBLE) END, 6) AS win_rate FROM b CROSS JOIN g LEFT JOIN u ON u.year = b.year AND u.agent = g.agent GROUP BY b.year, g.agent")
 def o76_wide_pick_rates(spark, sf):
-    w = appearances(spark, sf).groupBy("match_key", "year", "label").agg(*(F.count_if(F.col("agent") == f"Brand#{i}").cast("double").alias(f"b{i}") for i in (11, 12)))
-    r = insights.wide_pick_rates(w, ["b11", "b12"], "year", "label")
+    brands = [f"brand{i}" for i in range(1, 26)]
+    w = appearances(spark, sf).groupBy("match_key", "year", "label").agg(*(F.count_if(F.col("agent") == f"Brand#{b[5:]}").cast("double").alias(b) for b in brands))
+    r = insights.wide_pick_rates(w, brands, "year", "label")
     return r.select("year", "agent", "picks", F.round("pick_rate", 8).alias("pick_rate"), F.round("win_rate", 6).alias("win_rate"))
 
 
@@ -107,12 +108,12 @@ def o100_nearest(spark, sf):
     return r.select("comp", F.round("similarity", 6).alias("similarity"), "n", "win_rate", F.round("mean_similarity", 6).alias("mean_similarity"))
 
 
-@query(f"WITH {A}, f AS (SELECT agent, map, avg(won) AS win_rate FROM a WHERE won IS NOT NULL AND map LIKE '1%' GROUP BY ALL HAVING count(*) >= 40) SELECT d.agent, CASE WHEN win_rate IS NULL THEN 'ok' WHEN win_rate >= 0.52 THEN 'fit' WHEN win_rate <= 0.48 THEN 'weak' ELSE 'ok' END AS verdict, CASE WHEN win_rate IS NULL THEN 'rule' ELSE 'data' END AS basis FROM (SELECT DISTINCT p_brand AS agent FROM part) d LEFT JOIN f ON d.agent = f.agent")
+@query(f"WITH {A}, f AS (SELECT agent, map, avg(won) AS win_rate FROM a WHERE won IS NOT NULL GROUP BY ALL HAVING count(*) >= 40) SELECT d.agent, d.map, CASE WHEN win_rate IS NULL THEN 'ok' WHEN win_rate >= 0.52 THEN 'fit' WHEN win_rate <= 0.48 THEN 'weak' ELSE 'ok' END AS verdict, CASE WHEN win_rate IS NULL THEN 'rule' ELSE 'data' END AS basis FROM (SELECT DISTINCT p_brand AS agent, map FROM part, (SELECT DISTINCT map FROM m)) d LEFT JOIN f ON d.agent = f.agent AND d.map = f.map")
 def o30_o134_fit_or_rule(spark, sf):
-    a = appearances(spark, sf).where(F.col("map").startswith("1"))
-    fit = insights.group_rate(a, ["agent"], "won", 40)
-    dim = table(spark, sf, "part").select(F.col("p_brand").alias("agent")).distinct()
-    return insights.fit_or_rule(dim, fit, ["agent"], F.lit("ok")).select("agent", "verdict", "basis")
+    fit = insights.group_rate(appearances(spark, sf), ["map", "agent"], "won", 40)
+    maps = matches(spark, sf).select("map").distinct()
+    dim = table(spark, sf, "part").select(F.col("p_brand").alias("agent")).distinct().crossJoin(F.broadcast(maps))  # the brands by the five maps
+    return insights.fit_or_rule(dim, fit, ["map", "agent"], F.lit("ok")).select("map", "agent", "verdict", "basis")
 
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE regexp_full_match(event_type, '[a-z][a-z_]{1,23}') GROUP BY ALL")
@@ -120,9 +121,9 @@ def o40_o97_frequent(spark, sf):
     return insights.frequent(table(spark, sf, "events"), "event_type", "^[a-z][a-z_]{1,23}$")
 
 
-@query("SELECT * FROM (VALUES (0, 'FRANCE'), (2, 'JAPAN'), (3, 'KENYA')) t(ordinal, n_name) WHERE n_name IN (SELECT n_name FROM nation)")
+@query("SELECT * FROM (VALUES (0, 'NATION_7'), (1, 'ATLANTIS'), (2, 'NATION_3'), (3, 'NATION_0')) t(ordinal, n_name) WHERE n_name IN (SELECT n_name FROM nation)")
 def o97_featured(spark, sf):
-    return insights.featured(table(spark, sf, "nation"), "n_name", ["FRANCE", "ATLANTIS", "JAPAN", "KENYA"]).select("ordinal", "n_name")
+    return insights.featured(table(spark, sf, "nation"), "n_name", ["NATION_7", "ATLANTIS", "NATION_3", "NATION_0"]).select("ordinal", "n_name")
 
 
 @query(f"WITH {P}, c AS (SELECT match_key, agent, sum(qty) AS v FROM p GROUP BY ALL), r AS (SELECT match_key, agent, v * 0.5 AS contribution, row_number() OVER (PARTITION BY match_key ORDER BY v DESC, agent) AS k FROM c) SELECT match_key, agent, CAST(contribution AS DOUBLE) AS contribution, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 3")
@@ -147,18 +148,21 @@ def o138_o139_side_won(spark, sf):
 
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 3")
-def o74_latest_events(spark, sf):
+def o102_latest_events(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", "ts")
     return insights.top_per_group(e, ["user_id"], [F.desc("ts"), F.desc("event_id")], 3).select("user_id", "event_id")
 
 
-@query("SELECT c_custkey, list_aggregate([x for x in [CASE WHEN c_nationkey % 2 = 0 THEN 'no_controller' END, CASE WHEN c_nationkey % 3 = 0 THEN 'no_initiator' END, CASE WHEN c_nationkey % 5 = 0 THEN 'no_sentinel' END, CASE WHEN c_nationkey % 4 = 0 THEN 'no_duelist' END, CASE WHEN c_nationkey % 4 >= 3 THEN 'many_duelists' END] if x IS NOT NULL], 'string_agg', ',') AS warnings FROM customer")
+_WARNINGS = "CASE WHEN c_nationkey % 2 = 0 THEN 'no_controller:high' END, CASE WHEN c_nationkey % 5 >= 3 THEN 'too_many_sentinel:high' END, CASE WHEN c_nationkey % 6 = 0 THEN 'no_duelist:medium' END, CASE WHEN c_nationkey % 3 = 0 THEN 'no_initiator:medium' END, CASE WHEN c_nationkey % 6 >= 4 THEN 'too_many_duelist:low' END"
+
+
+@query(f"SELECT c_custkey, array_to_string([x for x in [{_WARNINGS}] if x IS NOT NULL], ',') AS warnings FROM customer")
 def o132_balance_warnings(spark, sf):
     from matchloom.operators.audit import balance_warnings
 
     k = F.col("c_nationkey")
-    w = balance_warnings(k % 4, k % 3, k % 2, k % 5)
-    return table(spark, sf, "customer").select("c_custkey", F.when(F.size(w) > 0, F.array_join(w, ",")).alias("warnings"))
+    w = balance_warnings(duelists=k % 6, initiators=k % 3, controllers=k % 2, sentinels=k % 5)
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(F.transform(w, lambda x: F.concat_ws(":", x["code"], x["severity"])), ",").alias("warnings"))
 
 
 @query(f"WITH {A}, g AS (SELECT match_key FROM a GROUP BY ALL HAVING count(*) FILTER (side = 'a') >= 2 AND count(*) FILTER (side = 'b') >= 2) SELECT map, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT team) AS BIGINT) AS teams FROM m WHERE match_key IN (SELECT match_key FROM g) GROUP BY map")

@@ -1,4 +1,4 @@
-"""Model queries: they train, so they have no SQL form; tests hold them to properties."""
+"""Model queries: they train, so they have no SQL form; ``tests/test_modelling.py`` holds them to properties."""
 
 from __future__ import annotations
 
@@ -22,9 +22,14 @@ def feature_rows(spark, sf):
     return m.join(team, ["team", "year"]).join(form, ["team", "year"]).join(maps, ["map", "year"]).select("match_key", "team", "year", "label", *FEATURES)
 
 
+def _split(spark, sf):
+    return splits.chrono_split(feature_rows(spark, sf), "year")
+
+
 def _models(spark, sf):
-    rows = splits.chrono_split(feature_rows(spark, sf), "year").cache()
-    return ml.fit(ml.baseline_members(FEATURES), rows.where("split = 'train'")), rows.where("split = 'test'")
+    rows = _split(spark, sf)
+    train = rows.where("split = 'train'")
+    return ml.fit(ml.baseline_members(FEATURES, train.count()), train), rows.where("split = 'test'")
 
 
 @query()
@@ -33,9 +38,20 @@ def o114_o126_soft_vote(spark, sf):
     return ml.soft_vote(ml.member_probabilities(models, test), dict.fromkeys(models, 1.0)).select("match_key", "p", "predicted", "confidence")
 
 
+@query()
+def o115_tuned_baseline(spark, sf):
+    """The mean AUC over five folds of teams of every setting of both baseline members."""
+    train = _split(spark, sf).where("split = 'train'").select("team", "label", *FEATURES)
+    rows = []
+    for member, found in ml.tuned_baseline(train, FEATURES, "team").items():
+        for setting, area in zip(found.getEstimatorParamMaps(), found.avgMetrics):
+            rows.append((member, {p.name: float(v) for p, v in setting.items()}, float(area)))
+    return spark.createDataFrame(rows, "member string, setting map<string,double>, auc double")
+
+
 def _advanced(spark, sf):
     """The three advanced members fitted on the years before the last training year, and that year's rows."""
-    rows = splits.chrono_split(feature_rows(spark, sf), "year").where("split = 'train'").cache()
+    rows = _split(spark, sf).where("split = 'train'")
     last = rows.agg(F.max("year")).first()[0]
     fitting, validation = splits.fit_and_validation(rows, "year", last)
     return ml.fit(ml.advanced_members(FEATURES), fitting), validation
@@ -55,6 +71,14 @@ def o117_weight_search(spark, sf):
     return metrics.weight_search(scored, [f"p_{m}" for m in models], "label", WEIGHT_GRID).select("weights", "auc")
 
 
+@query()
+def o122_permutation_importance(spark, sf):
+    """The loss of AUC of each feature over ten shuffles of it among all test rows."""
+    models, test = _models(spark, sf)
+    rows = ml.permutation_importance(models, dict.fromkeys(models, 1.0), test.select("match_key", "label", *FEATURES), "match_key", FEATURES)
+    return spark.createDataFrame(rows, "feature string, importance double")
+
+
 @query()
 def o123_o124_importances(spark, sf):
     models, _ = _models(spark, sf)
@@ -62,10 +86,38 @@ def o123_o124_importances(spark, sf):
     return ml.group_importance(spark.createDataFrame(rows, "feature string, importance double"), [("form", "^form"), ("prior", "^prior|success")])
 
 
-@query()
+# Dimensions of the contracts' sizes: 13 maps, the last of which the advanced one leaves out, 4 roles and 28 agents.
+_MAPS, _ROLES, _AGENTS = [f"map {i:02d}" for i in range(13)], ["duelist", "initiator", "controller", "sentinel"], [f"agent {i:02d}" for i in range(28)]
+_SIDES = "(VALUES (0, 'a_'), (1, 'b_'), (2, 'diff_')) s(j, side)"
+
+
+def _block(contract: str, number: int, bases: str, sides: str = _SIDES) -> str:
+    """SQL for one block: each base under every side."""
+    return f"SELECT '{contract}' AS contract, {number} AS b, i, j, side || base AS name FROM (SELECT base, row_number() OVER () AS i FROM (SELECT unnest({bases}) AS base)), {sides}"
+
+
+_PLAIN, _AB = "(SELECT 0 AS j, '' AS side)", "(VALUES (0, 'a_'), (1, 'b_')) s(j, side)"
+_MEANS = "['prior_games_mean', 'prior_kd_mean', 'prior_kast_mean', 'prior_adr_mean', 'prior_apr_mean', 'prior_fkpr_mean', 'prior_fdpr_mean'{}]"
+_SCOPED = "['{0}_kd_mean', '{0}_kast_mean', '{0}_adr_mean', '{0}_apr_mean', '{0}_fkpr_mean', '{0}_fdpr_mean'{1}]"
+_BLOCKS = [
+    _block("baseline", 0, "[format('map_map{:02d}', x) for x in range(13)]", _PLAIN), _block("baseline", 1, "['role_duelist_count', 'role_initiator_count', 'role_controller_count', 'role_sentinel_count']"),
+    _block("baseline", 2, "[format('agent_agent{:02d}_count', x) for x in range(28)]"), _block("baseline", 3, _MEANS.format(", 'prior_clutch_mean'")), _block("baseline", 4, "['synergy_mean']"),
+    _block("baseline", 5, _SCOPED.format("map_agent", ", 'map_agent_clutch_mean'")), _block("baseline", 6, _SCOPED.format("player_agent", ", 'player_agent_clutch_mean'")),
+    _block("advanced", 0, "[format('map_map{:02d}', x) for x in range(12)]", _PLAIN), _block("advanced", 1, _MEANS.format("")), _block("advanced", 2, "['synergy_mean']"),
+    _block("advanced", 3, _SCOPED.format("map_agent", "")), _block("advanced", 4, _SCOPED.format("player_agent", "")),
+    _block("advanced", 5, "['map_agent_history_missing', 'player_agent_history_missing', 'map_atk_adv', 'a_agent_map_fit_sum', 'b_agent_map_fit_sum', 'diff_agent_map_fit', 'a_role_balance', 'b_role_balance']", _PLAIN),
+    _block("advanced", 6, "['has_controller', 'has_initiator', 'double_duelist']", _AB), _block("advanced", 7, "['comp_meta_wr', 'max_prior_kd', 'std_prior_kd']"),
+    _block("advanced", 8, "['known_player_ratio', 'low_sample_player_ratio', 'map_agent_games_mean', 'map_agent_known_ratio', 'player_agent_games_mean', 'player_agent_known_ratio', 'history_coverage_mean']"),
+    _block("advanced", 9, "['team_games', 'team_success', 'team_margin_mean', 'team_map_games', 'team_map_success', 'team_map_margin_mean', 'team_event_games', 'team_event_success']"),
+    _block("advanced", 10, "['team_form5_success', 'team_form5_margin_mean', 'team_form10_success', 'team_form10_margin_mean']"),
+    _block("advanced", 11, "['roster_pair_games_mean', 'roster_pair_known_ratio', 'roster_prev_overlap_ratio', 'comp_games', 'comp_success', 'comp_low_sample_ratio']"),
+    _block("advanced", 12, "['prior_kd_x_history_coverage', 'player_agent_kd_x_known_ratio', 'agent_map_fit_x_known_ratio']"),
+]
+
+
+@query(f"SELECT contract, CAST(row_number() OVER (PARTITION BY contract ORDER BY b, i, j) - 1 AS INTEGER) AS position, name AS column_name FROM ({' UNION ALL '.join(_BLOCKS)})")
 def o147_contract_columns(spark, sf):
     """The generated baseline and advanced contracts over 13 maps, 4 roles and 28 agents."""
-    maps, roles, agents = [f"map {i}" for i in range(13)], ["duelist", "initiator", "controller", "sentinel"], [f"agent {i}" for i in range(28)]
-    base = features.check_contract(features.baseline_contract(maps, roles, agents), 178)
-    adv = features.check_contract(features.advanced_contract(maps[:12]), 179)
+    base = features.check_contract(features.baseline_contract(_MAPS, _ROLES, _AGENTS), 178)
+    adv = features.check_contract(features.advanced_contract(_MAPS[:12]), 179)
     return spark.createDataFrame([("baseline", i, c) for i, c in enumerate(base)] + [("advanced", i, c) for i, c in enumerate(adv)], "contract string, position int, column_name string")

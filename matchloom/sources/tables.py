@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,36 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 
-def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
-    """A CSV feed as strings in the given columns, by header name; absent ones are null. Malformed rows become nulls."""
-    raw = spark.read.csv(path, header=True, encoding=encoding, mode="PERMISSIVE", multiLine=False)
-    have = {c.lower(): c for c in raw.columns}
-    return raw.select(*((F.col(f"`{have[c.lower()]}`") if c.lower() in have else F.lit(None)).cast("string").alias(c) for c in columns))
+CORRUPT, FILE = "_corrupt_row", "_file"
+
+
+def _files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The files of a path or pattern: a listing, one entry a file; their content is not read."""
+    return sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())
+
+
+def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str], encoding: str = "UTF-8", corrupt: bool = False) -> DataFrame:
+    """A CSV feed as strings in the given columns, by header name; absent ones are null.
+
+    Every file is read by its own header: files of one header form one scan, and the scans are joined by name. Short and
+    long rows stay, with nulls for what they lack; with ``corrupt`` their text is kept in ``_corrupt_row``.
+    """
+    return _by_header(spark, path, columns, encoding, corrupt).drop(FILE)
+
+
+def _by_header(spark: SparkSession, path: str | list[str], columns: Sequence[str], encoding: str = "UTF-8", corrupt: bool = False) -> DataFrame:
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for f in _files(spark, path):
+        by_header.setdefault(tuple(spark.read.csv(f, header=True, encoding=encoding).columns), []).append(f)
+    fields = [*columns, *([CORRUPT] if corrupt else []), FILE]
+    out = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in fields]))
+    for header, files in by_header.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, CORRUPT)])
+        raw = spark.read.schema(schema).csv(files, header=True, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+        have = {c.lower(): c for c in header}
+        picked = [(F.col(f"`{have[c.lower()]}`") if c.lower() in have else F.lit(None)).cast("string").alias(c) for c in columns]
+        out = out.unionByName(raw.select(*picked, *([CORRUPT] if corrupt else []), F.col("_metadata.file_path").alias(FILE)))
+    return out
 
 
 def read_or_empty(spark: SparkSession, fmt: str, path: str, schema: T.StructType, **options: str) -> DataFrame:
@@ -29,11 +55,9 @@ def read_or_empty(spark: SparkSession, fmt: str, path: str, schema: T.StructType
 
 def read_year_folders(spark: SparkSession, root: str, prefix: str, file: str, columns: Sequence[str]) -> DataFrame:
     """All ``root``/``prefix``_<year>/``file``; ``year`` comes from the folder's name and folders without one are left out."""
-    raw = spark.read.csv(f"{root}/{prefix}_*/{file}", header=True)
-    have = {c.lower(): c for c in raw.columns}
-    year = F.regexp_extract(F.col("_metadata.file_path"), rf"/{prefix}_(?:[^/]*_)?(\d+)/", 1).try_cast("int")
-    picked = [(F.col(f"`{have[c.lower()]}`") if c.lower() in have else F.lit(None)).cast("string").alias(c) for c in columns]
-    return raw.select(*picked, year.alias("year")).where("year is not null")
+    raw = _by_header(spark, f"{root}/{prefix}_*/{file}", columns)
+    year = F.regexp_extract(FILE, rf"/{prefix}_(?:[^/]*_)?(\d+)/", 1).try_cast("int")
+    return raw.withColumn("year", year).drop(FILE).where("year is not null")
 
 
 def first_of(df: DataFrame, alternates: Sequence[str], name: str):
@@ -42,6 +66,10 @@ def first_of(df: DataFrame, alternates: Sequence[str], name: str):
     return (F.coalesce(*there) if there else F.lit(None).cast("string")).alias(name)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").csv(path, header=True)
+
+
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(split).parquet(path)
 
@@ -66,6 +94,24 @@ HISTORY = ("id", "created_at", "map", "cutoff_year", "winner", "probability", "r
 _REQUEST = "team_a array<struct<player:string,agent:string>>, team_b array<struct<player:string,agent:string>>"
 
 
+def init_history(spark: SparkSession, path: str | None) -> bool:
+    """Create an empty store if a path is configured and holds none; whether there is a store now."""
+    if not path:
+        return False
+    schema = "id string, created_at timestamp, map string, cutoff_year int, winner string, probability double, request_json string, response_json string"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    return True
+
+
+def save_prediction(spark: SparkSession, path: str | None, request: dict, response: dict) -> bool:
+    """Add one prediction, if a store is configured; whether it was."""
+    if not path:
+        return False
+    row = (request["map"], request["cutoff_year"], response["winner"], response["probability"], json.dumps(request), json.dumps(response))
+    append_history(spark.createDataFrame([row], "map string, cutoff_year int, winner string, probability double, request_json string, response_json string"), path)
+    return True
+
+
 def append_history(rows: DataFrame, path: str) -> None:
     """Add predictions (all columns but id and created_at) to the store, each with an id of its own and the time."""
     rows.withColumns({"id": F.uuid(), "created_at": F.current_timestamp()}).select(*HISTORY).write.mode("append").parquet(path)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.functions import normalize as n
-from matchloom.operators import audit, conform, insights, metrics, splits
+from matchloom.operators import audit, conform, features, insights, metrics, splits
 
 
 def one(spark, column, **values):
@@ -15,12 +15,17 @@ def test_percent(spark, raw, want):
     assert one(spark, n.percent(F.lit(raw).cast("string"))) == want
 
 
-@pytest.mark.parametrize("event, want", [("VCT 2023", (2023, "event")), ("Patch 8.05", (2024, "patch")), ("none", (None, "unknown"))])
-def test_year_cascade(spark, event, want):
-    y, s = n.year_and_source(F.lit(event), F.lit(None).cast("string"), {8: 2024})
+@pytest.mark.parametrize("event, date, want", [("VCT 2023", None, (2023, "event")), ("Masters", "Patch 8.05", (2024, "patch")), ("Patch 8.05", None, (None, "unknown")), ("x", "2021-05-06", (2021, "event")), (None, "Patch 99.1", (None, "unknown")), ("VCT 2023", "Patch 8.05", (2023, "event"))])
+def test_year_cascade(spark, event, date, want):
+    y, s = n.year_and_source(F.lit(event).cast("string"), F.lit(date).cast("string"), {8: 2024})
     assert tuple(spark.range(1).select(y, s).first()) == want
 
 
+@pytest.mark.parametrize("kills, deaths, want", [("10", "4", 2.5), ("10", "x", 0.0), ("x", "2", 0.0), (None, "2", 0.0), ("10", None, 10.0), ("10", "", 10.0), ("10", "0", 10.0)])
+def test_kill_ratio(spark, kills, deaths, want):
+    assert one(spark, n.kill_ratio(F.lit(kills).cast("string"), F.lit(deaths).cast("string"))) == want
+
+
 def test_canonical_swap(spark):
     df = spark.createDataFrame([("Zed", "Abe", 13, 5)], "a string, b string, sa int, sb int")
     got = conform.canonical_sides(conform.decisive(df, "sa", "sb"), [("a", "b"), ("sa", "sb")], "label").first()
@@ -56,10 +61,13 @@ def test_similarity(spark):
 
 
 def test_boundary_year(spark):
-    df = spark.createDataFrame([(y,) for y, k in ((2021, 50), (2022, 30), (2023, 20)) for _ in range(k)], "year int")
-    assert splits.boundary_year(df, "year").first()[0] == 2023
-    with pytest.raises(ValueError):
-        splits.chrono_split(df.where("year = 2021"), "year")
+    df = spark.createDataFrame([(y, 100 * y + i) for y, k in ((2021, 50), (2022, 30), (2023, 20)) for i in range(k)], "year int, match_key int")
+    assert splits.boundary_year(df, "year", "match_key").first()[0] == 2023
+    many = df.unionByName(df.where("match_key = 202300").crossJoin(spark.range(500)).drop("id"))  # one match told often is one match
+    assert splits.boundary_year(many, "year", "match_key").first()[0] == 2023
+    for rows, year in ((df.where("year = 2021"), None), (df, 2021), (df, 2024)):
+        with pytest.raises(ValueError):
+            splits.chrono_split(rows, "year", test_from=year)
 
 
 def test_support(spark):
@@ -81,17 +89,57 @@ def test_auc_counts_ties_half(spark):
     assert metrics.auc(df, "s", "y").first().auc == pytest.approx(0.875)
 
 
-def test_thinned_curve_keeps_both_ends(spark):
-    df = spark.range(1000).select(F.col("id").cast("double").alias("t"))
-    got = sorted(r.t for r in metrics.thinned(df, "t", 50).collect())
-    assert len(got) <= 50 and got[0] == 0 and got[-1] == 999
+def test_auc_of_many_scores_equals_ranks(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    x = pd.DataFrame({"s": np.concatenate([rng.normal(size=3000), np.repeat(0.1, 500), rng.normal(size=300)]), "y": rng.integers(0, 2, 3800), "g": rng.integers(0, 3, 3800)})
+
+    def area(d):
+        r, pos = d.s.rank(), d.y == 1
+        return (r[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+
+    df = spark.createDataFrame(x)
+    assert metrics.auc(df, "s", "y").first().auc == pytest.approx(area(x), abs=1e-12)
+    assert {r.g: round(r.auc, 10) for r in metrics.auc(df, "s", "y", ["g"]).collect()} == {g: round(area(d), 10) for g, d in x.groupby("g")}
+
+
+def test_running_sums_in_parts(spark):
+    rows = [(g, float(i), i) for g in (None, "a", "b") for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, x double, v int")
+    for down in (False, True):
+        for r in metrics.running(df, ["g"], "x", ["v"], descending=down, parts=7).collect():
+            assert r.before_v == sum(range(r.v + 1, 200) if down else range(r.v))
+
+
+def test_thinned_curve_takes_numpys_places(spark):
+    import numpy as np
+
+    for n, points in ((1000, 260), (1000, 50), (261, 260), (5, 50)):
+        df = spark.range(n).select(F.col("id").alias("place"))
+        got = sorted(r.place for r in metrics.thinned(df, points).collect())
+        assert got == (sorted(set(np.linspace(0, n - 1, points, dtype=int).tolist())) if n > points else list(range(n)))
+
 
+@pytest.mark.parametrize("rows", [2, 30, 300, 1500])
+def test_labels_move_at_every_size(spark, rows):
+    df = spark.range(rows).select("id", F.col("id").alias("y"))
+    got = splits.shuffled_labels(df, "id", "y").collect()
+    assert sorted(r.y for r in got) == list(range(rows)) == sorted(r.id for r in got)
+    assert sum(r.id == r.y for r in got) <= 6  # a random permutation leaves one in its place
+    pairs = spark.createDataFrame([(None, 1), (None, 2), (5, 3), (5, 4)], "id int, y int")
+    assert sorted((r.id or 0, r.y) for r in splits.shuffled_labels(pairs, "id", "y").select("id", "y").collect())[0][0] == 0
 
-def test_label_shuffle_keeps_counts(spark):
-    df = spark.range(500).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"))
-    got = splits.shuffled_labels(df, "id", "y")
-    assert got.count() == 500 and got.agg(F.sum("y")).first()[0] == df.agg(F.sum("y")).first()[0]
-    assert got.join(df.withColumnRenamed("y", "z"), "id").where("y <> z").count() > 0
+
+def test_numbers_have_no_gaps_whatever_the_groups(spark):
+    df = spark.range(700).select("id")
+    for bits in (0, 3, 10):
+        got = splits.numbered(df, splits.stable_hash(F.col("id")), "n", bits).collect()
+        assert sorted(r.n for r in got) == list(range(700))
+        order = [r.id for r in sorted(got, key=lambda r: r.n)]
+        assert bits == 0 or order == first
+        first = order
 
 
 def test_lineup_rules(spark):
@@ -103,6 +151,36 @@ def test_lineup_rules(spark):
     rows = [(good, other), (good[:4], other), (good, good), (lineup("abcde", "vvxyz"), other), (None, other)]
     ok = [r.ok for r in spark.createDataFrame(rows, schema).select(audit.valid_lineups().alias("ok")).collect()]
     assert ok == [True, False, False, False, False]
+    spelled = [(lineup("abcde", ["KAY/O", "KAYO ", "x", "y", "z"]), other), (lineup(["A ", "b", "c", "d", "e"], "vwxyz"), lineup("afghi", "vwxyz")), (lineup("abcde", ["?", "?", "x", "y", "z"]), other)]
+    check = lambda **k: [r.ok for r in spark.createDataFrame(spelled, schema).select(audit.valid_lineups(**k).alias("ok")).collect()]
+    assert check() == [False, False, True] and check(agents=["x", "y", "z", "v", "w"]) == [True, False, True]
+
+
+def test_balance_rules(spark):
+    def codes(duelists, initiators, controllers, sentinels):
+        w = spark.range(1).select(audit.balance_warnings(*map(F.lit, (duelists, initiators, controllers, sentinels))).alias("w")).first().w
+        return [(x.code, x.severity) for x in w]
+
+    assert codes(1, 1, 2, 1) == [] and codes(3, 1, 1, 0) == []
+    assert codes(0, 0, 0, 3) == [("no_controller", "high"), ("too_many_sentinel", "high"), ("no_duelist", "medium"), ("no_initiator", "medium")]
+    assert codes(4, 1, 0, 0) == [("no_controller", "high"), ("too_many_duelist", "low")]
+
+
+def test_forbidden_names():
+    bad = ["a_kills", "h2h_wr", "map_prior_wr", "a_p1_kd", "round_diff", "team_a_id", "recent5_wr", "a_score"]
+    assert features.forbidden_names([*bad, "prior_kd"]) == bad
+    maps = [f"m{i}" for i in range(12)]
+    assert features.forbidden_names(features.advanced_contract(maps)) == []
+
+
+def test_gate_has_ten_checks():
+    trust = {"checks": dict.fromkeys(("feature_count", "no_forbidden_names", "sources_allowed", "no_overlap", "train_before_test"), True)}
+    meta = {"feature_contract": "advanced", "n_features": 179, "weights": [2.0, 3.0, 0.1]}
+    good = audit.advanced_gate(trust, {"rf": 179}, meta, 0, 3, 0.701)
+    assert len(good["checks"]) == 10 and good["verdict"] == "passed" and good["checks"]["case_collisions"] == "warned" and good["exit_code"] == 0
+    assert audit.advanced_gate(trust, {"rf": 178}, meta, 0, 0, 0.701)["failures"] == ["model_width"]
+    assert audit.advanced_gate(trust, {"rf": 179}, meta, 0, 0, 0.61)["verdict"] == "insufficient"
+    assert audit.advanced_gate(trust, {"rf": 179}, meta | {"weights": [1, 0, 1]}, 2, 0, None)["failures"] == ["weights", "perspective_flips", "auc_below_gate"]
 
 
 def test_verdict_order():
@@ -111,9 +189,26 @@ def test_verdict_order():
     assert audit.final_verdict([], 0.5)["failures"] == ["auc_below_gate"]
 
 
-def test_explanations_name_each_base_once():
-    got = audit.explanations({"diff_form5": 0.5, "a_form5": 0.4, "diff_kd": -0.2, "diff_zero": 0.0}, {"form5": "recent form"})
-    assert got == ["Team A is ahead in recent form.", "Team B is ahead in kd."]
+def test_explanations():
+    values = {"a_prior_games_mean": 30.0, "b_prior_games_mean": 10.4, "a_prior_kd_mean": 0.9, "b_prior_kd_mean": 1.15, "a_prior_kast_mean": 0.75, "b_prior_kast_mean": 0.7, "a_synergy_mean": 1.0, "b_synergy_mean": 1.0}
+    ranked = ["a_prior_games_mean", "a_prior_kd_mean", "b_prior_kd_mean", "map_bind", "a_synergy_mean", "a_prior_kast_mean"]
+    got = audit.explanations(values, ranked)
+    assert [x["text"] for x in got] == ["Team A leads by 20 games of earlier years", "Team B leads in mean K/D by 0.25", "Team A leads in KAST by 5%"]
+    assert got[0]["feature"] == "prior_games" and len(audit.explanations(values, ranked, 2)) == 2
+
+
+def test_vector_message(spark):
+    names, rate = ["duelists", "controllers"], F.lit(0.535)
+    lits = lambda v: [F.lit(x) for x in v]
+    assert one(spark, audit.vector_message(names, lits((2, 1)), lits((1, 2)), rate)) == "1 more duelists, 1 fewer controllers (nearest composition wins 54%)"
+    assert one(spark, audit.vector_message(names, lits((1, 1)), lits((1, 1)), rate)).startswith("as the composition")
+
+
+def test_player_groups_need_both_teams(spark):
+    scores = spark.createDataFrame([(1, "x", "y"), (2, "x", "z"), (3, "y", "x")], "game int, one string, two string")
+    players = spark.createDataFrame([(g, t, f"{t}{i}") for g, t, n in ((1, "x", 2), (1, "y", 3), (2, "x", 2), (2, "z", 1), (3, "x", 2)) for i in range(n)], "game int, team string, player string")
+    got = conform.with_player_groups(scores, players, ["game"], "one", "two", "team", ["player"], 2).collect()
+    assert [(r.game, [p.player for p in r.players_a], [p.player for p in r.players_b]) for r in got] == [(1, ["x0", "x1"], ["y0", "y1", "y2"])]
 
 
 def test_nearest_prefers_more_games(spark):

@@ -18,6 +18,27 @@ def test_year_folders(spark, tmp_path):
     assert [(r.a, r.b, r.year) for r in got] == [("x", None, 2021), ("x", None, 2022)]
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    for year, text in ((2021, "Map,Team,K\nBind,Abe,3\n"), (2022, "Team,Map,Kills\nZed,Haven,4\n")):
+        (tmp_path / f"vct_{year}").mkdir()
+        (tmp_path / f"vct_{year}" / "m.csv").write_text(text)
+    got = tables.read_year_folders(spark, str(tmp_path), "vct", "m.csv", ["Map", "Team", "K", "Kills"]).orderBy("year").collect()
+    assert [tuple(r) for r in got] == [("Bind", "Abe", "3", None, 2021), ("Haven", "Zed", None, "4", 2022)]
+    both = tables.read_csv(spark, [str(tmp_path / f"vct_{y}") for y in (2021, 2022)], ["Team", "Map"])
+    assert sorted(map(tuple, both.collect())) == [("Abe", "Bind"), ("Zed", "Haven")]
+
+
+def test_corrupt_rows_are_kept(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("a,b\n1,2\n3\n4,5,6\n")
+    got = {r.a: (r.b, r[tables.CORRUPT]) for r in tables.read_csv(spark, str(tmp_path / "f.csv"), ["a", "b"], corrupt=True).collect()}
+    assert got == {"1": ("2", None), "3": (None, "3"), "4": ("5", "4,5,6")}
+
+
+def test_csv_round_trip(spark, tmp_path):
+    tables.write_csv(spark.createDataFrame([("x", "1"), ("y", None)], "a string, b string"), str(tmp_path / "c"))
+    assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "c"), ["a", "b"]).collect())) == [("x", "1"), ("y", None)]
+
+
 def test_missing_table_is_empty(spark, tmp_path):
     schema = T.StructType([T.StructField("a", T.IntegerType())])
     assert tables.read_or_empty(spark, "parquet", str(tmp_path / "none"), schema).count() == 0
@@ -42,3 +63,22 @@ def test_history_store(spark, tmp_path):
 def test_shallow_patch(spark):
     df = spark.sql("select map('a', '1', 'b', '2') as doc")
     assert tables.patched(df, {"b": "3", "c": "4"}).first().doc == {"a": "1", "b": "3", "c": "4"}
+
+
+def test_history_store_is_made_only_where_configured(spark, tmp_path):
+    path, request = str(tmp_path / "h"), {"map": "m", "cutoff_year": 2026, "team_a": [], "team_b": []}
+    response = {"winner": "A", "probability": 0.7}
+    assert not tables.init_history(spark, None) and not tables.save_prediction(spark, None, request, response)
+    assert tables.init_history(spark, path) and tables.init_history(spark, path) and spark.read.parquet(path).count() == 0
+    assert tables.save_prediction(spark, path, request, response) and spark.read.parquet(path).first().winner == "A"
+
+
+def test_baseline_documents(spark, tmp_path):
+    import json
+
+    from matchloom.operators import reports
+
+    reports.write_baseline(spark, str(tmp_path), "2026-01-01T00:00:00Z")
+    for name in ("metrics", "validation", "meta"):
+        document = json.loads(spark.read.text(str(tmp_path / name)).first().value)
+        assert document["test_auc"] == 0.5943 and document["feature_count"] == 421 and document["artifact_contract"] == f"baseline_reference_{name}"
