@@ -1,9 +1,11 @@
 """Personal data by weak supervision.
 
-Regexes propose candidate spans: the strict base kinds and looser ones. On each candidate, labelers vote yes, no or
-abstain: the pattern's own checks, gazetteers of endings and codes, and words of the context. Expectation-maximisation
-over the counts of vote patterns in the whole corpus estimates how reliable each labeler is; the posteriors then train a
-logistic span classifier on the votes and the span's shape. Base spans always stay; others stay at 0.5 or more.
+Regexes propose candidate spans: the strict base kinds and looser ones, names, addresses and dates of birth among them.
+On each candidate, labelers vote yes, no or abstain: the kind's own checks, gazetteers, words of the context for and
+against it, and other candidates close by. Expectation-maximisation over the counts of each kind's vote patterns in the
+whole corpus estimates how reliable its labelers are. The posteriors then train a logistic span classifier that sees the
+votes, the span's shape and hashed words around it, on a sample of at most about ``TRAIN_SPANS`` candidates. Base spans
+always stay; others stay at 0.5 or more.
 
 Defined results: a null or empty text has no spans. Positions are code points, end exclusive. Repeated rows are
 scanned row by row and count as often in the estimates; null doc_ids pass through; extra columns are ignored.
@@ -12,9 +14,12 @@ scanned row by row and count as often in the estimates; null doc_ids pass throug
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +27,9 @@ from matchloom.llm.common import cut, map_batches, read_table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: In the order in which kinds are listed.
-KINDS = (*BASE_KINDS, "spelled_email", "local_phone", "national_id", "iban")
+KINDS = (*BASE_KINDS, "spelled_email", "local_phone", "national_id", "iban", "person", "address", "birth_date")
+#: The bound of the classifier's sample, and the number of hashed features.
+TRAIN_SPANS, DIM = 20_000, 1 << 12
 _ADDRESSES = re.compile(r"[A-Za-z0-9._%+@-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -33,11 +40,36 @@ _LOOSE = {
     "local_phone": re.compile(r"(?<![\w+.(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![\w-])"),
     "national_id": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)"),
+    "birth_date": re.compile(r"(?<![\w./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![\w/-])"),
+    "address": re.compile(
+        r"(?<!\w)(?:[0-9]{1,5}[a-z]?,?\x20(?:[A-ZÄÖÜÉ][\w'-]+\x20){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Square)\b\.?"
+        r"|[A-ZÄÖÜ][\w-]+(?:straße|strasse|weg|platz|allee|gasse)\x20[0-9]{1,4}[a-z]?"
+        r"|(?:[0-9]{1,4},?\x20)?(?:[Rr]ue|[Aa]venida|[Cc]alle|[Pp]laza)\x20(?:(?:de|du|des|la|del|los)\x20){0,2}[A-ZÉÁ][\w'-]+(?:,?\x20[0-9]{1,4})?)(?!\w)"
+    ),
+    "person": re.compile(r"(?<![\w@.-])(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Señora?|Sra?)\.?\x20)?(?!(?:Dear|Hello|Hi|The|This|From|To|On|In|At|And|But|If|When|Signed|Name|Liebe|Lieber|Cher|Chère|Estimad[oa])\x20)[A-ZÀ-Ý][a-zß-ÿ]+(?:-[A-ZÀ-Ý][a-zß-ÿ]+)?\x20(?:[A-Z]\.\x20)?[A-ZÀ-Ý][a-zß-ÿ]+(?:-[A-ZÀ-Ý][a-zß-ÿ]+)?(?!\w)"),
 }
-_DIGIT = re.compile(r"[0-9]")
-#: Gazetteers: endings of addresses, countries with IBANs.
-ENDINGS = frozenset("com org net edu gov io de fr es uk it nl eu info biz".split())
-IBAN_COUNTRIES = frozenset("AD AT BE CH CZ DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
+_DIGIT, _CAPITALS = re.compile(r"[0-9]"), re.compile(r"[A-ZÀ-Ý][a-zß-ÿ]+[-\w]*\x20(?:[A-Z]\.\x20)?[A-ZÀ-Ý]")
+_TITLE = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Señora?|Sra?)\.?\x20")
+
+
+def _words(text: str) -> frozenset[str]:
+    return frozenset(text.split())
+
+
+@dataclass(frozen=True)
+class Gazetteers:
+    """Lists the gazetteer labeler looks up. Callers with larger tables pass their own; these are small defaults."""
+
+    endings: frozenset[str] = _words("com org net edu gov io de fr es uk it nl eu info biz")
+    iban_countries: frozenset[str] = _words("AD AT BE CH CZ DE DK ES FI FR GB IE IT LU NL NO PL PT SE")
+    area_codes: frozenset[str] = _words("201 202 203 206 212 213 214 215 301 303 305 310 312 313 314 404 407 408 410 412 415 416 425 503 504 510 512 602 604 612 617 619 650 702 703 713 718 720 732 770 773 801 805 817 818 847 858 901 904 908 916 917 919 925 949 954 972 973")
+    given: frozenset[str] = _words(
+        "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Lisa Daniel Nancy "
+        "Matthew Betty Anthony Sandra Mark Margaret Paul Ashley Steven Kimberly Andrew Emily Kenneth Donna George Michelle Emma Olivia Peter Anna Maria Laura Hans Klaus Jürgen Wolfgang "
+        "Stefan Sabine Petra Monika Ursula Heike Jean Pierre Marie Jacques Claire Sophie Camille Luc Nicolas Isabelle José Juan Carlos Luis Carmen Ana Lucía Javier Pablo Elena"
+    )
+
+
 #: Context words that speak for or against a kind of data, in the forty characters before a span.
 FOR = {
     "email": re.compile(r"(?i)e-?mail|contact|write|correo|courriel"),
@@ -48,9 +80,17 @@ FOR = {
     "local_phone": re.compile(r"(?i)phone|tel|call|mobile|fax|anruf"),
     "national_id": re.compile(r"(?i)ssn|social|tax|\bid\b"),
     "iban": re.compile(r"(?i)iban|account|konto|compte|cuenta"),
+    "birth_date": re.compile(r"(?i)born|birth|\bdob\b|geboren|geburt|\bnée?\b|naissance|nacid[oa]|nacimiento"),
+    "address": re.compile(r"(?i)address|lives? (?:at|in)|living|reside|home|ship to|deliver|wohn|anschrift|adresse|habite|vive en|domicilio"),
+    "person": re.compile(r"(?i)\bname|signed|sincerely|regards|dear|contact|patient|customer|employee|met with|spoke|called|born|author|herr|frau|señor|madame|monsieur"),
+}
+AGAINST = {
+    "person": re.compile(r"(?i)university|company|river|lake|mount|new |county|street|city of|the $|saint "),
+    "address": re.compile(r"(?i)chapter|section|page|figure|score|version"),
+    "birth_date": re.compile(r"(?i)publish|release|updated|version|accessed|retrieved|printed|invoice|order|expires?|due|deadline|copyright|edition"),
 }
-AGAINST = re.compile(r"(?i)version|release|build|order|invoice|isbn|issn|example|page|section|chapter")
-LABELERS = ("pattern", "gazetteer", "context", "counter_context")
+_AGAINST_ANY = re.compile(r"(?i)version|release|build|order|invoice|isbn|issn|example|page|section|chapter")
+LABELERS = ("checks", "gazetteer", "context", "counter_context", "neighbours")
 
 
 def luhn(digits: str) -> bool:
@@ -93,13 +133,35 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _merged(spans) -> list[tuple[int, int]]:
+    """Disjoint intervals, in order, that cover the spans."""
+    out: list[tuple[int, int]] = []
+    for a, b, *_ in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def loose_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Looser candidates that don't overlap a base span."""
-    out = []
-    if not _DIGIT.search(text) and "[" not in text and "(" not in text:
+    """Looser candidates that don't overlap a base span; of overlapping ones the kind listed first counts."""
+    out: list[tuple[int, int, str]] = []
+    digits, brackets, capitals = _DIGIT.search(text), "[" in text or "(" in text, _CAPITALS.search(text)
+    if not (digits or brackets or capitals):
         return out
+    ends = _merged(taken)
     for kind, pattern in _LOOSE.items():
-        out += [(*m.span(), kind) for m in pattern.finditer(text) if all(m.end() <= a or b <= m.start() for a, b, _ in taken)]
+        if not (capitals if kind == "person" else brackets or digits):
+            continue
+        fresh = []
+        for m in pattern.finditer(text):
+            i = bisect_left(ends, (m.end(),))
+            if not i or ends[i - 1][1] <= m.start():
+                fresh.append((*m.span(), kind))
+        out += fresh
+        if fresh:
+            ends = _merged([*ends, *fresh])
     return out
 
 
@@ -108,31 +170,65 @@ def _iban_checks(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
-def votes(text: str, start: int, stop: int, kind: str) -> str:
-    """One of y, n, - for each labeler."""
-    value, before = text[start:stop], text[max(0, start - 40) : start]
+def _valid_date(value: str) -> bool:
+    parts = [int(p) for p in re.split(r"[./-]", value)]
+    year, a, b = (parts[0], *parts[1:]) if parts[0] > 999 else (parts[2], *parts[:2])
+    return 1900 <= year <= 2020 and 1 <= min(a, b) <= 12 and max(a, b) <= 31 and min(a, b) >= 1
+
+
+def votes(text: str, start: int, stop: int, kind: str, near: bool, lists: Gazetteers) -> str:
+    """One of y, n, - for each labeler. ``near``: another candidate is close by."""
+    value, before = text[start:stop], text[max(0, start - 40) : start].rsplit("\n", 1)[-1]
+    checks, listed = "-", None
     if kind == "email":
-        pattern, listed = "y", value.rsplit(".", 1)[1].lower() in ENDINGS
+        listed = value.rsplit(".", 1)[1].lower() in lists.endings
     elif kind == "spelled_email":
-        pattern, listed = "y" if "dot" in value.lower() else "-", re.split(r"[\s.\])]+", value.rstrip("])"))[-1].lower() in ENDINGS
+        checks, listed = "y" if "dot" in value.lower() else "-", re.split(r"[\s.\])]+", value.rstrip("])"))[-1].lower() in lists.endings
     elif kind == "ip":
-        pattern, listed = "n" if value.startswith(("0.", "127.", "255.")) else "y", None
+        checks = "n" if value.startswith(("0.", "127.", "255.")) else "y"
     elif kind == "card":
-        pattern, listed = "y", value[0] in "3456"
+        checks, listed = "y", value[0] in "3456"
     elif kind == "iban":
-        pattern, listed = "y" if _iban_checks(value) else "n", value[:2] in IBAN_COUNTRIES
+        checks, listed = "y" if _iban_checks(value) else "n", value[:2] in lists.iban_countries
     elif kind == "national_id":
-        pattern, listed = "n" if value[:3] in ("000", "666") or value[4:6] == "00" else "y", None
-    else:
+        checks = "n" if value[:3] in ("000", "666") or value[0] == "9" or value[4:6] == "00" or value[7:] == "0000" else "y"
+    elif kind in ("phone", "local_phone"):
         digits = "".join(c for c in value if c in "0123456789")
-        pattern, listed = "n" if len(set(digits)) == 1 else "y", None
+        checks = "n" if len(set(digits)) == 1 else "y" if kind == "phone" else "-" if digits[0] not in "01" and digits[3] not in "01" else "n"
+        listed = True if kind == "local_phone" and digits[:3] in lists.area_codes else None
+    elif kind == "birth_date":
+        checks = "-" if _valid_date(value) else "n"
+    elif kind == "address":
+        checks = "y" if re.match(r"[\s,]*(?:[A-Za-z]{0,2}[- ]?)?[0-9]{5}(?![0-9])|,\x20[A-ZÀ-Ý][a-zß-ÿ]+", text[stop : stop + 12]) else "-"
+    else:
+        bare = _TITLE.sub("", value, count=1)
+        checks, listed = "y" if len(bare) < len(value) else "-", re.split(r"[\x20-]", bare)[0] in lists.given
     gazetteer = "-" if listed is None else "y" if listed else "n"
-    return pattern + gazetteer + ("y" if FOR[kind].search(before) else "-") + ("n" if AGAINST.search(before) else "-")
+    context = "y" if FOR[kind].search(before) else "n" if kind == "birth_date" else "-"
+    against = AGAINST.get(kind, _AGAINST_ANY).search(before)
+    return checks + gazetteer + context + ("n" if against else "-") + ("y" if near else "-")
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh32_intdigest(text) % DIM
+
+
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+
 
+def span_features(text: str, start: int, stop: int, kind: str, votes_: str) -> list[int]:
+    """Hashed features: the votes with their kind, the span's shape, and three words on either side with their places."""
+    shape = re.sub(r"(.)\1+", r"\1+", re.sub(r"[a-zß-ÿ]", "a", re.sub(r"[A-ZÀ-Ý]", "A", re.sub(r"[0-9]", "9", text[start:stop]))))
+    left, right = _TOKEN.findall(text[max(0, start - 60) : start])[-3:], _TOKEN.findall(text[stop : stop + 60])[:3]
+    out = [f"kind {kind}", f"shape {kind} {shape[:24]}", f"size {kind} {min(stop - start, 40) // 4}"]
+    out += [f"vote {kind} {i} {v}" for i, v in enumerate(votes_)]
+    out += [f"left {kind} {i} {w.lower()}" for i, w in enumerate(reversed(left))] + [f"right {kind} {i} {w.lower()}" for i, w in enumerate(right)]
+    return [_hash(x) for x in out]
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and its candidate spans with their labelers' votes."""
-    item = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("votes", pa.string()), ("size", pa.string())])
+
+def candidates(docs: DataFrame, lists: Gazetteers = Gazetteers()) -> DataFrame:
+    """doc_id and its candidate spans with their labelers' votes and the classifier's features."""
+    item = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("votes", pa.string()), ("x", pa.list_(pa.int32()))])
 
     def run(batches):
         for b in batches:
@@ -141,63 +237,82 @@ def candidates(docs: DataFrame) -> DataFrame:
                 t = t or ""
                 base = base_spans(t)
                 spans = sorted(base + loose_spans(t, base), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
-                rows.append([{"start": i, "stop": j, "kind": k, "votes": votes(t, i, j, k), "size": "s" if j - i < 12 else "m" if j - i < 20 else "l"} for i, j, k in spans])
+                row = []
+                for k, (i, j, kind) in enumerate(spans):
+                    near = k > 0 and i - spans[k - 1][1] <= 60 or k + 1 < len(spans) and spans[k + 1][0] - j <= 60
+                    v = votes(t, i, j, kind, near, lists)
+                    row.append({"start": i, "stop": j, "kind": kind, "votes": v, "x": span_features(t, i, j, kind, v) if kind not in BASE_KINDS else []})
+                rows.append(row)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(item))], names=["doc_id", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, spans array<struct<start:int,stop:int,kind:string,votes:string,size:string>>")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, spans array<struct<start:int,stop:int,kind:string,votes:string,x:array<int>>>")
+
 
+def estimate(patterns: list[tuple[str, int]], rounds: int = 50, most_prior: float = 0.98) -> tuple[dict[str, float], float, np.ndarray]:
+    """EM for two classes over (votes, count). Returns each pattern's posterior, the prior and the labelers' accuracies.
 
-def estimate(patterns: list[tuple[str, int]], rounds: int = 50) -> tuple[dict[str, float], float, np.ndarray]:
-    """EM for two classes over (votes, count). Returns each pattern's posterior, the prior and the labelers' accuracies."""
+    Accuracies start, and without much evidence stay, at 0.8. The prior, which is what a candidate gets that no labeler
+    votes on, is at most ``most_prior``.
+    """
     V = np.array([[{"y": 1, "n": -1, "-": 0}[c] for c in p] for p, _ in patterns])
     n = np.array([c for _, c in patterns], float)
-    prior, acc = 0.5, np.full(V.shape[1], 0.8)
+    prior, acc = min(0.5, most_prior), np.full(V.shape[1], 0.8)
     post = np.full(len(n), 0.5)
     for _ in range(rounds):
         lo = np.log(prior / (1 - prior)) + V @ np.log(acc / (1 - acc))
         post = 1 / (1 + np.exp(-lo))
-        prior = np.clip((post @ n + 1) / (n.sum() + 2), 0.02, 0.98)
+        prior = np.clip((post @ n + 4) / (n.sum() + 10), 0.02, most_prior)
         for j in range(V.shape[1]):
             right = n @ np.where(V[:, j] > 0, post, np.where(V[:, j] < 0, 1 - post, 0))
-            acc[j] = np.clip((right + 8) / (n @ (V[:, j] != 0) + 10), 0.55, 0.99)
+            acc[j] = np.clip((right + 8) / (n @ (V[:, j] != 0) + 10), 0.65, 0.99)
     return {p: float(q) for (p, _), q in zip(patterns, post)}, float(prior), acc
 
 
-def _features(kind: str, votes_: str, size: str) -> list[float]:
-    return [1.0, *({"y": 1.0, "n": -1.0, "-": 0.0}[c] for c in votes_), *(float(kind == k) for k in KINDS), *(float(size == s) for s in "sml")]
-
-
-def fit_classifier(groups: list[tuple[str, str, str, int]]) -> dict[tuple[str, str, str], float]:
-    """Probability of each (kind, votes, size) by a logistic classifier trained on EM posteriors, groups weighted by their counts."""
-    if not groups:
-        return {}
-    pooled: dict[str, int] = {}
-    for _, v, _, c in groups:
-        pooled[v] = pooled.get(v, 0) + c
-    post, *_ = estimate(sorted(pooled.items()))
-    X = np.array([_features(k, v, s) for k, v, s, _ in groups])
-    y, w = np.array([post[v] for _, v, _, _ in groups]), np.array([c for *_, c in groups], float)
-    w /= w.sum()
-    theta = np.zeros(X.shape[1])
-    for _ in range(30):  # Newton steps
-        p = 1 / (1 + np.exp(-X @ theta))
-        g = X.T @ (w * (p - y)) + 1e-3 * theta
-        H = (X * (w * p * (1 - p))[:, None]).T @ X + 1e-3 * np.eye(len(theta))
-        theta -= np.linalg.solve(H, g)
-    p = 1 / (1 + np.exp(-X @ theta))
-    return {(k, v, s): float(q) for (k, v, s, _), q in zip(groups, p)}
-
-
-def find(docs: DataFrame) -> DataFrame:
+def fit_classifier(rows: list[tuple[list[int], float]], steps: int = 200, rate: float = 0.5, l2: float = 1e-4) -> np.ndarray:
+    """Weights of the hashed features by AdaGrad over (features, posterior)."""
+    w, g2 = np.zeros(DIM), np.full(DIM, 1e-8)
+    if not rows:
+        return w
+    at = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
+    flat, y = np.concatenate([x for x, _ in rows]).astype(int), np.array([q for _, q in rows])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, w[flat], len(rows)), -30, 30)))
+        g = np.bincount(flat, (p - y)[at], DIM) / len(rows) + l2 * w
+        g2 += g * g
+        w -= rate * g / np.sqrt(g2)
+    return w
+
+
+def train(found: DataFrame, most: int = TRAIN_SPANS) -> np.ndarray:
+    """The classifier's weights from the candidates in ``found``: EM over all vote counts, then a fit on the sample."""
+    each = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").where(~F.col("kind").isin(*BASE_KINDS))
+    groups: dict[str, list[tuple[str, int]]] = {}
+    # kinds x votes: at most 7 x 3^5 groups
+    for r in each.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect():
+        groups.setdefault(r.kind, []).append((r.votes, r.n))
+    total = sum(n for g in groups.values() for _, n in g)
+    if not total:
+        return np.zeros(DIM)
+    posterior = {(kind, v): q for kind, g in groups.items() for v, q in estimate(sorted(g), most_prior=0.45)[0].items()}
+    u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "start", "stop", "kind"), F.lit(1_000_000))
+    sample = each.where(u < int(1_000_000 * min(1.0, most / total)) + 1).select("kind", "votes", "x").collect()
+    return fit_classifier(sorted((list(r.x), posterior[r.kind, r.votes]) for r in sample))
+
+
+def find(docs: DataFrame, lists: Gazetteers = Gazetteers()) -> DataFrame:
     """doc_id and spans (start, stop, kind) of every row of ``docs``."""
-    found = cut(candidates(docs))
-    each = found.select(F.explode("spans").alias("s")).select("s.kind", "s.votes", "s.size")
-    # kinds x votes x sizes: at most 8 x 3^4 x 3 groups
-    groups = sorted((r.kind, r.votes, r.size, r.n) for r in each.groupBy("kind", "votes", "size").agg(F.count("*").alias("n")).collect())
-    stay = [":".join(k) for k, p in fit_classifier(groups).items() if p >= 0.5 and k[0] not in BASE_KINDS]
-    kept = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS) | F.concat_ws(":", s["kind"], s["votes"], s["size"]).isin(stay or [""]))
-    return found.select("doc_id", F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))).alias("spans"))
+    found = cut(candidates(docs, lists))
+    weights = found.sparkSession.sparkContext.broadcast(train(found))
+    item = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())])
+
+    def judge(batches):
+        for b in batches:
+            rows = [[{k: s[k] for k in ("start", "stop", "kind")} for s in spans if s["kind"] in BASE_KINDS or weights.value[s["x"]].sum() >= 0] for spans in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(item))], names=["doc_id", "spans"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_batches(found, judge, f"doc_id {kind}, spans array<struct<start:int,stop:int,kind:string>>")
 
 
 def render(spans):

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,3 +66,63 @@ def test_looser_spans_and_odd_rows(spark, odd_docs, no_docs):
     got = {r.doc_id: [s.kind for s in r.spans] for r in pii.find(docs).collect()}
     assert got[1] == ["spelled_email", "local_phone", "email"]
     assert pii.find(odd_docs).count() == odd_docs.count() and pii.find(no_docs).count() == 0
+
+
+FILLER = "the meeting about harvest plans went on while rain fell over quiet fields and nobody in particular took notes about it".split()
+
+
+def planted(rng):
+    """A document, its planted spans (kind, text), and spans that look alike but are none."""
+    name = lambda: f"{rng.choice(['James', 'Linda', 'Klaus', 'Sophie', 'Carlos', 'Emma', 'Pierre', 'Ana'])} {rng.choice(['Walker', 'Schneider', 'Moreau', 'Ortega', 'Novak', 'Lindqvist'])}"
+    day = lambda lo, hi: f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(lo, hi)}"
+    digits = lambda k: "".join(rng.choice("23456789") for _ in range(k))
+    iban = next(x for c in range(100) for x in [f"DE{c:02d}500105175407324931"] if pii._iban_checks(x))
+    good = {
+        "person": lambda: (rng.choice(["signed by {}", "spoke with {} again", "Dear {},", "customer {} called", "{} replied"]), name()),
+        "birth_date": lambda: (rng.choice(["born on {}", "date of birth: {}", "geboren am {}", "DOB {}"]), day(1940, 2005)),
+        "address": lambda: (rng.choice(["lives at {}", "ship to {}", "home address {}", "wohnt in {}"]), rng.choice([f"{rng.randint(1, 999)} {rng.choice(['Maple', 'Oak Hill', 'Station'])} {rng.choice(['Street', 'Avenue', 'Road'])}", f"Lindenstraße {rng.randint(1, 99)}"])),
+        "spelled_email": lambda: (rng.choice(["write to {}", "e-mail {}", "reach me: {}"]), f"user{rng.randint(1, 99)} [at] mail{rng.randint(1, 9)} [dot] com"),
+        "local_phone": lambda: (rng.choice(["call {}", "phone: {}", "my number {}"]), f"({rng.choice(['212', '415', '305'])}) {digits(3)}-{digits(4)}"),
+        "national_id": lambda: (rng.choice(["SSN {}", "social security number {}", "tax id {}"]), f"{rng.randint(100, 599)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"),
+        "iban": lambda: (rng.choice(["IBAN {}", "account {}", "pay to {}"]), iban),
+    }
+    bad = [lambda: f"released on {day(2001, 2015)}", lambda: f"order {digits(3)}-{digits(3)}-{digits(4)}", lambda: f"version {rng.randint(1, 9)}.{rng.randint(1, 9)}", lambda: "near New Haven University", lambda: f"invoice due {day(2001, 2015)}"]
+    words, spans = [], []
+    for kind in rng.sample(sorted(good), rng.randint(0, 3)):
+        words += [rng.choice(FILLER) for _ in range(rng.randint(12, 25))]
+        form, value = good[kind]()
+        words.append(form.format(value))
+        spans.append((kind, value))
+    if rng.random() < 0.5:
+        words += [rng.choice(FILLER) for _ in range(25)] + [rng.choice(bad)()]
+    words += [rng.choice(FILLER) for _ in range(15)]
+    return " ".join(words), spans
+
+
+def test_recall_of_planted_spans(spark):
+    rng = random.Random(12)
+    docs = [planted(rng) for _ in range(900)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(docs)], "doc_id long, text string")
+    asked, hit, wrong, clean_hit, clean = Counter(), Counter(), 0, 0, 0
+    total = 0
+    for r in pii.find(df).collect():
+        text, want = docs[r.doc_id]
+        got = [(s.kind, text[s.start : s.stop]) for s in r.spans]
+        total += len(got)
+        wrong += sum(g not in want for g in got)
+        clean, clean_hit = clean + (not want), clean_hit + (not want and bool(got))
+        for kind, value in want:
+            asked[kind] += 1
+            hit[kind] += (kind, value) in got
+    recall = {k: hit[k] / asked[k] for k in asked}
+    assert len(recall) == 7 and min(recall.values()) >= 0.9, recall
+    assert wrong / total <= 0.05 and clean_hit / clean <= 0.05, (wrong, total, clean_hit, clean)
+
+
+def test_loose_spans_never_overlap():
+    text = "Dear James Walker, 12 James Walker Street, born 1.2.1980, 212-555-0187, +1 212 555 0187 and DE89370400440532013000"
+    base = pii.base_spans(text)
+    loose = pii.loose_spans(text, base)
+    spans = sorted(loose + base)
+    assert {k for *_, k in loose} >= {"person", "birth_date", "address", "local_phone", "iban"}
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
