@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import cut, map_batches, read_table
+from matchloom.llm.common import cut, map_batches, read_table, replicated, spread
 
 MAX_BITS = 2
 #: A block key with more distinct fingerprints than this is linked by one-bit neighbours.
@@ -103,12 +103,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp (long) and component_id of every row of ``docs``."""
     prints = cut(fingerprints(docs, width))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     roots = components(links(classes.select("fp")))
-    placed = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    # a row without copies or links is its own component and needs no join; copies of one text are dealt to several tasks
+    alone = (F.col("n") == 1) & F.col("component_id").eqNullSafe(F.col("first"))
+    named = placed.join(least, "root").where(~alone).select("fp", "component_id", F.lit(True).alias("linked"))
+    joined = prints.withColumn("part", spread()).join(replicated(named, "part"), ["fp", "part"], "left")
+    return joined.select("doc_id", "fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
