@@ -79,7 +79,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Nothing is collected: each round is two shuffles over the links and ends in a written table. A star's centre
     gathers only a minimum, so a hub with very many links is summed map-side.
     """
-    edges = cut(edges.select("a", "b").where("a < b").distinct())
+    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -82,3 +82,8 @@ def test_odd_rows(spark, odd_docs, no_docs):
     zero = {r.doc_id: r.component_id for r in got if r.fp == 0}
     assert zero == {100: 100, 101: 100, 102: 100}
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_components_take_links_in_either_direction(spark):
+    edges = spark.createDataFrame([(9, 1), (9, 2), (3, 9), (5, 5), (8, 7)], "a long, b long")
+    assert {r.node: r.root for r in simhash.components(edges).collect()} == {2: 1, 3: 1, 9: 1, 8: 7}
