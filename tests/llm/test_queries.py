@@ -1,9 +1,12 @@
 """Queries with SQL give DuckDB's rows; the pipeline's stages hold on the smallest tables and on odd ones."""
 
+import hashlib
+
 import pytest
 
 import corpus_pipeline
 from matchloom.llm import bpe, decontam, quality, queries, simhash
+from matchloom.llm.common import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,11 +50,19 @@ def test_stages_decide(spark):
     assert {r.doc_id: r.token_ids for r in kept[5].collect()} == {i: [x for p in bpe.pretokens(t) for x in merge(p)] for i, t in clean.items()}
 
 
-def test_odd_documents_pass_all_stages(spark, odd_docs):
-    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.cut(stage(spark, docs, SF))
-    assert docs.count() <= odd_docs.count()
+def test_run_on_odd_and_empty_documents(spark, odd_docs, no_docs):
+    """The whole pipeline over nulls, long and repeated texts and extra columns of clashing names, and over no rows."""
+    for docs in (odd_docs, no_docs):
+        root = shared_dir(spark)
+        docs.write.parquet(f"{root}/documents.parquet")
+        for name in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{root}/{name}.parquet")
+        got = corpus_pipeline.run(spark, root).collect()
+        texts = {(r.doc_id, r.text) for r in docs.collect()}
+        # what is kept has 50 words or more and, without secrets or benchmark passages in it, decodes to its own text
+        want = {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in texts if t}
+        assert {(r.doc_id, r.decoded_sha256) for r in got} <= want and len(got) == len({(r.doc_id, r.decoded_sha256) for r in got})
+        assert all(r.n_tokens == len(r.token_ids) for r in got) and (len(got) > 5) == (docs is odd_docs)
 
 
 def test_near_dedup_keeps_one_of_each_group(spark, odd_docs):
