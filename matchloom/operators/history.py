@@ -138,9 +138,10 @@ def pair_history(appearances: DataFrame, scope: Sequence[str], period: str, matc
 
     Players of one side of one match form a small set, so its pairs are few; keys of pairs are summed before the frame.
     """
-    players = appearances.where(F.col(period).isNotNull()).select(*scope, period, match, side, player).distinct()
-    a, b = players.withColumnRenamed(player, "p"), players.withColumnRenamed(player, "q")
-    pairs = a.join(b, [*scope, period, match, side]).where("p < q")
+    known = appearances.where(F.col(period).isNotNull())
+    rosters = known.groupBy(*scope, period, match, side).agg(F.array_sort(F.collect_set(player)).alias("r"))  # one side of one match
+    after = F.transform("r", lambda p, i: F.transform(F.slice("r", i + 2, F.size("r")), lambda q: F.struct(p.alias("p"), q.alias("q"))))
+    pairs = rosters.select(*scope, period, match, side, F.inline(F.flatten(after)))
     met = pairs.groupBy(*scope, "p", "q", period).agg(F.count("*").alias("n"))
     w = _before([*scope, "p", "q"], period, None)
     prior = met.select(*scope, "p", "q", period, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("met"))

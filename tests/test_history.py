@@ -114,4 +114,4 @@ def test_imputation_uses_the_fitting_rows(spark):
 
 
 def test_forbidden_names():
-    assert features.forbidden_names(["a_prior_kd_mean", "score_a", "label", "diff_form5_success"]) == ["score_a", "label"]
+    assert features.forbidden_names(["a_prior_kd_mean", "score_a", "winner", "label", "diff_form5_success"]) == ["score_a", "winner"]
