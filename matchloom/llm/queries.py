@@ -15,6 +15,7 @@ _WHERE = {
     "op8_quality_rules": "quality",
     "op9_language_id": "langid",
     "op10_token_rollup": "token_rollup",
+    "op13_prefix_trie": "prefix_trie",
 }
 
 QUERIES = {name: getattr(import_module(f"matchloom.llm.{module}"), name) for name, module in _WHERE.items()}
