@@ -269,3 +269,25 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes of the trie of every rebuilt conversation."""
     turns = turn_table(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return trie(*rebuilt(cut(turns)))
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, [ascii(x)::UBIGINT FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT FOR i IN range(8)]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"
+#: A node is the list of its turns' digests up to it; a subtree's sums go over all nodes that start with it.
+ORACLE_OP13 = f"""WITH t AS MATERIALIZED (SELECT conv_id, sha256(strlen(role) || ':' || role || text) AS digest, strlen(text) AS bytes,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) - 1 AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS MATERIALIZED (SELECT conv_id, conv_id - ((conv_id % 5) + 5) % 5 AS base, CAST({_CRC} % {MOST_HEAD + 1} AS BIGINT) AS h, count(*) AS n FROM t GROUP BY conv_id),
+r AS MATERIALIZED (SELECT c.conv_id, 0 AS part, pos, digest, bytes FROM c JOIN t ON t.conv_id = c.base WHERE pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, digest, bytes FROM c JOIN t USING (conv_id) WHERE pos >= h),
+s AS MATERIALIZED (SELECT conv_id, row_number() OVER w AS depth, bytes, sha256(string_agg(digest, '') OVER w) AS node FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+l AS (SELECT conv_id, max(depth) AS len FROM s GROUP BY conv_id),
+n AS MATERIALIZED (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS own,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = len), '')) AS ends_sha256 FROM s JOIN l USING (conv_id) GROUP BY node, depth),
+e AS MATERIALIZED (SELECT DISTINCT a.node, b.node AS below FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.depth = a.depth + 1),
+u AS MATERIALIZED (SELECT DISTINCT a.node, b.node AS below FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+k AS (SELECT node, count(*) AS n_children FROM e GROUP BY node),
+f AS (SELECT u.node, count(*) FILTER (WHERE k.node IS NULL) AS n_leaves, sum(n.own) AS saved_tokens FROM u JOIN n ON n.node = u.below LEFT JOIN k ON k.node = u.below GROUP BY u.node),
+p AS (SELECT e.below AS node, n.conv_id AS parent_conv_id FROM e JOIN n USING (node))
+SELECT n.conv_id, n.depth, p.parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, f.n_leaves, CAST(f.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN f USING (node) LEFT JOIN k USING (node) LEFT JOIN p USING (node)"""

@@ -16,7 +16,7 @@ def test_rows_equal_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings", "conversations"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     want = c.sql(queries.ORACLES[name])
