@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def stable_hash(key: Column, seed: int = 42) -> Column:
-    """A number in [0, 2^60) from the SHA-1 of key and seed; null for a null key."""
-    digest = F.sha1(F.concat(key.cast("string"), F.lit(f"|{seed}")))
+def stable_hash(key: Column, seed: int | None = 42) -> Column:
+    """A number in [0, 2^60) from the SHA-1 of key and seed (of the key alone if None); null for a null key."""
+    text = key.cast("string")
+    digest = F.sha1(text if seed is None else F.concat(text, F.lit(f"|{seed}")))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -66,17 +67,19 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(stable_hash(F.col(key), seed), key).limit(n)
 
 
-def numbered(df: DataFrame, order: Column, name: str, bits: int = 10) -> DataFrame:
-    """``df`` with a gapless number from 0 in the order of ``order``, a ``stable_hash``, and then of the whole row.
+def numbered(df: DataFrame, order: Column, name: str, bits: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with a gapless number from 0, in each group of ``by`` (no nulls), in the order of ``order``, a ``stable_hash``,
+    and then of the whole row.
 
-    Hashes are even, so their leading ``bits`` deal the rows to groups of like size; a group sorts itself and starts where
-    the ones before it end. Only one count a group meets in one place, whatever the number of rows.
+    Hashes are even, so their leading ``bits`` deal the rows to parts of like size; a part sorts itself and starts where
+    the ones before it end. Only one count a part meets in one place, whatever the number of rows.
     """
     ranked = df.withColumns({"_h": order, "_g": F.shiftright(order, 60 - bits)})
-    sizes = ranked.groupBy("_g").agg(F.count("*").alias("_c"))
-    starts = sizes.select(F.col("_g").alias("_k"), F.coalesce(F.sum("_c").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    inside = ranked.withColumn("_i", F.row_number().over(Window.partitionBy("_g").orderBy("_h", *df.columns)) - 1)
-    return inside.join(F.broadcast(starts), F.col("_g") == F.col("_k")).withColumn(name, F.col("_s") + F.col("_i")).drop("_h", "_g", "_k", "_s", "_i")
+    sizes = ranked.groupBy(*by, "_g").agg(F.count("*").alias("_c"))
+    earlier = Window.partitionBy(*by).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*by, "_g", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_s"))
+    inside = ranked.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_g").orderBy("_h", *df.columns)) - 1)
+    return inside.join(F.broadcast(starts), [*by, "_g"]).withColumn(name, F.col("_s") + F.col("_i")).select(*df.columns, name)
 
 
 def shuffled_labels(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
@@ -90,6 +93,20 @@ def shuffled_labels(df: DataFrame, key: str, label: str, seed: int = 42) -> Data
     return places.join(dealt, "_n").withColumn(label, F.col("_l")).drop("_n", "_l")
 
 
+def permuted(df: DataFrame, key: str, columns: Sequence[str], repeats: int, seed: int = 42, name: str = "donor") -> DataFrame:
+    """``df`` once for each ``repeat``, with the struct ``name`` of another row's ``columns``: in each repeat, a permutation of
+    the rows as ``shuffled_labels`` deals them with seed + repeat.
+
+    All orders are numbered in one shuffle: a row's place under seed s and the next repeat's donor places are the same.
+    """
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    every = df.withColumn("_seed", F.explode(F.sequence(F.lit(seed), F.lit(seed + repeats))))
+    placed = numbered(every, stable_hash(F.concat(text, F.lit("|"), F.col("_seed").cast("string")), None), "_n", by=["_seed"])
+    takers = placed.where(F.col("_seed") < seed + repeats).withColumn("repeat", F.col("_seed") - seed)
+    givers = placed.where(F.col("_seed") > seed).select((F.col("_seed") - seed - 1).alias("repeat"), "_n", F.struct(*columns).alias(name))
+    return takers.join(givers, ["repeat", "_n"]).select(*df.columns, "repeat", name)
+
+
 def overlap(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The number of keys in both."""
     return a.select(*keys).intersect(b.select(*keys)).agg(F.count("*").alias("overlap"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import functions as F
 
-from matchloom.operators import features, history, metrics, ml, splits
-from matchloom.plans.bindings import matches
+from matchloom.operators import features, history, metrics, ml, shap, splits
+from matchloom.plans.bindings import M, matches
 from matchloom.plans.registry import collector
+from matchloom.sources.shared import written
 
 QUERIES, ORACLES, query = collector()
 FEATURES = ["prior_n", "success", "form5", "map_success"]
@@ -23,7 +27,8 @@ def feature_rows(spark, sf):
 
 
 def _split(spark, sf):
-    return splits.chrono_split(feature_rows(spark, sf), "year")
+    """Written once: every fit and score of a query reads the table, none computes the history again."""
+    return splits.chrono_split(written(feature_rows(spark, sf)), "year")
 
 
 def _models(spark, sf):
@@ -73,10 +78,9 @@ def o117_weight_search(spark, sf):
 
 @query()
 def o122_permutation_importance(spark, sf):
-    """The loss of AUC of each feature over ten shuffles of it among all test rows."""
+    """The loss of AUC of the fitted vote for each feature, over ten permutations of it among all test rows."""
     models, test = _models(spark, sf)
-    rows = ml.permutation_importance(models, dict.fromkeys(models, 1.0), test.select("match_key", "label", *FEATURES), "match_key", FEATURES)
-    return spark.createDataFrame(rows, "feature string, importance double")
+    return ml.permutation_importance(ml.voter(models, dict.fromkeys(models, 1.0)), test, "match_key", FEATURES)
 
 
 @query()
@@ -121,3 +125,76 @@ def o147_contract_columns(spark, sf):
     base = features.check_contract(features.baseline_contract(_MAPS, _ROLES, _AGENTS), 178)
     adv = features.check_contract(features.advanced_contract(_MAPS[:12]), 179)
     return spark.createDataFrame([("baseline", i, c) for i, c in enumerate(base)] + [("advanced", i, c) for i, c in enumerate(adv)], "contract string, position int, column_name string")
+
+
+@query()
+def o125_shap_top20(spark, sf):
+    """The features of the largest mean absolute Shapley values of each advanced member, over all rows of the validation year."""
+    models, validation = _advanced(spark, sf)
+    out = []
+    for name, model in models.items():
+        leaves, expected = shap.explainer(model)
+        rows = shap.explained(validation, FEATURES, leaves, expected)
+        out.append(shap.mean_absolute(rows, FEATURES).select(F.lit(name).alias("member"), "feature", "mean_abs_shap"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+#: A tree of fixed thresholds over matches; its rows are counted from the data, so SQL can follow its Shapley values.
+_FIXED_TREE = {"margin": 150_000.0, "year": 1995.0, "values": (0.2, 0.5, 0.9)}
+
+
+def _fixed_nodes(rows) -> pd.DataFrame:
+    """Node table of: margin <= t ? (year <= u ? v0 : v1) : v2, with the rows of ``rows`` that reach each node."""
+    low = F.col("margin") <= _FIXED_TREE["margin"]
+    early = low & (F.col("year") <= _FIXED_TREE["year"])
+    n = rows.agg(F.count("*").alias("n"), F.count_if(low).alias("low"), F.count_if(early).alias("early")).first()
+    v = _FIXED_TREE["values"]
+    names = ["tree", "weight", "id", "left", "right", "feature", "threshold", "rows", "value", "categories", "arity"]
+    nodes = [(0, 1.0, 0, 1, 2, 0, _FIXED_TREE["margin"], n.n, 0.0), (0, 1.0, 1, 3, 4, 1, _FIXED_TREE["year"], n.low, 0.0), (0, 1.0, 2, -1, -1, -1, None, n.n - n.low, v[2]), (0, 1.0, 3, -1, -1, -1, None, n.early, v[0]), (0, 1.0, 4, -1, -1, -1, None, n.low - n.early, v[1])]
+    return pd.DataFrame([(*r, None, -1) for r in nodes], columns=names).astype({"categories": object})
+
+
+@query(
+    "WITH "
+    + M
+    + """,
+b AS (SELECT match_key, (margin <= 150000)::INT AS low, (year <= 1995)::INT AS early FROM m),
+z AS (SELECT avg(low) AS zl, sum(low * early) / sum(low) AS ze FROM b),
+-- Expected values where neither, one or both of the features are given; a Shapley value is the mean of its gain in both orders.
+f AS (SELECT match_key, ze * 0.2 + (1 - ze) * 0.5 AS inner_mean, CASE early WHEN 1 THEN 0.2 ELSE 0.5 END AS inner_given, low, zl FROM b, z),
+g AS (SELECT match_key, zl * inner_mean + (1 - zl) * 0.9 AS none, CASE low WHEN 1 THEN inner_mean ELSE 0.9 END AS only_margin,
+  zl * inner_given + (1 - zl) * 0.9 AS only_year, CASE low WHEN 1 THEN inner_given ELSE 0.9 END AS whole FROM f)
+SELECT match_key, round((only_margin - none + whole - only_year) / 2, 9) AS shap_margin, round((only_year - none + whole - only_margin) / 2, 9) AS shap_year FROM g"""
+)
+def o125_fixed_tree_shap(spark, sf):
+    """The Shapley values of every match under a tree of fixed thresholds."""
+    rows = matches(spark, sf).select("match_key", "margin", F.col("year").cast("double").alias("year"))
+    leaves, expected = shap.leaves_of(_fixed_nodes(rows))
+    s = shap.explained(rows, ["margin", "year"], leaves, expected)
+    return s.select("match_key", F.round(F.col("shap")[0], 9).alias("shap_margin"), F.round(F.col("shap")[1], 9).alias("shap_year"))
+
+
+def _linear(rows):
+    return rows.withColumn("p", 3 * F.col("margin") - 100_000 * F.col("year") + 50 * F.col("team"))
+
+
+@query(
+    "WITH "
+    + M
+    + """,
+b AS (SELECT match_key, label, margin, CAST(year AS DOUBLE) AS year, CAST(team AS DOUBLE) AS team FROM m WHERE label IS NOT NULL),
+z AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY CAST(('0x' || substr(sha1(concat(CAST(match_key AS VARCHAR), '|', CAST(seed AS VARCHAR))), 1, 15)) AS BIGINT), match_key) AS n
+  FROM b, (SELECT unnest(range(42, 53)) AS seed)),
+d AS (SELECT t.seed - 42 AS repeat, feature, t.label, CASE feature WHEN 'margin' THEN g.margin ELSE t.margin END AS margin, CASE feature WHEN 'year' THEN g.year ELSE t.year END AS year,
+  CASE feature WHEN 'team' THEN g.team ELSE t.team END AS team FROM z t JOIN z g ON g.seed = t.seed + 1 AND g.n = t.n, (VALUES ('margin'), ('year'), ('team')) f(feature)
+  UNION ALL SELECT -1, '', label, margin, year, team FROM b),
+s AS (SELECT feature, repeat, label, 3 * margin - 100000 * year + 50 * team AS p FROM d),
+r AS (SELECT *, rank() OVER (PARTITION BY feature, repeat ORDER BY p) + (count(*) OVER (PARTITION BY feature, repeat, p) - 1) / 2.0 AS mid FROM s),
+a AS (SELECT feature, repeat, (sum(mid) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label)) AS auc FROM r GROUP BY feature, repeat)
+SELECT feature, round(avg(w.auc - a.auc), 9) AS importance, round(stddev_pop(w.auc - a.auc), 9) AS deviation FROM a, (SELECT auc FROM a WHERE repeat < 0) w WHERE repeat >= 0 GROUP BY feature"""
+)
+def o122_linear_permutation(spark, sf):
+    """The loss of AUC of a fixed linear score for each of its features, over ten permutations of it among all matches."""
+    rows = written(matches(spark, sf).where("label is not null").select("match_key", "label", "margin", F.col("year").cast("double").alias("year"), F.col("team").cast("double").alias("team")))
+    found = ml.permutation_importance(_linear, rows, "match_key", ["margin", "year", "team"])
+    return found.select("feature", F.round("importance", 9).alias("importance"), F.round("deviation", 9).alias("deviation"))
