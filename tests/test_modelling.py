@@ -32,7 +32,7 @@ def test_weight_search_finds_the_member_that_knows(spark):
 def test_permutation_importance_tells_signal_from_noise(spark, tmp_path):
     df = spark.range(800).selectExpr("id as k", "cast(id % 2 as int) as label", "cast(id % 2 as double) + rand(1) as signal", "rand(2) as noise")
     models = ml.fit(ml.baseline_members(["signal", "noise"], 800), df)
-    got = dict(ml.permutation_importance(models, dict.fromkeys(models, 1.0), df, "k", ["signal", "noise"], repeats=2))
+    got = {r.feature: r.importance for r in ml.permutation_importance(ml.voter(models, dict.fromkeys(models, 1.0)), df, "k", ["signal", "noise"], repeats=2).collect()}
     assert got["signal"] > 0.3 and abs(got["noise"]) < 0.05
     ml.save(models, {"features": ["signal", "noise"], "weights": [1.0, 1.0]}, str(tmp_path / "m"))
     loaded, meta = ml.load(str(tmp_path / "m"))
@@ -51,3 +51,6 @@ def test_tuned_baseline_tries_both_grids(spark):
     rows = modelling.QUERIES["o115_tuned_baseline"](spark, SF).collect()
     assert sum(r.member == "lr" for r in rows) == 8 and sum(r.member == "dt" for r in rows) == 12
     assert all(0 <= r.auc <= 1 for r in rows)
+    best = ml.best_settings(spark.createDataFrame(rows))
+    members = ml.tuned_members(["x"], best)
+    assert members["dt"].getStages()[-1].getMaxDepth() == best["dt"]["max_depth"] in ml.DT_DEPTH and members["lr"].getStages()[-1].getElasticNetParam() == best["lr"]["l1_ratio"]
