@@ -7,10 +7,11 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import functions as F
 
-from matchloom.operators import features, history, metrics, ml, shap, splits
+from matchloom.operators import features, history, metrics, ml, search, shap, splits
+from matchloom.operators.search import Range
 from matchloom.plans.bindings import M, matches
 from matchloom.plans.registry import collector
-from matchloom.sources.shared import written
+from matchloom.sources.shared import shared_dir, written
 
 QUERIES, ORACLES, query = collector()
 FEATURES = ["prior_n", "success", "form5", "map_success"]
@@ -194,3 +195,23 @@ def o122_linear_permutation(spark, sf):
     rows = written(matches(spark, sf).where("label is not null").select("match_key", "label", "margin", F.col("year").cast("double").alias("year"), F.col("team").cast("double").alias("team")))
     found = ml.permutation_importance(_linear, rows, "match_key", ["margin", "year", "team"])
     return found.select("feature", F.round("importance", 9).alias("importance"), F.round("deviation", 9).alias("deviation"))
+
+
+#: Trials of the query; the operator's own callers choose theirs.
+SEARCH_TRIALS, SEARCH_STARTUP = 8, 4
+SEARCH_SPACE = {"numTrees": Range(10, 40, whole=True), "maxDepth": Range(3, 8, whole=True), "minInstancesPerNode": Range(10, 150, whole=True), "featureSubsetShare": Range(0.25, 0.75)}
+
+
+@query()
+def o118_parameter_search(spark, sf):
+    """Trials of the forest's parameters by a tree of Parzen estimators: AUC on the last training year, fitted on those before."""
+    rows = _split(spark, sf).where("split = 'train'")
+    last = rows.agg(F.max("year")).first()[0]
+    fitting, validation = splits.fit_and_validation(rows, "year", last)
+
+    def objective(params):
+        whole = {k: int(v) for k, v in params.items() if SEARCH_SPACE[k].whole}
+        member = {"rf": ml.advanced_members(FEATURES, rf=whole | {"featureSubsetStrategy": str(params["featureSubsetShare"])})["rf"]}
+        return metrics.auc(ml.member_probabilities(ml.fit(member, fitting), validation), "p_rf", "label").first().auc
+
+    return search.report(search.Study(spark, shared_dir(spark), SEARCH_SPACE, startup=SEARCH_STARTUP).run(objective, SEARCH_TRIALS))

@@ -50,7 +50,7 @@ class Store:
     def _rows(self) -> list:
         """The manifest: one row a batch, so its size is the number of commits."""
         try:
-            return self.spark.read.schema(self._MANIFEST).parquet(f"{self.root}/manifest").collect()
+            return self.spark.read.schema(self._MANIFEST).parquet(f"{self.root}/manifest").select("batch", "path", "replaces").collect()
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -75,7 +75,7 @@ class Store:
         path = f"data/{batch}-{uuid.uuid4().hex}"
         rows.write.partitionBy(*self.partition_by).parquet(f"{self.root}/{path}")
         note = self.spark.createDataFrame([(batch, path, list(replaces))], self._MANIFEST)
-        note.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        note.coalesce(1).write.parquet(f"{self.root}/manifest/note={uuid.uuid4().hex}")  # a folder each: writers don't meet
         return True
 
     def read(self, schema: str, batches: dict[str, str] | None = None) -> DataFrame:
