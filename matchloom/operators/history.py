@@ -124,29 +124,49 @@ def last_roster(appearances: DataFrame, team: str, period: str, match: str, play
     return latest.select(team, period, F.last("roster", ignorenulls=True).over(w).alias("previous_roster"))
 
 
-def roster_overlap(appearances: DataFrame, team: str, period: str, match: str, player: str) -> DataFrame:
-    """The share of a match's roster that played the team's latest earlier match; 0 without one."""
+def overlap_with(appearances: DataFrame, previous: DataFrame, team: str, period: str, match: str, player: str) -> DataFrame:
+    """The share of a match's roster that is in its team's ``previous_roster`` (by team and period); 0 without one."""
     now = appearances.groupBy(team, period, match).agg(F.collect_set(player).alias("roster"))
-    joined = now.join(last_roster(appearances, team, period, match, player), [team, period], "left")
+    joined = now.join(previous, [team, period], "left")
     shared = F.size(F.array_intersect("roster", F.coalesce("previous_roster", F.slice("roster", 1, 0))))
     return joined.select(team, period, match, (shared / F.greatest(F.size("roster"), F.lit(1))).alias("overlap"))
 
 
+def roster_overlap(appearances: DataFrame, team: str, period: str, match: str, player: str) -> DataFrame:
+    """The share of a match's roster that played the team's latest earlier match; 0 without one."""
+    return overlap_with(appearances, last_roster(appearances, team, period, match, player), team, period, match, player)
+
+
+#: The most players of one side of one match; a longer lineup is an error, as its pairs grow with its square.
+MOST_PLAYERS = 16
+
+
+def pairs_of(appearances: DataFrame, scope: Sequence[str], period: str, match: str, side: str, player: str) -> DataFrame:
+    """Each pair p, q of different players of one side of one match, with scope, period, match and side."""
+    known = appearances.where(F.col(period).isNotNull())
+    rosters = known.groupBy(*scope, period, match, side).agg(F.array_sort(F.collect_set(player)).alias("r"))  # one side of one match
+    long = F.raise_error(F.concat(F.lit(f"over {MOST_PLAYERS} players of one side in match "), F.col(match).cast("string")))
+    rosters = rosters.where(F.when(F.size("r") <= MOST_PLAYERS, F.lit(True)).otherwise(long.cast("boolean")))
+    after = F.transform("r", lambda p, i: F.transform(F.slice("r", i + 2, F.size("r")), lambda q: F.struct(p.alias("p"), q.alias("q"))))
+    return rosters.select(*scope, period, match, side, F.inline(F.flatten(after)))
+
+
+def pair_means(each: DataFrame, match: str, side: str) -> DataFrame:
+    """synergy, the mean of ``met`` over a side's pairs, and known, the share of them that met."""
+    return each.groupBy(match, side).agg(F.avg("met").alias("synergy"), F.avg(F.when(F.col("met") > 0, 1.0).otherwise(0.0)).alias("known"))
+
+
 def pair_history(appearances: DataFrame, scope: Sequence[str], period: str, match: str, side: str, player: str) -> DataFrame:
     """For each (match, side): the mean number of earlier-period meetings over its pairs of different players, and the share of
     pairs that met. Pairs are counted within ``scope`` (empty: anywhere).
 
     Players of one side of one match form a small set, so its pairs are few; keys of pairs are summed before the frame.
     """
-    known = appearances.where(F.col(period).isNotNull())
-    rosters = known.groupBy(*scope, period, match, side).agg(F.array_sort(F.collect_set(player)).alias("r"))  # one side of one match
-    after = F.transform("r", lambda p, i: F.transform(F.slice("r", i + 2, F.size("r")), lambda q: F.struct(p.alias("p"), q.alias("q"))))
-    pairs = rosters.select(*scope, period, match, side, F.inline(F.flatten(after)))
+    pairs = pairs_of(appearances, scope, period, match, side, player)
     met = pairs.groupBy(*scope, "p", "q", period).agg(F.count("*").alias("n"))
     w = _before([*scope, "p", "q"], period, None)
     prior = met.select(*scope, "p", "q", period, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("met"))
-    each = pairs.join(prior, [*scope, "p", "q", period])
-    return each.groupBy(match, side).agg(F.avg("met").alias("synergy"), F.avg(F.when(F.col("met") > 0, 1.0).otherwise(0.0)).alias("known"))
+    return pair_means(pairs.join(prior, [*scope, "p", "q", period]), match, side)
 
 
 def latest_before(facts: DataFrame, keys: Sequence[str], period: str, value: str, order: str) -> DataFrame:
