@@ -16,6 +16,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -137,14 +138,34 @@ class Model:
     theta: np.ndarray
 
 
-def _quoted(text: str, start: int, stop: int, reach: int = 80) -> bool:
-    """Whether a quotation opens shortly before a span and closes shortly after it, without a line end between."""
-    before, after = text[max(0, start - reach) : start].rsplit("\n", 1)[-1], text[stop : stop + reach].split("\n", 1)[0]
-    for a, b in _QUOTES.items():
-        open_ = before.count(a) % 2 == 1 if a == b else before.rfind(a) > before.rfind(b)
-        if open_ and b in after:
-            return True
-    return False
+def quotations(text: str) -> list[tuple[int, int]]:
+    """The quoted stretches of a text, in order and disjoint: on each line, an opening mark and the next closing one of its kind.
+
+    A straight mark opens and closes in turn; a mark without a partner on its line quotes nothing.
+    """
+    found = []
+    if any(a in text for a in _QUOTES):
+        at = 0
+        for line in text.split("\n"):
+            for a, b in _QUOTES.items():
+                start = line.find(a)
+                while start >= 0 and (stop := line.find(b, start + 1)) >= 0:
+                    found.append((at + start, at + stop))
+                    start = line.find(a, stop + 1)
+            at += len(line) + 1
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted(found):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(stop, out[-1][1]))
+        else:
+            out.append((start, stop))
+    return out
+
+
+def _quoted(spans: list[tuple[int, int]], start: int, stop: int) -> bool:
+    """Whether ``start`` to ``stop`` lies within one of the quoted stretches."""
+    i = bisect_left(spans, (start + 1,))
+    return i > 0 and stop <= spans[i - 1][1]
 
 
 def features(text: str | None, automaton: Automaton, known: dict[str, tuple[str, int] | None]) -> list[float]:
@@ -170,12 +191,12 @@ def features(text: str | None, automaton: Automaton, known: dict[str, tuple[str,
         return [0.0] * N_FEATURES
     exact = fuzzy = weight = quoted = crowded = 0.0
     meant: set[str] = set()
-    last = -WINDOW - 1
+    last, spans = -WINDOW - 1, quotations(text)
     for i, m in enumerate(_WORD.finditer(text)):
         if m[0] not in hits:
             continue
         term, errors = hits[m[0]]
-        if _quoted(text, *m.span()):
+        if _quoted(spans, *m.span()):
             quoted += 1
             continue
         if not errors:

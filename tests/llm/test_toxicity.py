@@ -52,6 +52,16 @@ def test_quoted_terms_are_no_abuse():
     assert got[3] > 0 and [x for i, x in enumerate(got) if i != 3] == [0.0] * 5
 
 
+def test_quotations_of_any_length_are_paired_over_the_line():
+    auto = toxicity.Automaton({"idiot": 2.0})
+    filler = "word " * 60
+    inside, outside = f'"{filler} idiot {filler}"', f'"{filler}" You idiot, he said "no"'
+    assert toxicity.features(inside, auto, {})[0] == 0 and toxicity.features(inside, auto, {})[3] > 0
+    assert toxicity.features(outside, auto, {})[0] > 0 and toxicity.features(outside, auto, {})[3] == 0
+    assert toxicity.quotations('a "b" c\n" d «e» „f“ "g') == [(2, 4), (8, 20)] and toxicity.quotations("none") == []
+    assert toxicity.features('"\nidiot"', auto, {})[0] > 0
+
+
 def test_disguised_words_reach_the_automaton():
     auto = toxicity.Automaton({"idiot": 2.0, "worthless": 2.0, "disgusting": 2.0})
     for word in ("id1ot", "idi0t", "id!ot", "i*diot", "w0rthless", "worth|ess", "d1sgust1ng", "di$gu$ting"):
@@ -96,8 +106,8 @@ def brute(rows, labels):
         plain, quoted = [], 0
         for i, m, hit in found:
             if hit:
-                line = text[: m.start()].rsplit("\n", 1)[-1][-80:]
-                if line.count('"') % 2 and '"' in text[m.end() :].split("\n", 1)[0][:80]:
+                line, rest = text[: m.start()].rsplit("\n", 1)[-1], text[m.end() :].split("\n", 1)[0]
+                if line.count('"') % 2 and '"' in rest:
                     quoted += 1
                 else:
                     plain.append((i, *hit))
