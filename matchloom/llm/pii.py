@@ -2,8 +2,10 @@
 
 Regexes propose candidate spans: the strict base kinds and looser ones, names, addresses and dates of birth among them.
 On each candidate, labelers vote yes, no or abstain: the kind's own checks, gazetteers, words of the context for and
-against it, and other candidates close by. Expectation-maximisation over the counts of each kind's vote patterns in the
-whole corpus estimates how reliable its labelers are. The posteriors then train a logistic span classifier that sees the
+against it, other candidates close by, and for names their use elsewhere: how often the corpus has the same given or
+family name with evidence for and against a person. A name that no list has is no evidence, so lists are no bound on what is
+found. Expectation-maximisation over the counts of each kind's vote patterns in the whole corpus estimates how reliable its
+labelers are, those of the base kinds too (``reliabilities``). The posteriors then train a logistic span classifier that sees the
 votes, the span's shape and hashed words around it, on a sample of at most about ``TRAIN_SPANS`` candidates. Base spans
 always stay; others stay at 0.5 or more.
 
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import cut, map_batches, read_table
+from matchloom.llm.common import cut, map_batches, read_table, replicated, spread
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: In the order in which kinds are listed.
@@ -58,7 +60,7 @@ def _words(text: str) -> frozenset[str]:
 
 @dataclass(frozen=True)
 class Gazetteers:
-    """Lists the gazetteer labeler looks up. Callers with larger tables pass their own; these are small defaults."""
+    """Lists the gazetteer labeler looks up. Callers with larger tables ``read`` their own; these are small defaults."""
 
     endings: frozenset[str] = _words("com org net edu gov io de fr es uk it nl eu info biz")
     iban_countries: frozenset[str] = _words("AD AT BE CH CZ DE DK ES FI FR GB IE IT LU NL NO PL PT SE")
@@ -70,6 +72,18 @@ class Gazetteers:
     )
 
 
+    @classmethod
+    def read(cls, table: DataFrame, most: int = 200_000) -> Gazetteers:
+        """The lists of a table (list, value), where it has them; a table of over ``most`` rows is an error, as every task holds it."""
+        rows = table.select("list", "value").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"over {most} gazetteer rows")
+        found: dict[str, set[str]] = {}
+        for r in rows:
+            found.setdefault(r["list"], set()).add(r["value"])
+        return cls(**{k: frozenset(v) for k, v in found.items()})
+
+
 #: Context words that speak for or against a kind of data, in the forty characters before a span.
 FOR = {
     "email": re.compile(r"(?i)e-?mail|contact|write|correo|courriel"),
@@ -85,12 +99,17 @@ FOR = {
     "person": re.compile(r"(?i)\bname|signed|sincerely|regards|dear|contact|patient|customer|employee|met with|spoke|called|born|author|herr|frau|señor|madame|monsieur"),
 }
 AGAINST = {
-    "person": re.compile(r"(?i)university|company|river|lake|mount|new |county|street|city of|the $|saint "),
+    "person": re.compile(r"(?i)university|company|river|lake|mount|new |county|street|city of|the $|saint |\b(?:in|near|at|across|outside|around|toward|towards|visit|visited|trip to|flight to|flew to) $"),
     "address": re.compile(r"(?i)chapter|section|page|figure|score|version"),
     "birth_date": re.compile(r"(?i)publish|release|updated|version|accessed|retrieved|printed|invoice|order|expires?|due|deadline|copyright|edition"),
 }
 _AGAINST_ANY = re.compile(r"(?i)version|release|build|order|invoice|isbn|issn|example|page|section|chapter")
-LABELERS = ("checks", "gazetteer", "context", "counter_context", "neighbours")
+LABELERS = ("checks", "gazetteer", "context", "counter_context", "neighbours", "usage")
+#: What follows a span and speaks for a person.
+_ACTS = re.compile(r"(?i),?\x20(?:replied|called|told|asked|wrote|writes|smiled|phoned|answered|nodded|lives|lived|moved|was\x20born|is\x20married|and\x20(?:his|her)\b|['’]s\x20(?:wife|husband|mother|father|son|daughter|phone|email|account|passport))")
+#: Words in or right after a span that name a place or an organisation, and first words that do.
+_ORG = re.compile(r"(?:^|\x20)(?:Airlines?|Airport|Academy|Association|Avenue|Bank|Bay|Beach|Bridge|Bureau|Canyon|Castle|Church|City|Club|College|Committee|Company|Corp|Corporation|Council|County|Court|Creek|Department|District|Falls|Forest|Foundation|GmbH|Group|Harbou?r|Heights|Hills?|Holdings|Hospital|Hotel|Inc|Industries|Institute|Island|Islands|Labs?|Lake|Library|Limited|Llc|Ltd|Mall|Ministry|Mountains?|Museum|Ocean|Park|Partners|Peninsula|Plaza|Port|Press|Ranch|Republic|River|Road|School|Sea|Services|Society|Software|Solutions|Square|States?|Station|Street|Studios?|Systems|Technologies|Theat(?:er|re)|Times|Tower|Town|Union|University|Valley|Village|Works)(?![a-z])")
+_PLACE = re.compile(r"(?:New|North|South|East|West|Northern|Southern|Eastern|Western|San|Santa|Saint|Los|Las|El|Port|Fort|Mount|Lake|Cape|Great|Upper|Lower|Central|Royal|United|National|General|Bank|Grand|Old|Little|Rio|Costa|Puerto|Buenos|Hong|Tel|Abu|Sri|Bad)\x20")
 
 
 def luhn(digits: str) -> bool:
@@ -202,9 +221,12 @@ def votes(text: str, start: int, stop: int, kind: str, near: bool, lists: Gazett
         checks = "y" if re.match(r"[\s,]*(?:[A-Za-z]{0,2}[- ]?)?[0-9]{5}(?![0-9])|,\x20[A-ZÀ-Ý][a-zß-ÿ]+", text[stop : stop + 12]) else "-"
     else:
         bare = _TITLE.sub("", value, count=1)
-        checks, listed = "y" if len(bare) < len(value) else "-", re.split(r"[\x20-]", bare)[0] in lists.given
+        tail = re.match(r"(?:\x20[A-Z][\w&.]*){0,2}", text[stop : stop + 40])[0]
+        checks = "y" if len(bare) < len(value) else "n" if _ORG.search(bare + tail) or _PLACE.match(bare) else "-"
+        listed = True if re.split(r"[\x20-]", bare)[0] in lists.given else None
     gazetteer = "-" if listed is None else "y" if listed else "n"
-    context = "y" if FOR[kind].search(before) else "n" if kind == "birth_date" else "-"
+    after = kind == "person" and _ACTS.match(text, stop)
+    context = "y" if after or FOR[kind].search(before) else "n" if kind == "birth_date" else "-"
     against = AGAINST.get(kind, _AGAINST_ANY).search(before)
     return checks + gazetteer + context + ("n" if against else "-") + ("y" if near else "-")
 
@@ -226,9 +248,15 @@ def span_features(text: str, start: int, stop: int, kind: str, votes_: str) -> l
     return [_hash(x) for x in out]
 
 
+def names_of(value: str) -> list[str]:
+    """The given and the family name of a person's span, without its title and with their roles."""
+    words = _TITLE.sub("", value, count=1).split(" ")
+    return [f"given {words[0]}", f"family {words[-1]}"]
+
+
 def candidates(docs: DataFrame, lists: Gazetteers = Gazetteers()) -> DataFrame:
-    """doc_id and its candidate spans with their labelers' votes and the classifier's features."""
-    item = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("votes", pa.string()), ("x", pa.list_(pa.int32()))])
+    """doc_id and its candidate spans with their labelers' votes, the classifier's features, and the words of names."""
+    item = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("votes", pa.string()), ("x", pa.list_(pa.int32())), ("names", pa.list_(pa.string()))])
 
     def run(batches):
         for b in batches:
@@ -241,12 +269,45 @@ def candidates(docs: DataFrame, lists: Gazetteers = Gazetteers()) -> DataFrame:
                 for k, (i, j, kind) in enumerate(spans):
                     near = k > 0 and i - spans[k - 1][1] <= 60 or k + 1 < len(spans) and spans[k + 1][0] - j <= 60
                     v = votes(t, i, j, kind, near, lists)
-                    row.append({"start": i, "stop": j, "kind": kind, "votes": v, "x": span_features(t, i, j, kind, v) if kind not in BASE_KINDS else []})
+                    row.append({"start": i, "stop": j, "kind": kind, "votes": v, "x": span_features(t, i, j, kind, v) if kind not in BASE_KINDS else [], "names": names_of(t[i:j]) if kind == "person" else []})
                 rows.append(row)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(item))], names=["doc_id", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, spans array<struct<start:int,stop:int,kind:string,votes:string,x:array<int>>>")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, spans {_CANDIDATES}")
+
+
+_CANDIDATES = "array<struct<start:int,stop:int,kind:string,votes:string,x:array<int>,names:array<string>>>"
+
+
+def used_elsewhere(found: DataFrame) -> DataFrame:
+    """``found`` (doc_id, spans) with the vote of the usage labeler and its feature on every span.
+
+    A name's given and family words are counted over all candidates of the corpus: those with some vote for and none against
+    by checks, gazetteer or context, and those with some vote against and none for. A word with two or more of one sort and
+    twice as many as of the other votes that way; the span's own vote is not counted. Words that vote neither way for anyone
+    need no join; the others meet their spans dealt to several tasks, as one name may be very common.
+    """
+    rows = cut(found.withColumn("rid", F.monotonically_increasing_id()))
+    each = rows.select("rid", F.posexplode("spans").alias("i", "s")).where("s.kind = 'person'").select("rid", "i", F.explode("s.names").alias("name"), F.substring("s.votes", 1, 4).alias("v"))
+    for_, against = F.col("v").contains("y"), F.col("v").contains("n")
+    each = each.withColumns({"p": (for_ & ~against).cast("int"), "n": (against & ~for_).cast("int")})
+    counts = each.groupBy("name").agg(F.sum("p").alias("ps"), F.sum("n").alias("ns")).where("greatest(ps, ns) >= 2")
+    p, n = F.col("ps") - F.col("p"), F.col("ns") - F.col("n")
+    side = F.when((p >= 2) & (p >= 2 * n), 1).when((n >= 2) & (n >= 2 * p), -1).otherwise(0)
+    met = each.withColumn("part", spread("rid")).join(replicated(counts, "part"), ["name", "part"]).select("rid", "i", side.alias("side"))
+    sides = met.groupBy("rid", "i").agg(F.sum("side").alias("side")).where("side <> 0")
+    by_row = sides.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("i", "side"))).alias("sides"))  # spans of one text
+    vote = lambda sides, i: F.coalesce(F.when(sides[i] > 0, "y").when(sides[i] < 0, "n"), F.lit("-"))
+    marks = {v: _hash(f"vote person {len(LABELERS) - 1} {v}") for v in "yn-"}
+
+    def voted(s, i):
+        v = F.when(s["kind"] == "person", vote(F.coalesce("sides", F.create_map().cast("map<int,bigint>")), i)).otherwise("-")
+        mark = F.when(v == "y", marks["y"]).when(v == "n", marks["n"]).otherwise(marks["-"])
+        x = F.when(s["kind"] == "person", F.array_append(s["x"], mark)).otherwise(s["x"])
+        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), F.concat(s["votes"], v).alias("votes"), x.alias("x"))
+
+    return rows.join(by_row, "rid", "left").select("doc_id", F.transform("spans", voted).alias("spans"))
 
 
 def estimate(patterns: list[tuple[str, int]], rounds: int = 50, most_prior: float = 0.98) -> tuple[dict[str, float], float, np.ndarray]:
@@ -284,17 +345,29 @@ def fit_classifier(rows: list[tuple[list[int], float]], steps: int = 200, rate:
     return w
 
 
+def estimates(found: DataFrame) -> dict[str, tuple[dict[str, float], float, np.ndarray, int]]:
+    """For each kind, base ones too: the posterior of each vote pattern, the prior, the labelers' accuracies, and its candidates."""
+    groups: dict[str, list[tuple[str, int]]] = {}
+    # kinds x votes: at most 11 x 3^6 groups
+    for r in found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").agg(F.count("*").alias("n")).collect():
+        groups.setdefault(r.kind, []).append((r.votes, r.n))
+    return {kind: (*estimate(sorted(g), most_prior=0.98 if kind in BASE_KINDS else 0.45), sum(n for _, n in g)) for kind, g in sorted(groups.items())}
+
+
+def reliabilities(found: DataFrame) -> DataFrame:
+    """kind, labeler, accuracy, the kind's prior and number of candidates: what the estimates say of every labeler."""
+    rows = [(kind, name, float(a), prior, n) for kind, (_, prior, acc, n) in estimates(found).items() for name, a in zip(LABELERS, acc)]
+    return found.sparkSession.createDataFrame(rows, "kind string, labeler string, accuracy double, prior double, n_candidates long")
+
+
 def train(found: DataFrame, most: int = TRAIN_SPANS) -> np.ndarray:
     """The classifier's weights from the candidates in ``found``: EM over all vote counts, then a fit on the sample."""
     each = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").where(~F.col("kind").isin(*BASE_KINDS))
-    groups: dict[str, list[tuple[str, int]]] = {}
-    # kinds x votes: at most 7 x 3^5 groups
-    for r in each.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect():
-        groups.setdefault(r.kind, []).append((r.votes, r.n))
-    total = sum(n for g in groups.values() for _, n in g)
+    known = {kind: x for kind, x in estimates(found).items() if kind not in BASE_KINDS}
+    total = sum(x[3] for x in known.values())
     if not total:
         return np.zeros(DIM)
-    posterior = {(kind, v): q for kind, g in groups.items() for v, q in estimate(sorted(g), most_prior=0.45)[0].items()}
+    posterior = {(kind, v): q for kind, x in known.items() for v, q in x[0].items()}
     u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "start", "stop", "kind"), F.lit(1_000_000))
     sample = each.where(u < int(1_000_000 * min(1.0, most / total)) + 1).select("kind", "votes", "x").collect()
     return fit_classifier(sorted((list(r.x), posterior[r.kind, r.votes]) for r in sample))
@@ -302,7 +375,7 @@ def train(found: DataFrame, most: int = TRAIN_SPANS) -> np.ndarray:
 
 def find(docs: DataFrame, lists: Gazetteers = Gazetteers()) -> DataFrame:
     """doc_id and spans (start, stop, kind) of every row of ``docs``."""
-    found = cut(candidates(docs, lists))
+    found = cut(used_elsewhere(candidates(docs, lists)))
     weights = found.sparkSession.sparkContext.broadcast(train(found))
     item = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())])
 
