@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchloom.sources.shared import Store, shared_dir
+
+__all__ = ["Store", "shared_dir"]
+
 #: Rows that an operator's Python code has in hand at once. Spark itself closes a batch at ``maxBytesPerBatch`` (64 MB).
 BATCH_ROWS = 512
 
@@ -22,18 +23,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``. Where none is configured, a local session gets one of its own; a
-    cluster is refused, as its executors would each write to their own disk."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="matchloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that lost executors don't cost a rerun."""
     path = shared_dir(df.sparkSession)
@@ -91,54 +80,3 @@ def spread(copies: str | Column = "doc_id", parts: int = 16) -> Column:
 def replicated(df: DataFrame, name: str, parts: int = 16) -> DataFrame:
     """``df`` once for each number that ``spread`` gives: the other side of a join on a key and that number."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-
-class Store:
-    """Batches of rows under a folder, each written to a fresh path and then published by one row of a manifest.
-
-    Readers see published batches only, so a batch that fails leaves nothing that is read, and no published batch is
-    ever written over. A batch id that is in the manifest is not committed again: a replay changes nothing. Of two
-    writers that publish one id at the same time, the first path in order counts. A batch may replace others; from its
-    one manifest row on, readers see it instead of them.
-    """
-
-    _MANIFEST = "batch string, path string, replaces array<string>"
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _rows(self) -> list:
-        """The manifest: one row a batch, so its size is the number of commits."""
-        try:
-            return self.spark.read.schema(self._MANIFEST).parquet(f"{self.root}/manifest").collect()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return []
-
-    def batches(self) -> dict[str, str]:
-        """Path of each published batch that no other replaces."""
-        rows = self._rows()
-        gone = {b for r in rows for b in r.replaces}
-        found: dict[str, str] = {}
-        for r in sorted(rows, key=lambda r: (r.batch, r.path)):
-            if r.batch not in gone:
-                found.setdefault(r.batch, r.path)
-        return found
-
-    def commit(self, batch: str, rows: DataFrame, replaces: tuple[str, ...] = ()) -> bool:
-        """Write and publish ``rows``; False, with nothing done, if the id is published already."""
-        if not batch.replace("-", "").replace("_", "").isalnum():
-            raise ValueError(f"not a batch id: {batch!r}")
-        if any(r.batch == batch for r in self._rows()):
-            return False
-        path = f"data/{batch}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{path}")
-        note = self.spark.createDataFrame([(batch, path, list(replaces))], self._MANIFEST)
-        note.write.mode("append").parquet(f"{self.root}/manifest")
-        return True
-
-    def read(self, schema: str) -> DataFrame:
-        """The rows of all published batches."""
-        paths = [f"{self.root}/{p}" for p in self.batches().values()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)

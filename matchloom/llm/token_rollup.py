@@ -43,15 +43,17 @@ def commit(store: Store, batch_id: str, changes: DataFrame) -> bool:
     return store.commit(batch_id, signed(changes))
 
 
-def totals(store: Store) -> DataFrame:
-    """Totals over all committed batches."""
-    summed = store.read(_DELTA).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+def totals(store: Store, batches: dict[str, str] | None = None) -> DataFrame:
+    """Totals over the given batches of a snapshot, or over all that are committed."""
+    summed = store.read(_DELTA, batches).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     return summed.where("n_docs <> 0 or n_tokens <> 0")
 
 
 def compact(store: Store, into: str) -> bool:
-    """Put one batch with today's totals in place of all that are published."""
-    return store.commit(into, totals(store), replaces=tuple(store.batches()))
+    """Put one batch with today's totals in place of all that are published; one snapshot names both, so what is published
+    meanwhile stays."""
+    seen = store.batches()
+    return store.commit(into, totals(store, seen), replaces=seen)
 
 
 def count_words(text: Column) -> Column:

@@ -77,3 +77,20 @@ def test_query_equals_brute_force(spark, odd_docs, no_docs):
     assert got == brute(spark.read.parquet(f"{sf}/documents.parquet").collect())
     assert through_query(spark, odd_docs) == brute(odd_docs.collect())
     assert through_query(spark, no_docs) == {}
+
+
+def test_a_batch_committed_during_compaction_is_kept(spark, monkeypatch):
+    """10 tokens, then 5 that are published after compaction took its snapshot: 15."""
+    store = Store(spark, shared_dir(spark))
+    one = lambda n: spark.createDataFrame([("s", "en", "t", "insert", n, None)], "source string, lang string, tokenizer string, op string, n_tokens long, old_tokens long")
+    roll.commit(store, "a", one(10))
+    plain = roll.totals
+
+    def late(*args):
+        out = plain(*args)
+        roll.commit(store, "b", one(5))
+        return out
+
+    monkeypatch.setattr(roll, "totals", late)
+    assert roll.compact(store, "ab")
+    assert [(r.n_docs, r.n_tokens) for r in plain(store).collect()] == [(2, 15)] and set(store.batches()) == {"ab", "b"}
