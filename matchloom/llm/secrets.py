@@ -12,6 +12,7 @@ old one. Extra columns are ignored by ``scan`` and kept by ``redact``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,23 @@ def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+#: Items walked together: a walk appends to short arrays only, so its time grows with the items and not with their square.
+_CHUNK = 256
+
+
+def _walked(items: Column, total: Callable, join: Callable, inner: Callable) -> Column:
+    """The arrays that ``inner(chunk, at)`` makes of each chunk of ``items``, joined; ``at`` is what ``join`` makes of the
+    ``total`` of all chunks before, from 0."""
+
+    def walk(kept):
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(kept) - 1, F.lit(0)), F.lit(_CHUNK)), lambda i: F.slice(kept, i + 1, F.lit(_CHUNK)))
+        before = F.aggregate(chunks, F.array(F.lit(0)), lambda a, c: F.array_append(a, join(F.element_at(a, -1), total(c))))
+        return F.flatten(F.zip_with(chunks, F.slice(before, F.lit(1), F.size(chunks)), inner))
+
+    # ``items`` is the one value of an array of one, so that it is worked out once and not for every chunk
+    return F.flatten(F.transform(F.array(items), walk))
+
+
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of one rule in a text. The pieces between matches give their places, as functions return only strings."""
     gaps, hits = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), 0)
@@ -68,7 +86,10 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
         span = F.struct(start.alias("start"), (start + x["hit"]).alias("stop"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule"))
         return F.struct((start + x["hit"]).alias("at"), F.when(x["val"] >= rule.least, F.array_append(a["out"], span)).otherwise(a["out"]).cast(_SPANS).alias("out"))
 
-    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+    def length(chunk):
+        return F.aggregate(chunk, F.lit(0), lambda a, x: a + x["gap"] + x["hit"])
+
+    walked = _walked(parts, length, lambda a, n: a + n, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), empty.alias("out")), step)["out"])
     return F.when(text.rlike(rule.pattern), walked).otherwise(empty)
 
 
@@ -102,6 +123,11 @@ def scan(docs: DataFrame, store: Store, batch: str, rules: tuple[Rule, ...] = RU
     return store.commit(batch, texts.select("blob", "rules", F.array_sort(F.concat(*found)).alias("spans")).dropDuplicates(["blob"]))
 
 
+def _distinct(ordered: Column) -> Column:
+    """The different items of an ordered array, each compared with the one before it only."""
+    return F.filter(ordered, lambda x, i: (i == 0) | (x != F.element_at(ordered, F.greatest(i, F.lit(1)))))
+
+
 def findings(store: Store, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """blob and spans of every scanned blob that has any under the present versions of ``rules``."""
     rank = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))))
@@ -109,7 +135,8 @@ def findings(store: Store, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     # the order of kinds is that of these rules, whatever it was when a blob was scanned
     now = F.transform(now, lambda s: s.withField("rank", rank[s["rule"]]))
     some = store.read(LEDGER).select("blob", now.alias("spans")).where(F.size("spans") > 0)
-    return some.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    spans = F.array_sort(F.flatten(F.collect_list("spans")))  # of one text, from at most as many batches as rule versions
+    return some.groupBy("blob").agg(spans.alias("spans")).select("blob", _distinct(F.col("spans")).alias("spans"))
 
 
 def located(rows: DataFrame, found: DataFrame, blob: Column, name: str) -> DataFrame:
@@ -125,6 +152,36 @@ def render(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+#: Characters of a text cut out together: a piece is then looked up in its block and not from the text's start.
+_BLOCK = 1 << 16
+
+
+def _without(text: Column, spans: Column) -> Column:
+    """``text`` with each span (in order) replaced by ``[kind]``; a span that starts within an earlier one only lengthens its hole."""
+    held = F.array().cast("array<struct<start:int,kind:string,at:int>>")
+
+    def step(a, s):
+        hole = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), a["at"].alias("at"))
+        out = F.when(s["start"] >= a["at"], F.array_append(a["out"], hole)).otherwise(a["out"])
+        return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), out.cast("array<struct<start:int,kind:string,at:int>>").alias("out"))
+
+    def last(chunk):
+        return F.aggregate(chunk, F.lit(0), lambda a, s: F.greatest(a, s["stop"]))
+
+    holes = _walked(spans, last, lambda a, b: F.greatest(a, b), lambda c, at: F.aggregate(c, F.struct(at.alias("at"), held.alias("out")), step)["out"])
+    blocks = F.transform(F.sequence(F.lit(0), F.length(text), F.lit(_BLOCK)), lambda i: F.substring(text, i + 1, F.lit(_BLOCK)))
+
+    def piece(x, kept):
+        block, offset = F.floor(x["at"] / _BLOCK).cast("int"), x["at"] % _BLOCK
+        inside = F.substring(F.element_at(kept, block + 1), offset + 1, x["start"] - x["at"])
+        gap = F.when(offset + x["start"] - x["at"] <= _BLOCK, inside).otherwise(F.substring(text, x["at"] + 1, x["start"] - x["at"]))
+        return F.concat(gap, F.lit("["), x["kind"], F.lit("]"))
+
+    # the blocks are one value of an array of one, so that they are cut once and not for every hole
+    pieces = F.flatten(F.transform(F.array(blocks), lambda kept: F.transform(holes, lambda x: piece(x, kept))))
+    return F.concat(F.array_join(pieces, ""), F.substring(text, last(spans) + 1, F.length(text)))
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, store: Store | None = None, batch: str = "redaction") -> DataFrame:
     """``docs`` with every found span replaced by ``[kind]``; of overlapping spans the first names the hole."""
     store = store or Store(docs.sparkSession, shared_dir(docs.sparkSession))
@@ -132,13 +189,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, store: Store | None
     spans = fresh_name(docs, "_spans")
     joined = located(docs, findings(store, rules), blob_of(text_or_empty()), spans)
 
-    def step(a, s):
-        before = F.substring("text", a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        hole = F.when(s["start"] >= a["at"], F.concat(before, F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), F.concat(a["out"], hole).alias("out"))
-
-    walked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    clean = F.concat(walked["out"], F.substring("text", walked["at"] + 1, F.length("text")))
+    clean = F.when(F.col(spans).isNotNull(), _without(F.coalesce("text", F.lit("")), F.col(spans)))
     changed = {"text": F.when(F.col(spans).isNull(), F.col("text")).otherwise(clean)}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length(clean).cast(docs.schema["n_chars"].dataType))

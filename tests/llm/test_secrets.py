@@ -1,4 +1,5 @@
 import hashlib
+import time
 import re
 
 from pyspark.sql import functions as F
@@ -79,6 +80,39 @@ def test_redaction(spark):
     assert got[None].text == "é [access] and password=short then [assign]"
 
 
+def test_many_findings_take_linear_time(spark):
+    """100,000 findings in one text, some of which overlap, scanned and redacted as by a plain loop."""
+    text = "é" + " ".join(f"password=abcdefgh{i:06d}" if i % 3 else f"AKIA{i:016d}" for i in range(100_000)) + " end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    row = scanned(spark, docs).first()
+    assert [(s.kind, s.start, s.stop) for s in row.spans if s.kind in ("assign", "access", "hex")] == brute(text)
+    clean = secrets.redact(docs).first().text
+    assert time.monotonic() - began < 120
+    out, at = [], 0
+    for s in row.spans:
+        if s.start >= at:
+            out += [text[at : s.start], f"[{s.kind}]"]
+        at = max(at, s.stop)
+    assert clean == "".join([*out, text[at:]])
+
+
+def test_holes_over_blocks_and_chunks(spark, monkeypatch):
+    """Small blocks and chunks cut through gaps and holes; overlapping spans make one hole."""
+    monkeypatch.setattr(secrets, "_BLOCK", 7)
+    monkeypatch.setattr(secrets, "_CHUNK", 2)
+    text = "0123456789ébcdefghijklmnopqrstuvwxyz"
+    spans = [(2, 4, "a"), (4, 5, "b"), (9, 15, "c"), (11, 20, "d"), (19, 21, "e"), (34, 36, "f")]
+    rows = [(text, [(a, b, 0, k, k) for a, b, k in spans[:n]]) for n in range(7)]
+    df = spark.createDataFrame(rows, f"text string, spans {secrets._SPANS}")
+    got = [r.c for r in df.select(secrets._without(F.col("text"), F.col("spans")).alias("c")).collect()]
+    for (_, use), c in zip(rows, got):
+        out, at = "", 0
+        for a, b, _, k, _ in use:
+            out, at = out + (f"{text[at:a]}[{k}]" if a >= at else ""), max(at, b)
+        assert c == out + text[at:]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     assert scanned(spark, odd_docs).count() == odd_docs.count()
     assert secrets.redact(odd_docs).columns == odd_docs.columns and secrets.redact(odd_docs).count() == odd_docs.count()
