@@ -171,6 +171,33 @@ def explanations(values: dict[str, float], ranked: Sequence[str], limit: int = 4
     return out
 
 
+_TOLD = "array<struct<feature:string,leader:string,magnitude:double>>"
+
+
+def explained_rows(frame: DataFrame, ranked: Sequence[str], limit: int = 4, name: str = "explanations") -> DataFrame:
+    """``frame`` with ``name``: for each row up to ``limit`` items (feature, leader A or B, magnitude) as ``explanations`` has them.
+
+    The families and bases of ``ranked`` are known beforehand, so that each row only folds its own few differences.
+    """
+    have = set(frame.columns)
+    gap = lambda base: sum((sign * (F.coalesce(F.col(c), F.lit(0.0)) if (c := f"{s}_{base}_mean") in have else F.lit(0.0)) for s, sign in (("a", 1), ("b", -1))), F.lit(0.0))
+    item = lambda f, base, d, ok: F.struct(F.lit(f).alias("feature"), F.lit(base).alias("base"), d.alias("d"), ok.alias("ok"))
+    lead = gap("prior_games")
+    items = [item("prior_games", "prior_games", lead, F.abs(lead) >= 1)]
+    for f in ranked:
+        base = re.sub(r"^[ab]_|_mean$", "", f)
+        if any(x[0] in base for x in SENTENCES):
+            items.append(item(f, base, gap(base), F.abs(gap(base)) >= 1e-9))
+
+    def step(a, x):
+        told = F.struct(x["feature"].alias("feature"), F.when(x["d"] > 0, "A").otherwise("B").alias("leader"), F.abs(x["d"]).alias("magnitude"))
+        fresh = x["ok"] & (F.size(a["out"]) < limit) & ~F.exists(a["seen"], lambda b: F.startswith(x["base"], b))
+        return F.struct(F.when(fresh, F.array_append(a["out"], told)).otherwise(a["out"]).cast(_TOLD).alias("out"), F.when(fresh, F.array_append(a["seen"], x["base"])).otherwise(a["seen"]).alias("seen"))
+
+    start = F.struct(F.array().cast(_TOLD).alias("out"), F.array().cast("array<string>").alias("seen"))
+    return frame.withColumn(name, F.aggregate(F.array(*items), start, step)["out"])
+
+
 def vector_message(names: Sequence[str], mine: Sequence[Column], theirs: Sequence[Column], win_rate: Column) -> Column:
     """What sets a composition's role counts apart from the nearest one, and how often that one wins."""
     d = [(a - b).cast("int") for a, b in zip(mine, theirs, strict=True)]

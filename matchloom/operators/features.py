@@ -164,3 +164,11 @@ def forbidden_names(columns: Sequence[str], patterns: Sequence[str] = FORBIDDEN)
     """Columns whose names say that they come from the match itself."""
     found = re.compile("|".join(f"(?:{p})" for p in patterns))
     return [c for c in columns if found.search(c.lower())]
+
+
+#: The nine groups that a model report puts features in, by the first pattern that fits; others are "other".
+GROUPS = (
+    ("player_agent", r"^(diff_|a_|b_)?player_agent_"), ("map_agent", r"^(diff_|a_|b_)?(map_agent_|agent_map_fit)"), ("player_prior", r"^(diff_|a_|b_)?(prior_|(max|std)_prior_kd$|(known|low_sample)_player_ratio$)"),
+    ("team_history", r"^(diff_|a_|b_)?team_"), ("roster_history", r"^(diff_|a_|b_)?roster_"), ("comp_role", r"^(diff_|a_|b_)?(comp_|synergy_mean$|role_balance$|has_(controller|initiator)$|double_duelist$)"),
+    ("history_reliability", r"history|_known_ratio$"), ("map_context", r"^map_|^(diff_|a_|b_)map_atk_adv$"),
+)

@@ -95,23 +95,35 @@ def deltas(metrics: DataFrame, model: str, ensemble: str, baseline: str, value:
     return one.select("best_single", (F.col("e") - F.col("best")).alias("gain_over_single"), (F.col("e") - F.col("b")).alias("gain_over_baseline"))
 
 
-def weight_search(df: DataFrame, members: Sequence[str], label: str, grid: Sequence[float], digits: int = 4) -> DataFrame:
+def weight_search(df: DataFrame, members: Sequence[str], label: str, grid: Sequence[float], digits: int | None = None) -> DataFrame:
     """AUC of every weighted soft vote over a grid, best first; earlier weights win ties.
 
-    Members' scores are rounded to ``digits`` and rows of equal scores and label are counted before the weights, a small
-    broadcast table, expand them; votes are rounded alike and combined map-side. So what a weighting shuffles is bounded by
-    the different votes, not by the rows.
+    Rows of equal scores and label are counted before the weights, a small broadcast table, expand them; equal votes of a
+    weighting, those that agree to 12 decimals, are combined map-side. With ``digits``, scores and votes are rounded to so
+    many decimals: that bounds what a weighting shuffles by the different votes, but ties and the best weights may differ
+    from the exact search's.
     """
     from itertools import product
 
     combos = [tuple(map(float, w)) for w in product(grid, repeat=len(members)) if sum(w) > 0]
     table = F.broadcast(df.sparkSession.createDataFrame([(i, list(w), float(sum(w))) for i, w in enumerate(combos)], "i int, weights array<double>, total double"))
-    known = df.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("y"), *(F.round(m, digits).alias(m) for m in members))
+    known = df.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("y"), *((F.round(m, digits) if digits else F.col(m)).alias(m) for m in members))
     counted = known.groupBy("y", *members).agg(F.count("*").alias("n"))
     vote = sum((F.col(m) * F.col("weights")[k] for k, m in enumerate(members)), F.lit(0.0)) / F.col("total")
-    votes = counted.crossJoin(table).where(vote.isNotNull()).select("i", F.round(vote, digits).alias("s"), "y", "n")
+    votes = counted.crossJoin(table).where(vote.isNotNull()).select("i", F.round(vote, digits or 12).alias("s"), "y", "n")
     t = votes.groupBy("i", "s").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg"))
     below = running(t, ["i"], "s", ["neg"], parts=2)
     g = below.groupBy("i").agg(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     scored = g.select("i", F.try_divide(F.col("u"), F.col("np") * F.col("nn")).alias("auc"))
     return scored.join(table, "i").select("i", "weights", "auc").orderBy(F.desc("auc"), "i")
+
+
+def overfit_report(train: DataFrame, test: DataFrame, probability: str, label: str, most_gap: float = 0.05) -> DataFrame:
+    """One row: AUC, accuracy and F1 of both splits, the gaps of AUC and accuracy between them, whether the latter warns of
+    overfitting, and the test accuracy's gain over always naming the majority class."""
+    both = train.select(F.lit("train").alias("split"), probability, label).unionByName(test.select(F.lit("test").alias("split"), probability, label))
+    each = confusion(both, probability, label, ["split"]).join(auc(both, probability, label, ["split"]), "split")
+    of = lambda s, c: F.max(F.when(F.col("split") == s, F.col(c))).alias(f"{s}_{c}")
+    one = each.agg(*(of(s, c) for s in ("train", "test") for c in ("auc", "accuracy", "f1")), of("test", "majority"))
+    gap = F.col("train_accuracy") - F.col("test_accuracy")
+    return one.withColumns({"auc_gap": F.col("train_auc") - F.col("test_auc"), "accuracy_gap": gap, "overfit": gap > most_gap, "over_majority": F.col("test_accuracy") - F.col("test_majority")})

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.operators import metrics
+
 
 def stable_hash(key: Column, seed: int | None = 42) -> Column:
     """A number in [0, 2^60) from the SHA-1 of key and seed (of the key alone if None); null for a null key."""
@@ -29,6 +31,13 @@ def hashed_split(df: DataFrame, key: str, train: float = 0.8, seed: int = 42, me
     return df.join(old, key, "left").withColumn("split", F.coalesce("_old", fresh)).drop("_old")
 
 
+def exact_split(df: DataFrame, key: str, train: float = 0.8, seed: int = 42) -> DataFrame:
+    """``split`` that cuts the rows, in the order of their key's hash, after exactly int(train x rows); null keys come first."""
+    placed = numbered(df, stable_hash(F.coalesce(F.col(key).cast("string"), F.lit("")), seed), "_n")
+    whole = F.broadcast(df.agg(F.floor(F.count("*") * F.lit(train)).alias("_cut")))  # one row
+    return placed.crossJoin(whole).withColumn("split", F.when(F.col("_n") < F.col("_cut"), "train").otherwise("test")).select(*df.columns, "split")
+
+
 def boundary_year(df: DataFrame, year: str, key: str, ratio: float = 0.2) -> DataFrame:
     """The first year of the test block: of all but the earliest year, that whose keys from there on are nearest to
     ``ratio`` of all; the latest such year at ties. A key counts once, in its first year. One row a year reaches the windows."""
@@ -62,6 +71,39 @@ def folds(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:
     return df.withColumn("fold", F.pmod(stable_hash(F.col(group), seed), F.lit(k)).cast("int"))
 
 
+#: A group of over a mean fold's rows divided by this is heavy; so at most ``k`` times as many groups are.
+HEAVY = 100
+
+
+def balanced_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """``fold`` 0..k-1, the same for all rows of a group, with folds of like size however the groups' sizes are skewed.
+
+    Heavy groups, largest first, each go to the fold with the fewest rows (of equals the first): a bounded summary, placed on
+    the driver. The light ones fill the room that is left, in the order of their hash, by running sums over parts, so
+    that a fold misses its share by less than a light group's rows. Null is a group of its own.
+    """
+    name = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
+    sizes = df.groupBy(name.alias("_g")).agg(F.count("*").alias("n"))
+    total = df.count()
+    light = sizes.where(F.col("n") * (HEAVY * k) <= total)
+    loads, placed = [0] * k, []
+    for r in sizes.where(F.col("n") * (HEAVY * k) > total).orderBy(F.desc("n"), "_g").collect():  # at most HEAVY x k
+        fold = loads.index(min(loads))
+        loads[fold] += r.n
+        placed.append((r["_g"], fold))
+    room = [max(0.0, total / k - x) for x in loads]
+    rest = total - sum(loads)
+    ends = [sum(room[: i + 1]) * rest / (sum(room) or 1.0) for i in range(k)]
+    run = metrics.running(light.withColumn("h", stable_hash(F.col("_g"), seed)), (), "h", ["n"])
+    fold = F.lit(k - 1)
+    for i in range(k - 2, -1, -1):
+        fold = F.when(F.col("before_n") + F.col("n") / 2 < ends[i], i).otherwise(fold)
+    every = run.select("_g", fold.cast("int").alias("fold"))
+    if placed:
+        every = every.unionByName(df.sparkSession.createDataFrame(placed, "_g string, fold int"))
+    return df.withColumn("_g", name).join(every, "_g").drop("_g")
+
+
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows by the hash of their key: the same rows on any partitioning."""
     return df.orderBy(stable_hash(F.col(key), seed), key).limit(n)

@@ -69,6 +69,30 @@ def o111_folds(spark, sf):
     return splits.folds(matches(spark, sf).select("match_key", "team"), "team")
 
 
+@query(f"WITH {M} SELECT match_key, CASE WHEN row_number() OVER (ORDER BY {_hash('match_key')}, match_key) - 1 < (SELECT floor(count(*) * 0.8E0) FROM m) THEN 'train' ELSE 'test' END AS split FROM m")
+def o108_exact_split(spark, sf):
+    """Exactly int(0.8 n) matches train."""
+    return splits.exact_split(matches(spark, sf).select("match_key"), "match_key")
+
+
+@query(
+    f"""WITH RECURSIVE {M}, t AS (SELECT count(*) AS total FROM m),
+s AS (SELECT '=' || CAST(team AS VARCHAR) AS g, count(*) AS n FROM m GROUP BY ALL),
+h AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, g) AS i FROM s, t WHERE n * {splits.HEAVY * 5} > total),
+w AS (SELECT 0 AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, CAST(NULL AS VARCHAR) AS g, -1 AS fold
+  UNION ALL SELECT h.i, [CASE WHEN j = list_position(loads, list_min(loads)) THEN loads[j] + h.n ELSE loads[j] END FOR j IN range(1, 6)], h.g, list_position(loads, list_min(loads)) - 1 FROM w JOIN h ON h.i = w.i + 1),
+l AS (SELECT loads FROM w ORDER BY i DESC LIMIT 1),
+r AS (SELECT [greatest(0E0, total / 5E0 - x) FOR x IN loads] AS room, total - list_sum(loads) AS rest FROM l, t),
+e AS (SELECT [list_sum(list_slice(room, 1, j)) * rest / list_sum(room) FOR j IN range(1, 6)] AS ends FROM r),
+c AS (SELECT g, n, coalesce(sum(n) OVER (ORDER BY {_hash('g')} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s, t WHERE n * {splits.HEAVY * 5} <= total),
+f AS (SELECT g, least(4, len([x FOR x IN ends IF before + n / 2E0 >= x])) AS fold FROM c, e UNION ALL SELECT g, fold FROM w WHERE g IS NOT NULL)
+SELECT match_key, team, CAST(fold AS INTEGER) AS fold FROM m JOIN f ON f.g = '=' || CAST(team AS VARCHAR)"""
+)
+def o111_balanced_folds(spark, sf):
+    """Folds of whole teams, of like size."""
+    return splits.balanced_folds(matches(spark, sf).select("match_key", "team"), "team")
+
+
 @query(f"WITH {M} SELECT match_key, label FROM m ORDER BY {_hash('match_key')}, match_key LIMIT 500")
 def o112_sample(spark, sf):
     return splits.sample_rows(matches(spark, sf).select("match_key", "label"), "match_key", 500)
@@ -136,6 +160,21 @@ def o142_deltas(spark, sf):
     return d.withColumns({c: F.round(c, 6) for c in ("gain_over_single", "gain_over_baseline")})
 
 
+@query(
+    f"""WITH {M}, v AS (SELECT CASE WHEN year < 1997 THEN 'train' ELSE 'test' END AS s, label AS y, (match_key * 37 % 1000) / 1000E0 AS p FROM m WHERE label IS NOT NULL),
+r AS (SELECT s, y, p, rank() OVER (PARTITION BY s ORDER BY p) + (count(*) OVER (PARTITION BY s, p) - 1) / 2E0 AS rk FROM v),
+g AS (SELECT s, (sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2E0) / (sum(y) * sum(1 - y)) AS auc, avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1E0 ELSE 0E0 END) AS accuracy,
+  2E0 * count(*) FILTER (p >= 0.5 AND y = 1) / (count(*) FILTER (p >= 0.5) + sum(y)) AS f1, greatest(avg(y), 1 - avg(y)) AS majority FROM r GROUP BY s)
+SELECT round(a.auc, 8) AS train_auc, round(a.accuracy, 8) AS train_accuracy, round(a.f1, 8) AS train_f1, round(b.auc, 8) AS test_auc, round(b.accuracy, 8) AS test_accuracy, round(b.f1, 8) AS test_f1, round(b.majority, 8) AS test_majority,
+  round(a.auc - b.auc, 8) AS auc_gap, round(a.accuracy - b.accuracy, 8) AS accuracy_gap, a.accuracy - b.accuracy > 0.05 AS overfit, round(b.accuracy - b.majority, 8) AS over_majority FROM g a, g b WHERE a.s = 'train' AND b.s = 'test'"""
+)
+def o142_overfit_report(spark, sf):
+    """A score by the key's residue, on the years before 1997 and from then on."""
+    m = matches(spark, sf).where("label is not null").withColumn("p", (F.col("match_key") * 37 % 1000) / 1000)
+    r = metrics.overfit_report(m.where("year < 1997"), m.where("year >= 1997"), "p", "label")
+    return r.select(*(F.round(c, 8).alias(c) if t == "double" else F.col(c) for c, t in r.dtypes))
+
+
 @query(f"WITH {M}, {P}, d AS (SELECT *, match_key % 4 AS sa, match_key % 7 AS sb FROM m UNION ALL SELECT *, match_key % 4, match_key % 7 FROM m WHERE map LIKE '1%'), s AS (SELECT match_key, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b FROM p GROUP BY ALL) SELECT (SELECT CAST(count(*) AS BIGINT) FROM d) AS n_matches, (SELECT CAST(count(*) - count(DISTINCT match_key) AS BIGINT) FROM d) AS duplicate_keys, (SELECT CAST(count(*) - count(DISTINCT team) AS BIGINT) FROM d) AS duplicate_dedup_keys, (SELECT CAST(count(*) FILTER (sa = 0 OR sb = 0) AS BIGINT) FROM d) AS zero_scores, (SELECT CAST(count(*) AS BIGINT) FROM p) AS n_players, (SELECT CAST(count(*) AS BIGINT) FROM p WHERE qty > 40) AS clipped, CAST(count(*) FILTER (a = 2 AND b = 2) AS BIGINT) AS \"full\", CAST(count(*) FILTER (a <> 2 OR b <> 2) AS BIGINT) AS incomplete FROM s")
 def o127_quality_report(spark, sf):
     """Urgent matches come twice; scores are residues of the key, so some are zero."""
@@ -174,6 +213,20 @@ def o93_history_page(spark, sf):
     return tables.history_page(o, 50, 100, "o_orderdate", "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
+@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100")
+def o93_history_list(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return tables.history_list(o, 50, 100, "o_orderdate", "o_orderkey").select("o_orderkey", "o_totalprice", "total")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 50")
+def o93_history_after(spark, sf):
+    """The second page, by the position of the first one's last row."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    last = tables.history_after(o, None, 50, "o_orderdate", "o_orderkey").orderBy("o_orderdate", F.desc("o_orderkey")).first()
+    return tables.history_after(o, (last.o_orderdate, last.o_orderkey), 50, "o_orderdate", "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 77")
 def o94_point_lookup(spark, sf):
     return tables.history_get(table(spark, sf, "orders"), 77, "o_orderkey").select("o_orderkey", "o_totalprice")

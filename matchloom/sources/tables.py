@@ -122,6 +122,25 @@ def history_page(store: DataFrame, limit: int = 50, offset: int = 0, order: str
     return store.orderBy(F.desc(order), key).offset(max(0, offset)).limit(min(200, max(1, limit)))
 
 
+def history_list(store: DataFrame, limit: int = 50, offset: int = 0, order: str = "created_at", key: str = "id") -> DataFrame:
+    """``history_page`` with ``total``, the number of all predictions, on each of its rows, and on one row of nulls if it has none."""
+    total = store.agg(F.count("*").alias("total"))
+    return total.join(history_page(store, limit, offset, order, key), F.lit(True), "left").select(*store.columns, "total")  # one row against a page
+
+
+def history_after(store: DataFrame, after: tuple | None, limit: int = 50, order: str = "created_at", key: str = "id") -> DataFrame:
+    """The page that follows the row with ``after`` (its order value and key), newest first; the first page for None.
+
+    The position is a filter that the scan can use, and only ``limit`` rows of each task are sorted on: a late page costs what
+    the first one does, where an offset sorts all rows before it.
+    """
+    rows = store
+    if after is not None:
+        at, k = (F.lit(v) for v in after)
+        rows = store.where((F.col(order) < at) | ((F.col(order) == at) & (F.col(key) > k)))
+    return rows.orderBy(F.desc(order), key).limit(min(200, max(1, limit)))
+
+
 def history_get(store: DataFrame, value, key: str = "id") -> DataFrame:
     return store.where(F.col(key) == value)
 

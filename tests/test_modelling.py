@@ -24,9 +24,9 @@ def test_weight_search_finds_the_member_that_knows(spark):
     got = metrics.weight_search(df, ["p_good", "p_noise"], "label", [0.1, 1.0, 5.0]).collect()
     assert tuple(got[0].weights) == (5.0, 0.1) and got[0].auc > 0.99
     for r in got:  # against ranks of the votes themselves
-        p = np.array([round((r.weights[0] * round(a, 4) + r.weights[1] * round(b, 4)) / sum(r.weights), 4) for _, a, b in rows])
+        p = np.array([round((r.weights[0] * a + r.weights[1] * b) / sum(r.weights), 12) for _, a, b in rows])
         pos, neg = p[y == 1], p[y == 0]
-        assert r.auc == pytest.approx(((pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2), abs=2e-4)
+        assert r.auc == pytest.approx(((pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2), abs=1e-12)
 
 
 def test_permutation_importance_tells_signal_from_noise(spark, tmp_path):
