@@ -10,6 +10,7 @@ from matchloom.plans.bindings import A, M, P, appearances, matches, participants
 from matchloom.plans.insight import _PROB, probabilities
 from matchloom.plans.registry import collector
 from matchloom.sources import tables
+from matchloom.sources.shared import shared_dir
 
 QUERIES, ORACLES, query = collector()
 _B = "n AS (SELECT year, count(*) AS n FROM (SELECT match_key, min(year) AS year FROM m WHERE year IS NOT NULL GROUP BY match_key) GROUP BY year), c AS (SELECT year, sum(n) OVER (ORDER BY year DESC) AS cum, sum(n) OVER () AS total, min(year) OVER () AS first FROM n), b AS (SELECT year AS test_from_year FROM c WHERE year > first ORDER BY abs(cum - 0.2E0 * total), year DESC LIMIT 1)"
@@ -353,3 +354,12 @@ _LABELS = {
 def o27_feature_labels(spark, sf):
     words = {"bind": "Bind", "kayo": "KAY/O", "kd": "K/D"}
     return spark.createDataFrame([(n, feature_label(n, words)) for n in _LABELS], "name string, label string")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 3 = 1 THEN NULL ELSE c_name END AS c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment END AS c_mktsegment FROM customer")
+def o02_header_drift(spark, sf):
+    """Customers written as CSV files of three headers (other orders, a column absent, one more) and read by each file's own."""
+    root, c = shared_dir(spark), table(spark, sf, "customer")
+    for i, names in enumerate((["c_custkey", "c_name", "c_nationkey"], ["c_nationkey", "c_custkey"], ["c_mktsegment", "c_name", "c_custkey", "c_nationkey"])):
+        c.where(F.col("c_custkey") % 3 == i).select(*names).write.csv(f"{root}/feed_{i}", header=True)
+    return tables.read_csv(spark, f"{root}/feed_*/*.csv", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])

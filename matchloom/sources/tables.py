@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Sequence
 
@@ -14,9 +15,15 @@ from pyspark.sql.utils import AnalysisException
 CORRUPT, FILE = "_corrupt_row", "_file"
 
 
-def _files(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """The files of a path or pattern: a listing, one entry a file; their content is not read."""
-    return sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())
+def headers(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
+    """file and header, the first line with text, of every file of a path or pattern that has one: found by the executors in one job.
+
+    A line's place is that of its split and its own within it; only lines of a file's first split are compared, map-side. The
+    job reads the files as lines once; a header that runs over several lines is not supported.
+    """
+    lines = spark.read.schema("line string").csv(path, encoding=encoding, sep="\x01", quote="", comment="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    first = lines.select("line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i")).where("at = 0")
+    return first.groupBy("file").agg(F.min_by("line", "i").alias("header"))
 
 
 def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str], encoding: str = "UTF-8", corrupt: bool = False) -> DataFrame:
@@ -28,10 +35,18 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str],
     return _by_header(spark, path, columns, encoding, corrupt).drop(FILE)
 
 
+def _columns(line: str) -> tuple[str, ...]:
+    """The names in a header line, as Spark's own reader has them: empty ones by place, repeated ones with their place."""
+    names = next(csv.reader([line.removeprefix("\ufeff")]), [])
+    lower = [n.lower() for n in names]
+    return tuple(f"_c{i}" if not n else f"{n}{i}" if lower.count(n.lower()) > 1 else n for i, n in enumerate(names))
+
+
 def _by_header(spark: SparkSession, path: str | list[str], columns: Sequence[str], encoding: str = "UTF-8", corrupt: bool = False) -> DataFrame:
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for f in _files(spark, path):
-        by_header.setdefault(tuple(spark.read.csv(f, header=True, encoding=encoding).columns), []).append(f)
+    # one row a different header, with its files: a listing, whose jobs don't grow with the files
+    for r in headers(spark, path, encoding).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect():
+        by_header.setdefault(_columns(r.header), []).extend(r.files)
     fields = [*columns, *([CORRUPT] if corrupt else []), FILE]
     out = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in fields]))
     for header, files in by_header.items():

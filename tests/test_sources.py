@@ -82,3 +82,20 @@ def test_baseline_documents(spark, tmp_path):
     for name in ("metrics", "validation", "meta"):
         document = json.loads(spark.read.text(str(tmp_path / name)).first().value)
         assert document["test_auc"] == 0.5943 and document["feature_count"] == 421 and document["artifact_contract"] == f"baseline_reference_{name}"
+
+
+def test_headers_are_found_in_a_constant_number_of_jobs(spark, tmp_path):
+    """Many files of three headers, quoted and repeated names among them, an empty file and blank first lines."""
+    heads = ["id,name", 'name,"id",extra', "id,name,name"]
+    for i in range(60):
+        (tmp_path / f"f{i:02d}.csv").write_text(("\n" if i % 5 == 0 else "") + f"{heads[i % 3]}\n" + (f"{i},n{i}\n" if i % 3 == 0 else f"n{i},{i},x\n" if i % 3 == 1 else f"{i},n{i},m{i}\n"))
+    (tmp_path / "empty.csv").write_text("")
+    sc = spark.sparkContext
+    tracker = sc.statusTracker()
+    sc.setJobGroup("headers", "headers")
+    rows = tables.read_csv(spark, f"{tmp_path}/*.csv", ["id", "name", "extra"])
+    jobs = len(tracker.getJobIdsForGroup("headers"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    got = sorted((int(r.id), r.name, r.extra) for r in rows.collect())
+    assert got == [(i, None if i % 3 == 2 else f"n{i}", "x" if i % 3 == 1 else None) for i in range(60)] and jobs <= 6
+    assert tables.headers(spark, f"{tmp_path}/*.csv").count() == 60
