@@ -40,6 +40,8 @@ from matchloom.llm.common import cut, map_batches, read_table, replicated, share
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
 #: The measured bytes of shared digests up to which they are broadcast; one takes about DIGEST_BYTES.
 BROADCAST_BYTES, DIGEST_BYTES = 64 << 20, 100
+#: The most frames of a request that the scan itself looks up.
+MOST_PLACES = 2000
 #: Fixed values of the Zstandard seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -183,10 +185,10 @@ def identifiers(table: DataFrame) -> DataFrame:
     return table.select("bundle_id", "frame", F.inline("index"))
 
 
-def _wanted(table: DataFrame, asked: DataFrame) -> DataFrame:
-    """Frames that hold asked records (rows of the identifier map), each with the list of those."""
+def _wanted(table: DataFrame, asked: DataFrame, few: bool = False) -> DataFrame:
+    """Frames that hold asked records (rows of the identifier map), each with the list of those; ``few``: of a bounded number."""
     want = asked.groupBy("bundle_id", "frame").agg(F.collect_list(F.struct("record_id", "page_id", "refers_id", "refers_to", "offset", "length")).alias("want"))  # a frame's own records
-    return table.select("bundle_id", "frame", "data").join(want, ["bundle_id", "frame"]).select("data", "want")
+    return table.select("bundle_id", "frame", "data").join(F.broadcast(want) if few else want, ["bundle_id", "frame"]).select("data", "want")
 
 
 def _cut_out(batches):
@@ -198,14 +200,23 @@ def _cut_out(batches):
 
 
 def fetch(table: DataFrame, record_ids: DataFrame) -> DataFrame:
-    """record_id and record bytes of the asked ids: the map names bundle and frame, and only those frames are read."""
-    asked = identifiers(table).join(record_ids.select("record_id").distinct(), "record_id")
+    """record_id and record bytes of the asked ids.
+
+    The map (the frames' index column alone) names bundles and frames. A request for up to ``MOST_PLACES`` frames hands them to
+    the scan, which skips the files, row groups and pages of all others, and meets its frames by a broadcast; a larger one
+    joins them. Both give the same records.
+    """
+    asked = cut(identifiers(table).join(record_ids.select("record_id").distinct(), "record_id"))
+    places = asked.select("bundle_id", "frame").distinct().limit(MOST_PLACES + 1).collect()
+    few = len(places) <= MOST_PLACES
+    if few:
+        table = table.where(F.col("bundle_id").isin(sorted({p.bundle_id for p in places})) & F.col("frame").isin(sorted({p.frame for p in places})))
 
     def run(batches):
         for got in _cut_out(batches):
             yield pa.RecordBatch.from_arrays([pa.array([w["record_id"] for w, _ in got], pa.string()), pa.array([r for _, r in got], pa.binary())], names=["record_id", "record"])
 
-    return map_batches(_wanted(table, asked), run, "record_id string, record binary")
+    return map_batches(_wanted(table, asked, few), run, "record_id string, record binary")
 
 
 def read_records(table: DataFrame, asked: DataFrame | None = None) -> DataFrame:

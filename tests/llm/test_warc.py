@@ -88,7 +88,7 @@ def test_files_are_valid_warc(spark):
             assert (head["warc-refers-to-target-uri"], head["warc-refers-to-date"]) == (other["warc-target-uri"], other["warc-date"])
 
 
-def test_fetch_opens_single_frames(spark):
+def test_fetch_opens_single_frames(spark, monkeypatch):
     pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " + "x" * 50_000) for i in range(40)], "page_id long, url string, html string").coalesce(1)
     table = warc.write_bundles(pages, shared_dir(spark))
     where = {r.page_id: r for r in warc.identifiers(table).collect()}
@@ -96,6 +96,10 @@ def test_fetch_opens_single_frames(spark):
     asked = spark.createDataFrame([(where[3].record_id,), (where[39].record_id,), ("<urn:uuid:none>",)], "record_id string")
     got = {r.record_id: warc.parse(bytes(r.record))[2][:8].strip() for r in warc.fetch(table, asked).collect()}
     assert got == {where[3].record_id: b"page 3 x", where[39].record_id: b"page 39"}
+    plan = warc.fetch(table, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "In(bundle_id" in plan.replace("EqualTo(bundle_id", "In(bundle_id") and "In(frame, [" in plan  # handed to the scan of the data
+    monkeypatch.setattr(warc, "MOST_PLACES", 1)
+    assert {r.record_id for r in warc.fetch(table, asked).collect()} == set(got)
     one = warc.read_records(table, warc.identifiers(table).where("page_id = 7"))
     assert [(r.page_id, bytes(r.payload[:7])) for r in one.collect()] == [(7, b"page 7 ")]
 
