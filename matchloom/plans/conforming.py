@@ -179,7 +179,7 @@ def o137_reassembled(spark, sf):
     return r.select("match_key", *(F.array_join(F.transform(f"lineup_{s}", lambda x: x["player"].cast("string")), ",").alias(f"l{s}") for s in "ab"))
 
 
-@query("SELECT s_nationkey, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name, s_suppkey) AS player_slot FROM supplier".replace("row_number()", "CAST(row_number()").replace("s_suppkey) AS", "s_suppkey) AS INTEGER) AS"))
+@query("SELECT s_nationkey, s_suppkey, s_name, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name, s_suppkey) AS INTEGER) AS player_slot FROM supplier")
 def o92_slots(spark, sf):
     s = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_name").withColumn("_one", F.lit(1))
     return conform.slots(s, "s_nationkey", "_one", "s_name").select("s_nationkey", "s_suppkey", "s_name", "player_slot")
