@@ -10,7 +10,9 @@ rows the field has no parameters and every line counts as content.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.common import fresh_name, map_batches, read_table
+from matchloom.llm.common import cut, fresh_name, map_batches, read_table
 
 #: The bound of the labelled sample the field is fitted on. All lines of its documents count; a line is two bytes there.
 TRAIN_DOCS = 3000
+#: Up to so many lines the driver fits the sample itself; a longer one is laid out in parts of about as many lines, whose
+#: expectations tasks sum, so that documents of any length can be learned from. Both give the same field up to rounding.
+FIT_LINES = 200_000
 #: A document is kept from this content share on.
 KEEP_SHARE = 0.5
 FEATURES = (
@@ -30,6 +35,7 @@ FEATURES = (
     "sentence_end", "dominant_word", "digits", "repeated_windows", "long_words",
 )
 _SYMBOLS = b"#*$%&|<>"
+_BITS = 1 << np.arange(len(FEATURES))
 
 
 @dataclass(frozen=True)
@@ -124,13 +130,15 @@ def viterbi(field: Field, rows) -> list[int]:
 class _Sample:
     """Labelled documents as runs of line patterns, padded in groups of like length (at most twice the shortest)."""
 
-    def __init__(self, docs: list[tuple[np.ndarray, int]]):
-        every = np.concatenate([x for x, _ in docs])
-        self.X, flat = np.unique(every, axis=0, return_inverse=True)  # the different lines, fewer than there are lines
+    def __init__(self, docs: list[tuple[np.ndarray, int]], labels: list[np.ndarray] | None = None):
+        """``docs`` are (line features, quality); ``labels`` those of their lines, by the quality where they are not given."""
+        every = np.concatenate([x for x, _ in docs]).astype(np.int64) @ _BITS
+        known, flat = np.unique(every, return_inverse=True)  # the different lines, fewer than there are lines
+        self.X = (known[:, None] & _BITS > 0).astype(float)
         ends = np.cumsum([len(x) for x, _ in docs])
         self.codes = np.split(flat.ravel(), ends[:-1])
         self.bad = np.array([q == 0 for _, q in docs])
-        self.Y = [np.full(len(c), int(b)) for c, b in zip(self.codes, self.bad)]
+        self.Y = labels or [np.full(len(c), int(b)) for c, b in zip(self.codes, self.bad)]
         size = np.array([len(c) for c in self.codes])
         self.total, self.groups = size.sum(), []
         for k in np.unique(np.log2(size).astype(int)):
@@ -185,26 +193,93 @@ class _Sample:
         return float(logz), np.concatenate([(self.X.T @ of_pattern).ravel(), of_move.ravel(), of_start])
 
 
-def fit_field(docs: list[tuple[np.ndarray, int]], rounds: int = 2, l2: float = 1e-3) -> Field:
-    """Fit on (line features, quality) of labelled documents.
+    def relabel(self, field: Field) -> None:
+        """Lines of bad documents that the field takes for content count as that."""
+        for i in np.flatnonzero(self.bad):
+            self.Y[i] = np.array(viterbi(field, self.X[self.codes[i]]))
 
-    Lines of good documents are content. Those of bad ones start as boilerplate; after each round the lines that
-    the field itself takes for content are relabelled, so that ordinary lines of bad documents stop counting.
-    """
-    docs = [(np.asarray(x, float), q) for x, q in docs if len(x)]
+
+def _unpacked(x: bytes) -> np.ndarray:
+    """Line features from two bytes a line."""
+    return (np.frombuffer(x, "<u2")[:, None] & _BITS > 0).astype(np.int64)
+
+
+def _chunks(batch: pa.RecordBatch, most: int) -> Iterator[_Sample]:
+    """Samples of at most ``most`` lines, or of one longer document, from rows (x, q, y)."""
+    docs, labels, size = [], [], 0
+    for x, q, y in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        if size and size + len(y) > most:
+            yield _Sample(docs, labels)
+            docs, labels, size = [], [], 0
+        docs.append((_unpacked(x), q))
+        labels.append(np.frombuffer(y, np.uint8).astype(np.int64))
+        size += len(y)
+    if docs:
+        yield _Sample(docs, labels)
+
+
+class _SpreadSample:
+    """As ``_Sample``, over rows (x, q, y: two bytes of features a line, the quality, a byte a line for its label) in the
+    shared folder. A task sums what its documents give, so the driver sees one vector of sums a task."""
+
+    def __init__(self, rows: DataFrame, lines: int, part: int):
+        self.total, self.part = lines, part
+        self.rows = cut(rows.repartition(-(-lines // part)))
+
+    def _sum(self, of: Callable[[_Sample], np.ndarray]) -> np.ndarray:
+        most = self.part
+
+        def run(batches):
+            sums = [of(sample) for b in batches for sample in _chunks(b, most)]
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array([np.sum(sums, axis=0).tolist()])], names=["v"])
+
+        # exactly rounded sums, so the order in which tasks end doesn't matter
+        return np.array([math.fsum(c) for c in zip(*(r.v for r in map_batches(self.rows, run, "v array<double>").collect()))])
+
+    def observed(self) -> np.ndarray:
+        return self._sum(lambda sample: sample.observed())
+
+    def expected(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        def both(sample):
+            logz, have = sample.expected(theta)
+            return np.concatenate([[logz], have])
+
+        v = self._sum(both)
+        return float(v[0]), v[1:]
+
+    def relabel(self, field: Field) -> None:
+        def run(batches):
+            for b in batches:
+                ys = [y if q else bytes(viterbi(field, _unpacked(x))) for x, q, y in zip(*(b.column(i).to_pylist() for i in range(3)))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ys, pa.binary())], names=["x", "q", "y"])
+
+        self.rows = cut(map_batches(self.rows, run, "x binary, q int, y binary"))
+
+
+def fit_field(docs: list[tuple[np.ndarray, int]]) -> Field:
+    """Fit on (line features, quality) of labelled documents; without good or without bad ones there is nothing to learn."""
+    docs = [(np.asarray(x), q) for x, q in docs if len(x)]
     if not any(q == 0 for _, q in docs) or not any(q == 1 for _, q in docs):
         return NO_FIELD
-    sample, k = _Sample(docs), len(FEATURES)
+    return _fit(_Sample(docs))
+
+
+def _fit(sample: _Sample | _SpreadSample, rounds: int = 2, l2: float = 1e-3) -> Field:
+    """Lines of good documents are content. Those of bad ones start as boilerplate; after each round the lines that
+    the field itself takes for content are relabelled, so that ordinary lines of bad documents stop counting.
+    """
+    k = len(FEATURES)
     theta = np.zeros(2 * k + 6)
-    for _ in range(rounds):
+    for i in range(rounds):
         theta = _descend(sample, theta, l2)
         field = Field(theta[: 2 * k].reshape(k, 2), theta[2 * k : 2 * k + 4].reshape(2, 2), theta[2 * k + 4 :])
-        for i in np.flatnonzero(sample.bad):
-            sample.Y[i] = np.array(viterbi(field, sample.X[sample.codes[i]]))
+        if i < rounds - 1:
+            sample.relabel(field)
     return field
 
 
-def _descend(sample: _Sample, theta: np.ndarray, l2: float, most: int = 100, memory: int = 8) -> np.ndarray:
+def _descend(sample: _Sample | _SpreadSample, theta: np.ndarray, l2: float, most: int = 100, memory: int = 8) -> np.ndarray:
     """The least penalised negative log-likelihood a line, by L-BFGS steps until the gradient is small."""
     seen = sample.observed()
 
@@ -243,10 +318,11 @@ def _descend(sample: _Sample, theta: np.ndarray, l2: float, most: int = 100, mem
     return theta
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Field:
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, fit_lines: int = FIT_LINES) -> Field:
     """Fit the field on at most about ``max_docs`` labelled documents, picked evenly by a hash of their ids.
 
-    Only line features of that bounded sample reach the driver, as one bit each, never texts.
+    Only line features of that sample reach the driver, as one bit each, never texts, and only if they are of at most
+    ``fit_lines`` lines; the features of a longer sample stay in tasks.
     """
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     labels = labels.withColumn("u", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), F.lit(1_000_000)))
@@ -256,15 +332,20 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_docs: int
     chosen = labels.where(F.col("u") < int(1_000_000 * min(1.0, max_docs / n)) + 1).select(F.col("doc_id").alias("i"), "quality")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("i")).select("text", "quality")
 
-    bits = 2.0 ** np.arange(len(FEATURES))
-
     def featurise(batches):
         for b in batches:
-            xs = [(np.asarray(text_lines(t or "")[0]).reshape(-1, len(FEATURES)) @ bits).astype("<u2").tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), b.column(1).cast(pa.int32())], names=["x", "q"])
-
-    rows = sorted((bytes(r.x), r.q) for r in map_batches(sample, featurise, "x binary, q int").collect())
-    return fit_field([(np.frombuffer(x, "<u2")[:, None] >> np.arange(len(FEATURES)) & 1, q) for x, q in rows])
+            xs = [(np.asarray(text_lines(t or "")[0], int).reshape(-1, len(FEATURES)) @ _BITS).astype("<u2").tobytes() for t in b.column(0).to_pylist()]
+            qs = b.column(1).cast(pa.int32())
+            ys = [bytes([q == 0]) * (len(x) // 2) for x, q in zip(xs, qs.to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), qs, pa.array(ys, pa.binary())], names=["x", "q", "y"])
+
+    rows = cut(map_batches(sample, featurise, "x binary, q int, y binary").where("length(y) > 0"))
+    size = rows.agg(F.sum(F.length("y")).alias("lines"), F.count_if(F.col("q") == 0).alias("bad"), F.count_if(F.col("q") == 1).alias("good")).first()
+    if not size.bad or not size.good:
+        return NO_FIELD
+    if size.lines > fit_lines:
+        return _fit(_SpreadSample(rows, size.lines, fit_lines))
+    return fit_field([(_unpacked(x), q) for x, q in sorted((bytes(r.x), r.q) for r in rows.select("x", "q").collect())])
 
 
 def judge(docs: DataFrame, field: Field, keep_share: float = KEEP_SHARE) -> DataFrame:

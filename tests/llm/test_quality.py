@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from matchloom.llm import quality
 
@@ -94,6 +95,18 @@ def test_field_separates_junk_lines():
     assert quality.viterbi(field, good[0][0].tolist()) == [0, 0]
 
 
+def test_a_long_sample_is_fitted_by_tasks(spark):
+    """Parts of 40 lines, of one longer document or of several short ones, give the field that the driver's own fit gives."""
+    plain, junk = "A plain line of ordinary prose ends here.", "BUY!! NOW!! %%% $$$ ### ***"
+    rows = [(i, "\n".join([f"{plain[:-1]} {j}." for j in range(1 + i % 7 * 9)] + [junk] * (i % 2 * (2 + i % 5))), 1 - i % 2) for i in range(60)] + [(60, None, 1), (61, "", 0)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    here, spread = (quality.train(spark, docs, labels, fit_lines=n) for n in (quality.FIT_LINES, 40))
+    for a, b in ((here.emit, spread.emit), (here.move, spread.move), (here.start, spread.start)):
+        assert np.abs(a).max() > 0.1 and np.allclose(a, b, atol=1e-3)
+    verdicts = [{(r.doc_id, r.q.content_share) for r in quality.judge(docs, f).select("doc_id", F.col("quality_rules").alias("q")).collect()} for f in (here, spread)]
+    assert verdicts[0] == verdicts[1]
+
+
 def test_nothing_to_learn_from(spark, no_docs, odd_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.train(spark, odd_docs, labels) is quality.NO_FIELD
