@@ -343,6 +343,23 @@ def o146_o153_against_baseline(spark, sf):
     return b.crossJoin(reports.headline(m).select("primary_auc", "secondary_auc", "secondary_label"))  # two rows of one
 
 
+_ROLES = ("ECONOMY", "PROMO", "STANDARD")
+
+
+@query(f"""WITH {P}, c AS (SELECT match_key, {", ".join(f"count_if(role = '{r}' AND side = 'a') - count_if(role = '{r}' AND side = 'b') AS {r}" for r in _ROLES)} FROM p GROUP BY match_key)
+SELECT match_key, concat(CASE WHEN ECONOMY = 0 AND PROMO = 0 AND STANDARD = 0 THEN 'as the composition that wins most' ELSE concat_ws(', ',
+  CASE WHEN ECONOMY > 0 THEN concat(ECONOMY, ' more ECONOMY') WHEN ECONOMY < 0 THEN concat(-ECONOMY, ' fewer ECONOMY') END,
+  CASE WHEN PROMO > 0 THEN concat(PROMO, ' more PROMO') WHEN PROMO < 0 THEN concat(-PROMO, ' fewer PROMO') END,
+  CASE WHEN STANDARD > 0 THEN concat(STANDARD, ' more STANDARD') WHEN STANDARD < 0 THEN concat(-STANDARD, ' fewer STANDARD') END) END,
+  ' (nearest composition wins ', match_key % 101, '%)') AS message FROM c""")
+def o145_vector_message(spark, sf):
+    """What sets one side's part types of an order apart from the other's, told as text."""
+    counts = [F.count_if((F.col("role") == r) & (F.col("side") == s)).alias(f"{r}_{s}") for r in _ROLES for s in "ab"]
+    rows = participants(spark, sf).groupBy("match_key").agg(*counts)
+    message = audit.vector_message(_ROLES, [F.col(f"{r}_a") for r in _ROLES], [F.col(f"{r}_b") for r in _ROLES], F.col("match_key") % 101 / 100)
+    return rows.select("match_key", message.alias("message"))
+
+
 _LABELS = {
     "map_atk_adv": "Map attack advantage", "map_bind": "Map: Bind", "a_role_duelist_count": "Team A: duelist picks", "b_agent_kayo_count": "Team B: KAY/O picks",
     "diff_prior_kd_mean": "A over B: Players' mean K/D of earlier years", "a_synergy_mean": "Team A: Mean games played together", "b_map_agent_adr_mean": "Team B: Mean adr of earlier years by map and agent",

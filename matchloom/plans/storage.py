@@ -163,3 +163,12 @@ def o09_o95_history_store(spark, sf):
     store = tables.request_lists(spark.read.parquet(path))
     first = F.min(F.col("players_a")[0].cast("long")).cast("string")
     return store.groupBy("map", "cutoff_year").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.col("winner") == "a").alias("wins"), F.round(F.avg("probability"), 6).alias("probability"), first.alias("first_player"), F.bool_and(F.col("created_at").isNotNull()).alias("timed"))
+
+
+@query("SELECT c_custkey, c_name AS name, 'NEW' AS segment, 'gold' AS tier, CAST(3 AS INTEGER) AS n_entries FROM customer")
+def o149_patched_documents(spark, sf):
+    """A document a customer, written as JSON, read back and merged with a patch that replaces one entry and adds another."""
+    path = f"{shared_dir(spark)}/documents"
+    table(spark, sf, "customer").select("c_custkey", F.create_map(F.lit("name"), "c_name", F.lit("segment"), "c_mktsegment").alias("doc")).write.json(path)
+    docs = tables.patched(spark.read.schema("c_custkey long, doc map<string,string>").json(path), {"segment": "NEW", "tier": "gold"})
+    return docs.select("c_custkey", *(F.col("doc")[k].alias(k) for k in ("name", "segment", "tier")), F.size("doc").alias("n_entries"))
