@@ -236,8 +236,8 @@ def o94_point_lookup(spark, sf):
 @query(f"WITH {P}, l AS (SELECT match_key, side, string_agg(CAST(player AS VARCHAR), ',' ORDER BY part, line, player) AS players, string_agg(agent, ',' ORDER BY part, line, player) AS agents FROM p GROUP BY ALL) SELECT match_key, coalesce(max(players) FILTER (side = 'a'), '') AS players_a, coalesce(max(agents) FILTER (side = 'a'), '') AS agents_a, coalesce(max(players) FILTER (side = 'b'), '') AS players_b, coalesce(max(agents) FILTER (side = 'b'), '') AS agents_b FROM l GROUP BY match_key")
 def o144_request_lists(spark, sf):
     """Each match's participants as a stored request, and the lists read back from its JSON."""
-    slot = F.struct("part", "line", F.col("player").cast("string").alias("player"), "agent")
-    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, slot))), lambda x: F.struct(x["player"], x["agent"])).alias(f"team_{s}") for s in "ab"]  # a match's own participants
+    slot = F.struct("part", "line", "player", "agent")
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, slot))), lambda x: F.struct(x["player"].cast("string").alias("player"), x["agent"])).alias(f"team_{s}") for s in "ab"]  # a match's own participants
     stored = participants(spark, sf).groupBy("match_key").agg(*lists).select("match_key", F.to_json(F.struct("team_a", "team_b")).alias("request_json"))
     r = tables.request_lists(stored)
     return r.select("match_key", *(F.array_join(c, ",").alias(c) for c in ("players_a", "agents_a", "players_b", "agents_b")))
