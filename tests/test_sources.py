@@ -99,3 +99,12 @@ def test_headers_are_found_in_a_constant_number_of_jobs(spark, tmp_path):
     got = sorted((int(r.id), r.name, r.extra) for r in rows.collect())
     assert got == [(i, None if i % 3 == 2 else f"n{i}", "x" if i % 3 == 1 else None) for i in range(60)] and jobs <= 6
     assert tables.headers(spark, f"{tmp_path}/*.csv").count() == 60
+
+
+def test_written_tables_are_read_by_many_tasks(spark):
+    """A file has many row groups, so that all cores share it: 24 MB of numbers in one file."""
+    from matchloom.sources.shared import written
+
+    back = written(spark.range(0, 3_000_000, 1, 1).selectExpr("xxhash64(id) AS h"), even=False)
+    held = [r["count"] for r in back.groupBy("_metadata.file_block_start").count().collect()]
+    assert back.count() == 3_000_000 and len(held) >= 2 and max(held) < 3_000_000
