@@ -1,9 +1,10 @@
 """Near copies: texts whose sets of five-word shingles have Jaccard similarity 0.8 or more, and what they connect.
 
-Candidates meet in MinHash bands: ``BANDS`` = 24 keys of ``ROWS`` = 4 minima each. A pair at similarity s shares a key
-with probability 1 - (1 - s^4)^24, at least 0.999996 at 0.8, and every candidate pair is verified on the whole sets of
-64-bit shingle hashes. Fingerprints of 64 bits can't stand in here: such pairs differ in up to about 12 bits, and
-pigeonhole keys for 12 bits are so short that unrelated texts meet in numbers that grow with the square of the input.
+The first candidates are op6's: SimHash fingerprints of the five-word shingles within two bits, by pigeonhole blocks. Pairs at
+0.8 differ in up to about 12 bits, and pigeonhole keys for 12 bits are so short that unrelated texts meet in numbers that grow
+with the square of the input. So what two bits leave out is found in MinHash bands: ``BANDS`` = 24 keys of ``ROWS`` = 4 minima
+each. A pair at similarity s shares a key with probability 1 - (1 - s^4)^24, at least 0.999996 at 0.8. Every candidate pair of
+either kind is verified on the whole sets of 64-bit shingle hashes.
 
 A key's texts are first verified against the one that shares most keys with others, so a large group of copies costs
 one candidate a text and key. Texts of keys that these links don't all connect are then compared by their rarest
@@ -25,20 +26,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import cut, map_batches, replicated, spread
-from matchloom.llm.simhash import _LOWER, components
+from matchloom.llm.simhash import _LOWER, components, links, voted
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the word shingles."""
+def hashed(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """The 64-bit hashes of the word shingles, in order."""
     if not words:
         return np.zeros(0, np.uint64)
     parts = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(p, 42) for p in parts), np.uint64))
+    return np.fromiter((digest(p, 42) for p in parts), np.uint64)
+
+
+def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the word shingles."""
+    return np.unique(hashed(words, width))
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -64,23 +70,35 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, the hash of its text, the node of its words, its number of shingles and its band keys."""
+    """doc_id, the hash of its text, the node of its words, its fingerprint, its number of shingles and its band keys."""
 
     def run(batches):
         for b in batches:
-            nodes, sizes, bands = [], [], []
+            nodes, prints, sizes, bands = [], [], [], []
             for text in b.column(2).to_pylist():
                 words = _words(text)
-                found = shingles(words, width)
+                every = hashed(words, width)
+                found = np.unique(every)
+                prints.append(voted(every) if len(every) else 0)
                 node = xxhash.xxh64_intdigest(b" ".join(words), 7)
                 nodes.append(node - (1 << 64) if node >> 63 else node)
                 sizes.append(len(found))
                 bands.append(band_keys(found))
-            columns = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "n", "bands"])
+            columns = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "fp", "n", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, f"doc_id {kind}, text_hash long, node long, n long, bands array<long>")
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, f"doc_id {kind}, text_hash long, node long, fp long, n long, bands array<long>")
+
+
+def print_pairs(classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that the links of their SimHash fingerprints ``fp`` propose: one fingerprint's nodes with its
+    smallest, and those of linked fingerprints. Each node and link gives one pair at most."""
+    least = cut(classes.groupBy("fp").agg(F.min("node").alias("a")))
+    same = classes.join(least, "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    ends = [least.select(F.col("fp").alias(f"fp_{c}"), F.col("a").alias(c)) for c in "xy"]
+    other = links(least.select("fp")).toDF("fp_x", "fp_y").join(ends[0], "fp_x").join(ends[1], "fp_y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return same.unionByName(other)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
@@ -129,18 +147,21 @@ def close_pairs(open_: DataFrame, texts: DataFrame, similarity: float = SIMILARI
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """doc_id, text_hash, node and root of every row of ``docs``; rows of one root are connected by near copies."""
     rows = cut(sketches(docs, width))
-    classes = rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), F.min("bands").alias("bands"))
+    classes = rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands"))
+    prints = cut(print_pairs(classes.select("node", "fp")))
     keys = classes.select("node", "text_hash", "n", F.explode("bands").alias("k"))
     shared = keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
     keyed = cut(keys.join(shared, "k"))
     wanted = keyed.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.sum("c").alias("w"))
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted.select("node", "text_hash"), "text_hash").groupBy("node").agg(F.min("text").alias("text"))
+    linked = classes.join(prints.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "text_hash")
+    asked = wanted.select("node", "text_hash").unionByName(linked).distinct()
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(asked, "text_hash").groupBy("node").agg(F.min("text").alias("text"))
     texts = cut(texts)
 
     hubs = keyed.join(wanted.select("node", "w"), "node").groupBy("k").agg(F.max(F.struct("w", "node", "n")).alias("hub")).select("k", F.col("hub.node").alias("a"), F.col("hub.n").alias("m"))
     sized = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6
     stars = keyed.select("k", "n", F.col("node").alias("b")).join(hubs, "k").where(F.col("a") != F.col("b")).where(sized).select("a", "b").distinct()
-    near = cut(verified(stars, texts, similarity, width))
+    near = cut(verified(prints.unionByName(stars).distinct(), texts, similarity, width))
     roots = components(near)
 
     placed = cut(keyed.select("k", "node").join(roots, "node", "left").select("k", "node", F.coalesce("root", "node").alias("root")))

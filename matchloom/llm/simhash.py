@@ -35,7 +35,11 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
         return 0
     shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, seed) for s in shingles), np.uint64)
+    return voted(np.fromiter((digest(s, seed) for s in shingles), np.uint64))
+
+
+def voted(h: np.ndarray) -> int:
+    """The signed fingerprint of shingle hashes, repeats included: the bits set in over half of them."""
     votes = np.zeros(64, np.int64)
     for i in range(0, len(h), 65536):  # a long text never needs more than a few MB
         part = h[i : i + 65536]

@@ -76,3 +76,14 @@ def test_stage_on_empty_and_wordless_texts(spark, no_docs):
     assert corpus_pipeline.near_dedup(spark, no_docs, SF).count() == 0
     docs = spark.createDataFrame([(1, ""), (2, None), (3, " \n"), (4, "a b"), (5, "A  b"), (6, "a b c")], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [1, 4, 6]
+
+
+def test_fingerprints_propose_pairs_without_any_band_key(spark):
+    """SimHash is a step of its own: of three long texts, two differ in a word, and their fingerprints' links give that pair."""
+    base = [f"w{i}" for i in range(600)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"z{i}" for i in range(600))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = nearcopies.sketches(docs)
+    node = {r.doc_id: r.node for r in rows.collect()}
+    got = [(r.a, r.b) for r in nearcopies.print_pairs(rows.select("node", "fp")).collect()]
+    assert [{a, b} for a, b in got] == [{node[0], node[1]}]
