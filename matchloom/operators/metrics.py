@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,6 +57,52 @@ def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFr
     return g.select(*by, F.try_divide(F.col("u"), F.col("np") * F.col("nn")).alias("auc"))
 
 
+def _parts(df: DataFrame, cuts: Sequence[float]) -> DataFrame:
+    """``df`` with ``part``, which grows with the number ``s``: of each cut, 2 b for the scores that equal it, 2 b + 1 up to the next."""
+    if not cuts:
+        return df.withColumn("part", F.lit(1))
+    # its own search by halves: so many comparisons in one expression are more than the JVM compiles
+    placed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="s", outputCol="_b", handleInvalid="keep").transform(df)
+    b = F.col("_b").cast("int")
+    equal = F.coalesce(F.get(F.array(*map(F.lit, cuts)), b - 1) == F.col("s"), F.lit(False))
+    return placed.withColumn("part", 2 * b + F.when(equal, 0).otherwise(1)).drop("_b")
+
+
+#: A score that is a cut may be that of very many rows: they are dealt to so many tasks.
+SALTS = 16
+
+
+def areas(df: DataFrame, case: str, score: str, label: str, like: DataFrame, parts: int = 64) -> DataFrame:
+    """``auc`` by the whole number ``case``, for many cases of many different scores: one shuffle of the rows as they are.
+
+    ``like`` has scores that are spread like those of ``df``; its approximate quantiles cut all cases into ``parts``. A part of a
+    case is sorted by itself and tells how often its ones beat its own zeros; the zeros of the parts before it are added.
+    The areas are exact whatever the cuts are. Labels are 0 or 1.
+    """
+    found = like.agg(F.percentile_approx(F.col(score).cast("double"), [i / parts for i in range(1, parts)], 1_000)).first()[0] or []
+    cuts = sorted({c for c in found if math.isfinite(c)})
+    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(case).cast("long").alias("_c"), F.when(F.col(score) == 0, 0.0).otherwise(F.col(score).cast("double")).alias("s"), (F.col(label) == 1).alias("y"))
+    width = 2 * len(cuts) + 4
+    salt = F.when(F.col("part") % 2 == 0, F.spark_partition_id() % SALTS).otherwise(0)
+    keyed = _parts(known, cuts).select(((F.col("_c") * width + F.col("part")) * SALTS + salt).alias("_k"), "s", "y")
+
+    def count(table: pa.Table) -> pa.Table:
+        k, s, y = table.column("_k")[0].as_py(), table.column("s").to_numpy(), table.column("y").to_numpy()
+        ones, zeros = np.sort(s[y]), np.sort(s[~y])  # ones are sorted for speed alone
+        won = int(zeros.searchsorted(ones, "left").sum() + zeros.searchsorted(ones, "right").sum())  # twice, as ties count half
+        return pa.table({"_k": [k], "pos": [len(ones)], "neg": [len(zeros)], "won": [won]})
+
+    each = keyed.groupBy("_k").applyInArrow(count, "_k long, pos long, neg long, won long")
+    at = F.floor(F.col("_k") / F.lit(SALTS))
+    sums = each.groupBy(at.alias("_p")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("won").alias("won"))
+    of, equal = F.floor(F.col("_p") / F.lit(width)), F.col("_p") % 2 == 0
+    placed = sums.select(of.alias("_c"), "_p", "pos", "neg", F.when(equal, F.col("pos") * F.col("neg")).otherwise(F.col("won")).alias("won"))
+    before = F.coalesce(F.sum("neg").over(Window.partitionBy("_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = placed.select("_c", "pos", "neg", (F.col("won") + 2 * F.col("pos") * before).alias("won"))  # a row a part
+    g = won.groupBy("_c").agg(F.sum("won").alias("won"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
+    return g.select(F.col("_c").cast(df.schema[case].dataType).alias(case), F.try_divide(F.col("won") / 2, F.col("np") * F.col("nn")).alias("auc"))
+
+
 def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """threshold, fpr, tpr, Youden's J and ``place`` from 0 at each distinct score, highest first."""
     t = score_table(df, score, label)

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from matchloom.operators import metrics
 
@@ -135,18 +139,64 @@ def shuffled_labels(df: DataFrame, key: str, label: str, seed: int = 42) -> Data
     return places.join(dealt, "_n").withColumn(label, F.col("_l")).drop("_n", "_l")
 
 
-def permuted(df: DataFrame, key: str, columns: Sequence[str], repeats: int, seed: int = 42, name: str = "donor") -> DataFrame:
+#: A block of places holds up to so many values of all rows that meet in it; a hash's so many leading bits are counted.
+BLOCK_CELLS, LEADING = 1 << 19, 14
+
+
+def permuted(df: DataFrame, key: str, columns: Sequence[str], repeats: int, seed: int = 42, name: str = "donor", block: int | None = None) -> DataFrame:
     """``df`` once for each ``repeat``, with the struct ``name`` of another row's ``columns``: in each repeat, a permutation of
     the rows as ``shuffled_labels`` deals them with seed + repeat.
 
-    All orders are numbered in one shuffle: a row's place under seed s and the next repeat's donor places are the same.
+    A row's place under seed s and the next repeat's donor places are the same. Counts by the leading bits of the hashes tell
+    which block of ``block`` places a row's place lies in (or, at a border, which two), so that all orders' rows of a block
+    meet in one task by one shuffle, are sorted there and lie side by side. ``df`` is read twice, so hand in a table.
+    Where very many rows share a hash, orders are numbered and joined instead.
     """
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    every = df.withColumn("_seed", F.explode(F.sequence(F.lit(seed), F.lit(seed + repeats))))
-    placed = numbered(every, stable_hash(F.concat(text, F.lit("|"), F.col("_seed").cast("string")), None), "_n", by=["_seed"])
-    takers = placed.where(F.col("_seed") < seed + repeats).withColumn("repeat", F.col("_seed") - seed)
-    givers = placed.where(F.col("_seed") > seed).select((F.col("_seed") - seed - 1).alias("repeat"), "_n", F.struct(*columns).alias(name))
-    return takers.join(givers, ["repeat", "_n"]).select(*df.columns, "repeat", name)
+    block = block or max(1 << 13, BLOCK_CELLS // (len(df.columns) + len(columns)))
+    every = df.withColumn("_seed", F.explode(F.sequence(F.lit(0), F.lit(repeats))))
+    order = stable_hash(F.concat(text, F.lit("|"), (F.col("_seed") + seed).cast("string")), None)
+    hashed = every.withColumn("_h", order).withColumn("_lead", F.col("_seed") * (1 << LEADING) + F.shiftright("_h", 60 - LEADING).cast("int"))
+    sizes = hashed.groupBy("_lead").agg(F.count("*").alias("n")).toArrow().to_pandas().sort_values("_lead")  # at most 2^LEADING a seed
+    if len(sizes) and sizes["n"].max() > block:
+        return _permuted_by_join(every, df.columns, order, columns, repeats, name)
+    start = sizes.groupby(sizes["_lead"] // (1 << LEADING))["n"].cumsum() - sizes["n"]
+    total = int(sizes["n"].sum()) // (repeats + 1)
+    sizes = sizes.assign(_start=start, _first=start // block, _last=(start + sizes["n"] - 1) // block).drop(columns="n")
+    starts = df.sparkSession.createDataFrame(pa.Table.from_pandas(sizes, preserve_index=False))
+    both = F.when(F.col("_first") == F.col("_last"), F.array("_first")).otherwise(F.array("_first", "_last"))  # n is at most ``block``
+    met = hashed.join(F.broadcast(starts), "_lead").select("_lead", "_h", "_start", F.explode(both).alias("_block"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(df.columns)))
+    own, given = [f"_c{i}" for i in range(len(df.columns))], [f"_c{df.columns.index(c)}" for c in columns]
+
+    def deal(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lead, h, starts = (table.column(c).to_numpy() for c in ("_lead", "_h", "_start"))
+        at = np.lexsort((h, lead))
+        if ((np.diff(h[at]) == 0) & (np.diff(lead[at]) == 0)).any():
+            at = pc.sort_indices(table, [(c, "ascending") for c in ("_lead", "_h", *own)], null_placement="at_start").to_numpy()
+        first = np.flatnonzero(np.append(True, np.diff(lead[at]) != 0))  # all rows of a lead are here
+        inside = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+        place, low = starts[at] + inside, table.column("_block")[0].as_py() * block
+        n = min(block, total - low)
+        orders = at[(place >= low) & (place < low + n)].reshape(repeats + 1, n).astype(np.int64)
+        takers, givers = pa.array(orders[:-1].ravel()), pa.array(orders[1:].ravel())
+        taken, donors = table.select(own).take(takers), table.select(given).take(givers)
+        repeat = pa.array(np.repeat(np.arange(repeats, dtype=np.int32), n))
+        return pa.table([*taken.columns, repeat, *donors.columns], names=[*own, "_repeat", *(f"_d{i}" for i in range(len(given)))])
+
+    kinds = [*(df.schema[c].dataType for c in df.columns), IntegerType(), *(df.schema[c].dataType for c in columns)]
+    names = [*own, "_repeat", *(f"_d{i}" for i in range(len(given)))]
+    dealt = met.groupBy("_block").applyInArrow(deal, StructType([StructField(n, k) for n, k in zip(names, kinds)]))
+    donor = F.struct(*(F.col(f"_d{i}").alias(c) for i, c in enumerate(columns)))
+    return dealt.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns)), F.col("_repeat").alias("repeat"), donor.alias(name))
+
+
+def _permuted_by_join(every: DataFrame, kept: Sequence[str], order: Column, columns: Sequence[str], repeats: int, name: str) -> DataFrame:
+    """``permuted`` for any hashes: places are numbered by seed, and a seed's rows joined to the next one's."""
+    placed = numbered(every, order, "_n", by=["_seed"])
+    takers = placed.where(F.col("_seed") < repeats).withColumn("repeat", F.col("_seed"))
+    givers = placed.where(F.col("_seed") > 0).select((F.col("_seed") - 1).alias("repeat"), "_n", F.struct(*columns).alias(name))
+    return takers.join(givers, ["repeat", "_n"]).select(*kept, "repeat", name)
 
 
 def overlap(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
