@@ -154,8 +154,26 @@ def explained(df: DataFrame, features: Sequence[str], leaves: Sequence[Leaf], ex
     return df.withColumns({name: run(*(F.col(f).cast("double") for f in features)), f"{name}_expected": F.lit(expected)})
 
 
-def mean_absolute(df: DataFrame, features: Sequence[str], name: str = "shap", top: int = 20) -> DataFrame:
-    """feature, mean_abs_shap and place (from 1) of the ``top`` features by the mean of |value| over all rows."""
-    each = df.select(F.posexplode(name).alias("i", "x")).groupBy("i").agg(F.avg(F.abs("x")).alias("mean_abs_shap"))  # a row a feature
+def cells(df: DataFrame, features: Sequence[str], leaves: Sequence[Leaf]) -> DataFrame:
+    """``features`` and n: the rows that lie between the same thresholds of the leaves in every feature, and so have the same
+    values, as one row. Their number is bounded by the model's thresholds (and categories), whatever the rows are.
+    """
+    cuts: dict[int, set] = {}
+    whole = set()
+    for leaf in leaves:
+        whole.update(leaf.sets)
+        for f, *ends in zip(leaf.features.tolist(), leaf.low.tolist(), leaf.high.tolist()):
+            cuts.setdefault(f, set()).update(t for t in ends if np.isfinite(t))
+    x = [F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features]  # null goes right as NaN does
+    below = lambda i: F.size(F.filter(F.array(*map(F.lit, sorted(cuts[i]))), lambda t: t < x[i])) if cuts.get(i) else F.lit(0)
+    keys = [(x[i] if i in whole else below(i)).alias(f"_k{i}") for i in range(len(features))]
+    return df.select(*(c.alias(f) for c, f in zip(x, features)), *keys).groupBy(*(f"_k{i}" for i in range(len(features)))).agg(*(F.min(f).alias(f) for f in features), F.count("*").alias("n")).select(*features, "n")
+
+
+def mean_absolute(df: DataFrame, features: Sequence[str], name: str = "shap", top: int = 20, times: str | None = None) -> DataFrame:
+    """feature, mean_abs_shap and place (from 1) of the ``top`` features by the mean of |value| over all rows; a row counts ``times``
+    times."""
+    n = F.col(times) if times else F.lit(1)
+    each = df.select(n.alias("n"), F.posexplode(name).alias("i", "x")).groupBy("i").agg((F.sum(F.abs("x") * F.col("n")) / F.sum("n")).alias("mean_abs_shap"))  # a row a feature
     named = each.select(F.element_at(F.array(*map(F.lit, features)), F.col("i") + 1).alias("feature"), "mean_abs_shap")
     return named.orderBy(F.desc("mean_abs_shap"), "feature").limit(top)

@@ -124,6 +124,10 @@ def o147_contract_columns(spark, sf):
     return spark.createDataFrame([("baseline", i, c) for i, c in enumerate(base)] + [("advanced", i, c) for i, c in enumerate(adv)], "contract string, position int, column_name string")
 
 
+#: The cells of a model are few rows of much work, so they are dealt to this many tasks.
+EXPLAIN_TASKS = 12
+
+
 @query()
 def o125_shap_top20(spark, sf):
     """The features of the largest mean absolute Shapley values of each advanced member, over all rows of the validation year."""
@@ -131,8 +135,8 @@ def o125_shap_top20(spark, sf):
     out = []
     for name, model in models.items():
         leaves, expected = shap.explainer(model)
-        rows = shap.explained(validation, FEATURES, leaves, expected)
-        out.append(shap.mean_absolute(rows, FEATURES).select(F.lit(name).alias("member"), "feature", "mean_abs_shap"))
+        rows = shap.explained(shap.cells(validation, FEATURES, leaves).repartition(EXPLAIN_TASKS), FEATURES, leaves, expected)
+        out.append(shap.mean_absolute(rows, FEATURES, times="n").select(F.lit(name).alias("member"), "feature", "mean_abs_shap"))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 

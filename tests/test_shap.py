@@ -86,3 +86,17 @@ def test_mean_of_absolute_values_and_no_rows(spark):
     assert shap.mean_absolute(df.where("id > 9"), ["x", "y", "z"]).count() == 0
     none = spark.createDataFrame([], "a double")
     assert shap.explained(none.select(F.col("a")), ["a"], [], 0.5).collect() == []
+
+
+def test_rows_of_one_cell_are_explained_once(spark, rows):
+    """As many cells however often the rows are repeated, and the same means as over all rows, null and NaN included."""
+    model = ml._pipeline(NAMES, GBTClassifier(seed=1, maxIter=3, maxDepth=2)).fit(rows.where("id < 400"))
+    leaves, expected = shap.explainer(model)
+    many = rows.union(rows).union(rows.where("id > 300"))
+    found = shap.cells(many, NAMES, leaves)
+    assert found.count() == shap.cells(rows, NAMES, leaves).count() < 200 and found.agg(F.sum("n")).first()[0] == many.count()
+    got = shap.mean_absolute(shap.explained(found, NAMES, leaves, expected), NAMES, times="n").collect()
+    want = shap.mean_absolute(shap.explained(many, NAMES, leaves, expected), NAMES).collect()
+    assert [r.feature for r in got] == [r.feature for r in want]
+    assert [r.mean_abs_shap for r in got] == pytest.approx([r.mean_abs_shap for r in want], abs=1e-12)
+    assert shap.cells(rows.where("id < 0"), NAMES, leaves).count() == 0
