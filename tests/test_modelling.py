@@ -54,3 +54,20 @@ def test_tuned_baseline_tries_both_grids(spark):
     best = ml.best_settings(spark.createDataFrame(rows))
     members = ml.tuned_members(["x"], best)
     assert members["dt"].getStages()[-1].getMaxDepth() == best["dt"]["max_depth"] in ml.DT_DEPTH and members["lr"].getStages()[-1].getElasticNetParam() == best["lr"]["l1_ratio"]
+
+
+def test_members_are_fitted_side_by_side(spark):
+    """Each of two members waits for the other to begin, which one after the other never ends."""
+    from threading import Barrier
+
+    both = Barrier(2, timeout=20)
+
+    class Member:
+        def __init__(self, name):
+            self.name = name
+
+        def fit(self, df):
+            both.wait()
+            return self.name, df.count()
+
+    assert ml.fit({"a": Member("x"), "b": Member("y")}, spark.range(3)) == {"a": ("x", 3), "b": ("y", 3)} and ml.fit({}, spark.range(3)) == {}
