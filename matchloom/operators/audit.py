@@ -171,6 +171,12 @@ def explanations(values: dict[str, float], ranked: Sequence[str], limit: int = 4
     return out
 
 
+def explained_columns(ranked: Sequence[str]) -> list[str]:
+    """The columns that ``explained_rows`` reads: both sides' means of the bases that a family of ``SENTENCES`` covers."""
+    bases = dict.fromkeys(["prior_games", *(b for f in ranked if any(x[0] in (b := re.sub(r"^[ab]_|_mean$", "", f)) for x in SENTENCES))])
+    return [f"{s}_{base}_mean" for base in bases for s in "ab"]
+
+
 _TOLD = "array<struct<feature:string,leader:string,magnitude:double>>"
 
 
