@@ -201,6 +201,13 @@ def o122_linear_permutation(spark, sf):
     return found.select("feature", F.round("importance", 9).alias("importance"), F.round("deviation", 9).alias("deviation"))
 
 
+def _area(models, rows):
+    """The AUC of the only member on ``rows``. They are scored once and the scores written, as an area reads them several times."""
+    (name,) = models
+    scored = written(ml.member_probabilities(models, rows).select("label", f"p_{name}"), even=False)
+    return metrics.auc(scored, f"p_{name}", "label").first().auc
+
+
 #: Trials of the query; the operator's own callers choose theirs.
 SEARCH_TRIALS, SEARCH_STARTUP = 8, 4
 SEARCH_SPACE = {"numTrees": Range(10, 40, whole=True), "maxDepth": Range(3, 8, whole=True), "minInstancesPerNode": Range(10, 150, whole=True), "featureSubsetShare": Range(0.25, 0.75)}
@@ -216,6 +223,6 @@ def o118_parameter_search(spark, sf):
     def objective(params):
         whole = {k: int(v) for k, v in params.items() if SEARCH_SPACE[k].whole}
         member = {"rf": ml.advanced_members(FEATURES, rf=whole | {"featureSubsetStrategy": str(params["featureSubsetShare"])})["rf"]}
-        return metrics.auc(ml.member_probabilities(ml.fit(member, fitting), validation), "p_rf", "label").first().auc
+        return _area(ml.fit(member, fitting), validation)
 
     return search.report(search.Study(spark, shared_dir(spark), SEARCH_SPACE, startup=SEARCH_STARTUP).run(objective, SEARCH_TRIALS))

@@ -2,9 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
-from matchloom.operators import search
+from matchloom.operators import metrics, ml, search
 from matchloom.operators.search import Range
+from matchloom.plans import modelling
 from matchloom.sources.shared import Store, shared_dir
 
 SPACE = {"x": Range(-5, 5), "k": Range(1, 40, whole=True), "rate": Range(1e-4, 1.0, log=True)}
@@ -80,3 +83,23 @@ def test_batches_laid_out_by_columns(spark):
     got = store.read("n int, p int").where("p = 1")
     assert sorted(r.n for r in got.collect()) == [2, 3]
     assert "PartitionFilters: [isnotnull(p#" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_trial_scores_its_rows_once(spark):
+    """An area reads its scores several times: without a written table each reading scores them anew."""
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def p(x):
+        scored.add(1)
+        return x / 7 % 1
+
+    class Model:
+        def transform(self, df):
+            return df.withColumn("probability", array_to_vector(F.array(F.lit(0.0), p.asNondeterministic()("x"))))
+
+    rows = spark.range(300).selectExpr("cast(id as double) as x", "cast(id % 3 = 0 as int) as label")
+    area = metrics.auc(ml.member_probabilities({"m": Model()}, rows), "p_m", "label").first().auc
+    assert scored.value > 300
+    scored.value = 0
+    assert modelling._area({"m": Model()}, rows) == area and scored.value == 300
