@@ -35,8 +35,9 @@ def _games(spark, sf):
 def _entries(spark, sf):
     """One row an order, side, supplier and part, with the game's columns: a player and their statistics."""
     parts = table(spark, sf, "part").selectExpr("p_partkey AS l_partkey", "lower(p_brand) AS agent")
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linestatus", "l_suppkey", "l_partkey").agg(F.min("l_quantity").alias("q"), F.min("l_linenumber").alias("n"), F.min("l_extendedprice").alias("price"))
-    rows = lines.join(parts, "l_partkey").selectExpr(
+    # raw numbers move, by part and then by order; what players and statistics are called is made where they have come to
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linestatus", "l_suppkey", "l_partkey", "l_quantity", "l_linenumber", "l_extendedprice").repartition("l_partkey").groupBy("l_orderkey", "l_linestatus", "l_suppkey", "l_partkey").agg(F.min("l_quantity").alias("q"), F.min("l_linenumber").alias("n"), F.min("l_extendedprice").alias("price"))
+    rows = lines.join(parts, "l_partkey").repartition("l_orderkey").selectExpr(
         "l_orderkey AS k", "l_linestatus = 'F' AS first", "concat('S', l_suppkey, '/', l_partkey) AS player", "agent", "cast(floor(q) AS int) AS kills", "n AS deaths", "l_suppkey % 10 AS assists",
         "concat(l_suppkey % 100, '%') AS kast", "cast(floor(price) AS long) AS adr", "concat(l_partkey % 100, '%') AS hs", "l_suppkey % 5 AS fk", "l_partkey % 5 AS fd", "200 AS acs",
     )

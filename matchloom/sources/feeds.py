@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import normalize as n
 from matchloom.operators import conform as c
+from matchloom.sources.shared import written
 from matchloom.sources.tables import read_csv, read_year_folders
 
 STATS = ("kills", "deaths", "assists", "kast", "adr", "hs", "fk", "fd", "acs")
@@ -134,26 +135,30 @@ def conform(feed: Feed, maps: DataFrame, agents: DataFrame, patch_years: dict[in
     games = c.keep_first(games, ["match_key"], [F.col("dedup_key")])
 
     entries = team(named(named(feed.entries, "map", maps), "agent", agents), "team").where("map is not null and agent is not null and team <> ''")
-    entries = entries.select("game", "map", "team", F.trim("player").alias("player"), "agent", *STATS)
-    # the players of one team in one game; longer or shorter groups fail the gate
-    group = entries.groupBy("game", "map", "team").agg(F.count("*").alias("_n")).where(F.col("_n") == size).drop("_n")
-    full = entries.join(group, ["game", "map", "team"], "left_semi")
-    sides = games.select("match_key", "game", "map", F.inline(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"team_{s}").alias("team")) for s in "ab"))))
-    placed = sides.join(full, ["game", "map", "team"])
-    both = c.full_sides(placed, "match_key", "side", size).select("match_key")
-    matches = games.join(both, "match_key", "left_semi")
+    # whole rows move once, to their match: teams, sides and slots are counted there
+    entries = entries.where("game is not null").select(key.alias("match_key"), "team", F.trim("player").alias("player"), "agent", *STATS).repartition("match_key")
+    rows = [c for c in entries.columns if c != "team"]
+    here = F.count(F.lit(1)).over(Window.partitionBy("match_key", "team"))  # the players of one team in one game
+    teams = games.select("match_key", "team_a", "team_b")
+    side = F.explode(F.filter(F.array(*(F.when(F.col("team") == F.col(f"team_{s}"), s) for s in "ab")), lambda x: x.isNotNull()))
+    placed = entries.withColumn("_n", here).where(F.col("_n") == size).join(teams, "match_key").select(*rows, side.alias("side"))
+    # longer or shorter groups failed; both sides are there if all their rows are
+    both = F.count(F.lit(1)).over(Window.partitionBy("match_key"))
     slot = F.row_number().over(Window.partitionBy("match_key", "side").orderBy("player", "agent"))
-    kept = placed.join(both, "match_key", "left_semi")
+    kept = placed.withColumn("_n", both).where(F.col("_n") == 2 * size)
     roles = agents.groupBy("name").agg(F.min("role").alias("role"))
     players = kept.join(roles, kept.agent == roles.name, "left").select(
         "match_key", "side", slot.alias("player_slot"), "player", "agent", "role", n.kill_ratio(F.col("kills"), F.col("deaths"), 10.0).alias("kd"), n.percent(F.col("kast")).alias("kast"), n.percent(F.col("hs")).alias("hs"),
         *(n.to_double(F.col(x)).alias(x) for x in ("adr", "assists", "fk", "fd", "acs")), F.lit(feed.source).alias("source"),
     )
+    matches = games.join(kept.select("match_key"), "match_key", "left_semi")
     comps = players.groupBy("match_key", "side").agg(n.composition_key(F.collect_list("agent")).alias("comp"))  # a side's own agents
     return matches, players, comps
 
 
 def conform_all(feeds: list[Feed], *dims, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All feeds conformed and united, before any source contract or dedup across sources."""
+    """All feeds conformed and united, before any source contract or dedup across sources. Dimensions are written, so that Spark
+    knows which are small, and sends those to all tasks instead of shuffling the entries of every feed to meet them."""
+    dims = [written(d) if isinstance(d, DataFrame) else d for d in dims]
     done = [conform(f, *dims, **options) for f in feeds]
     return tuple(c.union_feeds([d[i] for d in done]) for i in range(3))

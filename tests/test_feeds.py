@@ -1,6 +1,7 @@
 """Each of the five layouts, written as files, comes out as the same conformed tables."""
 
 import csv
+import re
 
 import pytest
 
@@ -87,3 +88,15 @@ def test_scraped_and_all_together(spark, tmp_path, spelled):
     every, people_, comps = feeds.conform_all([feed, feeds.Feed("kaggle_y", feed.games, feed.entries)], *spelled)
     assert sorted(r.source for r in every.collect()) == ["kaggle_y", "vlrgg_x"] and people_.count() == 20 and comps.count() == 4
     assert every.select("dedup_key").distinct().count() == 1  # so the cross-source dedup keeps one
+
+
+def test_entries_move_once_to_their_match(spark, capsys):
+    stats = ", ".join(f"'1' as {s}" for s in feeds.STATS)
+    games = spark.sql("select 'g1' as game, 'Cup 2021' as event, null as date, null as year, 'x' as map, 't1' as team_1, 't2' as team_2, '13' as score_1, '5' as score_2, null as winner")
+    entries = spark.sql(f"select 'g1' as game, 'x' as map, t as team, concat(t, 'p', i) as player, 'a1' as agent, {stats} from values ('t1', 1), ('t1', 2), ('t2', 1), ('t2', 2), ('t3', 1) v(t, i)")
+    maps, agents = spark.sql("select 'x' as raw, 'X' as name"), spark.sql("select 'a1' as raw, 'A1' as name, 'duelist' as role")
+    _, players, _ = feeds.conform_all([feeds.Feed("s", games, entries)], maps, agents, {}, size=2)
+    players.explain("formatted")
+    moved = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*?)\]\n", capsys.readouterr().out)
+    assert sum("kast#" in columns for columns in moved) == 1, moved
+    assert [(r.side, r.player_slot, r.player) for r in players.orderBy("side", "player_slot").collect()] == [("a", 1, "t1p1"), ("a", 2, "t1p2"), ("b", 1, "t2p1"), ("b", 2, "t2p2")]
